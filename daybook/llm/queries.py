@@ -30,6 +30,18 @@ def op1_soft_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "n_tokens", "domain", *[F.col("p")[d].alias(f"p_{d}") for d in MIX_WEIGHTS], "rate")
 
 
+def op2_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from daybook.llm.fingerprint import fingerprint
+
+    return fingerprint(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from daybook.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from daybook.llm.line_dedup import line_dedup
 
@@ -80,7 +92,7 @@ FROM n JOIN g ON n.t = g.t
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_soft_mix, op5_line_dedup, op7_grace_dedup, op8_license_scan, op10_simhash)}
+    return {f.__name__: f for f in (op1_soft_mix, op2_improbable_features, op4_toxicity_cnn, op5_line_dedup, op7_grace_dedup, op8_license_scan, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
