@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.llm.common import table
@@ -36,6 +36,20 @@ def op2_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint(table(spark, sf_dir, "documents"))
 
 
+def derived_edits() -> Column:
+    """Three edits of every document, from its own text: one replaced passage, one cut, one appended."""
+    n = F.char_length(F.coalesce(F.col("text"), F.lit("")))
+    edit = lambda start, length, text: F.struct(start.cast("long").alias("start"), F.lit(length).cast("long").alias("length"), text.alias("replacement"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return F.array(edit(F.floor(n / 3), 40, F.substring(text, 1, 60)), edit(F.floor(2 * n / 3), 25, F.lit("")), edit(n + 1000, 0, F.concat(F.lit(" "), F.substring(text, 5, 30))))
+
+
+def op3_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from daybook.llm.token_counts import count_edited
+
+    return count_edited(table(spark, sf_dir, "documents"), derived_edits())
+
+
 def op4_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     from daybook.llm.toxicity import toxicity
 
@@ -49,6 +63,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(docs).select("doc_id", "source", "n_lines", "n_removed", F.char_length("text").cast("long").alias("n_chars_left"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def op6_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from daybook.llm.sentencepiece_sampling import sample_segmentations
+
+    return sample_segmentations(table(spark, sf_dir, "documents"))
+
+
 def op7_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from daybook.llm.exact_dedup import exact_dedup
 
@@ -92,7 +112,7 @@ FROM n JOIN g ON n.t = g.t
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_soft_mix, op2_improbable_features, op4_toxicity_cnn, op5_line_dedup, op7_grace_dedup, op8_license_scan, op10_simhash)}
+    return {f.__name__: f for f in (op1_soft_mix, op2_improbable_features, op3_edit_aware_counts, op4_toxicity_cnn, op5_line_dedup, op6_gumbel_segmentations, op7_grace_dedup, op8_license_scan, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
