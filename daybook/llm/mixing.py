@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from daybook.llm.common import whole_text, written
 
 #: Hash buckets of words; labelled rows the classifier is fitted on at most; words a text counts as evidence at most.
-BUCKETS, FIT_ROWS, EVIDENCE = 8192, 4000, 60
+BUCKETS, FIT_ROWS, EVIDENCE = 8192, 4000, 6
 #: Projected-gradient steps at most, and the relative miss of any target at which they end.
 STEPS, TOLERANCE = 80, 1e-4
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from daybook.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +82,12 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op9_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from daybook.llm.lm_scoring import lm_score
+
+    return lm_score(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from daybook.llm.simhash import simhash_groups
 
@@ -112,7 +119,7 @@ FROM n JOIN g ON n.t = g.t
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_soft_mix, op2_improbable_features, op3_edit_aware_counts, op4_toxicity_cnn, op5_line_dedup, op6_gumbel_segmentations, op7_grace_dedup, op8_license_scan, op10_simhash)}
+    return {f.__name__: f for f in (op1_soft_mix, op2_improbable_features, op3_edit_aware_counts, op4_toxicity_cnn, op5_line_dedup, op6_gumbel_segmentations, op7_grace_dedup, op8_license_scan, op9_attention_lm, op10_simhash)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
