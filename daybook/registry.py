@@ -1,21 +1,669 @@
-"""Every query of the diary library, by name, with its SQL where SQL can express it."""
+"""Every query of the diary library by name: a Spark job over the given tables, and its SQL where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from daybook.functions import models, timeutil, vectors
+from daybook.operators import buffer, chunks, context, dates, digests, logs, search, segmentation, summaries, telemetry, timeline, transcription
+from daybook.plans import summarize
+from daybook.sources import diary, fixtures, loglines, segments
+from daybook.sources.fixtures import D0, DAY_MS, FRAMES_SQL, LONG_SQL, NOW_MS, SUMMARIES_SQL, TRANSCRIPTS_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
+ZONE, MSK = "UTC", "Europe/Moscow"
+CUT_DAY = "2024-01-11"
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def joined(c: Column | str) -> Column:
+    return F.array_join(c, "|")
+
+
+T, S = TRANSCRIPTS_SQL, f"{TRANSCRIPTS_SQL},\n{SUMMARIES_SQL}"
+_J = "array_to_string({}, '|')"
+#: The digests of SUMMARIES_SQL that can be read: none of its texts needs trimming.
+_D = f"""{S},
+d AS (SELECT *, json_extract_string(json, '$.summary') AS summary, json_extract_string(json, '$.mood') AS mood,
+        list_distinct_first(CAST(json_extract(json, '$.events') AS VARCHAR[])) AS events, list_distinct_first(CAST(json_extract(json, '$.tasks') AS VARCHAR[])) AS tasks
+      FROM s WHERE json_valid(json))""".replace("list_distinct_first(CAST(json_extract(json, '$.events') AS VARCHAR[]))", "list_filter(CAST(json_extract(json, '$.events') AS VARCHAR[]), lambda x, i: x <> '' AND list_position(CAST(json_extract(json, '$.events') AS VARCHAR[]), x) = i)").replace("list_distinct_first(CAST(json_extract(json, '$.tasks') AS VARCHAR[]))", "list_filter(CAST(json_extract(json, '$.tasks') AS VARCHAR[]), lambda x, i: x <> '' AND list_position(CAST(json_extract(json, '$.tasks') AS VARCHAR[]), x) = i)")
+
+
+# ---- days
+
+
+@query(f"WITH {T} SELECT owner_id, day, count(*) AS segments, CAST(sum(end_ms - start_ms) AS BIGINT) AS speech_ms, min(start_ms) AS first_ms, max(end_ms) AS last_ms FROM t GROUP BY owner_id, day")
+def day_overview(spark: SparkSession, sf: str) -> DataFrame:
+    return timeline.day_overview(fixtures.transcripts(spark, sf))
+
+
+@query(f"WITH {T} SELECT owner_id, id, start_ms, day, text FROM t WHERE day IN ('2024-01-05', '2024-01-06')")
+def day_transcripts(spark: SparkSession, sf: str) -> DataFrame:
+    return timeline.day_transcripts(fixtures.transcripts(spark, sf), ["2024-01-05", "2024-01-06"]).select("owner_id", "id", "start_ms", "day", "text")
+
+
+@query(f"WITH {_D} SELECT o.owner_id, o.day, o.n AS segments, d.summary AS summary, d.mood AS mood FROM (SELECT owner_id, day, count(*) AS n FROM t GROUP BY owner_id, day) o LEFT JOIN (SELECT * FROM d WHERE kind = 'DAY') d ON o.owner_id = d.owner_id AND o.day = d.day")
+def day_timeline(spark: SparkSession, sf: str) -> DataFrame:
+    return timeline.timeline(fixtures.transcripts(spark, sf), fixtures.summaries(spark, sf)).select("owner_id", "day", "segments", F.col("digest.summary").alias("summary"), F.col("digest.mood").alias("mood"))
+
+
+@query(f"""WITH {_D}, l AS (SELECT owner_id, strftime(make_timestamp(start_ms * 1000), '%Y-%m-%d') AS day, hour_ms, string_agg('[' || strftime(make_timestamp((start_ms + 10800000) * 1000), '%H:%M') || '] ' || text, '|' ORDER BY start_ms, id) AS lines, count(*) AS n_lines FROM t GROUP BY ALL)
+SELECT l.owner_id, l.day, l.hour_ms AS period_start_ms, l.lines AS lines, l.n_lines AS n_lines, d.summary AS summary FROM l LEFT JOIN (SELECT * FROM d WHERE kind = 'HOUR') d ON l.owner_id = d.owner_id AND l.day = d.day AND l.hour_ms = d.period_start_ms""")
+def day_detail(spark: SparkSession, sf: str) -> DataFrame:
+    return timeline.day_detail(fixtures.transcripts(spark, sf), fixtures.summaries(spark, sf), MSK).select("owner_id", "day", "period_start_ms", joined("lines").alias("lines"), "n_lines", F.col("digest.summary").alias("summary"))
+
+
+@query(f"WITH {T} SELECT owner_id, count(*) FILTER (day >= '{CUT_DAY}') AS kept, count(*) FILTER (day < '{CUT_DAY}') AS purged FROM t GROUP BY owner_id")
+def purge_before(spark: SparkSession, sf: str) -> DataFrame:
+    kept, purged = timeline.purge_before(fixtures.transcripts(spark, sf), CUT_DAY)
+    both = kept.groupBy("owner_id").agg(F.count("*").alias("kept")).join(purged, "owner_id", "full_outer")
+    return both.select("owner_id", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("purged", F.lit(0)).alias("purged"))
+
+
+@query("SELECT count(*) AS transcripts FROM conversations")
+def transcript_count(spark: SparkSession, sf: str) -> DataFrame:
+    return timeline.transcript_count(fixtures.transcripts(spark, sf))
+
+
+@query(f"WITH {S} SELECT owner_id, day, count(*) AS count, max(created_ms) AS max_created_ms FROM s GROUP BY owner_id, day")
+def day_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return chunks.day_stats(fixtures.summaries(spark, sf))
+
+
+@query("SELECT event_id AS event_id, CASE WHEN s >= 3600 THEN (s // 3600) || ' ч ' || lpad(CAST(s // 60 % 60 AS VARCHAR), 2, '0') || ' мин' WHEN s >= 60 THEN (s // 60) || ' мин ' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') || ' с' ELSE s || ' с' END AS spoken FROM (SELECT event_id, event_id * 7919 % 20000000 // 1000 AS s FROM events)")
+def format_duration(spark: SparkSession, sf: str) -> DataFrame:
+    return fixtures.read(spark, sf, "events").select("event_id", timeutil.format_duration(F.col("event_id") * 7919 % 20_000_000).alias("spoken"))
+
+
+# ---- digests
+
+
+@query(f"WITH {_D} SELECT owner_id, day, period_start_ms, summary, {_J.format('events')} AS events, {_J.format('tasks')} AS tasks, mood FROM d")
+def parse_digests(spark: SparkSession, sf: str) -> DataFrame:
+    d = digests.parse_digests(fixtures.summaries(spark, sf)).filter(~F.col("parse_error"))
+    return d.select("owner_id", "day", "period_start_ms", F.col("digest.summary").alias("summary"), joined("digest.events").alias("events"), joined("digest.tasks").alias("tasks"), F.col("digest.mood").alias("mood"))
+
+
+@query()
+def repair_digests(spark: SparkSession, sf: str) -> DataFrame:
+    d = digests.repair_digests(digests.parse_digests(fixtures.summaries(spark, sf)))
+    return d.select("owner_id", "day", "period_start_ms", "parse_error", F.col("digest.summary").alias("summary"), joined("digest.events").alias("events"), joined("digest.tasks").alias("tasks"), F.col("digest.mood").alias("mood"))
+
+
+@query(f"WITH {S} SELECT owner_id, day, period_start_ms, json AS round FROM s WHERE kind = 'DAY'")
+def digest_to_json(spark: SparkSession, sf: str) -> DataFrame:
+    d = digests.parse_digests(fixtures.summaries(spark, sf).filter("kind = 'DAY'"))
+    return d.select("owner_id", "day", "period_start_ms", digests.digest_to_json(F.col("digest")).alias("round"))
+
+
+_RENDER = "'{0}: ' || CASE WHEN trim(summary) = '' THEN '—' ELSE summary END || CASE WHEN len(events) > 0 THEN chr(10) || 'События: ' || array_to_string(events, '; ') ELSE '' END || CASE WHEN len(tasks) > 0 THEN chr(10) || 'Задачи: ' || array_to_string(tasks, '; ') ELSE '' END || CASE WHEN trim(mood) <> '' THEN chr(10) || 'Настроение: ' || mood ELSE '' END"
+
+
+@query(f"WITH {_D} SELECT owner_id, day, period_start_ms, {_RENDER.format('Итог')} AS rendered FROM d")
+def render_digests(spark: SparkSession, sf: str) -> DataFrame:
+    d = digests.parse_digests(fixtures.summaries(spark, sf)).filter("digest IS NOT NULL")
+    return d.select("owner_id", "day", "period_start_ms", digests.render_digests(F.col("digest"), F.lit("Итог")).alias("rendered"))
+
+
+@query(f"WITH {_D}, i AS (SELECT owner_id, day, period_start_ms, 'events' AS kind, unnest(events) AS item, unnest(range(0, len(events))) AS pos FROM d UNION ALL SELECT owner_id, day, period_start_ms, 'tasks', unnest(tasks), unnest(range(0, len(tasks))) FROM d) SELECT owner_id, day, period_start_ms, kind, CAST(pos AS INT) AS pos, item FROM i")
+def digest_items(spark: SparkSession, sf: str) -> DataFrame:
+    return digests.digest_items(digests.parse_digests(fixtures.summaries(spark, sf)), "owner_id", "day", "period_start_ms")
+
+
+# ---- planning
+
+
+_PLAN = f"""{S}, h AS (SELECT owner_id, day, hour_ms, count(*) AS n, max(created_ms) AS m FROM t GROUP BY ALL), a AS (
+  SELECT owner_id, day, 'HOUR' AS level, hour_ms AS period_start_ms, n, m, hour_ms + 3600000 <= {NOW_MS} AS over FROM h
+  UNION ALL SELECT owner_id, day, 'DAY', 0, CAST(sum(n) AS BIGINT), max(m), epoch_ms(CAST(day AS DATE) + INTERVAL 1 DAY) <= {NOW_MS} FROM h GROUP BY owner_id, day), b AS (
+  SELECT a.*, coalesce(s.source_count = a.n AND s.source_max_created_ms = a.m, false) AS fresh FROM a LEFT JOIN s ON a.owner_id = s.owner_id AND a.day = s.day AND a.period_start_ms = s.period_start_ms),
+plan AS (SELECT *, over AND NOT fresh AND (level = 'HOUR' OR NOT bool_or(level = 'HOUR' AND NOT over) OVER w) AND NOT bool_or(level = 'DAY' AND fresh) OVER w AS todo FROM b WINDOW w AS (PARTITION BY owner_id, day))"""
+
+
+def _plan(spark: SparkSession, sf: str) -> DataFrame:
+    return summaries.plan_summaries(fixtures.transcripts(spark, sf), fixtures.summaries(spark, sf), NOW_MS, False, ZONE)
+
+
+@query(f"WITH {_PLAN} SELECT owner_id, day, level, period_start_ms, n AS count, m AS max_created_ms, todo FROM plan")
+def plan_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    return _plan(spark, sf)
+
+
+@query(f"WITH {_PLAN} SELECT owner_id, day, kind, period_start_ms FROM s WHERE NOT (kind = 'HOUR' AND period_start_ms // 3600000 % 5 = 0 AND EXISTS (SELECT 1 FROM plan p WHERE p.owner_id = s.owner_id AND p.day = s.day))")
+def drop_stale_hours(spark: SparkSession, sf: str) -> DataFrame:
+    plan = _plan(spark, sf).filter("level = 'DAY' OR floor(period_start_ms / 3600000) % 5 <> 0")
+    return summaries.drop_stale_hours(fixtures.summaries(spark, sf), plan).select("owner_id", "day", "kind", "period_start_ms")
+
+
+@query(f"WITH {S} SELECT owner_id, day, period_start_ms, CASE WHEN source_count % 2 = 0 THEN 'new' ELSE 'm' END AS model FROM s")
+def upsert_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    old = fixtures.summaries(spark, sf)
+    return summaries.upsert_summaries(old, old.filter("source_count % 2 = 0").withColumn("model", F.lit("new"))).select("owner_id", "day", "period_start_ms", "model")
+
+
+@query(f"WITH {_PLAN} SELECT t.owner_id, t.day, t.hour_ms AS period_start_ms, t.start_ms AS start_ms, t.id AS id, '[' || strftime(make_timestamp(t.start_ms * 1000), '%H:%M') || '] ' || t.text AS line FROM t JOIN plan p ON t.owner_id = p.owner_id AND t.day = p.day AND t.hour_ms = p.period_start_ms WHERE p.level = 'HOUR' AND p.todo")
+def hour_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return summaries.hour_lines(fixtures.transcripts(spark, sf), _plan(spark, sf), ZONE)
+
+
+def _packs(spark: SparkSession, sf: str) -> DataFrame:
+    keys = ["owner_id", "day", "period_start_ms"]
+    return summaries.pack_lines(hour_lines(spark, sf), keys, ["start_ms", "id"], "line", 150)
+
+
+@query()
+def pack_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return _packs(spark, sf)
+
+
+@query()
+def map_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    return summaries.map_prompts(_packs(spark, sf), ["owner_id", "day", "period_start_ms"], F.col("day"))
+
+
+@query()
+def complete(spark: SparkSession, sf: str) -> DataFrame:
+    return summaries.complete(map_prompts(spark, sf), models.first_words_llm)
+
+
+@query()
+def reduce_digests(spark: SparkSession, sf: str) -> DataFrame:
+    d = digests.parse_digests(fixtures.summaries(spark, sf).filter("kind = 'HOUR'")).filter("digest IS NOT NULL")
+    items = d.select("owner_id", F.col("period_start_ms").alias("n"), F.col("owner_id").alias("label"), digests.digest_to_json(F.col("digest")).alias("text"))
+    made = summarize.reduce_digests(items, ["owner_id"], models.first_words_llm, 400, False)
+    return made.select("owner_id", F.col("digest.summary").alias("summary"), joined("digest.tasks").alias("tasks"))
+
+
+@query()
+def summarize_days(spark: SparkSession, sf: str) -> DataFrame:
+    d = digests.repair_digests(digests.parse_digests(fixtures.summaries(spark, sf).filter("kind = 'HOUR'"))).select("owner_id", "day", "period_start_ms", "digest").filter("digest IS NOT NULL")
+    made = summarize.summarize_days(d, models.first_words_llm, 800, ZONE)
+    return made.select("owner_id", "day", F.col("digest.summary").alias("summary"), joined("digest.events").alias("events"))
+
+
+@query(f"""WITH {_D}, h AS (SELECT *, strftime(make_timestamp(period_start_ms * 1000), '%H:%M') AS label FROM d WHERE kind = 'HOUR' AND (summary <> '' OR len(events) + len(tasks) > 0)),
+g AS (SELECT owner_id, day, string_agg(label || ': ' || summary, ' ' ORDER BY period_start_ms) FILTER (summary <> '') AS summary, flatten(list(events ORDER BY period_start_ms)) AS e, flatten(list(tasks ORDER BY period_start_ms)) AS k, list(mood ORDER BY period_start_ms) FILTER (mood <> '') AS m FROM h GROUP BY owner_id, day)
+SELECT owner_id, day, coalesce(summary, '') AS summary, {_J.format("list_filter(e, lambda x, i: list_position(e, x) = i)[1:10]")} AS events, {_J.format("list_filter(k, lambda x, i: list_position(k, x) = i)[1:10]")} AS tasks, coalesce(array_to_string(list_filter(m, lambda x, i: list_position(m, x) = i)[1:3], ', '), '') AS mood FROM g""")
+def fallback_day(spark: SparkSession, sf: str) -> DataFrame:
+    d = digests.parse_digests(fixtures.summaries(spark, sf).filter("kind = 'HOUR'")).withColumn("label", timeutil.hhmm(F.col("period_start_ms"), ZONE))
+    made = summaries.fallback_day(d)
+    return made.select("owner_id", "day", F.col("digest.summary").alias("summary"), joined("digest.events").alias("events"), joined("digest.tasks").alias("tasks"), F.col("digest.mood").alias("mood"))
+
+
+# ---- the chunk index
+
+
+@query()
+def chunk_transcripts(spark: SparkSession, sf: str) -> DataFrame:
+    return chunks.chunk_transcripts(fixtures.transcripts(spark, sf).unionByName(fixtures.long_transcripts(spark, sf), allowMissingColumns=True), ZONE)
+
+
+_RENDERED = f"""{_D}, cd AS (SELECT owner_id, day, kind, CASE WHEN kind = 'DAY' THEN epoch_ms(CAST(day AS DATE)) ELSE period_start_ms END AS start_ms,
+  CASE WHEN kind = 'DAY' THEN epoch_ms(CAST(day AS DATE) + INTERVAL 1 DAY) ELSE period_start_ms + 3600000 END AS end_ms,
+  replace({_RENDER.format('@')}, '@: ', CASE WHEN kind = 'DAY' THEN 'Итог дня: ' ELSE 'Сводка за ' || strftime(make_timestamp(period_start_ms * 1000), '%H:%M') || '–' || strftime(make_timestamp((period_start_ms + 3600000) * 1000), '%H:%M') || ': ' END) AS text
+  FROM d WHERE summary <> '' OR len(events) + len(tasks) > 0)"""
+
+
+@query(f"WITH {_RENDERED} SELECT owner_id, day, kind, start_ms, CAST(end_ms AS BIGINT) AS end_ms, text FROM cd")
+def chunk_digests(spark: SparkSession, sf: str) -> DataFrame:
+    return chunks.chunk_digests(fixtures.summaries(spark, sf), ZONE).drop("ord")
+
+
+def turn_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Every turn as a chunk of its own, and the digests: chunks that SQL can make too."""
+    t = fixtures.transcripts(spark, sf).select("owner_id", "day", F.lit("TRANSCRIPT").alias("kind"), "start_ms", "end_ms", "text", F.col("id").alias("ord"))
+    return chunks.hash_chunks(t.unionByName(chunks.chunk_digests(fixtures.summaries(spark, sf), ZONE)))
+
+
+_CHUNKS = f"""{_RENDERED}, ca AS (SELECT owner_id, day, 'TRANSCRIPT' AS kind, start_ms, end_ms, text, id AS ord FROM t UNION ALL SELECT owner_id, day, kind, start_ms, end_ms, text, 1000000000000 + CASE kind WHEN 'DAY' THEN 1 ELSE 0 END FROM cd),
+c AS (SELECT owner_id, day, kind, start_ms, end_ms, text, sha1(kind || chr(10) || text) AS hash FROM ca QUALIFY row_number() OVER (PARTITION BY owner_id, day, sha1(kind || chr(10) || text) ORDER BY ord, start_ms) = 1)"""
+
+
+@query(f"WITH {_CHUNKS} SELECT owner_id, day, kind, start_ms, text, hash FROM c")
+def hash_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return turn_chunks(spark, sf).select("owner_id", "day", "kind", "start_ms", "text", "hash")
+
+
+def _index_days(spark: SparkSession, sf: str) -> DataFrame:
+    """What was indexed before: all days but every fifth, with a wrong signature on every fourth."""
+    all_days = chunks.changed_days(fixtures.transcripts(spark, sf), fixtures.summaries(spark, sf), spark.createDataFrame([], "owner_id string, day string, signature string"))
+    d = F.dayofmonth(F.to_date("day"))
+    return all_days.filter(d % 5 != 0).select("owner_id", "day", F.when(d % 4 == 0, "old").otherwise(F.col("signature")).alias("signature"))
+
+
+@query(f"""WITH {S}, td AS (SELECT owner_id, day, count(*) AS n, max(created_ms) AS m FROM t GROUP BY ALL), sd AS (SELECT owner_id, day, count(*) AS n, max(created_ms) AS m FROM s GROUP BY ALL)
+SELECT coalesce(td.owner_id, sd.owner_id) AS owner_id, coalesce(td.day, sd.day) AS day, 't' || coalesce(td.n, 0) || ':' || coalesce(td.m, 0) || '|s' || coalesce(sd.n, 0) || ':' || coalesce(sd.m, 0) AS signature
+FROM td FULL OUTER JOIN sd ON td.owner_id = sd.owner_id AND td.day = sd.day WHERE CAST(right(coalesce(td.day, sd.day), 2) AS INT) % 5 = 0 OR CAST(right(coalesce(td.day, sd.day), 2) AS INT) % 4 = 0""")
+def changed_days(spark: SparkSession, sf: str) -> DataFrame:
+    return chunks.changed_days(fixtures.transcripts(spark, sf), fixtures.summaries(spark, sf), _index_days(spark, sf))
+
+
+@query(f"""WITH {_CHUNKS}, dn AS (SELECT owner_id, day, CAST(right(day, 2) AS INT) AS d, hash, kind FROM c)
+SELECT owner_id, day, count(*) FILTER (kind = 'HOUR') AS added, count(*) FILTER (kind = 'TRANSCRIPT') AS removed FROM dn WHERE (d % 5 = 0 OR d % 4 = 0) AND kind <> 'DAY' GROUP BY owner_id, day""")
+def sync_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Before: the chunks without hours. After: the changed days have hours, and no transcripts any more."""
+    every = turn_chunks(spark, sf)
+    old = every.filter("kind <> 'HOUR'").select("*", F.lit(None).cast("struct<scale: float, q: array<tinyint>>").alias("vector"), F.lit("").alias("model"))
+    drafts = every.filter("kind <> 'TRANSCRIPT'")
+    _, report = chunks.sync_chunks(old, drafts, changed_days(spark, sf), fixtures.transcripts(spark, sf))
+    return report
+
+
+@query("SELECT vec_id AS id, strftime(DATE '2024-01-01' + CAST(label * 3 + vec_id % 3 AS INT), '%Y-%m-%d') AS day FROM embeddings WHERE vec_id % 17 = 0")
+def pending_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fixtures.chunk_vectors(spark, sf).withColumn("start_ms", F.lit(0))
+    return chunks.pending_embeddings(rows, "m1").select("id", "day")
+
+
+@query("SELECT doc_id AS doc_id, regexp_replace('[10:00] ' || replace(text, chr(10), chr(10) || '[09:30] '), '(^|\\n)\\[\\d{2}:\\d{2}\\] ', '\\1', 'g') AS text FROM documents")
+def embedding_text(spark: SparkSession, sf: str) -> DataFrame:
+    stamped = F.concat(F.lit("[10:00] "), F.replace(F.col("text"), F.lit("\n"), F.lit("\n[09:30] ")))
+    return fixtures.read(spark, sf, "documents").select("doc_id", chunks.embedding_text(stamped).alias("text"))
+
+
+@query()
+def embed_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    rows = turn_chunks(spark, sf).select("*", F.lit(None).cast("struct<scale: float, q: array<tinyint>>").alias("vector"), F.lit("").alias("model"))
+    done = chunks.embed_chunks(rows, models.hash_embedder, "hash64")
+    return done.select("owner_id", "id", "day", "model", F.col("vector.scale").alias("scale"), joined(F.transform("vector.q", lambda x: x.cast("string"))).alias("q"))
+
+
+@query("SELECT vec_id AS vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3)) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x * 9))), 4) AS total FROM embeddings")
+def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    v = vectors.l2_normalize(F.transform("embedding", lambda x: x * 3))
+    return fixtures.read(spark, sf, "embeddings").select("vec_id", F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+_QUANT = """q AS (SELECT vec_id, label, CAST(CASE WHEN m = 0 THEN 1 ELSE m / 127 END AS FLOAT) AS scale, embedding FROM (SELECT *, CAST(list_max(list_transform(embedding, lambda x: abs(x))) AS DOUBLE) AS m FROM embeddings)),
+qq AS (SELECT vec_id, label, scale, list_transform(embedding, lambda x: greatest(-127, least(127, CAST(floor(CAST(x / scale AS DOUBLE) + 0.5) AS INT)))) AS q FROM q)"""
+
+
+@query(f"WITH {_QUANT} SELECT vec_id, round(CAST(scale AS DOUBLE), 6) AS scale, array_to_string(q, '|') AS q FROM qq")
+def quantize(spark: SparkSession, sf: str) -> DataFrame:
+    packed = fixtures.read(spark, sf, "embeddings").select("vec_id", vectors.quantize(F.col("embedding")).alias("p"))
+    return packed.select("vec_id", F.round(F.col("p.scale").cast("double"), 6).alias("scale"), joined(F.transform("p.q", lambda x: x.cast("string"))).alias("q"))
+
+
+@query("SELECT vec_id AS vec_id, true AS near FROM embeddings")
+def dequantize(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fixtures.read(spark, sf, "embeddings").select("vec_id", "embedding", vectors.quantize(F.col("embedding")).alias("p"))
+    error = F.array_max(F.zip_with("embedding", vectors.dequantize(F.col("p")), lambda a, b: F.abs(a - b)))
+    return rows.select("vec_id", (error < F.col("p.scale")).alias("near"))
+
+
+@query("SELECT count(*) AS chunks, count(*) AS embedded, count(DISTINCT label * 3 + vec_id % 3) AS days FROM embeddings")
+def index_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return chunks.index_stats(fixtures.chunk_vectors(spark, sf))
+
+
+_POSTINGS = f"{_CHUNKS}, p AS (SELECT DISTINCT owner_id, hash, kind, day, start_ms, unnest(regexp_extract_all(replace(lower(text), 'ё', 'е'), '[\\p{{L}}\\d]+')) AS word FROM c)"
+
+
+@query(f"WITH {_POSTINGS} SELECT owner_id, word, count(*) AS n_chunks, min(start_ms) AS first_ms FROM p GROUP BY owner_id, word")
+def build_postings(spark: SparkSession, sf: str) -> DataFrame:
+    return chunks.build_postings(turn_chunks(spark, sf)).groupBy("owner_id", "word").agg(F.count("*").alias("n_chunks"), F.min("start_ms").alias("first_ms"))
+
+
+# ---- retrieval
+
+
+@query()
+def resolve_date_hints(spark: SparkSession, sf: str) -> DataFrame:
+    q = dates.resolve_date_hints(fixtures.questions(spark, sf))
+    return q.select("qid", F.date_format("from_day", "yyyy-MM-dd").alias("from_day"), F.date_format("to_day", "yyyy-MM-dd").alias("to_day"), joined("date_words").alias("date_words"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in "a the of to in on and or is was an what when who did i my".split())
+_Q = f"""w AS (SELECT item_id + 1000 AS qid, 'o' || ((item_id + 1000) % 7) AS owner_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS i FROM (
+  SELECT item_id, regexp_extract_all(replace(lower(array_to_string(list_slice(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), 1, 6), ' ')), 'ё', 'е'), '[\\p{{L}}\\d]+') AS ws FROM benchmark)),
+st AS (SELECT qid, owner_id, min(i) AS i, CASE WHEN regexp_matches(w, '\\d') THEN w WHEN length(w) >= 6 THEN left(w, -2) WHEN length(w) >= 4 THEN left(w, -1) ELSE w END AS stem
+       FROM w WHERE w NOT IN ({_STOP}) AND (length(w) >= 3 OR regexp_matches(w, '\\d')) GROUP BY ALL)"""
+
+
+@query(f"WITH {_Q} SELECT qid, string_agg(stem, '|' ORDER BY i) AS stems FROM (SELECT qid, stem, min(i) AS i FROM st GROUP BY qid, stem) GROUP BY qid")
+def question_stems(spark: SparkSession, sf: str) -> DataFrame:
+    q = search.question_stems(fixtures.questions(spark, sf).filter("qid >= 1000"))
+    return q.filter(F.size("stems") > 0).select("qid", joined("stems").alias("stems"))
+
+
+def _turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as chunks, with the turn's id."""
+    return fixtures.transcripts(spark, sf).select("owner_id", "id", "day", F.lit("TRANSCRIPT").alias("kind"), "start_ms", "end_ms", "text", F.sha1(F.col("text").cast("binary")).alias("hash"))
+
+
+_K = f"""{T}, {_Q}, tw AS (SELECT DISTINCT owner_id, id, start_ms, unnest(regexp_extract_all(replace(lower(text), 'ё', 'е'), '[\\p{{L}}\\d]+')) AS word FROM t),
+k AS (SELECT qid, id, start_ms, count(DISTINCT stem) AS matched FROM (SELECT DISTINCT qid, owner_id, stem FROM st) q JOIN tw USING (owner_id) WHERE starts_with(word, stem) GROUP BY ALL),
+k2 AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY qid ORDER BY start_ms DESC, id) <= 200),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY matched DESC, start_ms DESC, id) AS rank FROM k2)"""
+
+
+def _hits(spark: SparkSession, sf: str) -> DataFrame:
+    q = search.question_stems(fixtures.questions(spark, sf).filter("qid >= 1000"))
+    return search.keyword_search(q, chunks.build_postings(_turns(spark, sf)))
+
+
+@query(f"WITH {_K} SELECT qid, id AS chunk_id, start_ms, matched FROM k2")
+def keyword_search(spark: SparkSession, sf: str) -> DataFrame:
+    return _hits(spark, sf)
+
+
+@query(f"WITH {_K} SELECT qid, id AS chunk_id, CAST(rank AS INT) AS rank FROM r WHERE rank <= 30")
+def rank_by_stems(spark: SparkSession, sf: str) -> DataFrame:
+    return search.rank_by_stems(_hits(spark, sf))
+
+
+_V = f"""{_QUANT}, v AS (SELECT a.vec_id AS qid, b.vec_id AS chunk_id, round(list_sum(list_transform(list_zip(a.embedding, b.q), lambda x: CAST(x[1] AS DOUBLE) * x[2])) * CAST(b.scale AS DOUBLE), 6) AS score
+  FROM embeddings a, qq b WHERE a.vec_id < 20 AND b.vec_id % 17 <> 0), vr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM v QUALIFY rank <= 30)"""
+
+
+@query(f"WITH {_V} SELECT qid, chunk_id, score, CAST(rank AS INT) AS rank FROM vr")
+def vector_search(spark: SparkSession, sf: str) -> DataFrame:
+    return search.vector_search(fixtures.question_vectors(spark, sf), fixtures.chunk_vectors(spark, sf), "m1")
+
+
+@query("""WITH l AS (SELECT user_id AS qid, event_id % 3 AS list_no, event_id AS pos, CAST(floor(value) AS BIGINT) % 50 AS id FROM events WHERE user_id < 200),
+f AS (SELECT qid, list_no, id, min(pos) AS pos FROM l GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY qid, list_no ORDER BY pos, id) AS r FROM f),
+s AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score, min(struct_pack(list_no := list_no, r := r)) AS seen FROM r GROUP BY qid, id)
+SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen, id) AS INT) AS rank FROM s""")
+def fuse_rrf(spark: SparkSession, sf: str) -> DataFrame:
+    lists = fixtures.read(spark, sf, "events").filter("user_id < 200").select(F.col("user_id").alias("qid"), (F.col("event_id") % 3).alias("list_no"), F.col("event_id").alias("pos"), (F.floor("value").cast("long") % 50).alias("id"))
+    return search.fuse_rrf(lists)
+
+
+@query(f"WITH {_K} SELECT qid, CAST(rank AS INT) AS rank, id AS chunk_id, round(1.0::DOUBLE / (60 + rank), 9) AS score, true AS via_text, false AS via_vector FROM r WHERE rank <= 12")
+def hybrid_search_text(spark: SparkSession, sf: str) -> DataFrame:
+    q = search.question_stems(fixtures.questions(spark, sf).filter("qid >= 1000"))
+    t = _turns(spark, sf)
+    return search.hybrid_search(q, t, chunks.build_postings(t))
+
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    """All questions with date ranges, stems, and vectors of their words."""
+    q = search.question_stems(dates.resolve_date_hints(fixtures.questions(spark, sf)))
+    q = summarize.cut(q)
+    return q.withColumn("vec", F.pandas_udf(models.hash_embedder, "array<float>")("text")).withColumn("vec", vectors.l2_normalize(F.col("vec")))
+
+
+def _indexed(spark: SparkSession, sf: str) -> DataFrame:
+    rows = turn_chunks(spark, sf).select("*", F.lit(None).cast("struct<scale: float, q: array<tinyint>>").alias("vector"), F.lit("").alias("model"))
+    return summarize.cut(chunks.embed_chunks(rows, models.hash_embedder, "hash64"))
+
+
+@query()
+def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
+    every = _indexed(spark, sf)
+    return search.hybrid_search(_asked(spark, sf), every, chunks.build_postings(every), "hash64")
+
+
+@query(f"""WITH {_CHUNKS}, dq AS (SELECT item_id AS qid, 'o' || (item_id % 7) AS owner_id, strftime(DATE '2024-01-05' + CAST(item_id % 5 + k AS INT), '%Y-%m-%d') AS day FROM benchmark, range(0, 7) r(k))
+SELECT qid, c.day AS day, c.hash AS hash FROM dq JOIN c ON c.owner_id = dq.owner_id AND c.day = dq.day WHERE c.kind = 'DAY'""")
+def day_digest_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    start = F.date_add(F.lit("2024-01-05").cast("date"), (F.col("item_id") % 5).cast("int"))
+    days = fixtures.read(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.concat(F.lit("o"), (F.col("item_id") % 7).cast("string")).alias("owner_id"), F.explode(F.sequence(start, F.date_add(start, 6))).alias("d"))
+    every = turn_chunks(spark, sf)
+    found = search.day_digest_chunks(every, days.select("qid", "owner_id", F.date_format("d", "yyyy-MM-dd").alias("day")))
+    return found.join(every.select(F.col("id").alias("chunk_id"), "hash"), "chunk_id").select("qid", "day", "hash")
+
+
+@query(f"WITH {T} SELECT id, text FROM t WHERE id % 3 = 0")
+def fetch_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    t = _turns(spark, sf)
+    return search.fetch_chunks(t, t.filter("id % 3 = 0").select(F.col("id").alias("chunk_id"))).select("id", "text")
+
+
+def _contexts(spark: SparkSession, sf: str) -> DataFrame:
+    q = search.question_stems(fixtures.questions(spark, sf).filter("qid >= 1000"))
+    t = _turns(spark, sf)
+    hits = search.hybrid_search(q, t, chunks.build_postings(t))
+    rows = hits.join(t.withColumnRenamed("id", "chunk_id"), "chunk_id").withColumnRenamed("chunk_id", "id")
+    return context.build_contexts(q, rows, 900, ZONE)
+
+
+@query()
+def build_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    return _contexts(spark, sf).select("qid", "user_prompt", joined(F.transform("sources", lambda s: s["chunk_id"].cast("string"))).alias("sources"))
+
+
+_LABEL = "list_extract(['понедельник', 'вторник', 'среда', 'четверг', 'пятница', 'суббота', 'воскресенье'], isodow(CAST(day AS DATE))) || ', ' || day(CAST(day AS DATE)) || ' ' || list_extract(['января', 'февраля', 'марта', 'апреля', 'мая', 'июня', 'июля', 'августа', 'сентября', 'октября', 'ноября', 'декабря'], month(CAST(day AS DATE))) || ' ' || year(CAST(day AS DATE))"
+
+
+@query(f"""WITH {_CHUNKS}, m AS (SELECT *, strftime(make_timestamp((start_ms + 10800000) * 1000), '%H:%M') AS a, strftime(make_timestamp((CAST(end_ms AS BIGINT) + 10800000) * 1000), '%H:%M') AS b FROM c)
+SELECT hash, {_LABEL} || CASE kind WHEN 'DAY' THEN ', итог дня' WHEN 'HOUR' THEN ', сводка ' || a || '–' || b ELSE ', ' || CASE WHEN a = b THEN a ELSE a || '–' || b END || ', расшифровка' END AS label FROM m""")
+def source_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return context.source_labels(turn_chunks(spark, sf), MSK).select("hash", "label")
+
+
+@query()
+def answer_questions(spark: SparkSession, sf: str) -> DataFrame:
+    answered = context.answer_questions(_contexts(spark, sf), models.citing_llm)
+    return context.cited_sources(answered).select("qid", "answer", joined(F.transform("cited", lambda s: s["label"])).alias("cited"))
+
+
+@query("SELECT event_id AS event_id, CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN CAST(event_id % 97 AS VARCHAR) ELSE event_id % 97 || '|' || (event_id % 97 + 1) END AS cited FROM events")
+def extract_citations(spark: SparkSession, sf: str) -> DataFrame:
+    i, n = F.col("event_id"), (F.col("event_id") % 97).cast("string")
+    answer = F.when(i % 3 == 0, "ничего [x] [123]").when(i % 3 == 1, F.concat(F.lit("да ["), n, F.lit("] и ["), n, F.lit("]"))).otherwise(F.concat(F.lit("["), n, F.lit(" ; "), (i % 97 + 1).cast("string"), F.lit("]")))
+    return fixtures.read(spark, sf, "events").select("event_id", joined(F.transform(context.extract_citations(answer), lambda x: x.cast("string"))).alias("cited"))
+
+
+@query("SELECT event_id AS event_id, CASE event_id % 2 WHEN 0 THEN '2' ELSE '1|2|3' END AS cited FROM events")
+def cited_sources(spark: SparkSession, sf: str) -> DataFrame:
+    answers = fixtures.read(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, "вот [2]").otherwise("вот [9]").alias("answer"), F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.struct(n.alias("n"))).alias("sources"))
+    return context.cited_sources(answers).select("event_id", joined(F.transform("cited", lambda s: s["n"].cast("string"))).alias("cited"))
+
+
+# ---- telemetry and segments
+
+
+_PCM = "list_transform(range(0, 64), lambda k: (event_id * 31 + k * 7) % 2000 - CASE WHEN event_id % 9 = 0 THEN (event_id * 31 + k * 7) % 2000 ELSE 1000 END)"
+
+
+@query(f"SELECT event_id AS event_id, round(CASE WHEN rms > 0 THEN greatest(-96.0, least(0.0, 20 * log10(rms / 32767))) ELSE -96.0 END, 6) AS dbfs, rms = 0 AS all_zero FROM (SELECT event_id, sqrt(list_sum(list_transform({_PCM}, lambda x: CAST(x AS DOUBLE) * x)) / 64) AS rms FROM events)")
+def frame_level(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("event_id")
+    pcm = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: ((i * 31 + k * 7) % 2000 - F.when(i % 9 == 0, (i * 31 + k * 7) % 2000).otherwise(1000)).cast("smallint"))
+    return telemetry.frame_level(fixtures.read(spark, sf, "events").select("event_id", pcm.alias("pcm"))).select("event_id", F.round("dbfs", 6).alias("dbfs"), "all_zero")
+
+
+_W = f"""{FRAMES_SQL}, w AS (SELECT owner_id, frame_start_ms // 60000 * 60000 AS window_ms, count(*) AS frames, CAST(sum(n_samples) AS BIGINT) * 1000 // 16000 AS audio_ms,
+  CAST(sum(CASE WHEN NOT screen_on THEN n_samples ELSE 0 END) AS BIGINT) * 1000 // 16000 AS screen_off_ms, CAST(sum(CASE WHEN silenced THEN n_samples ELSE 0 END) AS BIGINT) * 1000 // 16000 AS silenced_ms,
+  count(*) FILTER (all_zero) AS zero_frames, round(avg(dbfs), 6) AS avg_dbfs FROM f GROUP BY ALL)"""
+
+
+@query(f"WITH {_W} SELECT *, round(audio_ms / 60000, 6) AS coverage FROM w")
+def capture_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return telemetry.capture_windows(fixtures.frames(spark, sf)).withColumn("avg_dbfs", F.round("avg_dbfs", 6)).withColumn("coverage", F.round("coverage", 6))
+
+
+@query(f"WITH {_W} SELECT owner_id, window_ms FROM w WHERE audio_ms / 60000 < 0.95 OR silenced_ms > 0")
+def coverage_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    return telemetry.coverage_alerts(telemetry.capture_windows(fixtures.frames(spark, sf))).select("owner_id", "window_ms")
+
+
+@query(f"WITH {FRAMES_SQL}, g AS (SELECT *, lag(screen_on) OVER w AS a, lag(silenced) OVER w AS b FROM f WINDOW w AS (PARTITION BY owner_id ORDER BY frame_start_ms, frame_no)) SELECT owner_id, frame_no, screen_on, silenced FROM g WHERE a IS NOT NULL AND (a <> screen_on OR b <> silenced)")
+def state_changes(spark: SparkSession, sf: str) -> DataFrame:
+    return telemetry.state_changes(fixtures.frames(spark, sf)).select("owner_id", "frame_no", "screen_on", "silenced")
+
+
+@query(f"""WITH {FRAMES_SQL}, g AS (SELECT *, silenced OR dbfs <= -96 AS q FROM f), h AS (SELECT *, frame_no - row_number() OVER (PARTITION BY owner_id, q ORDER BY frame_no) AS k FROM g)
+SELECT owner_id, min(frame_start_ms) AS start_ms, max(frame_start_ms) + 32 AS end_ms, count(*) AS n_frames, max(frame_start_ms) + 32 - min(frame_start_ms) > 1000 AS alarm FROM h WHERE q GROUP BY owner_id, k""")
+def silence_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return telemetry.silence_runs(fixtures.frames(spark, sf), 1000)
+
+
+def _segments(spark: SparkSession, sf: str) -> DataFrame:
+    return segmentation.segment_speech(fixtures.frames(spark, sf))
+
+
+@query()
+def segment_speech(spark: SparkSession, sf: str) -> DataFrame:
+    return _segments(spark, sf)
+
+
+@query()
+def score_frames(spark: SparkSession, sf: str) -> DataFrame:
+    scored = segmentation.score_frames(fixtures.frames(spark, sf), lambda frame: frame["dbfs"].add(96).div(96).ewm(alpha=0.5).mean())
+    return scored.groupBy("owner_id").agg(F.count("*").alias("frames"), F.round(F.avg("prob"), 6).alias("avg_prob"))
+
+
+@query()
+def hourly_speech(spark: SparkSession, sf: str) -> DataFrame:
+    return telemetry.hourly_speech(fixtures.frames(spark, sf), _segments(spark, sf), MSK)
+
+
+@query()
+def session_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return telemetry.session_totals(_segments(spark, sf).filter("NOT dropped")).select("owner_id", "start_ms", "total_speech_ms", "total_segments")
+
+
+def _files(spark: SparkSession, sf: str) -> DataFrame:
+    """Each turn as a segment in the buffer."""
+    t = fixtures.transcripts(spark, sf)
+    return t.select("owner_id", "start_ms", "end_ms", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), ((F.col("end_ms") - F.col("start_ms")) * 32 + 50).alias("size"), "id", "text")
+
+
+@query(f"WITH {T} SELECT owner_id, start_ms, id FROM t WHERE id % 4 <> 0 AND (owner_id, start_ms) NOT IN (SELECT (owner_id, start_ms) FROM t WHERE id % 4 = 0)")
+def pending_segments(spark: SparkSession, sf: str) -> DataFrame:
+    files = _files(spark, sf)
+    return buffer.pending_segments(files, files.filter("id % 4 = 0")).select("owner_id", "start_ms", "id")
+
+
+@query(f"WITH {T} SELECT owner_id, count(*) AS segments, CAST(sum(end_ms - start_ms) AS BIGINT) AS duration_ms, CAST(sum((end_ms - start_ms) * 32 + 50) AS BIGINT) AS bytes FROM t GROUP BY owner_id")
+def buffer_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return buffer.buffer_stats(_files(spark, sf))
+
+
+@query(f"WITH {T}, z AS (SELECT owner_id, id, sum((end_ms - start_ms) * 32 + 50) OVER w AS total, row_number() OVER w AS n FROM t WINDOW w AS (PARTITION BY owner_id ORDER BY start_ms DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT owner_id, id FROM z WHERE total <= 20000000 OR n = 1")
+def retain_by_size(spark: SparkSession, sf: str) -> DataFrame:
+    return buffer.retain_by_size(_files(spark, sf), ["owner_id"], [F.desc("start_ms"), "id"], "size", 20_000_000)[0].select("owner_id", "id")
+
+
+@query("SELECT class, count(*) AS files FROM (SELECT CASE event_id % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'stray' WHEN 2 THEN 'stray' WHEN 5 THEN 'stray' END AS class FROM events) WHERE class IS NOT NULL GROUP BY class")
+def leftover_audio(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("event_id")
+    name = F.element_at(F.array(*map(F.lit, ["/data/segments/{}.bseg", "/data/{}.WAV", "/data/segments/{}.bseg.tmp", "/data/models/{}.wav", "/data/{}.json", "/cache/{}.bseg"])), (i % 6 + 1).cast("int"))
+    return buffer.leftover_audio(fixtures.read(spark, sf, "events").select(F.replace(name, F.lit("{}"), i.cast("string")).alias("path")))
+
+
+@query("SELECT conv_id * 100 + turn AS id, 1704067200000 + turn AS start_ms, length(text) % 100 * 2 AS bytes_back, 'ok' AS status FROM conversations")
+def seal_and_open_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Sealed, the header read in the clear, opened again."""
+    key = bytes(range(32))
+    rows = fixtures.read(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), (F.lit(D0) + F.col("turn")).alias("start_ms"), F.lit(16_000).alias("sample_rate"), (F.char_length("text") % 100).alias("num_samples"))
+    rows = rows.withColumn("pcm_bytes", segments.samples_to_pcm(F.transform(F.slice(F.sequence(F.lit(0), F.lit(99)), 1, F.col("num_samples")), lambda k: (k * 31 % 2000 - 1000).cast("smallint"))))
+    sealed = segments.seal_segments(rows, key).select("id", F.col("blob").alias("content"))
+    opened = segments.open_segments(segments.header_columns(sealed), key)
+    return opened.select("id", "start_ms", F.octet_length("pcm_bytes").cast("long").alias("bytes_back"), "status")
+
+
+# ---- transcription, calls, logs
+
+
+@query(f"WITH {T} SELECT owner_id, id, trim(left(text, 40), E' \\n') AS text, CAST(length(text) AS BIGINT) AS took_ms FROM t")
+def transcribe(spark: SparkSession, sf: str) -> DataFrame:
+    def hear(payload: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"text": payload.str.slice(0, 40), "lang": "", "took_ms": payload.str.len()})
+
+    rows = _files(spark, sf).withColumn("payload", F.col("text")).drop("text")
+    return transcription.transcribe(rows, hear).select("owner_id", "id", "text", "took_ms")
+
+
+@query(f"WITH {T} SELECT owner_id, start_ms, strftime(make_timestamp((start_ms + 10800000) * 1000), '%Y-%m-%d') AS day, trim(left(text, 30), E' \\n') AS text, {NOW_MS} AS created_ms FROM t WHERE id % 5 <> 0")
+def to_transcripts(spark: SparkSession, sf: str) -> DataFrame:
+    results = _files(spark, sf).select("owner_id", "start_ms", "end_ms", F.when(F.col("id") % 5 == 0, "   ").otherwise(F.substring("text", 1, 30)).alias("text"), F.lit("").alias("lang"))
+    return transcription.to_transcripts(results, MSK, "asr", NOW_MS).select("owner_id", "start_ms", "day", "text", "created_ms")
+
+
+@query(f"""WITH {T}, r AS (SELECT end_ms - start_ms AS d, id % 5 = 0 AS blank, id % 7 = 0 AS shut FROM t)
+SELECT count(*) FILTER (NOT shut) AS processed, count(*) FILTER (blank AND NOT shut) AS empty, count(*) FILTER (shut) AS undecryptable, CAST(sum(d) FILTER (NOT shut) AS BIGINT) AS audio_ms, count(*) FILTER (NOT shut) * 50 AS processing_ms, round(count(*) FILTER (NOT shut) * 50.0 / sum(d) FILTER (NOT shut), 9) AS rtf FROM r""")
+def run_report(spark: SparkSession, sf: str) -> DataFrame:
+    results = _files(spark, sf).select("duration_ms", F.when(F.col("id") % 7 == 0, F.lit(None)).when(F.col("id") % 5 == 0, " ").otherwise(F.col("text")).alias("text"), F.lit(50).alias("took_ms"))
+    return transcription.run_report(results).withColumn("rtf", F.round("rtf", 9))
+
+
+@query(f"""WITH u AS (SELECT epoch_us(ts) // 1000 AS ts_ms, user_id AS device_id, CAST(round(CASE WHEN event_id % 20 = 0 THEN 0 WHEN event_id % 10 = 0 THEN value / 1000 ELSE value * 1000 END * CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS c FROM events),
+i AS (SELECT device_id * 100000 + ts_ms // {DAY_MS} AS run_id, CASE WHEN abs(c) < 1000 THEN abs(c) ELSE abs(c) / 1000 END AS ma FROM u WHERE c <> 0 AND ts_ms % {DAY_MS} BETWEEN 21600000 AND 64800000)
+SELECT run_id, count(*) AS samples, round(avg(ma), 6) AS avg_ma, round(avg(ma) * 12, 6) AS mah FROM i GROUP BY run_id""")
+def energy_report(spark: SparkSession, sf: str) -> DataFrame:
+    return transcription.energy_report(fixtures.current_samples(spark, sf), fixtures.runs(spark, sf)).withColumn("avg_ma", F.round("avg_ma", 6)).withColumn("mah", F.round("mah", 6))
+
+
+@query("""WITH c AS (SELECT user_id AS run_id, event_type AS model, CAST(floor(value) AS BIGINT) AS pt, CAST(json_extract_string(props, '$.k') AS BIGINT) * 10 AS pm, CAST(floor(value / 4) AS BIGINT) AS gt, CAST(json_extract_string(props, '$.k') AS BIGINT) * 7 AS gm FROM events)
+SELECT run_id, model, count(*) AS calls, CAST(sum(pt) AS BIGINT) AS prompt_tokens, CAST(sum(gt) AS BIGINT) AS gen_tokens, round(CASE WHEN sum(pm) > 0 THEN sum(pt) * 1000.0::DOUBLE / sum(pm) ELSE 0 END, 6) AS prompt_tps, round(CASE WHEN sum(gm) > 0 THEN sum(gt) * 1000.0::DOUBLE / sum(gm) ELSE 0 END, 6) AS gen_tps FROM c GROUP BY run_id, model""")
+def llm_throughput(spark: SparkSession, sf: str) -> DataFrame:
+    return transcription.llm_throughput(fixtures.llm_calls(spark, sf)).withColumn("prompt_tps", F.round("prompt_tps", 6)).withColumn("gen_tps", F.round("gen_tps", 6))
+
+
+_L = "l AS (SELECT event_id AS seq, epoch_us(ts) // 1000 AS time_ms, CASE event_type WHEN 'error' THEN 'E' WHEN 'purchase' THEN 'W' WHEN 'signup' THEN 'D' ELSE 'I' END AS level, event_type AS tag, props AS message FROM events)"
+
+
+@query(f"WITH {_L} SELECT seq, level, tag FROM l WHERE level IN ('W', 'E') AND time_ms >= {NOW_MS} - 86400000")
+def filter_logs(spark: SparkSession, sf: str) -> DataFrame:
+    return logs.filter_logs(fixtures.logs(spark, sf), "W", NOW_MS).select("seq", "level", "tag")
+
+
+@query(f"""WITH {_L}, h AS (SELECT time_ms // 3600000 AS hour, sum(strlen(level || tag || message) + 22) AS size FROM l WHERE time_ms // 3600000 >= {NOW_MS // 3_600_000 - 24} GROUP BY 1),
+k AS (SELECT hour, sum(size) OVER w AS total, row_number() OVER w AS n FROM h WINDOW w AS (ORDER BY hour DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT seq, level FROM l WHERE time_ms // 3600000 IN (SELECT hour FROM k WHERE total <= 20000 OR n = 1)""")
+def retain_logs(spark: SparkSession, sf: str) -> DataFrame:
+    return logs.retain_logs(fixtures.logs(spark, sf), NOW_MS, 20_000).select("seq", "level")
+
+
+@query("SELECT event_id AS seq, event_type AS tag FROM events ORDER BY event_id DESC LIMIT 3000")
+def tail_logs(spark: SparkSession, sf: str) -> DataFrame:
+    return logs.tail_logs(fixtures.logs(spark, sf)).select("seq", "tag")
+
+
+@query("SELECT event_id AS seq, CASE WHEN event_id % 4 = 0 THEN '' ELSE '01-02 03:04:05.678' END AS ts_text, CASE WHEN event_id % 4 = 0 THEN 'D' WHEN event_type = 'error' THEN 'E' ELSE 'I' END AS level, CASE WHEN event_id % 4 = 0 THEN '' ELSE event_type END AS tag, CASE WHEN event_id % 4 = 0 THEN '    at ' || props ELSE props END AS message FROM events")
+def parse_log_lines(spark: SparkSession, sf: str) -> DataFrame:
+    head = F.concat(F.lit("01-02 03:04:05.678 "), F.when(F.col("event_type") == "error", "E").otherwise("I"), F.lit("/"), "event_type", F.lit(": "), "props")
+    lines = fixtures.read(spark, sf, "events").select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("    at "), "props")).otherwise(head).alias("value"))
+    return loglines.parse_log_lines(lines, keep=["seq"])
+
+
+@query("""WITH c AS (SELECT p_partkey AS ord, 'm' || p_partkey AS id, CASE WHEN p_partkey % 3 <> 0 THEN sha256(CAST(p_partkey % 40 AS VARCHAR)) END AS h, CASE WHEN p_partkey % 2 = 0 THEN p_name END AS n FROM part),
+f AS (SELECT p_partkey AS path, upper(sha256(CAST(p_partkey % 60 AS VARCHAR))) AS s, p_name AS n FROM part)
+SELECT f.path AS path, coalesce(a.e.id, b.e.id) AS entry, CASE WHEN a.e IS NOT NULL THEN 'hash' WHEN b.e IS NOT NULL THEN 'name' END AS matched_by FROM f
+LEFT JOIN (SELECT lower(h) AS h, min(struct_pack(ord := ord, id := id)) AS e FROM c WHERE h IS NOT NULL GROUP BY 1) a ON lower(f.s) = a.h
+LEFT JOIN (SELECT n, min(struct_pack(ord := ord, id := id)) AS e FROM c WHERE n IS NOT NULL GROUP BY 1) b ON f.n = b.n""")
+def identify_artifacts(spark: SparkSession, sf: str) -> DataFrame:
+    part = fixtures.read(spark, sf, "part")
+    k = F.col("p_partkey")
+    sha = lambda m: F.sha2((k % m).cast("string").cast("binary"), 256)
+    catalog = part.select(k.alias("ord"), F.concat(F.lit("m"), k.cast("string")).alias("id"), F.when(k % 3 != 0, sha(40)).alias("sha256"), F.when(k % 2 == 0, F.col("p_name")).alias("name"))
+    files = part.select(k.alias("path"), F.upper(sha(60)).alias("sha256"), F.col("p_name").alias("name"))
+    return logs.identify_artifacts(files, catalog).select("path", "entry", "matched_by")
+
+
+@query(f"WITH {T} SELECT owner_id, start_ms, id FROM t WHERE id % 3 <> 0")
+def append_transcripts(spark: SparkSession, sf: str) -> DataFrame:
+    """What a second, overlapping batch adds."""
+    t = fixtures.transcripts(spark, sf)
+    return diary.new_transcripts(t.filter("id % 3 = 0"), t).select("owner_id", "start_ms", "id")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return hybrid_search(spark, sf_dir)
