@@ -40,7 +40,9 @@ def _packed(frame: pd.DataFrame, target: int, most: int) -> pd.DataFrame:
                 lines, held = [], 0
     if lines:
         done.append((begin, end, lines))
-    return pd.DataFrame({"owner_id": frame["owner_id"].iloc[0], "day": frame["day"].iloc[0], "kind": TRANSCRIPT, "start_ms": [d[0] for d in done], "end_ms": [d[1] for d in done], "text": ["\n".join(d[2]) for d in done], "ord": range(len(done))})
+    owner, day = frame["owner_id"].iloc[0], frame["day"].iloc[0]
+    rows = [(owner, day, TRANSCRIPT, a, b, "\n".join(text), k) for k, (a, b, text) in enumerate(done)]
+    return pd.DataFrame(rows, columns=["owner_id", "day", "kind", "start_ms", "end_ms", "text", "ord"])
 
 
 def chunk_transcripts(transcripts: DataFrame, zone: str | Column, target: int = TARGET_WORDS, most: int = MAX_WORDS) -> DataFrame:

@@ -99,7 +99,7 @@ def repair_digests(df: DataFrame, column: str = "json") -> DataFrame:
     def repair(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: completed_json(t) if t else None)
 
-    failed = F.col("parse_error") & F.col(column).contains("{")
+    failed = F.col("parse_error") & F.coalesce(F.col(column).contains("{"), F.lit(False))
     good = df.filter(~failed)
     mended = df.filter(failed).withColumn("_json", repair(F.col(column))).drop("digest", "parse_error")
     mended = parse_digests(mended, "_json").drop("_json").select(*df.columns)
