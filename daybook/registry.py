@@ -161,12 +161,19 @@ def hour_lines(spark: SparkSession, sf: str) -> DataFrame:
     return summaries.hour_lines(fixtures.transcripts(spark, sf), _plan(spark, sf), ZONE)
 
 
+_HOUR_LINES = f"{_PLAN}, hl AS (SELECT t.owner_id, t.day, t.hour_ms, '[' || strftime(make_timestamp(t.start_ms * 1000), '%H:%M') || '] ' || t.text AS line, row_number() OVER (PARTITION BY t.owner_id, t.hour_ms ORDER BY t.start_ms, t.id) AS i FROM t JOIN plan p ON t.owner_id = p.owner_id AND t.day = p.day AND t.hour_ms = p.period_start_ms WHERE p.level = 'HOUR' AND p.todo)"
+
+
 def _packs(spark: SparkSession, sf: str) -> DataFrame:
     keys = ["owner_id", "day", "period_start_ms"]
-    return summaries.pack_lines(hour_lines(spark, sf), keys, ["start_ms", "id"], "line", 150)
+    return summaries.pack_lines(hour_lines(spark, sf), keys, ["start_ms", "id"], "line", 400)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_HOUR_LINES}, hc AS MATERIALIZED (SELECT *, len(list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '')) + 1 AS cost FROM hl),
+pk AS (SELECT owner_id, day, hour_ms, line, i, cost AS used, CAST(0 AS BIGINT) AS pack_no, CAST(0 AS BIGINT) AS line_no FROM hc WHERE i = 1
+  UNION ALL SELECT hc.owner_id, hc.day, hc.hour_ms, hc.line, hc.i, CASE WHEN pk.used + hc.cost > 400 THEN hc.cost ELSE pk.used + hc.cost END, pk.pack_no + CASE WHEN pk.used + hc.cost > 400 THEN 1 ELSE 0 END, CASE WHEN pk.used + hc.cost > 400 THEN 0 ELSE pk.line_no + 1 END
+  FROM pk JOIN hc ON hc.owner_id = pk.owner_id AND hc.hour_ms = pk.hour_ms AND hc.i = pk.i + 1)
+SELECT owner_id, day, hour_ms AS period_start_ms, pack_no, line_no, line AS text FROM pk""")
 def pack_lines(spark: SparkSession, sf: str) -> DataFrame:
     return _packs(spark, sf)
 
@@ -208,7 +215,14 @@ def fallback_day(spark: SparkSession, sf: str) -> DataFrame:
 # ---- the chunk index
 
 
-@query()
+@query(f"""WITH RECURSIVE {T}, {LONG_SQL}, al AS (SELECT owner_id, day, hour_ms, id, start_ms, end_ms, text FROM t UNION ALL SELECT owner_id, day, hour_ms, id, start_ms, end_ms, text FROM lt),
+pw AS (SELECT *, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM al),
+pp AS (SELECT *, unnest(range(0, len(ws), 280)) AS a FROM pw WHERE len(ws) > 0),
+pc AS MATERIALIZED (SELECT owner_id, day, hour_ms, start_ms, end_ms, least(280, len(ws) - a) AS n, '[' || strftime(make_timestamp(start_ms * 1000), '%H:%M') || '] ' || array_to_string(list_slice(ws, a + 1, a + 280), ' ') AS line, row_number() OVER (PARTITION BY owner_id, hour_ms ORDER BY start_ms, id, a) AS i FROM pp),
+ck AS (SELECT owner_id, day, hour_ms, start_ms, end_ms, line, i, n AS used, CAST(0 AS BIGINT) AS k FROM pc WHERE i = 1
+  UNION ALL SELECT pc.owner_id, pc.day, pc.hour_ms, pc.start_ms, pc.end_ms, pc.line, pc.i, CASE WHEN ck.used >= 180 OR ck.used + pc.n > 280 THEN pc.n ELSE ck.used + pc.n END, ck.k + CASE WHEN ck.used >= 180 OR ck.used + pc.n > 280 THEN 1 ELSE 0 END
+  FROM ck JOIN pc ON pc.owner_id = ck.owner_id AND pc.hour_ms = ck.hour_ms AND pc.i = ck.i + 1)
+SELECT owner_id, day, 'TRANSCRIPT' AS kind, first(start_ms ORDER BY i) AS start_ms, last(end_ms ORDER BY i) AS end_ms, string_agg(line, chr(10) ORDER BY i) AS text, k AS ord FROM ck GROUP BY owner_id, day, hour_ms, k""")
 def chunk_transcripts(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.chunk_transcripts(fixtures.transcripts(spark, sf).unionByName(fixtures.long_transcripts(spark, sf), allowMissingColumns=True), ZONE)
 
@@ -506,11 +520,30 @@ def silence_runs(spark: SparkSession, sf: str) -> DataFrame:
     return telemetry.silence_runs(fixtures.frames(spark, sf), 1000)
 
 
+_SEG = f"""RECURSIVE {FRAMES_SQL},
+n AS MATERIALIZED (SELECT owner_id, frame_start_ms AS ms, prob >= 0.5 AS hi, prob < 0.35 AS lo, row_number() OVER (PARTITION BY owner_id ORDER BY frame_start_ms) AS i FROM f),
+st AS (
+  SELECT DISTINCT owner_id, CAST(0 AS BIGINT) AS i, false AS inside, 0 AS pre, CAST(NULL AS BIGINT) AS b, 0 AS size, 0 AS speech, 0 AS quiet, 0 AS o, CAST(NULL AS BIGINT) AS ob, 0 AS os, 0 AS osp, CAST(NULL AS BIGINT) AS oms FROM n
+  UNION ALL
+  SELECT owner_id, i, CASE WHEN was THEN q < 22 ELSE hi END, CASE WHEN was OR hi THEN 0 ELSE least(pre + 1, 10) END,
+         CASE WHEN was THEN CASE WHEN q >= 22 OR z >= 875 THEN NULL ELSE nb END WHEN hi THEN ms - pre * 32 END,
+         CASE WHEN was THEN CASE WHEN q >= 22 OR z >= 875 THEN 0 ELSE z END WHEN hi THEN pre + 1 ELSE 0 END,
+         CASE WHEN was THEN CASE WHEN q >= 22 OR z >= 875 THEN 0 ELSE sp END WHEN hi THEN 1 ELSE 0 END,
+         CASE WHEN was AND q < 22 AND z < 875 THEN q ELSE 0 END,
+         CASE WHEN NOT was THEN 0 WHEN q >= 22 THEN 1 WHEN z >= 875 THEN 2 ELSE 0 END, nb, CASE WHEN q >= 22 THEN z - 15 ELSE z END, sp, ms
+  FROM (SELECT n.owner_id AS owner_id, n.i AS i, n.ms AS ms, n.hi AS hi, st.inside AS was, st.pre AS pre, coalesce(st.b, n.ms) AS nb, st.size + 1 AS z,
+               st.speech + CASE WHEN n.hi THEN 1 ELSE 0 END AS sp, CASE WHEN n.hi THEN 0 WHEN n.lo THEN st.quiet + 1 ELSE st.quiet END AS q
+        FROM st JOIN n ON n.owner_id = st.owner_id AND n.i = st.i + 1)),
+fl AS (SELECT st.* FROM st JOIN (SELECT owner_id, max(i) AS i FROM n GROUP BY owner_id) e ON e.owner_id = st.owner_id AND e.i = st.i WHERE st.inside),
+sg AS (SELECT owner_id, ob AS start_ms, CAST(os AS BIGINT) AS n_frames, CAST(osp * 32 AS BIGINT) AS speech_ms, o = 2 AS split_by_max, oms AS close_ms, o = 1 AND osp < 13 AS dropped FROM st WHERE o > 0
+  UNION ALL SELECT owner_id, b, CAST(size - least(greatest(quiet - 7, 0), size) AS BIGINT), CAST(speech * 32 AS BIGINT), false, oms, speech < 13 FROM fl WHERE size - least(greatest(quiet - 7, 0), size) > 0)"""
+
+
 def _segments(spark: SparkSession, sf: str) -> DataFrame:
     return segmentation.segment_speech(fixtures.frames(spark, sf))
 
 
-@query()
+@query(f"WITH {_SEG} SELECT * FROM sg")
 def segment_speech(spark: SparkSession, sf: str) -> DataFrame:
     return _segments(spark, sf)
 
@@ -521,12 +554,14 @@ def score_frames(spark: SparkSession, sf: str) -> DataFrame:
     return scored.groupBy("owner_id").agg(F.count("*").alias("frames"), F.round(F.avg("prob"), 6).alias("avg_prob"))
 
 
-@query()
+@query(f"""WITH {_SEG}, au AS (SELECT owner_id, (frame_start_ms + 10800000) // 3600000 * 3600000 - 10800000 AS hour_ms, CAST(sum(n_samples) AS BIGINT) * 1000 // 16000 AS audio_ms FROM f GROUP BY ALL),
+hs AS (SELECT owner_id, close_ms // 3600000 * 3600000 AS hour_ms, CAST(coalesce(sum(n_frames * 32) FILTER (NOT dropped), 0) AS BIGINT) AS speech_ms, count(*) FILTER (NOT dropped) AS segments, count(*) FILTER (dropped) AS dropped_short FROM sg GROUP BY ALL)
+SELECT au.owner_id, au.hour_ms, au.audio_ms, coalesce(speech_ms, 0) AS speech_ms, coalesce(segments, 0) AS segments, coalesce(dropped_short, 0) AS dropped_short, round(coalesce(speech_ms, 0) / au.audio_ms, 9) AS speech_share FROM au LEFT JOIN hs ON au.owner_id = hs.owner_id AND au.hour_ms = hs.hour_ms""")
 def hourly_speech(spark: SparkSession, sf: str) -> DataFrame:
-    return telemetry.hourly_speech(fixtures.frames(spark, sf), _segments(spark, sf), MSK)
+    return telemetry.hourly_speech(fixtures.frames(spark, sf), _segments(spark, sf), MSK).withColumn("speech_share", F.round("speech_share", 9))
 
 
-@query()
+@query(f"WITH {_SEG} SELECT owner_id, start_ms, CAST(sum(n_frames * 32) OVER w AS BIGINT) AS total_speech_ms, count(*) OVER w AS total_segments FROM sg WHERE NOT dropped WINDOW w AS (PARTITION BY owner_id ORDER BY start_ms ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 def session_totals(spark: SparkSession, sf: str) -> DataFrame:
     return telemetry.session_totals(_segments(spark, sf).filter("NOT dropped")).select("owner_id", "start_ms", "total_speech_ms", "total_segments")
 
