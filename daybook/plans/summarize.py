@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -14,6 +12,7 @@ from daybook.functions.timeutil import day_label, hhmm
 from daybook.operators.digests import digest_to_json, empty_digest, is_empty, parse_digests, repair_digests
 from daybook.operators.summaries import complete, count_words, fallback_day, hour_lines, map_prompts, merge_prompt, pack_lines, plan_summaries
 from daybook.schemas import DAY, HOUR, HOUR_MS
+from daybook.sources.shared import cut
 
 Llm = Callable[[pd.Series], pd.Series]
 HOUR_TOKENS, DAY_TOKENS, RESERVE, LEAST = 700, 1400, 400, 512
@@ -23,18 +22,6 @@ def input_budget(context: int, system_tokens: int) -> int:
     return max(LEAST, context - DAY_TOKENS - system_tokens - RESERVE)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read again: model calls are made once, and the plan stays short."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _digests(prompts: DataFrame, fn: Llm) -> DataFrame:
     return repair_digests(parse_digests(cut(complete(prompts, fn)), "raw"), "raw")
 

@@ -13,6 +13,8 @@ from daybook.operators import buffer, chunks, context, dates, digests, logs, sea
 from daybook.plans import summarize
 from daybook.sources import diary, fixtures, loglines, segments
 from daybook.sources.fixtures import D0, DAY_MS, FRAMES_SQL, LONG_SQL, NOW_MS, SUMMARIES_SQL, TRANSCRIPTS_SQL
+from daybook.sources.shared import cut, shared_path
+from daybook.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 ZONE, MSK = "UTC", "Europe/Moscow"
@@ -409,13 +411,13 @@ def hybrid_search_text(spark: SparkSession, sf: str) -> DataFrame:
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
     """All questions with date ranges, stems, and vectors of their words."""
     q = search.question_stems(dates.resolve_date_hints(fixtures.questions(spark, sf)))
-    q = summarize.cut(q)
+    q = cut(q)
     return q.withColumn("vec", F.pandas_udf(models.hash_embedder, "array<float>")("text")).withColumn("vec", vectors.l2_normalize(F.col("vec")))
 
 
 def _indexed(spark: SparkSession, sf: str) -> DataFrame:
     rows = turn_chunks(spark, sf).select("*", F.lit(None).cast("struct<scale: float, q: array<tinyint>>").alias("vector"), F.lit("").alias("model"))
-    return summarize.cut(chunks.embed_chunks(rows, models.hash_embedder, "hash64"))
+    return cut(chunks.embed_chunks(rows, models.hash_embedder, "hash64"))
 
 
 @query()
@@ -692,6 +694,38 @@ def append_transcripts(spark: SparkSession, sf: str) -> DataFrame:
     return diary.new_transcripts(t.filter("id % 3 = 0"), t).select("owner_id", "start_ms", "id")
 
 
+@query(f"WITH {T} SELECT owner_id, id, day, text FROM t WHERE NOT (day = '{CUT_DAY}' AND id % 2 = 0)")
+def write_and_read_day(spark: SparkSession, sf: str) -> DataFrame:
+    """All days written, one written anew with fewer rows, and the table read back."""
+    t = fixtures.transcripts(spark, sf)
+    path = shared_path(spark, "diary")
+    diary.write_day(t, path, "transcripts")
+    diary.write_day(t.filter(f"day = '{CUT_DAY}' AND id % 2 = 1"), path, "transcripts")
+    return diary.read_table(spark, path, "transcripts").select("owner_id", "id", "day", "text")
+
+
+def _streamed(df: DataFrame, made: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """The last state of a stream over the rows of df, in several batches."""
+    spark = df.sparkSession
+    source, sink, log = (shared_path(spark, x) for x in ("stream-in", "stream-out", "stream-log"))
+    df.repartition(4).write.parquet(source)
+    stream = made(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(source))
+    # each batch of a complete result replaces the one before
+    query = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(sink)).option("checkpointLocation", log).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(sink)
+
+
+@query(f"WITH {T} SELECT owner_id, day, count(*) AS count, max(created_ms) AS max_created_ms FROM t GROUP BY owner_id, day")
+def day_stats_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return _streamed(fixtures.transcripts(spark, sf), jobs.day_stats_stream, "complete")
+
+
+@query(f"WITH {_W} SELECT owner_id, window_ms, frames, audio_ms, zero_frames FROM w")
+def capture_windows_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return _streamed(fixtures.frames(spark, sf), jobs.capture_windows_stream, "complete").select("owner_id", "window_ms", "frames", "audio_ms", "zero_frames")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 TABLES = ("transcripts", "summaries", "chunks", "index_days")
 
 
+def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table; its days come back as text."""
+    return spark.read.parquet(f"{path}/{name}").withColumn("day", F.col("day").cast("string"))
+
+
 def read_diary(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables by name; days come back as text."""
-    found = {}
-    for name in TABLES:
-        df = spark.read.parquet(f"{path}/{name}")
-        found[name] = df.withColumn("day", F.col("day").cast("string"))
-    return found
+    return {name: read_table(spark, path, name) for name in TABLES}
 
 
 def write_day(df: DataFrame, path: str, name: str) -> None:
