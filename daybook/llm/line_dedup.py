@@ -9,6 +9,8 @@ from daybook.llm.common import whole_text, written
 
 #: Sites from which a line counts as boilerplate; the relative margin around it within which sites are counted exactly.
 SITES, MARGIN, LG_K = 5, 0.25, 10
+#: Parts that the places of one line are dealt out in.
+SALTS = 32
 #: Characters from which a line is judged; shorter ones recur by chance.
 MIN_CHARS = 20
 
@@ -49,7 +51,10 @@ def line_dedup(docs: DataFrame, sites: int = SITES, min_chars: int = MIN_CHARS)
     flagged = written(boilerplate_lines(docs, sites, min_chars).select("key"))
     places = written(_lines(docs, min_chars).join(flagged, "key").select("key", "doc_id", "pos").filter("doc_id IS NOT NULL"))
     first = places.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("first")).select("key", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos"))
-    extra = places.join(first, "key").filter("doc_id <> first_doc OR pos <> first_pos")
+    # a line of a third of all documents is dealt over SALTS tasks, its first place to each of them
+    spread = places.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)))
+    firsts = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    extra = spread.join(firsts, ["key", "salt"]).filter("doc_id <> first_doc OR pos <> first_pos")
     gone = extra.groupBy(F.col("doc_id").alias("gone_doc")).agg(F.collect_set("pos").alias("gone_pos"))
     both = docs.drop("n_lines", "n_removed").join(gone, F.col("doc_id").cast("long") == F.col("gone_doc"), "left")
     lines = F.split(F.col("text"), "\n")
