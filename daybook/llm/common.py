@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +46,12 @@ def in_fold(doc_id: Column, fold: int, folds: int = 5) -> Column:
 def whole_text(name: str = "text") -> Column:
     """A null text counts as an empty one."""
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def portions(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about `most` bytes of a column of texts, so that what a task holds doesn't follow the longest rows of a batch."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    groups = (np.cumsum(sizes) - sizes) // most
+    bounds = [*np.flatnonzero(np.diff(groups, prepend=-1)).tolist(), batch.num_rows]
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        yield batch.slice(a, b - a)

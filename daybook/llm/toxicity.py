@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.common import in_fold, whole_text
+from daybook.llm.common import in_fold, portions, whole_text
 
 #: Hash buckets of words; embedding size; filter widths and filters of each; labelled rows used at most.
 BUCKETS, DIM, WIDTHS, FILTERS, FIT_ROWS = 1 << 21, 12, (1, 2, 3), 12, 6000
+#: Bytes of a word's beginning that has an embedding too.
+STEM = 4
 #: ASCII letters and digits stay, in lower case; other ASCII is a separator; bytes beyond ASCII stay.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -31,29 +33,35 @@ class Network:
 
 
 def buckets_of(text: bytes) -> np.ndarray:
+    """Two rows: the bucket of each word, and that of its beginning, which forms of one stem share."""
     words = text.translate(WORD_BYTES).split()
-    return np.fromiter(map(crc32, words), np.uint32, len(words)) & (BUCKETS - 1)
+    both = np.empty((2, len(words)), np.uint32)
+    both[0] = np.fromiter(map(crc32, words), np.uint32, len(words))
+    both[1] = np.fromiter((crc32(w[:STEM], 1) for w in words), np.uint32, len(words))
+    return both & (BUCKETS - 1)
 
 
 def _laid_out(parts: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Embedding rows of all texts in one array, two blanks after each text so that no filter crosses; the texts' starts."""
     gap = max(WIDTHS) - 1
-    sizes = np.fromiter((len(p) + gap for p in parts), np.int64, len(parts))
+    sizes = np.fromiter((p.shape[1] + gap for p in parts), np.int64, len(parts))
     starts = np.cumsum(sizes) - sizes
-    ids = np.zeros(int(sizes.sum()) + gap, np.int32)
+    ids = np.zeros((2, int(sizes.sum()) + gap), np.int32)
     for s, p in zip(starts, parts, strict=True):
-        ids[s : s + len(p)] = rows[p]
+        ids[:, s : s + p.shape[1]] = rows[p]
     return ids, starts
 
 
 def _pooled(net: Network, ids: np.ndarray, starts: np.ndarray, tables: dict[tuple[int, int], np.ndarray]) -> np.ndarray:
     """Largest value of each filter over each text. tables: embeddings times the filter's slice, so that a word is one lookup."""
-    n = len(ids) - max(WIDTHS) + 1
+    n = ids.shape[1] - max(WIDTHS) + 1
     out = np.empty((len(starts), len(WIDTHS) * FILTERS), np.float32)
     for k, width in enumerate(WIDTHS):
-        h = tables[width, 0][ids[:n]]
+        h = tables[width, 0][ids[0, :n]]
+        h += tables[width, 0][ids[1, :n]]
         for o in range(1, width):
-            h += tables[width, o][ids[o : o + n]]
+            h += tables[width, o][ids[0, o : o + n]]
+            h += tables[width, o][ids[1, o : o + n]]
         out[:, k * FILTERS : (k + 1) * FILTERS] = np.maximum.reduceat(h, starts)
     return np.maximum(out + net.bias, 0)
 
@@ -72,7 +80,7 @@ def train(texts: list[bytes], labels: np.ndarray, langs: list[str], epochs: int
     rng = np.random.default_rng(seed)
     parts = [buckets_of(t) for t in texts]
     labels = np.asarray(labels, np.float32)
-    seen = np.bincount(np.concatenate([np.unique(p) for p in parts] or [np.zeros(0, np.int64)]).astype(np.int64), minlength=BUCKETS)
+    seen = np.bincount(np.concatenate([np.unique(p) for p in parts if p.size] or [np.zeros(0, np.int64)]).astype(np.int64), minlength=BUCKETS)
     often = np.flatnonzero(seen >= 3)
     rows = np.zeros(BUCKETS, np.int32)
     rows[often] = np.arange(1, len(often) + 1)
@@ -96,9 +104,9 @@ def train(texts: list[bytes], labels: np.ndarray, langs: list[str], epochs: int
     for _ in range(epochs):
         for batch in np.array_split(rng.permutation(fit), max(1, len(fit) // 64)):
             ids, starts = _laid_out([parts[i] for i in batch], net.rows)
-            ends = np.append(starts[1:], len(ids) - max(WIDTHS) + 1)
+            ends = np.append(starts[1:], ids.shape[1] - max(WIDTHS) + 1)
             tables = {k: None for k in net.filters}
-            n, x = len(ids) - max(WIDTHS) + 1, net.embed[ids]
+            n, x = ids.shape[1] - max(WIDTHS) + 1, net.embed[ids[0]] + net.embed[ids[1]]
             places = np.empty((len(batch), len(net.bias)), np.int64)
             top = np.empty((len(batch), len(net.bias)), np.float32)
             for k, width in enumerate(WIDTHS):
@@ -121,8 +129,9 @@ def train(texts: list[bytes], labels: np.ndarray, langs: list[str], epochs: int
                 for o in range(width):
                     at = places[:, cols] + o
                     g = dh[:, cols]
-                    ge_ids.append(ids[at].ravel())
-                    ge.append((g[:, :, None] * net.filters[width, o].T[None]).reshape(-1, DIM))
+                    back = (g[:, :, None] * net.filters[width, o].T[None]).reshape(-1, DIM)
+                    ge_ids += [ids[0][at].ravel(), ids[1][at].ravel()]
+                    ge += [back, back]
                     tables[width, o] = np.einsum("bfd,bf->df", x[at], g)
             for key, g in tables.items():
                 step(key, net.filters[key], g)
@@ -139,7 +148,7 @@ def train(texts: list[bytes], labels: np.ndarray, langs: list[str], epochs: int
     own = np.array([langs[i] or "" for i in check])
     for lang in sorted(set(own)):
         mine = own == lang
-        if labels[check][mine].sum() >= 5:
+        if labels[check][mine].sum() >= 10:
             net.thresholds[lang] = float(1 / (1 + np.exp(-(best_threshold(z[mine], labels[check][mine]) - net.shift))))
     return net
 
@@ -179,8 +188,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fold:
         model = net.value
         tables = _tables(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for part in portions(batch, 1, 250_000):
                 z = _logits(model, [buckets_of(t.as_py()) for t in part.column(1)], tables) - model.shift
                 score = 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -50, 50)))
                 limit = np.array([model.thresholds.get(x, 0.5) for x in part.column(2).to_pylist()])
