@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -39,6 +40,12 @@ class Counter(dict):
         return n
 
 
+@lru_cache(maxsize=2)
+def counter_of(path: str) -> Counter:
+    """One for all tasks of a worker."""
+    return Counter(path)
+
+
 class EditTree:
     """Pre-tokens in leaves of about LEAF; inner nodes hold the sums of characters, pre-tokens and tokens below them.
 
@@ -157,7 +164,7 @@ def count_edited(docs: DataFrame, edits: Column | str = "edits", vocabulary: str
     out = "doc_id long, n_pretokens long, n_tokens long, edited_pretokens long, edited_tokens long, n_edits long, n_encoded long" + ", edited_text string" * return_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(vocabulary)
+        counter = counter_of(vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
