@@ -6,6 +6,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +15,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.common import whole_text
+from daybook.llm.common import portions, whole_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segmentations of a document; how much sharper than the pieces' weights the distribution is; the row keys' seed.
 SAMPLES, SHARPNESS, SEED = 2, 1.0, 1
 #: Lattices of so many units are remembered by a worker; steps of a path whose siblings wait one by one, the later ones as one set.
-REMEMBERED, EARLY = 100_000, 48
+REMEMBERED, EARLY = 160_000, 48
 SPACE = "▁"
 #: Units: no piece crosses from other characters to a space mark, and none holds a line break.
 UNITS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
@@ -91,17 +92,28 @@ class Lattices:
     def reset(self) -> None:
         w = self.pieces.longest
         self.known: dict[str, int] = {}
-        self.start, self.stop, self.total = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        self.cdf, self.logp = np.zeros((0, w), np.float32), np.zeros((0, w), np.float32)
-        self.ids = np.zeros((0, w), np.int32)
+        self.nodes = self.units = 0
+        if not hasattr(self, "cdf"):
+            # zeros take memory only once they are written to
+            self.start, self.stop = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+            self.cdf, self.logp = np.zeros((1 << 21, w), np.float32), np.zeros((1 << 21, w), np.float32)
+            self.ids = np.zeros((1 << 21, w), np.int32)
+
+    def _room(self, units: int, nodes: int) -> None:
+        """Arrays double when they are full, so adding a few units doesn't copy all."""
+        while self.units + units > len(self.start):
+            self.start, self.stop = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.stop))
+        while self.nodes + nodes > len(self.cdf):
+            self.cdf, self.logp, self.ids = (np.concatenate([x, np.zeros_like(x)]) for x in (self.cdf, self.logp, self.ids))
 
     def numbers(self, units: list[str]) -> np.ndarray:
         new = [u for u in dict.fromkeys(units) if u not in self.known]
         if len(self.known) + len(new) > REMEMBERED and self.known:
             self.reset()
             new = list(dict.fromkeys(units))
-        if new:
-            self._add(new)
+        # a few at a time: the work stays in the processor's cache
+        for at in range(0, len(new), 1500):
+            self._add(new[at : at + 1500])
         return np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
 
     def _add(self, units: list[str]) -> None:
@@ -113,7 +125,7 @@ class Lattices:
         code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
         room = np.repeat(stops, sizes) - np.arange(n)
         weight, ids = np.full((n, w), -np.inf), np.zeros((n, w), np.int32)
-        at, h = np.arange(n), np.zeros(n, np.uint64)
+        at, h, reached = np.arange(n), np.zeros(n, np.uint64), 1
         for length in range(1, w + 1):
             fits = room[at] >= length
             at, h = at[fits], h[fits]
@@ -127,37 +139,48 @@ class Lattices:
             ends = found[k] >= 0
             ids[at[ends], length - 1] = found[k[ends]]
             weight[at[ends], length - 1] = p.weight[found[k[ends]]]
+            if ends.any():
+                reached = length
             at, h = at[longer[k]], h[longer[k]]
         for k in np.flatnonzero(np.isneginf(weight[:, 0])).tolist():
             # a character that is no piece goes as its bytes; where these are several, a negative id stands for them at first
             raw = text[k].encode()
             weight[k, 0] = sum(p.weight[p.id_of_byte[b]] for b in raw)
             ids[k, 0] = p.id_of_byte[raw[0]] if len(raw) == 1 else -ord(text[k]) - 1
+        # no piece here is longer
+        w, weight, ids = reached, weight[:, :reached], ids[:, :reached]
         suffix = np.zeros(n + w + 1)
-        joint = np.empty((n, w))
+        # nodes by their distance from the unit's end: what lies after them is known by then
         order = np.argsort(room, kind="stable")
         bounds = np.searchsorted(room[order], np.arange(1, int(room.max()) + 2))
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            nodes = order[a:b]
-            after = suffix[nodes[:, None] + np.arange(1, w + 1)]
-            # the node at a unit's end is the next unit's first: its own suffix is no part of this unit
-            after[np.arange(1, w + 1) == room[nodes][:, None]] = 0
-            joint[nodes] = weight[nodes] + after
-            top = joint[nodes].max(1)
-            suffix[nodes] = top + np.log(np.exp(joint[nodes] - top[:, None]).sum(1))
-        logp = joint - suffix[:n, None]
-        logp = logp.astype(np.float32)
-        cdf = np.cumsum(np.exp(logp), axis=1)
+        weight = weight[order]
+        logp, cdf = np.full((n, w), -np.inf, np.float32), np.zeros((n, w), np.float32)
+        for distance, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True), 1):
+            nodes, m = order[a:b], min(distance, w)
+            after = suffix[nodes[:, None] + np.arange(1, m + 1)]
+            if distance <= m:
+                after[:, distance - 1] = 0  # the node there is the next unit's first
+            joint = weight[a:b, :m] + after
+            top = joint.max(1, keepdims=True)
+            mass = np.exp((joint - top).astype(np.float32))
+            total = mass.sum(1, keepdims=True, dtype=np.float64)
+            end = top + np.log(total)
+            suffix[nodes] = end[:, 0]
+            logp[a:b, :m] = joint - end
+            cdf[a:b, :m] = np.cumsum(mass / total, axis=1)
+            cdf[a:b, m:] = 2
         last = w - 1 - np.argmax((weight > -np.inf)[:, ::-1], axis=1)
         cdf[np.arange(w) >= last[:, None]] = 2
-        base, first = len(self.cdf), len(self.start)
+        back = np.empty(n, np.int64)
+        back[order] = np.arange(n)
+        logp, cdf = logp[back], cdf[back]
+        self._room(len(units), n)
+        base, first = self.nodes, self.units
         self.known.update(zip(units, range(first, first + len(units)), strict=True))
-        self.start = np.concatenate([self.start, stops - sizes + base])
-        self.stop = np.concatenate([self.stop, stops + base])
-        self.total = np.concatenate([self.total, suffix[stops - sizes]])
-        self.cdf = np.concatenate([self.cdf, cdf])
-        self.logp = np.concatenate([self.logp, logp])
-        self.ids = np.concatenate([self.ids, ids])
+        self.nodes, self.units = base + n, first + len(units)
+        self.start[first : self.units], self.stop[first : self.units] = stops - sizes + base, stops + base
+        self.cdf[base : self.nodes, :w], self.logp[base : self.nodes, :w], self.ids[base : self.nodes, :w] = cdf, logp, ids
+        self.cdf[base : self.nodes, w:], self.logp[base : self.nodes, w:] = 2, -np.inf
 
     def walk(self, nodes: np.ndarray, stops: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One path through each lattice from its node on, drawn by the keys: all nodes passed, the edges taken, the walks' ends in them."""
@@ -339,6 +362,12 @@ class Sampler:
         return out
 
 
+@lru_cache(maxsize=2)
+def sampler(model: str, samples: int, sharpness: float, seed: int) -> Sampler:
+    """One for all tasks of a worker: the model is read once, and lattices stay known."""
+    return Sampler(model, samples, sharpness, seed)
+
+
 OUT = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_hash string, round_trip boolean"
 
 
@@ -359,16 +388,16 @@ def sample_segmentations(docs: DataFrame, samples: int = SAMPLES, sharpness: flo
     out = OUT + ", ids array<int>" * return_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(model, samples, sharpness, seed)
+        own = sampler(model, samples, sharpness, seed)
         for batch in batches:
-            for part in _portions(batch):
+            for part in portions(batch, 1, 400_000):
                 rows: list[tuple] = []
                 keys, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                for key, text, found in zip(keys, texts, sampler.sample(keys, texts), strict=True):
+                for key, text, found in zip(keys, texts, own.sample(keys, texts), strict=True):
                     whole = text.replace(SPACE, " ").encode()
                     for k, (ids, logp, value, inclusion) in enumerate(found):
                         ids = ids.astype("<i4")
-                        row = (key, k + 1, len(ids), logp, value, inclusion, f"{xxhash.xxh64_intdigest(ids.tobytes()):016x}", sampler.pieces.decode(ids) == whole)
+                        row = (key, k + 1, len(ids), logp, value, inclusion, f"{xxhash.xxh64_intdigest(ids.tobytes()):016x}", own.pieces.decode(ids) == whole)
                         rows.append(row + ((ids,) if return_ids else ()))
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_()] + [pa.list_(pa.int32())] * return_ids
                 columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
@@ -378,11 +407,3 @@ def sample_segmentations(docs: DataFrame, samples: int = SAMPLES, sharpness: flo
     rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     return rows.mapInArrow(run, out)
 
-
-def _portions(batch: pa.RecordBatch, most: int = 400_000) -> Iterator[pa.RecordBatch]:
-    """Slices of about so many characters."""
-    sizes = np.fromiter((len(t) for t in batch.column(1).to_pylist()), np.int64, batch.num_rows)
-    groups = (np.cumsum(sizes) - sizes) // most
-    bounds = np.flatnonzero(np.diff(groups, prepend=-1)).tolist() + [batch.num_rows]
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        yield batch.slice(a, b - a)
