@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from daybook.llm.common import table, written
 from daybook.llm.line_dedup import line_dedup
 from daybook.llm.mixing import resampled, soft_mix
+from daybook.llm.near_copies import near_groups
 from daybook.llm.sentencepiece_sampling import sample_segmentations
-from daybook.llm.simhash import simhash_groups
 from daybook.llm.toxicity import toxicity
 
 #: Target shares of tokens; a domain is the language of a document, or "junk" where its quality label is 0.
@@ -30,8 +30,8 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
-    kept = simhash_groups(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
+    """Of each group of near copies (Jaccard similarity of five-word shingles >= 0.8) the document with the smallest doc_id stays."""
+    kept = near_groups(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
     return docs.join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
 
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from daybook.llm import exact_dedup, fingerprint, graph, license_scan, line_dedup, lm_scoring, mixing, sentencepiece_sampling, simhash, token_counts, toxicity
+from daybook.llm import exact_dedup, fingerprint, graph, license_scan, line_dedup, lm_scoring, mixing, near_copies, sentencepiece_sampling, simhash, token_counts, toxicity
 from daybook.llm import queries as registered
 from daybook.llm.common import LOWER_AZ
 
@@ -135,6 +135,35 @@ def test_thresholds_sum_to_the_pigeonhole_bound():
     assert sum(t) == 4 - 4 + 1 and min(t) >= -1
 
 
+# ---- near copies by shingles
+
+
+def test_near_copies_are_the_groups_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "DENSE", 0)  # so that there is a round of leaders
+    monkeypatch.setattr(near_copies, "ROUNDS", 1)
+    rng = random.Random(11)
+    made = list(texts())
+    for _ in range(25):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(20, 200))]
+        made.append(" ".join(words))
+        for _ in range(rng.randrange(8)):
+            near = list(words)
+            for _ in range(rng.randrange(1, max(2, len(words) // 25))):
+                near[rng.randrange(len(near))] = f"x{rng.randrange(10**6)}"
+            made.append(" ".join(near))
+    passage = " ".join(f"p{k}" for k in range(30))
+    made += [f"{passage} " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(60)) for _ in range(30)]
+    rng.shuffle(made)
+    sets = {}
+    for k, t in enumerate(made):
+        words = low(t).split()
+        sets[k] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    expected = reachable(list(sets), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["simhash"]
+    assert {r.doc_id for r in stage(spark, docs, "").collect()} == {k for k, v in expected.items() if k == v}
+
+
 # ---- lines
 
 
