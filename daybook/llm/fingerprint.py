@@ -17,8 +17,6 @@ from daybook.llm.common import whole_text
 
 #: Bytes of a window; windows among which the rarest is chosen; how often a window must be chosen.
 WINDOW, NEIGHBOURS, POPULAR = 64, 64, 16
-#: Texts below so many bytes take every window that is the rarest of so few, else they would have hardly a feature.
-SHORT, SHORT_NEIGHBOURS = 1024, 16
 #: Classes of entropy; bits of a filter; bits set by a feature; features of a filter.
 CLASSES, FILTER_BITS, HASHES, FEATURES = 256, 2048, 5, 128
 #: Documents of one group of consecutive documents, about; bytes that one numpy pass takes, about.
@@ -102,6 +100,14 @@ def _hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _standing_out(score: np.ndarray) -> np.ndarray:
+    """The places in one text of the windows that are chosen often enough when rows of NEIGHBOURS cut off by its ends count too."""
+    edge = np.full(NEIGHBOURS - 1, np.iinfo(np.int64).max)
+    padded = np.concatenate([edge, score, edge])
+    best = np.lib.stride_tricks.sliding_window_view(padded, NEIGHBOURS).argmin(1) + np.arange(len(score) + NEIGHBOURS - 1) - len(edge)
+    return np.flatnonzero(np.bincount(best, minlength=len(score)) >= POPULAR)
+
+
 def _wins(score: np.ndarray, inside: np.ndarray, among: int) -> np.ndarray:
     """How often each window is the leftmost rarest of `among` windows in a row, all in one text."""
     low, span = score, 1
@@ -115,7 +121,11 @@ def _wins(score: np.ndarray, inside: np.ndarray, among: int) -> np.ndarray:
 
 
 def features(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
-    """Hashes of each text's selected windows, in order. A text shorter than a window is one feature; an empty one has none."""
+    """Hashes of each text's selected windows, in order. A text shorter than a window is one feature; an empty one has none.
+
+    Where no window stands out among whole neighbourhoods, those that the text's ends cut off count too. They can but add
+    windows, so a short text shares the features of a slightly longer one, and the rule is the same at every size.
+    """
     out: list[np.ndarray] = []
     for data, first, ends in _passes(texts):
         starts = np.concatenate([[0], ends[:-1]])
@@ -125,16 +135,16 @@ def features(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
             n = len(classes)
             inside = _whole(n, ends)
             score = np.where(inside, rank[classes], CLASSES).astype(np.int64) << 32 | np.arange(n)
-            text_bytes = np.repeat(ends - starts, ends - starts)[:n]
-            few = _wins(score, inside, SHORT_NEIGHBOURS) >= 1
-            many = _wins(score, inside, NEIGHBOURS) >= POPULAR
-            chosen = np.flatnonzero(np.where(text_bytes < SHORT, few, many))
+            chosen = np.flatnonzero(_wins(score, inside, NEIGHBOURS) >= POPULAR)
+            none = (np.searchsorted(chosen, starts) == np.searchsorted(chosen, ends)) & (ends - starts >= WINDOW)
+            more = [a + _standing_out(score[a : b - WINDOW + 1]) for a, b in zip(starts[none], ends[none], strict=True)]
+            chosen = np.sort(np.concatenate([chosen, *more]))
         hashes = _hashes(data, chosen)
         lo, hi = np.searchsorted(chosen, starts), np.searchsorted(chosen, ends)
         for k, (a, b) in enumerate(zip(lo, hi, strict=True)):
             if a < b:
                 out.append(hashes[a:b])
-            elif starts[k] < ends[k]:  # no window stands out: the whole text is the feature
+            elif starts[k] < ends[k]:  # not even one window: the whole text is the feature
                 out.append(np.array([int.from_bytes(hashlib.blake2b(texts[first + k], digest_size=8).digest(), "little")], np.uint64))
             else:
                 out.append(np.zeros(0, np.uint64))

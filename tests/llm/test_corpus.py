@@ -243,6 +243,20 @@ def test_entropy_and_selection_follow_their_definition():
     assert len(alone) == sum(n >= 16 for n in wins.values())
 
 
+def test_features_of_a_text_do_not_depend_on_its_size():
+    rng = random.Random(6)
+    data = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(300)).encode()
+    rank = fingerprint.rarity(fingerprint.class_counts([data]))
+    for a, b in ((1023, 1025), (141, 145), (300, 302)):
+        first, second = (fingerprint.features([data[:n]], rank)[0] for n in (a, b))
+        assert abs(len(first) - len(second)) <= 2 and set(first) & set(second)
+        assert a < 1000 or fingerprint.likeness(fingerprint.digest(first), fingerprint.digest(second)) > 0.8
+    for n in (64, 100, 126, 127, 141):  # each window of the text is found alone as among others
+        alone = fingerprint.features([data[:n]], rank)[0]
+        assert len(alone) and all(np.array_equal(alone, f) for f in fingerprint.features([b"x" * 200, data[:n], b"", data[:n]], rank)[1::2])
+        assert len(alone) <= n - 63
+
+
 # ---- token counts
 
 
