@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from daybook import registry
 from daybook.functions import models, textops, timeutil, vectors
 from daybook.operators import buffer, chunks, context, dates, digests, logs, search, segmentation, summaries, telemetry, transcription
 from daybook.plans import summarize
@@ -308,3 +309,17 @@ def test_all_rows_of_one_owner(spark):
     rows = spark.createDataFrame([("hot", "2026-09-29", k, at(0, 0) + k * 20_000, at(0, 0) + k * 20_000 + 9000, "слово дело тело") for k in range(3000)], "owner_id string, day string, id long, start_ms long, end_ms long, text string")
     got = chunks.chunk_transcripts(rows, MSK).collect()
     assert sum(len(r.text.split("\n")) for r in got) == 3000
+
+
+def test_vector_search_asks_every_fiftieth_row(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_BYTES", 2048)  # so that the questions go in several blocks
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float32)
+    scale = (np.abs(v).max(1).astype(np.float64) / 127).astype(np.float32)[:, None]
+    q = np.clip(np.floor((v / scale).astype(np.float64) + 0.5), -127, 127)
+    chunk = np.flatnonzero(ids % 17 != 0)
+    expected = set()
+    for k in np.flatnonzero(ids % 50 == 0):
+        score = np.round(q[chunk] @ v[k].astype(np.float64) * scale[chunk, 0].astype(np.float64), 6)
+        expected |= {(int(ids[k]), int(ids[chunk[c]]), rank) for rank, c in enumerate(np.lexsort((ids[chunk], -score))[:30], 1)}
+    assert {(r.qid, r.chunk_id, r["rank"]) for r in registry.vector_search(spark, sf_dir).collect()} == expected
