@@ -397,7 +397,7 @@ f AS (SELECT qid, list_no, id, min(pos) AS pos FROM l GROUP BY ALL), r AS (SELEC
 s AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score, min(struct_pack(list_no := list_no, r := r)) AS seen FROM r GROUP BY qid, id)
 SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen, id) AS INT) AS rank FROM s""")
 def fuse_rrf(spark: SparkSession, sf: str) -> DataFrame:
-    lists = fixtures.read(spark, sf, "events").filter("user_id < 200").select(F.col("user_id").alias("qid"), (F.col("event_id") % 3).alias("list_no"), F.col("event_id").alias("pos"), (F.floor("value").cast("long") % 50).alias("id"))
+    lists = fixtures.read(spark, sf, "events").select(F.col("user_id").alias("qid"), (F.col("event_id") % 3).alias("list_no"), F.col("event_id").alias("pos"), (F.floor("value").cast("long") % 50).alias("id"))
     return search.fuse_rrf(lists)
 
 

@@ -323,3 +323,19 @@ def test_vector_search_asks_every_fiftieth_row(spark, sf_dir, monkeypatch):
         score = np.round(q[chunk] @ v[k].astype(np.float64) * scale[chunk, 0].astype(np.float64), 6)
         expected |= {(int(ids[k]), int(ids[chunk[c]]), rank) for rank, c in enumerate(np.lexsort((ids[chunk], -score))[:30], 1)}
     assert {(r.qid, r.chunk_id, r["rank"]) for r in registry.vector_search(spark, sf_dir).collect()} == expected
+
+
+def test_fuse_rrf_takes_all_users(spark, tmp_path):
+    events = [(k, 150 + k * 7 % 120, float(k * 13 % 90)) for k in range(900)]
+    spark.createDataFrame(events, "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    lists = {}
+    for k, user, value in events:
+        seen = lists.setdefault((user, k % 3), [])
+        if int(value) % 50 not in seen:
+            seen.append(int(value) % 50)
+    expected = {}
+    for (user, _), seen in lists.items():
+        for rank, i in enumerate(seen, 1):
+            expected[user, i] = expected.get((user, i), 0) + 1 / (60 + rank)
+    got = {(r.qid, r.id): r.score for r in registry.fuse_rrf(spark, str(tmp_path)).collect()}
+    assert got == {k: pytest.approx(s, abs=1e-8) for k, s in expected.items()} and max(got)[0] > 200
