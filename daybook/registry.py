@@ -614,7 +614,7 @@ def seal_and_open_segments(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {T} SELECT owner_id, id, trim(left(text, 40), E' \\n') AS text, CAST(length(text) AS BIGINT) AS took_ms FROM t")
 def transcribe(spark: SparkSession, sf: str) -> DataFrame:
     def hear(payload: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"text": payload.str.slice(0, 40), "lang": "", "took_ms": payload.str.len()})
+        return pd.DataFrame({"text": payload, "lang": "", "took_ms": payload.str.len()})
 
     rows = _files(spark, sf).withColumn("payload", F.col("text")).drop("text")
     return transcription.transcribe(rows, hear).select("owner_id", "id", "text", "took_ms")
@@ -622,7 +622,7 @@ def transcribe(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {T} SELECT owner_id, start_ms, strftime(make_timestamp((start_ms + 10800000) * 1000), '%Y-%m-%d') AS day, trim(left(text, 30), E' \\n') AS text, {NOW_MS} AS created_ms FROM t WHERE id % 5 <> 0")
 def to_transcripts(spark: SparkSession, sf: str) -> DataFrame:
-    results = _files(spark, sf).select("owner_id", "start_ms", "end_ms", F.when(F.col("id") % 5 == 0, "   ").otherwise(F.substring("text", 1, 30)).alias("text"), F.lit("").alias("lang"))
+    results = _files(spark, sf).select("owner_id", "start_ms", "end_ms", F.when(F.col("id") % 5 == 0, "   ").otherwise(F.col("text")).alias("text"), F.lit("").alias("lang"))
     return transcription.to_transcripts(results, MSK, "asr", NOW_MS).select("owner_id", "start_ms", "day", "text", "created_ms")
 
 

@@ -339,3 +339,11 @@ def test_fuse_rrf_takes_all_users(spark, tmp_path):
             expected[user, i] = expected.get((user, i), 0) + 1 / (60 + rank)
     got = {(r.qid, r.id): r.score for r in registry.fuse_rrf(spark, str(tmp_path)).collect()}
     assert got == {k: pytest.approx(s, abs=1e-8) for k, s in expected.items()} and max(got)[0] > 200
+
+
+def test_transcription_queries_keep_whole_texts(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()
+    whole = {r.conv_id * 100 + r.turn: r.text.strip() for r in turns}
+    assert max(map(len, whole.values())) > 40
+    assert {r.id: r.text for r in registry.transcribe(spark, sf_dir).collect()} == whole
+    assert sorted(r.text for r in registry.to_transcripts(spark, sf_dir).collect()) == sorted(t for k, t in whole.items() if k % 5)
