@@ -20,8 +20,8 @@ from daybook.llm.common import portions, whole_text
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segmentations of a document; how much sharper than the pieces' weights the distribution is; the row keys' seed.
 SAMPLES, SHARPNESS, SEED = 2, 1.0, 1
-#: Lattices of so many units are remembered by a worker; steps of a path whose siblings wait one by one, the later ones as one set.
-REMEMBERED, EARLY = 160_000, 48
+#: Nodes of lattices that a worker remembers; steps of a path whose siblings wait one by one, the later ones as one set.
+REMEMBERED, EARLY = 2_500_000, 48
 SPACE = "▁"
 #: Units: no piece crosses from other characters to a space mark, and none holds a line break.
 UNITS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
@@ -51,11 +51,10 @@ class Pieces:
         ranked = sorted(plain, key=lambda k: (-model.get_score(k), k))
         self.weight = np.full(n, -np.log(len(plain) + 3.0) * sharpness)
         self.weight[ranked] = -np.log(np.arange(len(ranked)) + 3.0) * sharpness
-        self.longest = max(map(lambda k: len(names[k]), plain))
         self.raw = [bytes([self.byte_of[k]]) if k in self.byte_of else names[k].replace(SPACE, " ").encode() for k in range(n)]
-        self.single = {names[k] for k in plain if len(names[k]) == 1}
+        self.weight_of_plain = np.append(np.exp(self.weight), 0.0)  # -1, no piece, weighs nothing
         # of each length: hashes of all beginnings of pieces, the piece that ends there or -1, whether a longer one begins so
-        beginnings: list[dict[str, list]] = [{} for _ in range(self.longest)]
+        beginnings: list[dict[str, list]] = [{} for _ in range(max(len(names[k]) for k in plain))]
         for k in plain:
             for length in range(1, len(names[k]) + 1):
                 entry = beginnings[length - 1].setdefault(names[k][:length], [-1, False])
@@ -76,6 +75,11 @@ class Pieces:
         with np.errstate(over="ignore"):
             return (h ^ (code + np.uint64(1))) * np.uint64(0x100000001B3) + (h >> np.uint64(31))
 
+    def as_bytes(self, c: str) -> tuple[int, float]:
+        """A character that is no piece goes as its bytes; where these are several, a negative id stands for them at first."""
+        raw = c.encode()
+        return self.id_of_byte[raw[0]] if len(raw) == 1 else -ord(c) - 1, float(np.exp(sum(self.weight[self.id_of_byte[b]] for b in raw)))
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of the pieces, without the space that encoding puts before it."""
         raw = self.raw
@@ -83,145 +87,155 @@ class Pieces:
 
 
 class Lattices:
-    """Lattices of units, side by side: of each node (a character of a unit) the distribution of the next piece's length."""
+    """Lattices of units, side by side: a node for each character, its edges the pieces that begin there, the longest first.
+
+    Of an edge: the share of the node's mass up to it, its log probability, its piece, and the node it leads to (-1 at the end).
+    """
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
+        self.weight = pieces.weight_of_plain
+        self.first = np.zeros(1 << 18, np.int64)
+        self.cum, self.logp, self.ids, self.next = np.zeros(1 << 19), np.zeros(1 << 19), np.zeros(1 << 19, np.int32), np.zeros(1 << 19, np.int32)
         self.reset()
 
     def reset(self) -> None:
-        w = self.pieces.longest
         self.known: dict[str, int] = {}
-        self.nodes = self.units = 0
-        if not hasattr(self, "cdf"):
-            # zeros take memory only once they are written to
-            self.start, self.stop = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
-            self.cdf, self.logp = np.zeros((1 << 21, w), np.float32), np.zeros((1 << 21, w), np.float32)
-            self.ids = np.zeros((1 << 21, w), np.int32)
-
-    def _room(self, units: int, nodes: int) -> None:
+        self.nodes = self.edges = 0
+
+    def _room(self, nodes: int, edges: int) -> None:
         """Arrays double when they are full, so adding a few units doesn't copy all."""
-        while self.units + units > len(self.start):
-            self.start, self.stop = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.stop))
-        while self.nodes + nodes > len(self.cdf):
-            self.cdf, self.logp, self.ids = (np.concatenate([x, np.zeros_like(x)]) for x in (self.cdf, self.logp, self.ids))
+        while nodes >= len(self.first):
+            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+        while edges > len(self.cum):
+            self.cum, self.logp, self.ids, self.next = (np.concatenate([x, np.zeros_like(x)]) for x in (self.cum, self.logp, self.ids, self.next))
 
     def numbers(self, units: list[str]) -> np.ndarray:
-        new = [u for u in dict.fromkeys(units) if u not in self.known]
-        if len(self.known) + len(new) > REMEMBERED and self.known:
+        """The first node of each unit."""
+        if self.nodes > REMEMBERED:
             self.reset()
-            new = list(dict.fromkeys(units))
-        # a few at a time: the work stays in the processor's cache
-        for at in range(0, len(new), 1500):
-            self._add(new[at : at + 1500])
-        return np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
-
-    def _add(self, units: list[str]) -> None:
-        p, w = self.pieces, self.pieces.longest
-        sizes = np.fromiter(map(len, units), np.int64, len(units))
-        stops = np.cumsum(sizes)
-        text = "".join(units)
-        n = len(text)
+        codes = pa.array(units, pa.large_string()).dictionary_encode().indices.to_numpy()
+        firsts = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1)).tolist()
+        distinct = [units[k] for k in firsts]
+        new = sorted((u for u in distinct if u not in self.known), key=len)
+        # some at a time: the work stays in the processor's cache
+        for at in range(0, len(new), 4000):
+            self._add(new[at : at + 4000])
+        return np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[codes]
+
+    def _edges(self, text: str, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By length and place: the piece of that length that begins there, and its weight (0: none)."""
+        p, n = self.pieces, len(text)
         code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-        room = np.repeat(stops, sizes) - np.arange(n)
-        weight, ids = np.full((n, w), -np.inf), np.zeros((n, w), np.int32)
-        at, h, reached = np.arange(n), np.zeros(n, np.uint64), 1
-        for length in range(1, w + 1):
+        pieces, weights = [], []
+        at, h = np.arange(n), np.zeros(n, np.uint64)
+        for length, (hashes, found, longer) in enumerate(p.tables, 1):
             fits = room[at] >= length
             at, h = at[fits], h[fits]
             if not len(at):
                 break
             h = p.fold(h, code[at + length - 1])
-            hashes, found, longer = p.tables[length - 1]
             k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
             begins = hashes[k] == h
             at, h, k = at[begins], h[begins], k[begins]
-            ends = found[k] >= 0
-            ids[at[ends], length - 1] = found[k[ends]]
-            weight[at[ends], length - 1] = p.weight[found[k[ends]]]
-            if ends.any():
-                reached = length
-            at, h = at[longer[k]], h[longer[k]]
-        for k in np.flatnonzero(np.isneginf(weight[:, 0])).tolist():
-            # a character that is no piece goes as its bytes; where these are several, a negative id stands for them at first
-            raw = text[k].encode()
-            weight[k, 0] = sum(p.weight[p.id_of_byte[b]] for b in raw)
-            ids[k, 0] = p.id_of_byte[raw[0]] if len(raw) == 1 else -ord(text[k]) - 1
-        # no piece here is longer
-        w, weight, ids = reached, weight[:, :reached], ids[:, :reached]
-        suffix = np.zeros(n + w + 1)
-        # nodes by their distance from the unit's end: what lies after them is known by then
-        order = np.argsort(room, kind="stable")
-        bounds = np.searchsorted(room[order], np.arange(1, int(room.max()) + 2))
-        weight = weight[order]
-        logp, cdf = np.full((n, w), -np.inf, np.float32), np.zeros((n, w), np.float32)
-        for distance, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True), 1):
-            nodes, m = order[a:b], min(distance, w)
-            after = suffix[nodes[:, None] + np.arange(1, m + 1)]
-            if distance <= m:
-                after[:, distance - 1] = 0  # the node there is the next unit's first
-            joint = weight[a:b, :m] + after
-            top = joint.max(1, keepdims=True)
-            mass = np.exp((joint - top).astype(np.float32))
-            total = mass.sum(1, keepdims=True, dtype=np.float64)
-            end = top + np.log(total)
-            suffix[nodes] = end[:, 0]
-            logp[a:b, :m] = joint - end
-            cdf[a:b, :m] = np.cumsum(mass / total, axis=1)
-            cdf[a:b, m:] = 2
-        last = w - 1 - np.argmax((weight > -np.inf)[:, ::-1], axis=1)
-        cdf[np.arange(w) >= last[:, None]] = 2
-        back = np.empty(n, np.int64)
-        back[order] = np.arange(n)
-        logp, cdf = logp[back], cdf[back]
-        self._room(len(units), n)
-        base, first = self.nodes, self.units
-        self.known.update(zip(units, range(first, first + len(units)), strict=True))
-        self.nodes, self.units = base + n, first + len(units)
-        self.start[first : self.units], self.stop[first : self.units] = stops - sizes + base, stops + base
-        self.cdf[base : self.nodes, :w], self.logp[base : self.nodes, :w], self.ids[base : self.nodes, :w] = cdf, logp, ids
-        self.cdf[base : self.nodes, w:], self.logp[base : self.nodes, w:] = 2, -np.inf
-
-    def walk(self, nodes: np.ndarray, stops: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """One path through each lattice from its node on, drawn by the keys: all nodes passed, the edges taken, the walks' ends in them."""
-        active, now = np.arange(len(nodes)), nodes.copy()
-        taken, step = [], 0
+            piece = found[k]
+            pieces.append(np.zeros(n, np.int32))
+            weights.append(np.zeros(n))
+            pieces[-1][at], weights[-1][at] = piece, self.weight[piece]
+            on = longer[k]
+            at, h = at[on], h[on]
+        for k in np.flatnonzero(weights[0] == 0).tolist():
+            pieces[0][k], weights[0][k] = p.as_bytes(text[k])
+        return np.array(pieces), np.array(weights)
+
+    def _add(self, units: list[str]) -> None:
+        """Units come by length: all of one length are one block."""
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        stops = np.cumsum(sizes)
+        pieces, weights = self._edges("".join(units), np.repeat(stops, sizes) - np.arange(stops[-1]))
+        bounds = np.append(np.flatnonzero(np.diff(sizes, prepend=0)), len(units)).tolist()
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            size, count, here = int(sizes[a]), b - a, slice(int(stops[a] - sizes[a]), int(stops[b - 1]))
+            longest = min(size, len(pieces))
+            # by length (the longest first), place in the unit, unit
+            weight = np.ascontiguousarray(weights[longest - 1 :: -1, here].reshape(longest, count, size).transpose(0, 2, 1))
+            upto = np.empty_like(weight)
+            mass = np.zeros((size + 1, count))
+            mass[size] = 1
+            for k in range(size - 1, -1, -1):
+                m = min(longest, size - k)
+                each = weight[longest - m :, k]
+                each *= mass[k + m : k : -1]
+                sums = np.cumsum(each, axis=0)
+                mass[k] = sums[-1]
+                each /= sums[-1]
+                weight[: longest - m, k] = upto[: longest - m, k] = 0
+                upto[longest - m :, k] = sums / sums[-1]
+                if mass[k].min() < 1e-150:
+                    # only ratios within a unit count
+                    mass[k : k + longest] *= np.where(mass[k] < 1e-150, 1e150, 1)
+            share = weight.transpose(2, 1, 0).reshape(count * size, longest)
+            row, col = np.nonzero(share)
+            heads = np.searchsorted(row, np.arange(count * size + 1))
+            length = longest - col
+            self._room(self.nodes + count * size, self.edges + len(row))
+            edges = slice(self.edges, self.edges + len(row))
+            cum = upto.transpose(2, 1, 0).reshape(count * size, longest)[row, col]
+            cum[heads[1:] - 1] = 2
+            self.cum[edges] = cum
+            self.logp[edges] = np.log(share[row, col])
+            self.ids[edges] = pieces[:longest, here][length - 1, row]
+            self.next[edges] = np.where(row % size + length < size, self.nodes + row + length, -1)
+            self.first[self.nodes : self.nodes + count * size + 1] = self.edges + heads
+            self.known.update(zip(units[a:b], range(self.nodes, self.nodes + count * size, size), strict=True))
+            self.nodes, self.edges = self.nodes + count * size, self.edges + len(row)
+
+    def walk(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One path from each node to the end of its unit, drawn by the keys: all edges taken, and where each walk ends in them."""
+        active, now = np.arange(len(nodes)), nodes
+        taken, count, step = [], np.zeros(len(nodes), np.int64), 0
         while len(active):
-            at = now[active]
-            edge = (uniform(keys[active], step)[:, None] > self.cdf[at]).sum(1)
-            taken.append((active, at, edge))
-            now[active] += edge + 1
-            active = active[now[active] < stops[active]]
-            step += 1
-        count = np.zeros(len(nodes), np.int64)
-        for who, _, _ in taken:
-            count[who] += 1
+            u = uniform(keys, step)
+            edge = self.first[now]
+            beyond = np.flatnonzero(u >= self.cum[edge])
+            while len(beyond):
+                edge[beyond] += 1
+                beyond = beyond[u[beyond] >= self.cum[edge[beyond]]]
+            taken.append((active, edge))
+            count[active] += 1
+            now = self.next[edge]
+            on = now >= 0
+            active, now, keys, step = active[on], now[on], keys[on], step + 1
         ends = np.cumsum(count)
-        passed, edges = np.empty(int(count.sum()), np.int64), np.empty(int(count.sum()), np.int64)
-        for step, (who, at, edge) in enumerate(taken):
-            place = ends[who] - count[who] + step
-            passed[place], edges[place] = at, edge
-        return passed, edges, ends
+        edges, starts = np.empty(int(count.sum()), np.int64), ends - count
+        for step, (who, edge) in enumerate(taken):
+            edges[starts[who] + step] = edge
+        return edges, ends
 
 
 @dataclass
 class Path:
-    """A segmentation: nodes passed, edges taken, and the unit each step is in."""
+    """A segmentation: the edges taken, and the unit each of them is in."""
 
-    nodes: np.ndarray
     edges: np.ndarray
     units: np.ndarray
     value: float
 
 
-def _truncated(mass: float | np.ndarray, limit: float, u: float | np.ndarray) -> float | np.ndarray:
+def _truncated(mass: float | np.ndarray, limit: float | np.ndarray, u: float | np.ndarray) -> float | np.ndarray:
     """A Gumbel value of a set with this log mass, given that it is below the limit."""
     return -np.logaddexp(-limit, np.log(-np.log(u)) - mass)
 
 
+def _left(logq: np.ndarray) -> np.ndarray:
+    """Log of the share that an edge of log probability logq leaves to the others."""
+    with np.errstate(divide="ignore"):
+        return np.log(-np.expm1(np.minimum(logq, 0)))
+
+
 @dataclass
 class _Doc:
-    units: np.ndarray  # numbers of its units
+    units: np.ndarray  # first nodes of its units
     key: np.uint64
     agenda: list
     paths: list
@@ -234,34 +248,40 @@ class Sampler:
         self.lattices = Lattices(self.pieces)
         self.samples, self.seed = samples, seed
 
-    def _waits(self, doc: _Doc, path: Path, first: int, prefix: float) -> None:
-        """Puts the sets of segmentations that leave `path` at step `first` or later on the agenda; prefix: log mass of its beginning."""
-        logq = self.lattices.logp[path.nodes[first:], path.edges[first:]].astype(np.float64)
-        before = prefix + np.concatenate([[0.0], np.cumsum(logq)])
-        n = min(len(logq), EARLY)
-        with np.errstate(divide="ignore"):
-            masses = before[:n] + np.log(-np.expm1(np.minimum(logq[:n], 0)))
-            rest = before[n] + np.log(-np.expm1(min(0.0, before[-1] - before[n]))) if len(logq) > n else -np.inf
-        self._push_best(doc, np.append(masses, rest), before, path, first, path.value, n)
-
-    def _push_best(self, doc: _Doc, masses: np.ndarray, before: np.ndarray, path: Path, first: int, limit: float, late: int) -> None:
+    def _waits(self, begun: list[tuple[_Doc, Path, int, float]]) -> None:
+        """For each (document, path, first, log mass of the path before it): the sets of segmentations that leave the path at step first or later go on the agenda."""
+        logq = np.zeros((len(begun), EARLY))
+        rest = np.zeros(len(begun))
+        for k, (_, path, first, _) in enumerate(begun):
+            q = self.lattices.logp[path.edges[first:]]
+            logq[k, : len(q)] = q[:EARLY]
+            rest[k] = q[EARLY:].sum()
+        before = np.cumsum(np.concatenate([np.array([[b[3]] for b in begun]), logq], axis=1), axis=1)
+        # columns: each early step, then all later ones together
+        masses = before + _left(np.concatenate([logq, rest[:, None]], axis=1))
+        keys = np.array([d.key for d, _, _, _ in begun])
+        drawn = np.array([d.drawn for d, _, _, _ in begun], np.uint64)
+        with np.errstate(over="ignore"):
+            keys = keys[:, None] + (drawn[:, None] + np.arange(EARLY + 1, dtype=np.uint64)) * _STRIDE
+        values = self._values(masses, np.array([p.value for _, p, _, _ in begun])[:, None], uniform(keys, 1 << 40))
+        for k, (doc, path, first, _) in enumerate(begun):
+            self._push_best(doc, values[k], masses[k], before[k], path, first, EARLY)
+
+    @staticmethod
+    def _values(masses: np.ndarray, limit: float | np.ndarray, u: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(np.isfinite(masses), _truncated(masses, limit, u), -np.inf)
+
+    def _push_best(self, doc: _Doc, values: np.ndarray, masses: np.ndarray, before: np.ndarray, path: Path, first: int, late: int) -> None:
         """Sets that leave `path` at step first, first + 1, ..; no more than are still to be taken, and one for the best value left out, can come up."""
-        n = len(masses)
-        u = uniform(np.full(1, doc.key) + np.arange(doc.drawn, doc.drawn + n, dtype=np.uint64) * _STRIDE, 1 << 40)
-        with np.errstate(divide="ignore"):
-            values = np.where(np.isfinite(masses), _truncated(masses, limit, u), -np.inf)
-        for k in np.argsort(-values)[: self.samples - len(doc.paths) + 1].tolist():
+        for k in np.argsort(-values, kind="stable")[: self.samples - len(doc.paths) + 1].tolist():
             if np.isfinite(values[k]):
-                heapq.heappush(doc.agenda, (-float(values[k]), doc.drawn + k, float(masses[k]), path, first + k, k == late, {int(path.edges[first + k])}, float(before[k])))
-        doc.drawn += n
-
-    def _push(self, doc: _Doc, mass: float, path: Path, step: int, late: bool, out: set[int], limit: float, prefix_mass: float) -> None:
-        doc.drawn += 1
-        value = float(_truncated(mass, limit, uniform(np.array([doc.key]), (1 << 40) + doc.drawn)[0]))
-        heapq.heappush(doc.agenda, (-value, doc.drawn, mass, path, step, late, out, prefix_mass))
+                heapq.heappush(doc.agenda, (-float(values[k]), doc.drawn + k, float(masses[k]), path, first + k, k == late, (), float(before[k])))
+        doc.drawn += len(values)
 
     def _branch(self, doc: _Doc) -> tuple[Path, int, int, float, float] | None:
         """Takes the best set off the agenda: the path it leaves, the step, the edge drawn instead, the value, the log mass of the prefix with it."""
+        lat = self.lattices
         while doc.agenda:
             value, _, mass, path, step, late, out, prefix = heapq.heappop(doc.agenda)
             value = -value
@@ -269,92 +289,90 @@ class Sampler:
             u = uniform(np.array([doc.key]), (1 << 41) + doc.drawn)[0]
             if late:
                 # one of the later steps, by its mass; the others wait one by one, below this value
-                logq = self.lattices.logp[path.nodes[step:], path.edges[step:]].astype(np.float64)
+                logq = lat.logp[path.edges[step:]]
                 before = prefix + np.concatenate([[0.0], np.cumsum(logq)[:-1]])
-                with np.errstate(divide="ignore"):
-                    masses = before + np.log(-np.expm1(np.minimum(logq, 0)))
+                masses = before + _left(logq)
                 p = np.exp(masses - masses.max())
-                chosen = int(np.searchsorted(np.cumsum(p), u * p.sum()))
+                chosen = min(int(np.searchsorted(np.cumsum(p), u * p.sum())), len(p) - 1)
                 masses[chosen] = -np.inf
-                self._push_best(doc, masses, before, path, step, value, -1)
-                step, out, prefix = step + chosen, {int(path.edges[step + chosen])}, float(before[chosen])
+                with np.errstate(over="ignore"):
+                    keys = doc.key + (np.uint64(doc.drawn) + np.arange(len(masses), dtype=np.uint64)) * _STRIDE
+                self._push_best(doc, self._values(masses, value, uniform(keys, 1 << 40)), masses, before, path, step, -1)
+                step, prefix = step + chosen, float(before[chosen])
                 doc.drawn += 1
                 u = uniform(np.array([doc.key]), (1 << 41) + doc.drawn)[0]
-            p = np.exp(self.lattices.logp[path.nodes[step]].astype(np.float64))
-            p[list(out)] = 0
+            taken = int(path.edges[step])
+            node = int(np.searchsorted(lat.first[: lat.nodes + 1], taken, side="right")) - 1
+            a, b = int(lat.first[node]), int(lat.first[node + 1])
+            p = np.exp(lat.logp[a:b])
+            out = {taken, *out}
+            p[[e - a for e in out]] = 0
             if p.sum() <= 0:
                 continue
-            edge = int(np.searchsorted(np.cumsum(p), u * p.sum()))
-            left = p.sum() - p[edge]
-            if left > 0 and np.any(np.delete(p, edge) > 0):
-                self._push(doc, prefix + float(np.log(left)), path, step, False, out | {edge}, value, prefix)
-            return path, step, edge, value, prefix + float(self.lattices.logp[path.nodes[step], edge])
+            k = min(int(np.searchsorted(np.cumsum(p), u * p.sum())), int(np.flatnonzero(p)[-1]))
+            left = p.sum() - p[k]
+            if left > 0 and np.any(np.delete(p, k) > 0):
+                doc.drawn += 1
+                more = prefix + float(np.log(left))
+                again = float(_truncated(more, value, uniform(np.array([doc.key]), (1 << 40) + doc.drawn)[0]))
+                heapq.heappush(doc.agenda, (-again, doc.drawn, more, path, step, False, tuple(out | {a + k}), prefix))
+            return path, step, a + k, value, prefix + float(lat.logp[a + k])
         return None
 
     def sample(self, keys: list[int], texts: list[str]) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """Of each text up to `samples` different segmentations, best perturbed value first: ids, log probability, perturbed value, log inclusion score."""
         split = [UNITS.findall((" " + t).replace(" ", SPACE)) if t else [] for t in texts]
-        lat = self.lattices
-        numbers = lat.numbers([u for units in split for u in units])
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        ends = np.cumsum(sizes)
-        docs = [_Doc(numbers[e - s : e], np.uint64(xxhash.xxh64_intdigest(f"{self.seed}:{k}".encode())), [], []) for k, s, e in zip(keys, sizes, ends, strict=True)]
+        numbers = self.lattices.numbers([u for units in split for u in units])
+        ends = np.cumsum([0, *map(len, split)])
+        docs = [_Doc(numbers[a:b], np.uint64(xxhash.xxh64_intdigest(f"{self.seed}:{k}".encode())), [], []) for k, a, b in zip(keys, ends[:-1], ends[1:], strict=True)]
         # the whole set of segmentations first; then, again and again, the best set that no earlier one has used up
         begun = [(d, None, 0, 0, float(-np.log(-np.log(uniform(np.array([d.key]), 1 << 39)[0]))), 0.0) for d in docs]
         for turn in range(self.samples):
             if turn:
                 begun = [(d, *b) for d in docs if len(d.paths) == turn and (b := self._branch(d))]
-            self._finish(begun, turn)
+            if begun:
+                self._finish(begun, turn)
         return [self._results(d) for d in docs]
 
     def _finish(self, begun: list, turn: int) -> None:
         """Draws the rest of every path that was begun, all documents at once."""
         lat = self.lattices
-        nodes, stops, keys, bounds = [], [], [], [0]
+        nodes, keys, bounds, at = [], [], [0], np.arange(max(len(b[0].units) for b in begun))
         for doc, path, step, edge, _, _ in begun:
-            if path is None:
-                u = np.arange(len(doc.units))
-                start = lat.start[doc.units]
-            else:
-                unit = int(path.units[step])
-                here = path.nodes[step] + edge + 1
-                u = np.arange(unit, len(doc.units))
-                start = lat.start[doc.units[unit:]].copy()
-                start[0] = here
-                if here >= lat.stop[doc.units[unit]]:
-                    u, start = u[1:], start[1:]
+            unit = 0
+            start = doc.units
+            if path is not None:
+                unit, here = int(path.units[step]), int(lat.next[edge])
+                unit, start = (unit, np.append(here, start[unit + 1 :])) if here >= 0 else (unit + 1, start[unit + 1 :])
             nodes.append(start)
-            stops.append(lat.stop[doc.units[u]])
             with np.errstate(over="ignore"):
-                keys.append(doc.key + (u.astype(np.uint64) + np.uint64((turn + 1) << 36)) * _STRIDE)
-            bounds.append(bounds[-1] + len(u))
-        if not begun:
-            return
-        passed, edges, ends = lat.walk(np.concatenate(nodes), np.concatenate(stops), np.concatenate(keys))
+                keys.append(doc.key + (at[unit : len(doc.units)].astype(np.uint64) + np.uint64((turn + 1) << 36)) * _STRIDE)
+            bounds.append(bounds[-1] + len(start))
+        edges, ends = lat.walk(np.concatenate(nodes), np.concatenate(keys))
         ends = np.concatenate([[0], ends])
+        waiting = []
         for k, (doc, path, step, edge, value, prefix) in enumerate(begun):
             a, b = ends[bounds[k]], ends[bounds[k + 1]]
-            n_units = bounds[k + 1] - bounds[k]
-            units = np.repeat(np.arange(len(doc.units) - n_units, len(doc.units)), np.diff(ends[bounds[k] : bounds[k + 1] + 1]))
+            units = np.repeat(at[len(doc.units) - (bounds[k + 1] - bounds[k]) : len(doc.units)], np.diff(ends[bounds[k] : bounds[k + 1] + 1]))
             if path is None:
-                made, first = Path(passed[a:b], edges[a:b], units, value), 0
+                made, first = Path(edges[a:b], units, value), 0
             else:
-                made = Path(np.concatenate([path.nodes[: step + 1], passed[a:b]]), np.concatenate([path.edges[:step], [edge], edges[a:b]]), np.concatenate([path.units[: step + 1], units]), value)
-                first = step + 1
+                made, first = Path(np.concatenate([path.edges[:step], [edge], edges[a:b]]), np.concatenate([path.units[: step + 1], units]), value), step + 1
             doc.paths.append(made)
-            self._waits(doc, made, first, prefix)
+            waiting.append((doc, made, first, prefix))
+        self._waits(waiting)
 
     def _results(self, doc: _Doc) -> list[tuple[np.ndarray, float, float, float]]:
         best_left = -doc.agenda[0][0] if doc.agenda else -np.inf
         out = []
         for path in doc.paths:
-            logp = float(self.lattices.logp[path.nodes, path.edges].sum(dtype=np.float64))
+            logp = float(self.lattices.logp[path.edges].sum())
             if np.isneginf(best_left):
                 inclusion = 0.0
             else:
                 x = logp - best_left
                 inclusion = x if x < -30 else float(np.log(-np.expm1(-np.exp(min(x, 700)))))
-            ids = self.lattices.ids[path.nodes, path.edges]
+            ids = self.lattices.ids[path.edges]
             if (ids < 0).any():
                 parts = [[k] if k >= 0 else [self.pieces.id_of_byte[b] for b in chr(-k - 1).encode()] for k in ids.tolist()]
                 ids = np.array([k for part in parts for k in part], np.int32)
@@ -377,7 +395,8 @@ def sample_segmentations(docs: DataFrame, samples: int = SAMPLES, sharpness: flo
     The lattice of a text holds every way to cut it into pieces of the model; a piece's weight falls with its merge rank, and a
     segmentation's probability is proportional to the product of its weights (to the power `sharpness`). Gumbel noise makes the
     largest perturbed values a sample without replacement: the search keeps sets of segmentations with the noise of their maximum
-    and splits the best set. Units between spaces are independent lattices, so whole texts stay linear. log_inclusion is the log of the probability
+    and splits the best set. Units between spaces are independent lattices, so whole texts stay linear; a task holds one portion of
+    400 kB or one text, and a few hundred bytes for each of its characters. log_inclusion is the log of the probability
     that the segmentation is among those drawn, given the best value left out. round_trip tells that decoding gives the text
     back (a U+2581 comes back as a space). All draws follow from seed and doc_id. With return_ids the ids follow as an array.
 

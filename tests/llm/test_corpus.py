@@ -323,6 +323,46 @@ def test_samples_are_drawn_without_replacement_by_their_probability():
         assert abs(first[ids] / n - q) < 0.03 and abs(second[ids] / n - after) < 0.03
 
 
+def test_lattices_give_every_segmentation_its_share():
+    """Against all segmentations by hand: probabilities of units of every kind, also beyond what a float's range allows at once."""
+    sampler = sentencepiece_sampling.Sampler(samples=3000)
+    pieces = sampler.pieces
+    for text in ("on", "the one", "été", "日x", "a\n\nb", "  ab"):
+        units = sentencepiece_sampling.UNITS.findall((" " + text).replace(" ", sentencepiece_sampling.SPACE))
+        expected = {(): 0.0}
+        for unit in units:
+            ways = [[] for _ in unit] + [[((), 0.0)]]
+            for k in range(len(unit) - 1, -1, -1):
+                for end in range(k + 1, len(unit) + 1):
+                    ids = [i for i, raw in enumerate(pieces.raw) if i not in pieces.byte_of and raw == unit[k:end].replace(sentencepiece_sampling.SPACE, " ").encode() and i > 2]
+                    if not ids and end == k + 1:
+                        ids = [tuple(pieces.id_of_byte[b] for b in unit[k].encode())]
+                    for i in ids:
+                        i = i if isinstance(i, tuple) else (i,)
+                        ways[k] += [(i + rest, sum(pieces.weight[x] for x in i) + w) for rest, w in ways[end]]
+            total = math.log(sum(math.exp(w) for _, w in ways[0]))
+            expected = {a + b: v + w - total for a, v in expected.items() for b, w in ways[0]}
+        found = {tuple(ids.tolist()): logp for ids, logp, _, _ in sampler.sample([3], [text])[0]}
+        assert found.keys() == expected.keys() and all(abs(found[k] - expected[k]) < 1e-9 for k in found), text
+    few = sentencepiece_sampling.Sampler(samples=2)
+    for text in ("日" * 3000, "x" * 3000, "ab" * 2000 + " 日本"):
+        found = few.sample([1], [text])[0]
+        assert len({tuple(ids) for ids, *_ in found}) == len(found) >= 1 + ("x" in text or "b" in text)
+        assert all(few.pieces.decode(ids) == text.encode() and -1e6 < logp <= 0 and inclusion <= 0 for ids, logp, _, inclusion in found)
+
+
+def test_inclusion_scores_weigh_samples_without_bias():
+    """Over many keys, each sample weighed by its probability over its inclusion gives back the mean over all segmentations."""
+    every = sentencepiece_sampling.Sampler(samples=100).sample([0], ["the on"])[0]
+    mean = sum(math.exp(logp) * len(ids) for ids, logp, _, _ in every)
+    assert all(inclusion == 0 for *_, inclusion in every)
+    n = 6000
+    drawn = sentencepiece_sampling.Sampler(samples=3).sample(list(range(n)), ["the on"] * n)
+    weighed = sum(math.exp(logp - inclusion) * len(ids) for found in drawn for ids, logp, _, inclusion in found) / n
+    ones = sum(math.exp(logp - inclusion) for found in drawn for _, logp, _, inclusion in found) / n
+    assert abs(ones - 1) < 0.03 and abs(weighed / mean - 1) < 0.03
+
+
 # ---- toxicity
 
 
