@@ -48,6 +48,11 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """All columns of docs in one struct, `row`: whatever they are called, no name of an operator's own meets them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def portions(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of about `most` bytes of a column of texts, so that what a task holds doesn't follow the longest rows of a batch."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -55,3 +60,9 @@ def portions(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.Recor
     bounds = [*np.flatnonzero(np.diff(groups, prepend=-1)).tolist(), batch.num_rows]
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         yield batch.slice(a, b - a)
+
+
+def distinct(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct value stands first, and of all values the place in that list."""
+    codes = values.dictionary_encode().indices.to_numpy()
+    return np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1)), codes

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.common import portions, whole_text
+from daybook.llm.common import distinct, portions, whole_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segmentations of a document; how much sharper than the pieces' weights the distribution is; the row keys' seed.
@@ -114,14 +114,13 @@ class Lattices:
         """The first node of each unit."""
         if self.nodes > REMEMBERED:
             self.reset()
-        codes = pa.array(units, pa.large_string()).dictionary_encode().indices.to_numpy()
-        firsts = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1)).tolist()
-        distinct = [units[k] for k in firsts]
-        new = sorted((u for u in distinct if u not in self.known), key=len)
+        firsts, codes = distinct(pa.array(units, pa.large_string()))
+        each = [units[k] for k in firsts.tolist()]
+        new = sorted((u for u in each if u not in self.known), key=len)
         # some at a time: the work stays in the processor's cache
         for at in range(0, len(new), 4000):
             self._add(new[at : at + 4000])
-        return np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[codes]
+        return np.fromiter(map(self.known.__getitem__, each), np.int64, len(each))[codes]
 
     def _edges(self, text: str, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """By length and place: the piece of that length that begins there, and its weight (0: none)."""

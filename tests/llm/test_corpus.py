@@ -412,21 +412,96 @@ def test_lm_scores(spark, docs, none):
     assert lm_scoring.lm_score(none).count() == 0
 
 
-def test_attention_is_causal_and_every_token_is_scored_once():
-    rng = np.random.default_rng(0)
-    ids = rng.integers(0, 500, 100)
-    counts = np.bincount(ids, minlength=lm_scoring.IDS)
-    model = lm_scoring.fit(counts, [ids] * 30, epochs=3)
-    scorer = lm_scoring.Scorer(model)
-    inputs, targets = lm_scoring.windows_of(ids)
-    assert targets[targets >= 0].tolist() == ids.tolist()
-    parts = scorer.score([ids, ids[:40]])
-    cut = ids.copy()
-    cut[60:] = 3
-    a, b = (scorer._windows(*lm_scoring.windows_of(x)) for x in (ids, cut))
-    assert np.allclose(a[:2], b[:2]) and abs(parts[0] - a.sum()) < 1e-3
-    shares = np.bincount(model.class_of, weights=10**model.within, minlength=lm_scoring.CLASSES)
-    assert np.allclose(shares[np.bincount(model.class_of, minlength=lm_scoring.CLASSES) > 0], 1)
+def plain_log10(model, inputs, targets):
+    """One window by loops and double precision: the log10 probability of its targets."""
+    w = {k: v.astype(float) for k, v in model.weights.items()}
+    total = 0.0
+    for i, goal in enumerate(targets):
+        if goal < 0:
+            continue
+        here = lm_scoring.CONTEXT + i
+        x = {j: w["E"][model.row_of[inputs[j]]] + w["P"][j] for j in range(here + 1) if inputs[j] >= 0}
+        s = {j: math.exp(x[here] @ w["Q"] @ (x[j] @ w["K"]) / lm_scoring.DIM**0.5) for j in x}
+        h = x[here] + sum(s[j] * (x[j] @ w["V"]) for j in x) / sum(s.values())
+        logits = np.maximum(h @ w["W1"] + w["b1"], 0) @ w["W2"] + w["b2"]
+        total += (logits[model.class_of[goal]] - math.log(np.exp(logits).sum())) / math.log(10) + model.within[goal]
+    return total
+
+
+def plain_windows(ids):
+    ids, out = list(ids), []
+    for a in range(0, len(ids), lm_scoring.SCORED):
+        before = [lm_scoring.END, *ids[:-1]]
+        take = lambda x, k: x[k] if 0 <= k < len(x) else -1
+        out.append(([take(before, a + j) for j in range(-lm_scoring.CONTEXT, lm_scoring.SCORED)], [take(ids, a + j) for j in range(lm_scoring.SCORED)]))
+    return out
+
+
+def chain_docs(spark, n, seed):
+    """Texts in which each word says much about the next one."""
+    rng, rows = random.Random(seed), []
+    for k in range(n):
+        at, words = rng.randrange(40), []
+        for _ in range(rng.randrange(20, 120)):
+            words.append(f"{WORDS[at % 12]}{at}")
+            at = (at * 3 + rng.randrange(2)) % 40
+        rows.append((k, " ".join(words)))
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_the_fitted_model_is_a_plain_forward_pass_and_beats_counts_on_unseen_rows(spark):
+    docs = chain_docs(spark, 1200, 3)
+    held = F.col("doc_id") % 5 == 1
+    binary = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    counts = lm_scoring.subword_counts(lm_scoring.word_counts(binary.filter(~held)), lm_scoring.VOCABULARY)
+    windows = lm_scoring.training_windows(binary.filter(~held), lm_scoring.VOCABULARY, 16).cache()
+    assert windows.count() >= 2000  # every row gives one at least
+    model = lm_scoring.fit(counts, windows, shard=700)
+    again = lm_scoring.fit(counts, windows.repartition(5), shard=700)
+    assert all(np.array_equal(model.weights[k], again.weights[k]) for k in model.weights)
+    encoding = lm_scoring.encoder(lm_scoring.VOCABULARY)
+    texts = [np.array([i for w in [*r.text.encode().split(), b""] for i in lm_scoring.word_ids(encoding, w)]) for r in docs.filter(held).collect()]
+    ends = np.cumsum([len(t) for t in texts])
+    scores = lm_scoring.Scorer(model).score(np.concatenate(texts), ends, chunk=7)
+    for ids, score in list(zip(texts, scores, strict=True))[:12]:
+        assert abs(score - sum(plain_log10(model, a, b) for a, b in plain_windows(ids))) < 1e-3 * len(ids)
+    by_counts = sum(np.log10((counts[ids] + 0.5) / (counts.sum() + 0.5 * lm_scoring.IDS)).sum() for ids in texts)
+    assert scores.sum() / ends[-1] > by_counts / ends[-1] + 0.3
+    # a later id changes no earlier window's score, and all ids of a class share its mass
+    share = np.bincount(model.class_of, weights=10**model.within, minlength=lm_scoring.CLASSES)
+    assert np.allclose(share[np.bincount(model.class_of, minlength=lm_scoring.CLASSES) > 0], 1)
+
+
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(1)
+    counts = rng.integers(0, 50, lm_scoring.IDS)
+    model = lm_scoring.begun(counts, lm_scoring.classes_of(counts, None))
+    ids = rng.integers(0, 300, 60)
+    inputs, targets = (np.array(x) for x in zip(*plain_windows(ids), strict=True))
+    goal = np.where(targets >= 0, model.class_of[targets], -1)
+    g = lm_scoring.gradients(model.weights, model.row_of[inputs], inputs < 0, goal)
+    # by within's leave: the loss is the mean over targets in nats
+    loss = lambda: -sum(plain_log10(model, a, b) for a, b in zip(inputs, targets, strict=True)) * math.log(10) / len(ids)
+    for name, at in (("Q", (3, 5)), ("K", (1, 2)), ("V", (0, 7)), ("W1", (2, 4)), ("W2", (5, 60)), ("P", (9, 3)), ("E", (model.row_of[ids[4]], 6))):
+        base, step = model.weights[name].astype(float), 1e-3
+        moved = []
+        for sign in (1, -1):
+            changed = base.copy()
+            changed[at] += sign * step
+            model.weights[name] = changed
+            moved.append(loss())
+        model.weights[name] = base.astype(np.float32)
+        assert abs((moved[0] - moved[1]) / (2 * step) - g[name][at]) < 2e-3, name
+
+
+def test_words_keep_their_ids_when_the_memory_is_full(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "REMEMBERED", 3)
+    words = lm_scoring.Words(lm_scoring.VOCABULARY, [b"the", b""], np.array([5, 2]))
+    encoding = lm_scoring.encoder(lm_scoring.VOCABULARY)
+    for said in ([b"the", b"a\xc2\xa0b", b"", b"zzz", b"the"], [b"q", b"w", b"e", b""], ["日本".encode(), b"the"]):
+        ids, ends = words.ids_of(words.numbers(said))
+        expected = [lm_scoring.word_ids(encoding, w) for w in said]
+        assert ids.tolist() == [k for x in expected for k in x] and ends.tolist() == np.cumsum([len(x) for x in expected]).tolist()
 
 
 # ---- mixing
