@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.common import whole_text, written
+from daybook.llm.common import packed, whole_text, written
 
 #: Hash buckets of words; labelled rows the classifier is fitted on at most; words a text counts as evidence at most.
 BUCKETS, FIT_ROWS, EVIDENCE = 8192, 4000, 6
@@ -125,9 +125,13 @@ def soft_mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], to
 
 
 def resampled(docs: DataFrame, rates: DataFrame, seed: int = 0) -> DataFrame:
-    """Each row of docs as often as its rate says: the whole part, and once more with the chance of the rest, by a hash of its id."""
+    """Each row of docs as often as its rate (doc_id, rate) says: the whole part, and once more with the chance of the rest, by a hash of its id.
+
+    Rows whose doc_id is null or has no rate are left out; a null rate is 0. Rows that repeat a doc_id are repeated alike. Columns of docs may
+    have any name.
+    """
     u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
-    chosen = rates.select(F.col("doc_id").alias("rate_id__"), F.array_repeat(F.lit(0), copies).alias("copies__"))
-    both = docs.join(chosen, F.col("doc_id").cast("long") == F.col("rate_id__"))
-    return both.withColumn("copy__", F.explode("copies__")).select(*docs.columns)
+    chosen = rates.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("rate", F.lit(0.0)).alias("rate")).select("doc_id", F.array_repeat(F.lit(0), copies).alias("copies"))
+    both = packed(docs).join(chosen, F.col("row.doc_id").cast("long") == F.col("doc_id"))
+    return both.select("row", F.explode("copies")).select("row.*")
