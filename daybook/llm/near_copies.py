@@ -1,9 +1,8 @@
-"""Near copies by the Jaccard similarity of their sets of five-word shingles, found exactly by prefix filtering."""
+"""Near copies by the Jaccard similarity of their sets of five-word shingles: SimHash links first, then whatever else is similar enough."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -11,162 +10,199 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.common import LOWER_AZ, portions, whole_text, written
+from daybook.llm.common import LOWER_AZ, distinct, portions, whole_text, written
 from daybook.llm.graph import components
+from daybook.llm.simhash import links as simhash_links
 
-SHINGLE, SEED = 5, 42
+SHINGLE, SEED, DISTANCE = 5, 42, 4
 #: The least similarity of a link, as a fraction.
 SIMILAR, OF = 4, 5
-#: Counters of how common shingles are; bytes of texts and hashes that one numpy pass takes, about.
-COUNTERS, PASS_VALUES, PASS_BYTES = 1 << 16, 1 << 20, 16 << 20
-#: Rounds of leaders at most, and the pairs left for each row of the prefixes from which another round of leaders comes first.
-ROUNDS, DENSE = 3, 32
+#: Counters of how common shingles are; bytes of texts that one numpy pass takes, about.
+COUNTERS, PASS_BYTES = 1 << 16, 1 << 20
 
 
-def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the shingles; fewer words than a shingle has are one shingle, no words give none."""
-    words = text.translate(LOWER_AZ).split()
-    if not words:
-        return np.zeros(0, np.int64)
-    joined = b" ".join(words)
-    ends = list(accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends[:-1]]
-    n = max(1, len(words) - shingle + 1)
-    hash_of = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((hash_of(joined[a : b - 1], SEED) for a, b in zip(starts[:n], ends[min(shingle, len(words)) - 1 :], strict=False)), np.uint64, n)).view(np.int64)
-
-
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n, shingles): node is a hash of the whole set. Of rows with one set in a task only the first has the shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for whole in batches:
-            for batch in portions(whole, 1, PASS_BYTES):
-                nodes, sizes, sets = [], [], []
-                for t in batch.column(1):
-                    found = shingle_set(t.as_py())
-                    node = xxhash.xxh3_64_intdigest(found.tobytes())
-                    nodes.append(node)
-                    sizes.append(len(found))
-                    sets.append(None if node in seen else found)
-                    seen.add(node)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "node", "n", "shingles"])
-
-    rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), whole_text().cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, node long, n long, shingles array<long>")
-
+def _mixed(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
-def _passes(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The column's lists in stretches: the first row, the sizes of the lists, their values."""
-    lists = batch.column(column)
-    ends = lists.offsets.to_numpy()
-    at = 0
-    while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] + PASS_VALUES, side="right")) - 1)
-        part = lists.slice(at, to - at)
-        yield at, np.diff(ends[at : to + 1]), part.flatten().to_numpy(zero_copy_only=False)
-        at = to
 
-
-def _commonness(sets: DataFrame) -> np.ndarray:
+def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Of all texts the sorted distinct hashes of their shingles, end to end, and where each text's end. Fewer words than a shingle has are one shingle, no words give none."""
+    split = [t.translate(LOWER_AZ).split() for t in texts]
+    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    words = [w for ws in split for w in ws]
+    if not words:
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    firsts, codes = distinct(pa.array(words, pa.large_binary()))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(words[k], SEED) for k in firsts.tolist()), np.uint64, len(firsts))[codes]
+    starts = np.cumsum(sizes) - sizes
+    counts = np.where(sizes > 0, np.maximum(1, sizes - shingle + 1), 0)
+    row = np.repeat(np.arange(len(texts)), counts)
+    at = starts[row] + np.arange(len(row)) - (np.cumsum(counts) - counts)[row]
+    h = np.zeros(len(row), np.uint64)
+    for k in range(shingle):
+        inside = k < sizes[row]
+        with np.errstate(over="ignore"):
+            h[inside] = _mixed(h[inside] * np.uint64(0x9E3779B97F4A7C15) + hashes[at[inside] + k])
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+    return h[new], np.cumsum(np.bincount(row[new], minlength=len(texts)))
+
+
+def _fingerprints(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """SimHash of each set: a bit is 1 if more than half of the hashes have it; 0 for an empty set."""
+    sizes = np.diff(ends, prepend=0)
+    ones = np.zeros((len(ends) + 1, 64), np.int64)
+    some = np.flatnonzero(sizes > 0)
+    if len(some):
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones[some] = np.add.reduceat(bits, (ends - sizes)[some], axis=0, dtype=np.int64)
+    return np.packbits(2 * ones[:-1] > sizes[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), whole_text().cast("binary").alias("text"))
+
+
+def _passes(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for part in portions(batch, column, PASS_BYTES):
+            yield part, *shingle_sets(part.column(column).to_pylist())
+
+
+def _commonness(docs: DataFrame) -> np.ndarray:
     """How many shingles fall to each counter: COUNTERS numbers reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for _, _, values in _passes(batch, 0):
-                counts += np.bincount(values & (COUNTERS - 1), minlength=COUNTERS)
-        yield pa.RecordBatch.from_arrays([pa.array([counts.tolist()], pa.list_(pa.int64()))], ["counts"])
+        for _, hashes, _ in _passes(batches, 0):
+            counts += np.bincount((hashes & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(COUNTERS)), pa.array(counts)], ["k", "n"])
 
     found = np.zeros(COUNTERS, np.int64)
-    for k, n in sets.select("shingles").mapInArrow(run, "counts array<long>").select(F.posexplode("counts").alias("k", "n")).groupBy("k").agg(F.sum("n")).collect():
+    for k, n in _texts(docs).select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n")).collect():
         found[k] = n
     return found
 
 
-def _prefixes(sets: DataFrame) -> DataFrame:
-    """(token, node, n, place): the rarest shingles of each set, as many as one of a set that is similar enough must be among."""
-    counts = _commonness(sets)
+def _members(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, n, fp, prefix): node is a hash of the whole set, n its size, fp its SimHash, prefix the rarest shingles, as many as one of a set that
+    is similar enough must be among. Of rows with one set in a task only the first has the prefix."""
+    shared = docs.sparkSession.sparkContext.broadcast(_commonness(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        counts = shared.value
+        for part, hashes, ends in _passes(batches, 1):
+            sizes = np.diff(ends, prepend=0)
+            row = np.repeat(np.arange(len(ends)), sizes)
+            order = np.lexsort((hashes, counts[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)], row))
+            place = np.arange(len(hashes)) - (ends - sizes)[row]
+            most = np.where(sizes > 0, sizes - (SIMILAR * sizes + OF - 1) // OF + 1, 0)
+            nodes = np.fromiter((xxhash.xxh3_64_intdigest(hashes[e - s : e].tobytes()) for s, e in zip(sizes, ends, strict=True)), np.uint64, len(ends))
+            first = np.zeros(len(ends), bool)
+            for k, node in enumerate(nodes.tolist()):
+                if node not in seen:
+                    seen.add(node)
+                    first[k] = True
+            chosen = (place < most[row]) & first[row]
+            offsets = np.concatenate([[0], np.cumsum(np.where(first, most, 0))])
+            prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes[order][chosen].view(np.int64)), mask=pa.array(~first))
+            fps = _fingerprints(hashes, ends)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes.view(np.int64)), pa.array(sizes), pa.array(fps.view(np.int64)), prefix], ["doc_id", "node", "n", "fp", "prefix"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, node long, n long, fp long, prefix array<long>")
+
+
+def _sets_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, s): the shingles of the asked (first, node), from the text of the document `first`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes = batch.column(0).to_numpy(zero_copy_only=False)
-            for at, sizes, values in _passes(batch, 1):
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                order = np.lexsort((values, counts[values & (COUNTERS - 1)], row))
-                place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                most = sizes - (SIMILAR * sizes + OF - 1) // OF + 1
-                first = place < most[row]
-                yield pa.RecordBatch.from_arrays([pa.array(values[order][first]), pa.array(nodes[at + row[first]]), pa.array(sizes[row[first]].astype(np.int64)), pa.array(place[first])], ["token", "node", "n", "place"])
+        for part, hashes, ends in _passes(batches, 1):
+            sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(hashes.view(np.int64)))
+            nodes = [xxhash.xxh3_64_intdigest(hashes[a:b].tobytes()) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), sets], ["node", "s"])
 
-    return sets.select("node", "shingles").mapInArrow(run, "token long, node long, n long, place long")
+    rows = _texts(docs).join(asked.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # rows may repeat a doc_id with other texts
+    return rows.mapInArrow(run, "node long, s array<long>").join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of pairs (a, b) whose sets are similar enough."""
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    have = written(sets.join(asked, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("s")))
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    have = written(_sets_of(docs, nodes.join(ends, "node", "left_semi").select("node", "first")))
     both = pairs.join(have.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(have.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"), (F.size("sa") + F.size("sb")).cast("long").alias("total"))
     return written(shared.filter(F.col("shared") * OF >= (F.col("total") - F.col("shared")) * SIMILAR).select("a", "b"))
 
 
-def _enough(n: str, place: str, other_n: str, other_place: str) -> Column:
+def _enough(n: Column, place: Column, other_n: Column, other_place: Column) -> Column:
     """Whether what follows the first shared shingle of two sets can still make them similar enough; true of no pair of too different sizes."""
-    left = F.least(F.col(n) - F.col(place), F.col(other_n) - F.col(other_place))
-    return left * (SIMILAR + OF) >= (F.col(n) + F.col(other_n)) * SIMILAR
+    return F.least(n - place, other_n - other_place) * (SIMILAR + OF) >= (n + other_n) * SIMILAR
+
+
+def _simhash_pairs(nodes: DataFrame, distance: int) -> DataFrame:
+    """(a, b): nodes whose fingerprints are equal or within `distance` bits: enough to join all that such links join."""
+    stands = written(nodes.groupBy("fp").agg(F.min("node").alias("stand")))
+    found = simhash_links(stands.select("fp"), distance)
+    same = nodes.join(stands, "fp").select(F.col("node").alias("a"), F.col("stand").alias("b"))
+    a, b = (stands.select(F.col("fp").alias(x), F.col("stand").alias(f"{x}_node")) for x in "ab")
+    return same.unionByName(found.join(a, "a").join(b, "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+
+
+def _placed(tokens: DataFrame, placed: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """tokens with the root of each node; and of each token whose nodes have several roots (token, one, other: two of its rows)."""
+    rows = tokens.withColumn("root", F.col("node")) if placed is None else tokens.join(placed, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    row = F.struct("node", "n", "place", "root")
+    mixed = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(row, F.xxhash64("node")).alias("one"), F.max_by(row, F.xxhash64("node")).alias("other")).filter("lo < hi")
+    return rows, mixed.select("token", "one", "other")
+
+
+def _near(met: DataFrame) -> DataFrame:
+    """(a, b) of rows that meet another in `leader`: those of different roots whose sets can be similar enough."""
+    near = met.filter(F.col("root") != F.col("leader.root")).filter(_enough(F.col("n"), F.col("place"), F.col("leader.n"), F.col("leader.place")))
+    return near.select(F.col("node").alias("a"), F.col("leader.node").alias("b"))
 
 
-def near_links(sets: DataFrame) -> DataFrame:
-    """(node, root) of the sets that links of enough similarity join, root the least of them.
+def near_components(nodes: DataFrame, docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(node, root) of the sets that links of enough similarity join, root the least of them. nodes: (node, first, n, fp, prefix).
 
-    Two similar sets share a shingle of their prefixes. In each round the sets of a shingle are compared with two leaders, and what
-    is joined already is not compared again, so a large group of near copies costs a few pairs a set; at last
-    every pair that shares a shingle and isn't joined yet is compared. Shingles that are common stand last in every set.
+    SimHash's links come first, and the pairs of every set with two leaders of each shingle of its prefix: verified, they join most of a
+    group of near copies at a few pairs a set. Two similar sets share a shingle of their prefixes, so at last every pair that
+    shares one and isn't joined yet is compared. Shingles that are common stand last in every set.
     """
-    sets = sets.filter("shingles IS NOT NULL")
-    every = _prefixes(sets)
+    nodes = nodes.filter("n > 0")
+    every = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "token"))
     shared = every.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token")
-    tokens = written(every.join(shared, "token", "left_semi").distinct())
-    links, placed = None, None
-    for k in range(ROUNDS + 1):
-        rows = tokens.withColumn("root", F.col("node"))
-        if placed is not None:
-            rows = tokens.join(placed, "node", "left").select("token", "node", "n", "place", F.coalesce("root", "node").alias("root"))
-        counted = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"), F.min_by(F.struct("node", "n", "place", "root"), F.xxhash64("node", F.lit(k))).alias("one"), F.max_by(F.struct("node", "n", "place", "root"), F.xxhash64("node", F.lit(k))).alias("other")).filter("lo < hi")
-        mixed = written(counted)
-        size = mixed.agg(F.coalesce(F.sum(F.col("m").cast("double") * F.col("m")), F.lit(0.0)), F.coalesce(F.sum("m"), F.lit(0))).first()
-        if not size[1]:
-            break
-        last = k == ROUNDS or size[0] <= DENSE * size[1]
-        if last:
-            mine = rows.join(mixed.select("token"), "token", "left_semi")
-            pairs = mine.alias("x").join(mine.select("token", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("root").alias("root2")), "token").filter("node < node2 AND root <> root2").filter(_enough("n", "place", "n2", "place2")).select(F.col("node").alias("a"), F.col("node2").alias("b"))
-        else:
-            led = rows.join(mixed.select("token", F.explode(F.array("one", "other")).alias("leader")), "token")
-            pairs = led.filter("root <> leader.root").filter(_enough("n", "place", "leader.n", "leader.place")).select(F.col("node").alias("a"), F.col("leader.node").alias("b"))
-        found = _verified(pairs, sets)
-        links = found if links is None else links.unionByName(found)
-        placed = written(components(links))
-        if last:
-            break
-    if placed is None:
-        return tokens.select("node", F.col("node").alias("root")).limit(0)
-    return placed
+    tokens = written(every.join(shared, "token", "left_semi"))
+    rows, mixed = _placed(tokens, None)
+    led = rows.join(mixed.select("token", F.explode(F.array("one", "other")).alias("leader")), "token")
+    links = _verified(_simhash_pairs(nodes, distance).unionByName(_near(led)), nodes, docs)
+    placed = written(components(links))
+    rows, mixed = _placed(tokens, placed)
+    mine = written(rows.join(mixed.select("token"), "token", "left_semi"))
+    met = mine.join(mine.select("token", F.struct("node", "n", "place", "root").alias("leader")), "token").filter(F.col("node") < F.col("leader.node"))
+    more = _verified(_near(met), nodes, docs)
+    if more.isEmpty():
+        return placed
+    return components(placed.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, component_id (the smallest doc_id that links of Jaccard similarity >= SIMILAR / OF reach, itself included).
 
     Words are split at white space after lower-casing A-Z. A null text counts as empty; texts without words are copies of each
-    other. A row without a doc_id is ignored. Other columns are ignored. No rows give no rows.
+    other. A row without a doc_id is ignored; rows that repeat one are rows of their own. Texts are worked on whole, some hundred bytes a word.
+    Other columns are ignored. No rows give no rows.
     """
-    sets = written(shingle_sets(docs))
-    found = sets.select("doc_id", "node")
-    points = found.groupBy("node").agg(F.min("doc_id").alias("first"))
-    rooted = written(points.join(near_links(sets), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
+    found = written(_members(docs))
+    nodes = written(found.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix", ignorenulls=True).alias("prefix")))
+    rooted = written(nodes.select("node", "first").join(near_components(nodes, docs), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = written(rooted.join(firsts, "root").select("node", "component_id"))
-    return found.join(named, "node").select("doc_id", "component_id")
+    return found.select("doc_id", "node").join(rooted.join(firsts, "root").select("node", "component_id"), "node").select("doc_id", "component_id")

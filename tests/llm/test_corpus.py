@@ -138,9 +138,22 @@ def test_thresholds_sum_to_the_pigeonhole_bound():
 # ---- near copies by shingles
 
 
-def test_near_copies_are_the_groups_of_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(near_copies, "DENSE", 0)  # so that there is a round of leaders
-    monkeypatch.setattr(near_copies, "ROUNDS", 1)
+def test_shingle_sets_and_fingerprints_follow_their_definition():
+    made = [low(t) for t in texts()]
+    hashes, ends = near_copies.shingle_sets(made)
+    fps = near_copies._fingerprints(hashes, ends).tolist()
+    seen = {}
+    for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+        words = made[k].split()
+        plain = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+        mine = hashes[a:b].tolist()
+        assert len(mine) == len(plain) and mine == sorted(set(mine))
+        assert seen.setdefault(frozenset(plain), mine) == mine
+        assert fps[k] == sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in mine) > len(mine))
+    assert near_copies.shingle_sets([])[1].tolist() == [] and near_copies.shingle_sets([b"", b" "])[1].tolist() == [0, 0]
+
+
+def test_near_copies_are_the_groups_of_all_pairs(spark):
     rng = random.Random(11)
     made = list(texts())
     for _ in range(25):
@@ -542,8 +555,9 @@ def test_pipeline_stages(spark, sf_dir):
         was = {r.doc_id for r in before.select("doc_id").collect()}
         assert ids <= was
         if name == "simhash":
-            comp = {r.doc_id for r in simhash.simhash_groups(before).filter("doc_id = component_id").collect()}
-            assert ids == comp
+            rows = before.select("doc_id", "text").collect()
+            sets = {r.doc_id: frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for r in rows for w in [low(r.text).split()]}
+            assert ids == {k for k, v in reachable(sorted(sets), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])).items() if k == v}
         if name in ("line_dedup", "mixing"):
             assert ids == was
         before = after
