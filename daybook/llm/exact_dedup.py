@@ -8,19 +8,20 @@ import pickle
 import tempfile
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.common import LOWER_AZ
+from daybook.llm.common import LOWER_AZ, written
 
 #: Bytes of contents and ids that one table may hold before its records are partitioned further.
 TABLE_BYTES = 48 << 20
 #: Hash bits that one level of spill files uses.
 LEVEL_BITS = 4
-OUT = "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string"
 
 
 class ContentTable:
@@ -62,15 +63,25 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each content of a stretch of rows, with the ids that hold it: a hot content leaves a task as a few rows."""
-    table, members = ContentTable(), []
+def _combined(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """One fold for each content of a stretch of rows: its number, the content, the largest id, how many rows, and their ids.
+
+    A stretch ends when contents and ids reach `limit` bytes, so a hot content leaves a task as a few folds of bounded size.
+    """
+    task = TaskContext.get()
+    number = (task.partitionId() if task else 0) << 40
+    table, members, held = ContentTable(), [], 0
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([_signed(h) for h in table.hashes], pa.int64()), pa.array(table.contents, pa.binary()), pa.array([m.tolist() for m in members], pa.list_(pa.int64()))],
-            ["h", "content", "members"],
-        )
+        columns = [
+            pa.array(range(number, number + len(members)), pa.int64()),
+            pa.array([_signed(h) for h in table.hashes], pa.int64()),
+            pa.array(table.contents, pa.binary()),
+            pa.array([max(m) for m in members], pa.int64()),
+            pa.array([len(m) for m in members], pa.int64()),
+            pa.array([m.tolist() for m in members], pa.list_(pa.int64())),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["fold", "h", "content", "top", "size", "members"])
 
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -79,42 +90,69 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if entry == len(members):
                 members.append(array("q"))
             members[entry].append(doc_id)
-        if table.bytes > TABLE_BYTES // 2:
-            yield out()
-            table, members = ContentTable(), []
+            held += 8
+            if table.bytes + held > limit:
+                yield out()
+                number += len(members)
+                table, members, held = ContentTable(), [], 0
     if members:
         yield out()
 
 
-def _resolved(records: list[tuple[int, bytes, array]]) -> Iterator[pa.RecordBatch]:
-    table = ContentTable()
-    entries = [table.place(h, content) for h, content, _ in records]
-    keep, size = [None] * len(table.hashes), [0] * len(table.hashes)
-    for entry, (_, _, members) in zip(entries, records, strict=True):
-        top = max(members)
-        keep[entry] = top if keep[entry] is None else max(keep[entry], top)
-        size[entry] += len(members)
-    sha = [hashlib.sha256(c).hexdigest() for c in table.contents]
-    ids, places = [], []
-    for entry, (_, _, members) in zip(entries, records, strict=True):
-        ids += members
-        places += [entry] * len(members)
-        if len(ids) >= 20_000:
-            yield _rows(ids, places, keep, size, sha)
-            ids, places = [], []
-    if ids:
-        yield _rows(ids, places, keep, size, sha)
-
-
-def _rows(ids: list[int], places: list[int], keep: list[int], size: list[int], sha: list[str]) -> pa.RecordBatch:
-    kept = [keep[p] for p in places]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(kept, pa.int64()), pa.array([size[p] for p in places], pa.int64()), pa.array([a == b for a, b in zip(ids, kept, strict=True)], pa.bool_()), pa.array([sha[p] for p in places], pa.string())],
-        ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
-    )
-
-
-def _loaded(path: str) -> Iterator[tuple[int, bytes, array]]:
+#: A content with the folds that have it: hash, content, largest id, rows, numbers of the folds.
+Record = tuple[int, bytes, int, int, array]
+
+
+class _Groups:
+    """Contents met so far, each once, with what its folds add up to."""
+
+    def __init__(self) -> None:
+        self.table, self.top, self.size, self.folds, self.held = ContentTable(), [], [], [], 0
+
+    def add(self, record: Record) -> None:
+        h, content, top, size, folds = record
+        entry = self.table.place(h, content)
+        if entry == len(self.top):
+            self.top.append(top)
+            self.size.append(0)
+            self.folds.append(array("q"))
+        self.top[entry] = max(self.top[entry], top)
+        self.size[entry] += size
+        self.folds[entry].extend(folds)
+        self.held += 8 * len(folds)
+
+    @property
+    def bytes(self) -> int:
+        return self.table.bytes + self.held
+
+    def records(self) -> Iterator[Record]:
+        return zip(self.table.hashes, self.table.contents, self.top, self.size, self.folds, strict=True)
+
+    def resolved(self, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+        folds, keep, size, sha = array("q"), [], [], []
+        for _, content, top, n, mine in self.records():
+            digest = hashlib.sha256(content).hexdigest()
+            for at in range(0, len(mine), rows):
+                part = mine[at : at + rows]
+                folds.extend(part)
+                keep += [top] * len(part)
+                size += [n] * len(part)
+                sha += [digest] * len(part)
+                if len(folds) >= rows:
+                    yield _rows(folds, keep, size, sha)
+                    folds, keep, size, sha = array("q"), [], [], []
+        if folds:
+            yield _rows(folds, keep, size, sha)
+
+
+RESOLVED = "fold long, keep_id long, group_size long, text_sha256 string"
+
+
+def _rows(folds: array, keep: list[int], size: list[int], sha: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(folds.tolist(), pa.int64()), pa.array(keep, pa.int64()), pa.array(size, pa.int64()), pa.array(sha, pa.string())], ["fold", "keep_id", "group_size", "text_sha256"])
+
+
+def _loaded(path: str) -> Iterator[Record]:
     with open(path, "rb") as f:
         while True:
             try:
@@ -123,33 +161,27 @@ def _loaded(path: str) -> Iterator[tuple[int, bytes, array]]:
                 return
 
 
-def _grace(records: Iterator[tuple[int, bytes, array]], level: int, limit: int) -> Iterator[pa.RecordBatch]:
+def _grace(records: Iterator[Record], level: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Resolves the records in one table if they fit; else deals them to spill files by the next hash bits, and each file likewise.
 
-    The files belong to this task alone and go when it ends; a task that is run again makes its own.
+    Equal contents are one entry from the start, so a hot content takes its bytes once and eight for each fold, and is never
+    dealt anew. The files belong to this task alone and go when it ends; a task that is run again makes its own.
     """
-    held, held_bytes = [], 0
+    groups = _Groups()
     for record in records:
-        held.append(record)
-        held_bytes += len(record[1]) + 8 * len(record[2]) + 200
-        if held_bytes > limit and (level + 1) * LEVEL_BITS <= 60:
+        groups.add(record)
+        if groups.bytes > limit and len(groups.top) > 1 and (level + 1) * LEVEL_BITS <= 60:
             break
     else:
-        yield from _resolved(held)
+        yield from groups.resolved()
         return
     with tempfile.TemporaryDirectory(prefix="grace-") as folder:
         n = 1 << LEVEL_BITS
         files = [open(os.path.join(folder, str(k)), "wb") for k in range(n)]  # noqa: SIM115
-
-        def deal(record: tuple[int, bytes, array]) -> None:
+        for record in chain(groups.records(), records):
             # the upper bits: the table probes by the lower ones
             pickle.dump(record, files[(record[0] >> (60 - level * LEVEL_BITS)) & (n - 1)], protocol=5)
-
-        for record in held:
-            deal(record)
-        held.clear()
-        for record in records:
-            deal(record)
+        del groups
         for f in files:
             f.close()
         for f in files:
@@ -157,27 +189,33 @@ def _grace(records: Iterator[tuple[int, bytes, array]], level: int, limit: int)
             os.unlink(f.name)
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, array]]:
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[Record]:
     for batch in batches:
-        for h, content, members in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-            yield h & (1 << 64) - 1, content.as_py(), array("q", members.values.to_pylist())
+        for fold, h, content, top, size in zip(*(batch.column(k) for k in range(5)), strict=True):
+            yield h.as_py() & (1 << 64) - 1, content.as_py(), top.as_py(), size.as_py(), array("q", [fold.as_py()])
 
 
 def exact_dedup(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are identical after lower-casing A-Z; of equal texts the row with the largest doc_id stays.
-    Each task first folds its own equal rows together, so a text that a third of all rows share crosses the shuffle a few
-    times per task; then rows meet by content hash, and a partition beyond `table_bytes` is split over spill files by further
-    hash bits, level by level. The text crosses the shuffle once, and ids travel with it, so nothing is joined back.
+    Each task first folds its own equal rows together and writes the folds. Contents then meet by hash, once a fold, and a partition beyond
+    `table_bytes` is split over spill files by further hash bits, level by level. The ids of a fold stay with it and are joined by its
+    number at last, so the rows of a text that a third of all have never meet in one task.
 
     A null text counts as empty. A doc_id that occurs in several rows counts each time; of equal rows with the largest id
-    all are marked kept. A row without a doc_id is ignored. Other columns are ignored. No rows give no rows.
+    all are marked kept. A row without a doc_id is ignored. A text is held whole. Other columns are ignored. No rows give no rows.
     """
     rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    folded = rows.mapInArrow(_combined, "h long, content binary, members array<long>")
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _combined(batches, table_bytes // 2)
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _grace(_records(batches), 0, table_bytes)
 
-    return folded.repartition("h").mapInArrow(resolve, OUT)
+    folds = written(rows.mapInArrow(combine, "fold long, h long, content binary, top long, size long, members array<long>"))
+    # h is a hash already; the spread over tasks takes all folds of a content to one
+    resolved = folds.select("fold", "h", "content", "top", "size").repartition("h").mapInArrow(resolve, RESOLVED)
+    each = folds.select("fold", "members").join(resolved, "fold").select(F.explode("members").alias("doc_id"), "keep_id", "group_size", "text_sha256")
+    return each.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
