@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.llm.common import whole_text
@@ -19,8 +19,8 @@ from daybook.llm.common import whole_text
 WINDOW, NEIGHBOURS, POPULAR = 64, 64, 16
 #: Classes of entropy; bits of a filter; bits set by a feature; features of a filter.
 CLASSES, FILTER_BITS, HASHES, FEATURES = 256, 2048, 5, 128
-#: Documents of one group of consecutive documents, about; bytes that one numpy pass takes, about.
-GROUP_DOCS, PASS_BYTES = 400, 1 << 18
+#: Bytes of the texts of one range of consecutive documents, about, and ranges at most; bytes that one numpy pass, and one step through a range, takes, about.
+RANGE_BYTES, RANGES, PASS_BYTES, STEP_BYTES = 4 << 20, 100_000, 1 << 18, 1 << 20
 
 _N = np.arange(WINDOW + 1)
 _F = np.round(np.where(_N > 0, _N * np.log2(np.maximum(_N, 1)), 0) * 1024).astype(np.int64)
@@ -207,65 +207,80 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def group_of(rows: DataFrame, group_docs: int) -> tuple[np.ndarray, int]:
-    """Cuts between ranges of doc_id of about `group_docs` rows, by approximate quantiles of the ids alone: a million at most."""
-    n = rows.count()
-    parts = max(1, min(1_000_000, n // group_docs))
+def ranges_of(rows: DataFrame, range_bytes: int) -> np.ndarray:
+    """Cuts between ranges of doc_id with about `range_bytes` of text each, RANGES at most, by approximate quantiles of the ids alone."""
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(1, min(RANGES, size // range_bytes))
     if parts == 1:
-        return np.zeros(0, np.int64), n
+        return np.zeros(0, np.int64)
     cuts = rows.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], min(1_000_000, 10 * parts))).first()[0]
-    return np.unique(np.array(cuts, np.int64)), n
-
-
-def fingerprint(docs: DataFrame, group_docs: int = GROUP_DOCS) -> DataFrame:
+    return np.unique(np.array(cuts, np.int64))
+
+
+def _told(ids: list[int], texts: list[str], rank: np.ndarray) -> pa.RecordBatch:
+    """Of consecutive documents all but the last, which is only the next of the one before it."""
+    own = len(ids) - 1
+    changed = [edited(texts[k], texts[k + 1]).encode() for k in range(own)]
+    whole = [digest(h) for h in features([t.encode() for t in texts], rank)]
+    after_edit = [digest(h) for h in features(changed, rank)]
+    columns = [
+        pa.array(ids[:own], pa.int64()),
+        pa.array([len(t) for t in texts[:own]], pa.int64()),
+        pa.array([hashlib.sha256(t).hexdigest() for t in changed], pa.string()),
+        pa.array([text_of(f) for f in whole[:own]], pa.string()),
+        pa.array([text_of(f) for f in after_edit], pa.string()),
+        pa.array([likeness(a, b) for a, b in zip(whole[:own], after_edit, strict=True)], pa.float64()),
+        pa.array([likeness(whole[k], whole[k + 1]) for k in range(own)], pa.float64()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in OUT.split(", ")])
+
+
+def fingerprint(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """One row per row of docs with a doc_id: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Windows of 64 bytes are ranked by how rare their entropy is over the whole corpus; a window that is the rarest of its
     neighbourhood often enough is a feature. The next document is that of the next smaller doc_id (after the smallest: the
-    largest); rows that repeat a doc_id follow each other in the order of their texts. Consecutive documents are worked on
-    in groups of about `group_docs`, so the text crosses the shuffle once; one id per group reaches the driver.
+    largest); rows that repeat a doc_id follow each other in the order of their texts. Documents are dealt out by ranges of doc_id, each with a
+    copy of the first document of the next range, so the text crosses the shuffle once. A task steps through its sorted rows and holds about
+    STEP_BYTES of them, or one text and some hundred times its bytes.
 
-    A null text counts as empty; empty texts have a fingerprint without filters, and two of them are alike. A single row is
-    its own next. Other columns are ignored. No rows give no rows.
+    A null text counts as empty; empty texts have a fingerprint without filters, and two of them are alike. Equal texts have equal fingerprints. A
+    single row is its own next. Other columns are ignored. No rows give no rows.
     """
-    spark = docs.sparkSession
     rank = corpus_rarity(docs)
     rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    cuts, n = group_of(rows.select("doc_id"), group_docs)
-    if not n:
-        return spark.createDataFrame([], OUT)
+    cuts = ranges_of(rows, range_bytes)
 
     @F.pandas_udf("long")
-    def group(ids: pd.Series) -> pd.Series:
+    def ranged(ids: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(cuts, ids.to_numpy(), side="left"))
 
-    tagged = rows.select(group("doc_id").alias("grp"), "doc_id", "text", F.lit(False).alias("edge"))
-    tops = rows.select(group("doc_id").alias("grp"), "doc_id").groupBy("grp").agg(F.max("doc_id").alias("top")).collect()
-    order = sorted(((r.grp, r.top) for r in tops), reverse=True)
-    # each group needs the first document of the next lower one; the last needs that of the highest
-    after = spark.createDataFrame([(g, order[(k + 1) % len(order)][1]) for k, (g, _) in enumerate(order)], "grp long, top long")
-    edges = rows.join(F.broadcast(after), F.col("doc_id") == F.col("top")).groupBy("grp", "doc_id").agg(F.min("text").alias("text")).select("grp", "doc_id", "text", F.lit(True).alias("edge"))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["edge", "doc_id", "text"], ascending=[True, False, True], kind="stable")
-        texts = list(frame["text"])
-        own = len(texts) - 1
-        changed = [edited(texts[k], texts[k + 1]).encode() for k in range(own)]
-        whole = [digest(h) for h in features([t.encode() for t in texts], rank)]
-        after_edit = [digest(h) for h in features(changed, rank)]
-        return pd.DataFrame(
-            {
-                "doc_id": frame["doc_id"].to_numpy()[:own],
-                "n_chars": np.fromiter(map(len, texts[:own]), np.int64, own),
-                "edited_sha256": [hashlib.sha256(t).hexdigest() for t in changed],
-                "fingerprint": [text_of(f) for f in whole[:own]],
-                "edited_fingerprint": [text_of(f) for f in after_edit],
-                "near_edited": [likeness(a, b) for a, b in zip(whole[:own], after_edit, strict=True)],
-                "near_next": [likeness(whole[k], whole[k + 1]) for k in range(own)],
-            }
-        )
-
-    return tagged.unionByName(edges).groupBy("grp").applyInPandas(run, OUT)
+    tagged = rows.select(ranged("doc_id").alias("part"), "doc_id", "text", F.lit(False).alias("edge"))
+    # each range needs the first document of the next lower one, the last one that of the highest: a row for each range, RANGES at most
+    tops = rows.select(ranged("doc_id").alias("part"), "doc_id").groupBy("part").agg(F.max("doc_id").alias("top"))
+    along = Window.orderBy("part")
+    after = tops.select("part", F.coalesce(F.lag("top").over(along), F.max("top").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("top"))
+    edges = rows.join(F.broadcast(after), F.col("doc_id") == F.col("top")).groupBy("part", "doc_id").agg(F.min("text").alias("text")).select("part", "doc_id", "text", F.lit(True).alias("edge"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, ids, texts, held = None, [], [], 0
+        for batch in batches:
+            for part, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                text = text.as_py()
+                if part != here or held > STEP_BYTES:
+                    if len(ids) > 1:
+                        yield _told(ids, texts, rank)
+                    # the last row of a step is the first of the next one; that of a range is its edge
+                    ids, texts, held = (ids[-1:], texts[-1:], 0) if part == here else ([], [], 0)
+                    here = part
+                ids.append(doc_id)
+                texts.append(text)
+                held += len(text)
+        if len(ids) > 1:
+            yield _told(ids, texts, rank)
+
+    dealt = tagged.unionByName(edges).repartition("part").sortWithinPartitions("part", "edge", F.desc("doc_id"), "text")
+    return dealt.select("part", "doc_id", "text").mapInArrow(run, OUT)
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
