@@ -56,36 +56,37 @@ def license_scan(docs: DataFrame, base: dict[str, str] | None = None, notices: d
     words stand consecutively. score is the largest share of a template that was found, 0 without any. spans lists label,
     first word and cover of each notice found. The template table is broadcast: templates() bounds its size.
 
-    A null text counts as empty: no words, nothing found. Documents are told apart by doc_id; rows that repeat a doc_id
-    must repeat its text, and give equal rows. A null doc_id gives a row with nothing found. Other columns are ignored.
+    A null text counts as empty: no words, nothing found. Rows that repeat a doc_id, or have none, are told apart by a hash of their texts, and
+    rows alike in both give equal rows. Of equal shares the score is that share. Texts are worked on whole: a text's words are an array, and its hits rows of
+    their own. Other columns are ignored. No rows give no rows.
     """
     found = templates(docs.sparkSession, BASE if base is None else base, NOTICES if notices is None else notices)
-    rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    pairs = rows.select("doc_id", words_of(F.col("text")).alias("w")).select("doc_id", F.posexplode(F.transform("w", lambda x, i: _pair(x, F.get("w", i + 1)))).alias("pos", "pair"))
-    hits = pairs.join(F.broadcast(found.select("template", "at", "pair")), "pair").select("doc_id", "template", "at", "pos", (F.col("pos") - F.col("at")).alias("diagonal")).distinct()
-    votes = hits.groupBy("doc_id", "template", "diagonal").agg(F.count_distinct("at").alias("votes"), F.collect_set("at").alias("ats"), F.min("pos").alias("first"))
-    along = Window.partitionBy("doc_id", "template").orderBy("diagonal")
+    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("whole")).alias("key"), whole_text().alias("text"))
+    pairs = rows.select("key", words_of(F.col("text")).alias("w")).select("key", F.posexplode(F.transform("w", lambda x, i: _pair(x, F.get("w", i + 1)))).alias("pos", "pair"))
+    hits = pairs.join(F.broadcast(found.select("template", "at", "pair")), "pair").select("key", "template", "at", "pos", (F.col("pos") - F.col("at")).alias("diagonal")).distinct()
+    votes = hits.groupBy("key", "template", "diagonal").agg(F.count_distinct("at").alias("votes"), F.collect_set("at").alias("ats"), F.min("pos").alias("first"))
+    along = Window.partitionBy("key", "template").orderBy("diagonal")
     # a diagonal starts a new span when it lies further than `drift` from the one before
     runs = votes.withColumn("apart", (F.col("diagonal") - F.lag("diagonal", 1).over(along) > drift).cast("int")).withColumn("run", F.sum(F.coalesce("apart", F.lit(0))).over(along.rowsBetween(Window.unboundedPreceding, 0)))
     about = found.select("template", "label", "is_base", "phrase", "n_pairs").distinct()
     merged = (
-        runs.groupBy("doc_id", "template", "run")
+        runs.groupBy("key", "template", "run")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("covered"), F.min("first").alias("first"), F.collect_list(F.struct("diagonal", "votes")).alias("diagonals"))
         .join(F.broadcast(about), "template")
         .withColumn("full", F.expr("transform(filter(diagonals, d -> d.votes = n_pairs), d -> d.diagonal)"))
         .filter((F.col("is_base") & (F.size("full") > 0)) | (~F.col("is_base") & (F.col("covered") >= cover * F.col("n_pairs"))))
     )
-    spans = merged.groupBy("doc_id").agg(
+    spans = merged.groupBy("key").agg(
         F.flatten(F.collect_list(F.when(F.col("is_base"), F.transform("full", lambda d: F.struct(d.cast("long").alias("at"), F.col("label"), F.col("phrase")))))).alias("base_spans"),
-        F.collect_list(F.when(~F.col("is_base"), F.struct(F.col("first").cast("long").alias("at"), "label", "phrase", (F.col("covered") / F.col("n_pairs")).alias("cover")))).alias("notice_spans"),
+        F.collect_list(F.when(~F.col("is_base"), F.struct(F.col("first").cast("long").alias("at"), "label", "phrase", (F.col("covered") / F.col("n_pairs")).alias("cover"), F.transform("diagonals", lambda d: d["diagonal"]).alias("along")))).alias("notice_spans"),
     )
-    told = rows.join(spans, "doc_id", "left").select("doc_id", words_of(F.col("text")).alias("w"), "base_spans", "notice_spans")
-    # the words themselves decide: all words of a base phrase; for a notice, the words of the text there
+    told = rows.join(spans, "key", "left").select("key.doc_id", words_of(F.col("text")).alias("w"), "base_spans", "notice_spans")
+    # the words themselves decide: all words of a base phrase; of a notice enough of its words, each where a diagonal of the span has it
     checked = told.select(
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
         F.expr("filter(coalesce(base_spans, array()), s -> slice(w, cast(s.at + 1 AS int), size(s.phrase)) = s.phrase)").alias("b"),
-        F.expr(f"filter(coalesce(notice_spans, array()), s -> size(array_intersect(slice(w, cast(s.at + 1 AS int), size(s.phrase) + {2 * drift}), s.phrase)) >= {cover} * size(array_distinct(s.phrase)))").alias("s"),
+        F.expr(f"filter(coalesce(notice_spans, array()), s -> size(filter(sequence(0, size(s.phrase) - 1), i -> exists(s.along, d -> get(w, cast(d + i AS int)) = get(s.phrase, i)))) >= {cover} * size(s.phrase))").alias("s"),
     )
     return checked.select(
         "doc_id",
