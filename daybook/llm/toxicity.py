@@ -15,8 +15,8 @@ from daybook.llm.common import in_fold, portions, whole_text
 
 #: Hash buckets of words; embedding size; filter widths and filters of each; labelled rows used at most.
 BUCKETS, DIM, WIDTHS, FILTERS, FIT_ROWS = 1 << 21, 12, (1, 2, 3), 12, 6000
-#: Bytes of a word's beginning that has an embedding too.
-STEM = 4
+#: Bytes of a word's beginning that has an embedding too; toxic rows of a language that weigh as much as all languages together in its threshold; bytes of a text to learn from at most.
+STEM, SHRINK, LONGEST = 4, 20, 20_000
 #: ASCII letters and digits stay, in lower case; other ASCII is a separator; bytes beyond ASCII stay.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -41,28 +41,29 @@ def buckets_of(text: bytes) -> np.ndarray:
     return both & (BUCKETS - 1)
 
 
-def _laid_out(parts: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Embedding rows of all texts in one array, two blanks after each text so that no filter crosses; the texts' starts."""
-    gap = max(WIDTHS) - 1
-    sizes = np.fromiter((p.shape[1] + gap for p in parts), np.int64, len(parts))
-    starts = np.cumsum(sizes) - sizes
-    ids = np.zeros((2, int(sizes.sum()) + gap), np.int32)
+def _laid_out(parts: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Embedding rows of all texts in one array, blanks after each text so that no filter that begins in one reaches the next; of each text where
+    filters begin first, and where no more. A text without words is one blank."""
+    sizes = np.fromiter((max(1, p.shape[1]) for p in parts), np.int64, len(parts))
+    starts = np.cumsum(sizes + max(WIDTHS) - 1) - sizes - max(WIDTHS) + 1
+    ids = np.zeros((2, int(starts[-1] + sizes[-1]) + max(WIDTHS) - 1 if len(parts) else 0), np.int32)
     for s, p in zip(starts, parts, strict=True):
         ids[:, s : s + p.shape[1]] = rows[p]
-    return ids, starts
+    return ids, starts, starts + sizes
 
 
-def _pooled(net: Network, ids: np.ndarray, starts: np.ndarray, tables: dict[tuple[int, int], np.ndarray]) -> np.ndarray:
+def _pooled(net: Network, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, tables: dict[tuple[int, int], np.ndarray]) -> np.ndarray:
     """Largest value of each filter over each text. tables: embeddings times the filter's slice, so that a word is one lookup."""
     n = ids.shape[1] - max(WIDTHS) + 1
     out = np.empty((len(starts), len(WIDTHS) * FILTERS), np.float32)
+    bounds = np.stack([starts, ends], axis=1).ravel()[:-1]
     for k, width in enumerate(WIDTHS):
         h = tables[width, 0][ids[0, :n]]
         h += tables[width, 0][ids[1, :n]]
         for o in range(1, width):
             h += tables[width, o][ids[0, o : o + n]]
             h += tables[width, o][ids[1, o : o + n]]
-        out[:, k * FILTERS : (k + 1) * FILTERS] = np.maximum.reduceat(h, starts)
+        out[:, k * FILTERS : (k + 1) * FILTERS] = np.maximum.reduceat(h, bounds)[::2]
     return np.maximum(out + net.bias, 0)
 
 
@@ -71,8 +72,8 @@ def _tables(net: Network) -> dict[tuple[int, int], np.ndarray]:
 
 
 def _logits(net: Network, parts: list[np.ndarray], tables: dict[tuple[int, int], np.ndarray]) -> np.ndarray:
-    ids, starts = _laid_out(parts, net.rows)
-    return _pooled(net, ids, starts, tables) @ net.out[:-1] + net.out[-1]
+    ids, starts, ends = _laid_out(parts, net.rows)
+    return _pooled(net, ids, starts, ends, tables) @ net.out[:-1] + net.out[-1]
 
 
 def train(texts: list[bytes], labels: np.ndarray, langs: list[str], epochs: int = 10, seed: int = 7, rate: float = 0.1) -> Network:
@@ -103,8 +104,7 @@ def train(texts: list[bytes], labels: np.ndarray, langs: list[str], epochs: int
 
     for _ in range(epochs):
         for batch in np.array_split(rng.permutation(fit), max(1, len(fit) // 64)):
-            ids, starts = _laid_out([parts[i] for i in batch], net.rows)
-            ends = np.append(starts[1:], ids.shape[1] - max(WIDTHS) + 1)
+            ids, starts, ends = _laid_out([parts[i] for i in batch], net.rows)
             tables = {k: None for k in net.filters}
             n, x = ids.shape[1] - max(WIDTHS) + 1, net.embed[ids[0]] + net.embed[ids[1]]
             places = np.empty((len(batch), len(net.bias)), np.int64)
@@ -142,14 +142,15 @@ def train(texts: list[bytes], labels: np.ndarray, langs: list[str], epochs: int
             a = grown.setdefault("embed", np.full_like(net.embed, 1e-4))
             a[touched] += total * total
             net.embed[touched] -= rate * total / np.sqrt(a[touched])
-    # thresholds: of the rows that were not fitted
+    # thresholds: of the rows that were not fitted; a language's own counts the more, the more toxic rows of it there are
     z = _logits(net, [parts[i] for i in check], _tables(net))
     net.shift = best_threshold(z, labels[check])
     own = np.array([langs[i] or "" for i in check])
     for lang in sorted(set(own)):
         mine = own == lang
-        if labels[check][mine].sum() >= 10:
-            net.thresholds[lang] = float(1 / (1 + np.exp(-(best_threshold(z[mine], labels[check][mine]) - net.shift))))
+        n = float(labels[check][mine].sum())
+        apart = best_threshold(z[mine], labels[check][mine]) - net.shift if n else 0.0
+        net.thresholds[lang] = float(1 / (1 + np.exp(-apart * n / (n + SHRINK))))
     return net
 
 
@@ -169,10 +170,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fold:
 
     The network learns from labelled rows (labels: doc_id, toxic) outside the held-out fold, the `fit_rows` of them with the smallest
     hash of doc_id: that bound is the only sample, and the network's size is fixed by it. Scores take the text alone. threshold is
-    calibrated for the value of lang on rows kept out of the fit (0.5 for a language with few toxic rows, or where docs has no lang);
-    flagged is score >= threshold, predicted is score >= 0.5.
+    calibrated for the value of lang on rows kept out of the fit: it lies between the best one for the language and 0.5, the best one for all, and the nearer to its
+    own the more toxic rows it has (0.5 for a language without any); flagged is score >= threshold, predicted is score >= 0.5.
 
-    A null text counts as empty and is scored as such. Null labels are ignored; a doc_id with both labels gives two rows to learn from.
+    A null text counts as empty and is scored as such; a null lang is a language of its own. Null labels are ignored; a doc_id with both labels gives two rows to learn
+    from, and of rows that repeat a doc_id the smallest text is learnt from; each is scored on its own. Texts of more than LONGEST bytes aren't learnt from, so the sample's
+    bytes are bounded too; they are scored whole, some hundred bytes a word.
     Without labels of both kinds every score is the same. Other columns are ignored. No rows give no rows.
     """
     spark = docs.sparkSession
@@ -180,8 +183,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fold:
     rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), whole_text().cast("binary").alias("text"), lang.alias("lang"))
     sample = labels.select(F.col("doc_id").cast("long").alias("fit_id"), F.col("toxic").cast("int").alias("toxic")).filter("fit_id IS NOT NULL AND toxic IS NOT NULL").distinct()
     sample = sample.filter(~in_fold(F.col("fit_id"), fold)).orderBy(F.xxhash64("fit_id"), "fit_id", "toxic").limit(fit_rows)
-    fit = rows.join(F.broadcast(sample), rows.doc_id == F.col("fit_id")).select("doc_id", "text", "lang", "toxic").toPandas()
-    fit = fit.sort_values(["doc_id", "toxic"], kind="stable").drop_duplicates(["doc_id", "toxic"])
+    short = rows.filter(F.octet_length("text") <= LONGEST).join(F.broadcast(sample), rows.doc_id == F.col("fit_id"))
+    fit = short.groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("x")).select("doc_id", "toxic", "x.*").toPandas()
+    fit = fit.sort_values(["doc_id", "toxic"], kind="stable")
     net = spark.sparkContext.broadcast(train(list(fit["text"]), fit["toxic"].to_numpy(), list(fit["lang"])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +195,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fold:
             for part in portions(batch, 1, 250_000):
                 z = _logits(model, [buckets_of(t.as_py()) for t in part.column(1)], tables) - model.shift
                 score = 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -50, 50)))
-                limit = np.array([model.thresholds.get(x, 0.5) for x in part.column(2).to_pylist()])
+                limit = np.array([model.thresholds.get(x or "", 0.5) for x in part.column(2).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(limit), pa.array(score >= limit)], ["doc_id", "score", "predicted", "threshold", "flagged"])
 
     found = rows.mapInArrow(run, "doc_id long, score double, predicted int, threshold double, flagged boolean")
