@@ -21,7 +21,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segmentations of a document; how much sharper than the pieces' weights the distribution is; the row keys' seed.
 SAMPLES, SHARPNESS, SEED = 2, 1.0, 1
 #: Nodes of lattices that a worker remembers; steps of a path whose siblings wait one by one, the later ones as one set.
-REMEMBERED, EARLY = 2_500_000, 48
+REMEMBERED, EARLY = 700_000, 48
 SPACE = "▁"
 #: Units: no piece crosses from other characters to a space mark, and none holds a line break.
 UNITS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
