@@ -66,6 +66,29 @@ def test_table_compares_contents_when_hashes_are_equal():
     assert [table.place(k, str(k).encode()) for k in range(3000)] == list(range(2, 3002))
 
 
+def test_a_content_that_all_rows_share_takes_bounded_memory(spark):
+    import tracemalloc
+
+    content = b"the same words in every row " * 40
+
+    def records(n):
+        for k in range(n):
+            h = 5 if k % 100 else k
+            yield h, content if k % 100 else b"own %d" % k, k, 1, exact_dedup.array("q", [k])
+
+    tracemalloc.start()
+    rows = 0
+    for batch in exact_dedup._grace(records(120_000), 0, 100_000):
+        rows += batch.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 1.2 kB a row would be 140 MB
+    assert rows == 120_000 and peak < 12_000_000
+    same = spark.range(30_000).selectExpr("id AS doc_id", "repeat('Copy ', 50) AS text").unionByName(spark.createDataFrame([(-1, None)], "doc_id long, text string"))
+    got = exact_dedup.exact_dedup(same, 20_000)
+    assert [tuple(r) for r in got.groupBy("keep_id", "group_size").count().orderBy("keep_id").collect()] == [(-1, 1, 1), (29_999, 30_000, 30_000)] and got.filter("kept").count() == 2
+
+
 # ---- SimHash
 
 
@@ -224,8 +247,8 @@ def test_license_scan(spark, docs, none):
 
 
 def test_fingerprints(spark, docs, none):
-    got = {r.doc_id: r for r in fingerprint.fingerprint(docs, 4).collect()}
-    one = {r.doc_id: r for r in fingerprint.fingerprint(docs, 1000).collect()}
+    got = {r.doc_id: r for r in fingerprint.fingerprint(docs, 3000).collect()}
+    one = {r.doc_id: r for r in fingerprint.fingerprint(docs).collect()}
     assert got == one and len(got) == len(texts())
     order = sorted(got, reverse=True)
     for at, k in enumerate(order):
@@ -239,6 +262,47 @@ def test_fingerprints(spark, docs, none):
     assert fingerprint.fingerprint(none).count() == 0
 
 
+def plain_digest(hashes):
+    """Filters as sets of bits."""
+    distinct, filters = list(dict.fromkeys(int(h) for h in hashes)), []
+    for k, h in enumerate(distinct):
+        if k % fingerprint.FEATURES == 0:
+            filters.append(set())
+        filters[-1] |= {h >> 11 * j & fingerprint.FILTER_BITS - 1 for j in range(fingerprint.HASHES)}
+    return filters
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+    if len(a) > len(b):
+        a, b = b, a
+    total = 0.0
+    for x in a:
+        best = 0.0
+        for y in b:
+            chance, most = len(x) * len(y) / fingerprint.FILTER_BITS, min(len(x), len(y))
+            if most > chance:
+                best = max(best, (len(x & y) - chance) / (most - chance))
+        total += best * len(x)
+    ones = sum(map(len, a))
+    return min(1.0, max(0.0, total / ones)) * min(1.0, 1.5 * ones / sum(map(len, b)))
+
+
+def test_digests_and_likeness_follow_their_definition():
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 1 << 63, 600).astype(np.uint64)
+    for n, m, shared in ((0, 0, 0), (0, 5, 0), (1, 1, 1), (40, 45, 30), (128, 128, 128), (300, 120, 100), (290, 310, 250)):
+        a, b = pool[:n], np.concatenate([pool[:shared], pool[300 : 300 + m - shared]])
+        a = np.concatenate([a, a[:3]])  # repeats count once
+        x, y = fingerprint.digest(a), fingerprint.digest(b)
+        for made, plain in ((x, plain_digest(a)), (y, plain_digest(b))):
+            assert [{64 * w + j for w in range(len(f)) for j in range(64) if int(f[w]) >> j & 1} for f in made] == plain
+        if len(x) != len(y) or n == m:
+            assert abs(fingerprint.likeness(x, y) - plain_likeness(plain_digest(a), plain_digest(b))) < 1e-9
+        assert fingerprint.likeness(x, y) == fingerprint.likeness(y, x) and fingerprint.likeness(x, x) > 0.999
+
+
 def test_entropy_and_selection_follow_their_definition():
     rng = random.Random(2)
     data = bytes(rng.choice(b"abcdefgh \n" if k % 300 < 250 else b"z") for k in range(1500))
@@ -407,6 +471,25 @@ def test_toxicity_learns_and_leaves_the_fold_out(spark, none):
     assert len({r.score for r in toxicity.toxicity(odd, labels.limit(0)).collect()}) == 1
 
 
+def test_scores_are_a_plain_forward_pass_and_thresholds_shrink():
+    rows = labelled_rows(900)
+    net = toxicity.train([t.encode() for _, t, _, _ in rows], np.array([y for *_, y in rows]), [lang if k % 50 != 4 else "xx" for k, _, lang, _ in rows])
+    odd = [b"", b"one", "été vile ÀB".encode(), b"x " * 500]
+    z = toxicity._logits(net, [toxicity.buckets_of(t) for t in [r[1].encode() for r in rows[:40]] + odd], toxicity._tables(net))
+    for text, found in zip([r[1].encode() for r in rows[:40]] + odd, z, strict=True):
+        words = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in text).split()
+        both = [(net.rows[zlib.crc32(w) & toxicity.BUCKETS - 1], net.rows[zlib.crc32(w[: toxicity.STEM], 1) & toxicity.BUCKETS - 1]) for w in words] + [(0, 0)] * 4
+        x = np.array([net.embed[a].astype(float) + net.embed[b] for a, b in both])
+        pooled = []
+        for width in toxicity.WIDTHS:
+            h = np.array([sum(x[i + o] @ net.filters[width, o] for o in range(width)) for i in range(max(1, len(words)))])
+            pooled += h.max(0).tolist()
+        expected = np.maximum(np.array(pooled) + net.bias, 0) @ net.out[:-1] + net.out[-1]
+        assert abs(found - expected) < 1e-3
+    # few toxic rows leave a language near the threshold of all
+    assert set(net.thresholds) == {"en", "fr", "xx"} and abs(net.thresholds["xx"] - 0.5) < 0.5 * 20 / 21
+
+
 # ---- language model
 
 
@@ -542,6 +625,47 @@ def test_mixing(spark, none):
     assert [r.domain for r in mixing.soft_mix(docs, labels.limit(0), weights).limit(3).collect()] == ["all"] * 3
 
 
+def test_posteriors_and_rates_follow_their_definition(spark):
+    rng = random.Random(12)
+    vocab = {"x": ["xa", "xb", "both"], "y": ["ya", "yb", "both"]}
+    rows = [(k, " ".join(rng.choice(vocab[d]) for _ in range(rng.randrange(0, 30))), d) for k, d in enumerate(rng.choices("xy", [3, 1], k=120))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    bucket = lambda w: signed(xxhash.xxh64_intdigest(w, 42)) % mixing.BUCKETS
+    fitted = [r for r in rows if spark.range(1).select(F.pmod(F.xxhash64(F.lit(r[0]).cast("long"), F.lit(1)), F.lit(5))).first()[0] != 0]
+    counts = {d: Counter(bucket(w) for _, t, e in fitted if e == d for w in t.split()) for d in "xy"}
+    prior = {d: math.log(sum(e == d for *_, e in fitted) / len(fitted)) for d in "xy"}
+    weight = {}
+    for b in {b for c in counts.values() for b in c}:
+        logs = {d: math.log((counts[d][b] + 0.5) / (sum(counts[d].values()) + 0.5 * mixing.BUCKETS)) for d in "xy"}
+        weight[b] = {d: logs[d] - sum(logs.values()) / 2 for d in "xy"}
+    p, n = [], []
+    for _, t, _ in rows:
+        words = t.split()
+        logs = [prior[d] + min(1, 4 / max(1, len(words))) * sum(weight.get(bucket(w), {d: 0})[d] for w in words) for d in "xy"]
+        e = np.exp(np.array(logs) - max(logs))
+        p.append(e / e.sum())
+        n.append(len(words))
+    got = {r.doc_id: r for r in mixing.posteriors(df, df, evidence=4)[0].collect()}
+    assert all(np.allclose(got[k].p, p[k]) and got[k].n_tokens == n[k] for k in got)
+    p, n = np.array(p), np.array(n)
+    target, now = np.array([0.4, 0.6]) * n.sum(), n @ p
+    unit = np.sqrt(now)
+    m = (p * n[:, None]).T @ p / unit[:, None] / unit
+    bound, rate = np.abs(m).sum(1).max(), np.ones(len(p))
+    for _ in range(mixing.STEPS):
+        miss = ((rate * n) @ p - target) / unit
+        if (np.abs(miss * unit) / target).max() <= mixing.TOLERANCE:
+            break
+        rate = np.maximum(0, rate - p @ (miss / unit / bound))
+    mixed = {r.doc_id: r for r in mixing.soft_mix(df, df, {"x": 0.4, "y": 0.6}, evidence=4).collect()}
+    assert all(abs(mixed[k].rate - rate[k]) < 1e-6 for k in mixed)
+    # the evidence is the one with the least loss on rows kept out of the fit
+    assert mixing.posteriors(df, df)[1] == ["x", "y"]
+    with pytest.raises(ArithmeticError):
+        mixing.soft_mix(df, df, {"x": 0.4, "y": 0.6}, steps=1, evidence=4)
+
+
 # ---- pipeline
 
 
