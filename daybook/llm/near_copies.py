@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.common import LOWER_AZ, distinct, portions, whole_text, written
+from daybook.llm.common import LOWER_AZ, discard, distinct, portions, whole_text, written
 from daybook.llm.graph import components
 from daybook.llm.simhash import links as simhash_links
 
@@ -19,6 +19,8 @@ SHINGLE, SEED, DISTANCE = 5, 42, 4
 SIMILAR, OF = 4, 5
 #: Counters of how common shingles are; bytes of texts that one numpy pass takes, about.
 COUNTERS, PASS_BYTES = 1 << 16, 1 << 20
+#: Ids that a join broadcasts at most; more are shuffled.
+BROADCAST_IDS = 1_000_000
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -118,8 +120,10 @@ def _members(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(run, "doc_id long, node long, n long, fp long, prefix array<long>")
 
 
-def _sets_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, asked: DataFrame, repeats: bool) -> DataFrame:
     """(node, s): the shingles of the asked (first, node), from the text of the document `first`."""
+    few = asked.count() <= BROADCAST_IDS
+    sent = F.broadcast if few else lambda df: df
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, hashes, ends in _passes(batches, 1):
@@ -127,19 +131,23 @@ def _sets_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
             nodes = [xxhash.xxh3_64_intdigest(hashes[a:b].tobytes()) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), sets], ["node", "s"])
 
-    rows = _texts(docs).join(asked.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    # rows may repeat a doc_id with other texts
-    return rows.mapInArrow(run, "node long, s array<long>").join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    rows = _texts(docs).join(sent(asked.select(F.col("first").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    # rows may repeat a doc_id, with this text or another
+    sets = rows.mapInArrow(run, "node long, s array<long>").join(sent(asked.select("node")), "node", "left_semi")
+    return sets.dropDuplicates(["node"]) if repeats else sets
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, repeats: bool) -> DataFrame:
     """Those of pairs (a, b) whose sets are similar enough."""
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    have = written(_sets_of(docs, nodes.join(ends, "node", "left_semi").select("node", "first")))
+    asked = written(nodes.select("node", "first").join(ends, "node", "left_semi"))
+    have = written(_sets_of(docs, asked, repeats))
     both = pairs.join(have.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(have.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"), (F.size("sa") + F.size("sb")).cast("long").alias("total"))
-    return written(shared.filter(F.col("shared") * OF >= (F.col("total") - F.col("shared")) * SIMILAR).select("a", "b"))
+    found = written(shared.filter(F.col("shared") * OF >= (F.col("total") - F.col("shared")) * SIMILAR).select("a", "b"))
+    discard(pairs, asked, have)
+    return found
 
 
 def _enough(n: Column, place: Column, other_n: Column, other_place: Column) -> Column:
@@ -170,8 +178,8 @@ def _near(met: DataFrame) -> DataFrame:
     return near.select(F.col("node").alias("a"), F.col("leader.node").alias("b"))
 
 
-def near_components(nodes: DataFrame, docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(node, root) of the sets that links of enough similarity join, root the least of them. nodes: (node, first, n, fp, prefix).
+def near_components(nodes: DataFrame, docs: DataFrame, repeats: bool, distance: int = DISTANCE) -> DataFrame:
+    """(node, root) of the sets that links of enough similarity join, root the least of them. nodes: (node, first, n, fp, prefix); repeats: whether rows may repeat a doc_id.
 
     SimHash's links come first, and the pairs of every set with two leaders of each shingle of its prefix: verified, they join most of a
     group of near copies at a few pairs a set. Two similar sets share a shingle of their prefixes, so at last every pair that
@@ -183,12 +191,13 @@ def near_components(nodes: DataFrame, docs: DataFrame, distance: int = DISTANCE)
     tokens = written(every.join(shared, "token", "left_semi"))
     rows, mixed = _placed(tokens, None)
     led = rows.join(mixed.select("token", F.explode(F.array("one", "other")).alias("leader")), "token")
-    links = _verified(_simhash_pairs(nodes, distance).unionByName(_near(led)), nodes, docs)
+    links = _verified(_simhash_pairs(nodes, distance).unionByName(_near(led)), nodes, docs, repeats)
     placed = written(components(links))
     rows, mixed = _placed(tokens, placed)
     mine = written(rows.join(mixed.select("token"), "token", "left_semi"))
     met = mine.join(mine.select("token", F.struct("node", "n", "place", "root").alias("leader")), "token").filter(F.col("node") < F.col("leader.node"))
-    more = _verified(_near(met), nodes, docs)
+    more = _verified(_near(met), nodes, docs, repeats)
+    discard(tokens, mine)
     if more.isEmpty():
         return placed
     return components(placed.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
@@ -202,7 +211,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     Other columns are ignored. No rows give no rows.
     """
     found = written(_members(docs))
+    repeats = not found.groupBy("doc_id").count().filter("count > 1").isEmpty()
     nodes = written(found.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix", ignorenulls=True).alias("prefix")))
-    rooted = written(nodes.select("node", "first").join(near_components(nodes, docs), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
+    rooted = written(nodes.select("node", "first").join(near_components(nodes, docs, repeats), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return found.select("doc_id", "node").join(rooted.join(firsts, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
