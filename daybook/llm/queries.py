@@ -126,15 +126,15 @@ def _op8_sql() -> str:
     values = ", ".join(f"({k}, '{label}', {str(base).lower()}, string_split('{phrase}', ' '))" for k, label, base, phrase in phrases)
     return f"""
 WITH p(template, label, is_base, phrase) AS (VALUES {values}),
-tp AS (SELECT template, at, phrase[at + 1] AS a, phrase[at + 2] AS b FROM (SELECT *, unnest(range(0, len(phrase) - 1)) AS at FROM p)),
+tp AS (SELECT template, k, phrase[k + 1] AS a, phrase[k + 2] AS b FROM (SELECT *, unnest(range(0, len(phrase) - 1)) AS k FROM p)),
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 dw AS (SELECT doc_id, pos, w[pos + 1] AS a, w[pos + 2] AS b FROM (SELECT *, unnest(range(0, len(w) - 1)) AS pos FROM d)),
-h AS (SELECT DISTINCT doc_id, template, at, pos, pos - at AS g FROM dw JOIN tp USING (a, b)),
-v AS (SELECT doc_id, template, g, count(DISTINCT at) AS votes, min(pos) AS first FROM h GROUP BY ALL),
+h AS (SELECT DISTINCT doc_id, template, k, pos, pos - k AS g FROM dw JOIN tp USING (a, b)),
+v AS (SELECT doc_id, template, g, count(DISTINCT k) AS votes, min(pos) AS first FROM h GROUP BY ALL),
 r AS (SELECT *, coalesce(sum(apart) OVER (PARTITION BY doc_id, template ORDER BY g ROWS UNBOUNDED PRECEDING), 0) AS run
       FROM (SELECT *, CASE WHEN g - lag(g) OVER (PARTITION BY doc_id, template ORDER BY g) > {DRIFT} THEN 1 ELSE 0 END AS apart FROM v)),
 base AS (SELECT doc_id, label, g FROM r JOIN p USING (template) WHERE is_base AND votes = len(phrase) - 1),
-m AS (SELECT r.doc_id, r.template, r.run, count(DISTINCT h.at) AS covered, min(r.first) AS first, list(DISTINCT r.g) AS along FROM r JOIN h ON h.doc_id = r.doc_id AND h.template = r.template AND h.g = r.g GROUP BY ALL),
+m AS (SELECT r.doc_id, r.template, r.run, count(DISTINCT h.k) AS covered, min(r.first) AS first, list(DISTINCT r.g) AS along FROM r JOIN h ON h.doc_id = r.doc_id AND h.template = r.template AND h.g = r.g GROUP BY ALL),
 notice AS (SELECT m.doc_id, label, first, CAST(covered AS DOUBLE) / (len(phrase) - 1) AS cover FROM m JOIN p USING (template) JOIN d ON d.doc_id = m.doc_id
   WHERE NOT is_base AND covered >= {COVER} * (len(phrase) - 1) AND len(list_filter(range(0, len(phrase)), lambda i: len(list_filter(along, lambda x: x + i >= 0 AND w[x + i + 1] = phrase[i + 1])) > 0)) >= {COVER} * len(phrase)),
 b AS (SELECT doc_id, count(*) AS n, min(g) AS lo, max(g) AS hi, list(DISTINCT label) AS labels FROM base GROUP BY doc_id),
