@@ -9,10 +9,14 @@ import numpy as np
 import pandas as pd
 
 
-def first_words_llm(prompts: pd.Series) -> pd.Series:
-    """A digest whose summary is the prompt's first words, with text around the JSON as models have it."""
-    made = prompts.map(lambda p: {"summary": " ".join(p.split()[:6]), "events": [p.split("\n")[-1][:20]], "agreements": [], "tasks": [f"слов {len(p.split())}"], "ideas": [], "mood": "ровно"})
-    return made.map(lambda d: "Вот ответ: " + json.dumps(d, ensure_ascii=False) + " конец")
+def first_words_llm(requests: pd.DataFrame) -> pd.Series:
+    """A digest whose summary is the prompt's first words and whose mood is what was asked for, with text around the JSON as models have it."""
+
+    def one(system: str, prompt: str, max_tokens: int, temperature: float) -> str:
+        d = {"summary": " ".join(prompt.split()[:6]), "events": [prompt.split("\n")[-1][:20]], "agreements": [], "tasks": [f"слов {len(prompt.split())}"], "ideas": [], "mood": f"{len(system)} {max_tokens} {temperature:.1f}"}
+        return "Вот ответ: " + json.dumps(d, ensure_ascii=False) + " конец"
+
+    return pd.Series([one(*r) for r in zip(requests["system"], requests["prompt"], requests["max_tokens"], requests["temperature"], strict=True)], dtype=object)
 
 
 def hash_embedder(texts: pd.Series) -> pd.Series:
@@ -28,6 +32,7 @@ def hash_embedder(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-def citing_llm(prompts: pd.Series) -> pd.Series:
-    """Answers that cite the first source, if there is one."""
-    return prompts.map(lambda p: "Ответ [1]." if "\n[1] (" in p else "В дневнике этого не нашлось.")
+def citing_llm(requests: pd.DataFrame) -> pd.Series:
+    """Answers that cite the first source, if there is one, and name what was asked for."""
+    asked = requests["system"].map(len).astype(str) + " " + requests["max_tokens"].astype(str) + " " + requests["temperature"].map("{:.1f}".format)
+    return requests["prompt"].map(lambda p: "Ответ [1]. " if "\n[1] (" in p else "В дневнике этого не нашлось. ") + asked

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,37 +18,62 @@ TARGET_WORDS, MAX_WORDS = 180, 280
 _DRAFT = "owner_id string, day string, kind string, start_ms long, end_ms long, text string, ord long"
 
 
-def _packed(frame: pd.DataFrame, target: int, most: int) -> pd.DataFrame:
-    """Chunks of one local hour. A chunk is closed as soon as it has the target, or before a part that would exceed the most."""
-    frame = frame.sort_values(["start_ms", "id"], kind="stable")
-    done: list[tuple[int, int, list[str]]] = []
-    lines: list[str] = []
-    held, begin, end = 0, 0, 0
-    for start_ms, end_ms, stamp, text in zip(frame["start_ms"], frame["end_ms"], frame["stamp"], frame["text"], strict=True):
-        found = text.split() if isinstance(text, str) else []
-        for at in range(0, len(found), most):
-            part = found[at : at + most]
-            if held and held + len(part) > most:
-                done.append((begin, end, lines))
-                lines, held = [], 0
-            if not lines:
-                begin = start_ms
-            lines.append(f"[{stamp}] {' '.join(part)}")
-            held, end = held + len(part), end_ms
-            if held >= target:
-                done.append((begin, end, lines))
-                lines, held = [], 0
-    if lines:
-        done.append((begin, end, lines))
-    owner, day = frame["owner_id"].iloc[0], frame["day"].iloc[0]
-    rows = [(owner, day, TRANSCRIPT, a, b, "\n".join(text), k) for k, (a, b, text) in enumerate(done)]
-    return pd.DataFrame(rows, columns=["owner_id", "day", "kind", "start_ms", "end_ms", "text", "ord"])
+class _Hour:
+    """Chunks of one local hour, line by line. A chunk is closed as soon as it has the target, or before a part that would exceed the most."""
+
+    def __init__(self, key: tuple, target: int, most: int) -> None:
+        self.key, self.target, self.most = key, target, most
+        self.done: list[tuple] = []
+        self.lines: list[str] = []
+        self.held = self.begin = self.end = 0
+
+    def add(self, start_ms: int, end_ms: int, stamp: str, text: str | None) -> None:
+        found = (text or "").split()
+        for at in range(0, len(found), self.most):
+            part = found[at : at + self.most]
+            if self.held and self.held + len(part) > self.most:
+                self.close()
+            if not self.lines:
+                self.begin = start_ms
+            self.lines.append(f"[{stamp}] {' '.join(part)}")
+            self.held, self.end = self.held + len(part), end_ms
+            if self.held >= self.target:
+                self.close()
+
+    def close(self) -> None:
+        if self.lines:
+            self.done.append((*self.key[:2], TRANSCRIPT, self.begin, self.end, "\n".join(self.lines), len(self.done)))
+        self.lines, self.held = [], 0
 
 
 def chunk_transcripts(transcripts: DataFrame, zone: str | Column, target: int = TARGET_WORDS, most: int = MAX_WORDS) -> DataFrame:
-    """Drafts (owner_id, day, kind, start_ms, end_ms, text, ord) of each owner's local hours. An hour of speech bounds a group."""
-    rows = transcripts.select("owner_id", "day", "id", "start_ms", "end_ms", "text", hhmm(F.col("start_ms"), zone).alias("stamp"), hour_start(F.col("start_ms"), zone).alias("hour_ms"))
-    return rows.groupBy("owner_id", "day", "hour_ms").applyInPandas(lambda frame: _packed(frame, target, most), _DRAFT)
+    """Drafts (owner_id, day, kind, start_ms, end_ms, text, ord) of each owner's local hours. Hours are dealt over tasks; a task goes through
+    its sorted rows and holds the chunks of one hour."""
+    rows = transcripts.select("owner_id", "day", hour_start(F.col("start_ms"), zone).alias("hour_ms"), "start_ms", "id", "end_ms", hhmm(F.col("start_ms"), zone).alias("stamp"), "text")
+    names = [x.split()[0] for x in _DRAFT.split(", ")]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+
+    def made(done: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*done, strict=True)) or [()] * len(kinds), kinds, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hour = None
+        for batch in batches:
+            out: list[tuple] = []
+            for owner, day, hour_ms, start_ms, _, end_ms, stamp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if hour is None or hour.key != (owner, day, hour_ms):
+                    if hour is not None:
+                        hour.close()
+                        out += hour.done
+                    hour = _Hour((owner, day, hour_ms), target, most)
+                hour.add(start_ms, end_ms, stamp, text)
+            yield made(out)
+        if hour is not None:
+            hour.close()
+            yield made(hour.done)
+
+    keys = ["owner_id", "day", "hour_ms"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "start_ms", "id").mapInArrow(run, _DRAFT)
 
 
 def chunk_digests(summaries: DataFrame, zone: str | Column) -> DataFrame:

@@ -15,6 +15,11 @@ from daybook.schemas import DAY, HOUR
 #: Tokens a hit costs besides its text; tokens at which no more hits are taken; those kept for the answer and as reserve.
 HIT_COST, STOP_AT, ANSWER_TOKENS, RESERVE = 30, 50, 600, 64
 NOTHING = "(ничего не найдено)\n"
+#: What the model is told before every question, and how freely it answers.
+SYSTEM = """Ты — помощник по личному дневнику пользователя. Дневник — это автоматическая расшифровка разговоров вокруг пользователя (без пунктуации, возможны ошибки распознавания, говорящие не подписаны) и сводки по часам и дням.
+Отвечай по-русски, коротко и по делу, только на основе фрагментов из вопроса. После каждого факта ставь ссылку на фрагмент в квадратных скобках, например [2].
+Если во фрагментах нет ответа — прямо скажи, что в дневнике этого не нашлось. Ничего не выдумывай. Не пересказывай фрагменты целиком."""
+TEMPERATURE = 0.3
 
 
 def source_labels(chunks: DataFrame, zone: str | Column) -> DataFrame:
@@ -68,9 +73,10 @@ def answer_budget(context: int, system_tokens: int) -> int:
     return context - ANSWER_TOKENS - system_tokens - RESERVE
 
 
-def answer_questions(contexts: DataFrame, fn: Callable[[pd.Series], pd.Series]) -> DataFrame:
-    """contexts with answer: fn takes prompts and gives texts."""
-    return contexts.withColumn("answer", F.pandas_udf(fn, "string")("user_prompt"))
+def answer_questions(contexts: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], system: str = SYSTEM, max_tokens: int = ANSWER_TOKENS, temperature: float = TEMPERATURE) -> DataFrame:
+    """contexts with answer: fn takes frames of requests (system, prompt, max_tokens, temperature) and gives texts."""
+    request = F.struct(F.lit(system).alias("system"), F.col("user_prompt").alias("prompt"), F.lit(max_tokens).alias("max_tokens"), F.lit(float(temperature)).alias("temperature"))
+    return contexts.withColumn("answer", F.pandas_udf(fn, "string")(request))
 
 
 def extract_citations(answer: Column) -> Column:

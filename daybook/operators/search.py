@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from daybook.functions.textops import stems
 from daybook.operators.chunks import newest_first
 from daybook.schemas import DAY
+from daybook.sources.shared import cut
 
 KEYWORD_HITS, RANKED, LIMIT, RRF_K, DIGEST_DAYS, NARROW = 200, 30, 12, 60, 14, 3
 #: Bytes of question vectors that one pass over the chunks takes to every task.
@@ -65,6 +66,8 @@ def vector_search(questions: DataFrame, chunks: DataFrame, model: str, top: int
     rows = chunks.filter(F.col("vector").isNotNull() & (F.col("model") == model)).select("owner_id", F.col("id").alias("chunk_id"), "day", F.col("vector.scale").alias("scale"), F.col("vector.q").alias("q"))
     size = asked.agg(F.coalesce(F.sum(F.size("vec") * 8), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES))
+    if blocks > 1:
+        asked = cut(asked)  # each pass reads its block
     found = None
     for block in range(blocks):
         mine = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).toPandas()

@@ -6,9 +6,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from daybook.operators.ordered import since_mark, with_previous
+
 FRAME_MS = 32
 
 
@@ -138,31 +141,75 @@ def islands_of(runs: DataFrame, cfg: SegmenterConfig) -> DataFrame:
 def segment_speech(frames: DataFrame, cfg: SegmenterConfig | None = None) -> DataFrame:
     """Segments (owner_id, start_ms, n_frames, speech_ms, split_by_max, close_ms, dropped) of frames (owner_id, frame_start_ms, prob, n_samples).
 
-    Frames of another size than 512 are skipped. Python sees runs, in islands that a long silence separates.
+    Frames of another size than 512 are skipped. Python sees runs, in islands that a long silence separates: islands are dealt
+    over tasks, and a task steps through its sorted runs batch by batch, holding the state of one island.
     """
     cfg = cfg or SegmenterConfig()
+    names = [x.split()[0] for x in SEGMENTS.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_()]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, here, last = None, None, 0
+        for batch in batches:
+            out: list[tuple] = []
+            for owner, island, kind, first_ms, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if machine is None or here != (owner, island):
+                    if machine is not None:
+                        out += [(here[0], *x) for x in machine.flush(last)]
+                    machine, here = Machine(cfg), (owner, island)
+                out += [(owner, *x) for x in machine.feed(kind, first_ms, n)]
+                last = first_ms + (n - 1) * FRAME_MS
+            yield made(out)
+        if machine is not None:
+            yield made([(here[0], *x) for x in machine.flush(last)])
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("first_ms", kind="stable")
-        machine, out = Machine(cfg), []
-        for kind, first_ms, n in zip(frame["kind"], frame["first_ms"], frame["n"], strict=True):
-            out += machine.feed(kind, first_ms, n)
-        last = frame.iloc[-1]
-        out += machine.flush(int(last["first_ms"] + (last["n"] - 1) * FRAME_MS))
-        rows = pd.DataFrame(out, columns=["start_ms", "n_frames", "speech_ms", "split_by_max", "close_ms", "dropped"])
-        rows.insert(0, "owner_id", frame["owner_id"].iloc[0])
-        return rows
+    rows = islands_of(runs_of(frames, cfg), cfg).select("owner_id", "island", "kind", "first_ms", "n")
+    return rows.repartition("owner_id", "island").sortWithinPartitions("owner_id", "island", "first_ms").mapInArrow(run, SEGMENTS)
 
-    return islands_of(runs_of(frames, cfg), cfg).groupBy("owner_id", "island").applyInPandas(run, SEGMENTS)
 
+#: A gap in time from which an owner's frames are a new session, and the longest stretch of one that a model sees at once.
+SESSION_GAP_MS, STRETCH_FRAMES = 60_000, 20_000
 
-def score_frames(frames: DataFrame, fn: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
-    """frames with prob: fn gets an owner's frames of a session in order, as its model may be recurrent."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("frame_start_ms", kind="stable")
-        return frame.assign(prob=fn(frame).astype(float).to_numpy())
+def score_frames(frames: DataFrame, fn: Callable[[pd.DataFrame, object], tuple[pd.Series, object]], gap_ms: int = SESSION_GAP_MS, stretch: int = STRETCH_FRAMES) -> DataFrame:
+    """frames with prob: fn(frames of a session in order, state) gives their probabilities and the state to go on with; the state is None at a session's start.
 
+    A session ends where frames are more than `gap_ms` apart, or where the column session, if there is one, changes. Sessions are dealt over
+    tasks; fn gets stretches of `stretch` frames at most, so a session of any length runs through bounded memory.
+    """
+    base = frames.drop("prob")
+    if "session" in base.columns:
+        session = F.struct("session")
+    else:
+        base = with_previous(base, ["frame_start_ms"], ["frame_start_ms"])
+        opens = F.coalesce(F.col("frame_start_ms") - F.col("previous.frame_start_ms") > gap_ms, F.lit(True))
+        base = since_mark(base.withColumn("opens", opens), "opens", "frame_start_ms", "session_ms").drop("previous", "opens")
+        session = F.struct("session_ms")
+    rows = base.withColumn("_session", session)
+    names = frames.drop("prob").columns
     schema = frames.drop("prob").schema.add("prob", "double")
-    keys = ["owner_id"] + (["session"] if "session" in frames.columns else [])
-    return frames.drop("prob").groupBy(*keys).applyInPandas(run, schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, state = None, None
+        for batch in batches:
+            keys = [(o, *s) for o, s in zip(batch["owner_id"], map(_values, batch["_session"]), strict=True)]
+            cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if keys[a] != here:
+                    here, state = keys[a], None
+                for at in range(a, b, stretch):
+                    part = batch.iloc[at : min(b, at + stretch)].reset_index(drop=True)
+                    prob, state = fn(part[names], state)
+                    yield part[names].assign(prob=prob.astype(float).to_numpy())
+
+    return rows.repartition("owner_id", "_session").sortWithinPartitions("owner_id", "_session", "frame_start_ms").mapInPandas(run, schema)
+
+
+def _values(row: object) -> tuple:
+    return tuple(row.values()) if isinstance(row, dict) else tuple(row)

@@ -107,7 +107,11 @@ def pack_lines(df: DataFrame, keys: list[str], order: list[str], text: str, budg
     return df.select(*dict.fromkeys([*keys, *order, text])).groupBy(*keys).applyInPandas(pack, schema)
 
 
-#: The texts around the lines and digests of a prompt.
+#: What the model is told before every prompt, and the texts around the lines and digests of a prompt.
+SYSTEM = """Ты ведёшь личный дневник владельца телефона. Тебе дают автоматическую расшифровку его разговоров за период:
+текст без пунктуации, с ошибками распознавания; рядом могут говорить другие люди, телевизор или радио.
+Составь краткую точную выжимку на русском языке. Не выдумывай ничего, чего нет в тексте. Имена, числа, даты
+и сроки переноси точно. Если для категории ничего нет — пустой список. Отвечай только JSON."""
 FIELDS = """Поля JSON:
 summary — 2–4 предложения: что происходило;
 events — события и встречи (с временем, если понятно);
@@ -134,10 +138,19 @@ def merge_prompt(label: Column, parts: Column, day: bool) -> Column:
     return F.concat(head, F.array_join(parts, "\n"), F.lit(f"\n\n{FIELDS}"))
 
 
-def complete(prompts: DataFrame, fn: Callable[[pd.Series], pd.Series], partitions: int | None = None) -> DataFrame:
-    """prompts with raw: fn takes prompts and gives the model's texts. Prompts are dealt out by count, as calls take seconds each."""
+#: Tokens that a model may put out for a period, and for a day, which merges many.
+HOUR_TOKENS, DAY_TOKENS = 700, 1400
+
+
+def complete(prompts: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], partitions: int | None = None, system: str = SYSTEM, max_tokens: Column | int = HOUR_TOKENS, temperature: float = 0.0) -> DataFrame:
+    """prompts with raw: fn takes frames of requests (system, prompt, max_tokens, temperature) and gives the model's texts.
+
+    Prompts are dealt out by count, as calls take seconds each.
+    """
     rows = prompts.repartition(partitions) if partitions else prompts
-    return rows.withColumn("raw", F.pandas_udf(fn, "string")("prompt"))
+    limit = F.lit(max_tokens) if isinstance(max_tokens, int) else max_tokens
+    request = F.struct(F.lit(system).alias("system"), F.col("prompt").alias("prompt"), limit.cast("int").alias("max_tokens"), F.lit(float(temperature)).alias("temperature"))
+    return rows.withColumn("raw", F.pandas_udf(fn, "string")(request))
 
 
 def fallback_day(hours: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.functions.timeutil import hour_start
+from daybook.operators.ordered import HOUR_MS, running_sums, with_previous
 
 SILENCE_DB, RATE = -96.0, 16_000
 
@@ -44,22 +45,28 @@ def coverage_alerts(windows: DataFrame, least: float = 0.95) -> DataFrame:
 
 def state_changes(df: DataFrame, columns: tuple[str, ...] = ("screen_on", "silenced")) -> DataFrame:
     """Rows where one of the columns differs from the owner's row before."""
-    w = Window.partitionBy("owner_id").orderBy("frame_start_ms", "frame_no")
+    rows = with_previous(df, ["frame_no", *columns], ["frame_start_ms", "frame_no"])
     changed = F.lit(False)
     for c in columns:
-        changed = changed | (F.lag("frame_no").over(w).isNotNull() & ~F.col(c).eqNullSafe(F.lag(c).over(w)))
-    return df.withColumn("_c", changed).filter("_c").drop("_c")
+        changed = changed | ~F.col(c).eqNullSafe(F.col(f"previous.{c}"))
+    return rows.filter(F.col("previous").isNotNull() & changed).drop("previous")
 
 
 def silence_runs(df: DataFrame, min_ms: int = 10_000) -> DataFrame:
-    """(owner_id, start_ms, end_ms, n_frames, alarm): runs of frames that the system silenced or that are at the floor; one alarm a run."""
-    w = Window.partitionBy("owner_id").orderBy("frame_start_ms", "frame_no")
-    silent = F.col("silenced") | (F.col("dbfs") <= SILENCE_DB)
-    marked = df.select("owner_id", "frame_no", "frame_start_ms", "n_samples", silent.alias("silent"))
-    marked = marked.withColumn("new", (~F.col("silent").eqNullSafe(F.lag("silent").over(w))).cast("int"))
-    marked = marked.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("silent")
-    runs = marked.groupBy("owner_id", "island").agg(F.min("frame_start_ms").alias("start_ms"), F.max(F.col("frame_start_ms") + F.floor(F.col("n_samples") * 1000 / RATE)).alias("end_ms"), F.count("*").alias("n_frames"))
-    return runs.select("owner_id", "start_ms", "end_ms", "n_frames", (F.col("end_ms") - F.col("start_ms") > min_ms).alias("alarm"))
+    """(owner_id, start_ms, end_ms, n_frames, alarm): runs of frames that the system silenced or that are at the floor; one alarm a run.
+
+    Runs are found hour by hour, the loud ones too; then equal neighbours are joined, one row a run and hour.
+    """
+    silent = F.coalesce(F.col("silenced") | (F.col("dbfs") <= SILENCE_DB), F.lit(False))
+    end = F.col("frame_start_ms") + F.floor(F.col("n_samples") * 1000 / RATE)
+    rows = df.select("owner_id", "frame_no", "frame_start_ms", end.alias("end_ms"), silent.alias("silent"), F.floor(F.col("frame_start_ms") / HOUR_MS).alias("hour"))
+    w = Window.partitionBy("owner_id", "hour").orderBy("frame_start_ms", "frame_no")
+    marked = rows.withColumn("new", (~F.col("silent").eqNullSafe(F.lag("silent").over(w))).cast("int")).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = marked.groupBy("owner_id", "hour", "run").agg(F.first("silent").alias("silent"), F.min("frame_start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_frames"))
+    along = Window.partitionBy("owner_id").orderBy("hour", "run")
+    joined = runs.withColumn("new", (~F.col("silent").eqNullSafe(F.lag("silent").over(along))).cast("int")).withColumn("island", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0))).filter("silent")
+    found = joined.groupBy("owner_id", "island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.sum("n_frames").alias("n_frames"))
+    return found.select("owner_id", "start_ms", "end_ms", "n_frames", (F.col("end_ms") - F.col("start_ms") > min_ms).alias("alarm"))
 
 
 def hourly_speech(frames: DataFrame, segments: DataFrame, zone: str | Column, rate: int = RATE) -> DataFrame:
@@ -77,6 +84,5 @@ def hourly_speech(frames: DataFrame, segments: DataFrame, zone: str | Column, ra
 
 
 def session_totals(segments: DataFrame) -> DataFrame:
-    """segments with running totals of speech and segments of the owner."""
-    w = Window.partitionBy("owner_id").orderBy("start_ms").rowsBetween(Window.unboundedPreceding, 0)
-    return segments.withColumn("total_speech_ms", F.sum(F.col("n_frames") * 32).over(w)).withColumn("total_segments", F.count("*").over(w))
+    """segments with running totals of speech and segments of the owner: within days, plus the days before."""
+    return running_sums(segments, "start_ms", {"total_speech_ms": F.col("n_frames") * 32, "total_segments": F.lit(1)})

@@ -10,20 +10,20 @@ from pyspark.sql import functions as F
 
 from daybook.functions.timeutil import day_label, hhmm
 from daybook.operators.digests import digest_to_json, empty_digest, is_empty, parse_digests, repair_digests
-from daybook.operators.summaries import complete, count_words, fallback_day, hour_lines, map_prompts, merge_prompt, pack_lines, plan_summaries
+from daybook.operators.summaries import DAY_TOKENS, HOUR_TOKENS, complete, count_words, fallback_day, hour_lines, map_prompts, merge_prompt, pack_lines, plan_summaries
 from daybook.schemas import DAY, HOUR, HOUR_MS
 from daybook.sources.shared import cut
 
-Llm = Callable[[pd.Series], pd.Series]
-HOUR_TOKENS, DAY_TOKENS, RESERVE, LEAST = 700, 1400, 400, 512
+Llm = Callable[[pd.DataFrame], pd.Series]
+RESERVE, LEAST = 400, 512
 
 
 def input_budget(context: int, system_tokens: int) -> int:
     return max(LEAST, context - DAY_TOKENS - system_tokens - RESERVE)
 
 
-def _digests(prompts: DataFrame, fn: Llm) -> DataFrame:
-    return repair_digests(parse_digests(cut(complete(prompts, fn)), "raw"), "raw")
+def _digests(prompts: DataFrame, fn: Llm, max_tokens: Column | int = HOUR_TOKENS) -> DataFrame:
+    return repair_digests(parse_digests(cut(complete(prompts, fn, max_tokens=max_tokens)), "raw"), "raw")
 
 
 def reduce_digests(items: DataFrame, keys: list[str], fn: Llm, budget: int, day: bool, count: Callable[[list[str]], list[int]] = count_words) -> DataFrame:
@@ -43,7 +43,7 @@ def reduce_digests(items: DataFrame, keys: list[str], fn: Llm, budget: int, day:
         last = F.col("n_packs") == 1
         part_label = F.concat("label", F.lit(", группа "), (F.col("pack_no") + 1).cast("string"))
         prompt = F.when(last, merge_prompt(F.col("label"), F.col("parts"), day)).otherwise(merge_prompt(part_label, F.col("parts"), False))
-        merged = cut(_digests(groups.select(*keys, "pack_no", "n_packs", "label", prompt.alias("prompt")), fn))
+        merged = cut(_digests(groups.select(*keys, "pack_no", "n_packs", "label", prompt.alias("prompt")), fn, F.when(last, DAY_TOKENS if day else HOUR_TOKENS).otherwise(HOUR_TOKENS)))
         ready = merged.filter("n_packs = 1").select(*keys, "digest")
         done = ready if done is None else done.unionByName(ready)
         more = merged.filter("n_packs > 1")

@@ -107,9 +107,9 @@ def repair_digests(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("owner_id", "day", "period_start_ms", "parse_error", F.col("digest.summary").alias("summary"), joined("digest.events").alias("events"), joined("digest.tasks").alias("tasks"), F.col("digest.mood").alias("mood"))
 
 
-@query(f"WITH {S} SELECT owner_id, day, period_start_ms, json AS round FROM s WHERE kind = 'DAY'")
+@query(f"""WITH {_D} SELECT owner_id, day, period_start_ms, CAST(to_json({{'summary': summary, 'events': events, 'agreements': CAST([] AS VARCHAR[]), 'tasks': tasks, 'ideas': CAST([] AS VARCHAR[]), 'mood': mood}}) AS VARCHAR) AS round FROM d""")
 def digest_to_json(spark: SparkSession, sf: str) -> DataFrame:
-    d = digests.parse_digests(fixtures.summaries(spark, sf).filter("kind = 'DAY'"))
+    d = digests.parse_digests(fixtures.summaries(spark, sf)).filter("digest IS NOT NULL")
     return d.select("owner_id", "day", "period_start_ms", digests.digest_to_json(F.col("digest")).alias("round"))
 
 
@@ -180,12 +180,26 @@ def pack_lines(spark: SparkSession, sf: str) -> DataFrame:
     return _packs(spark, sf)
 
 
-@query()
+_PACKS = f"""RECURSIVE {_HOUR_LINES}, hc AS MATERIALIZED (SELECT *, len(list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '')) + 1 AS cost FROM hl),
+pk AS (SELECT owner_id, day, hour_ms, line, i, cost AS used, CAST(0 AS BIGINT) AS pack_no FROM hc WHERE i = 1
+  UNION ALL SELECT hc.owner_id, hc.day, hc.hour_ms, hc.line, hc.i, CASE WHEN pk.used + hc.cost > 400 THEN hc.cost ELSE pk.used + hc.cost END, pk.pack_no + CASE WHEN pk.used + hc.cost > 400 THEN 1 ELSE 0 END
+  FROM pk JOIN hc ON hc.owner_id = pk.owner_id AND hc.hour_ms = pk.hour_ms AND hc.i = pk.i + 1),
+pp AS (SELECT owner_id, day, hour_ms AS period_start_ms, pack_no, string_agg(line, chr(10) ORDER BY i) AS lines, count(*) OVER (PARTITION BY owner_id, hour_ms) AS n_packs FROM pk GROUP BY owner_id, day, hour_ms, pack_no),
+mp AS (SELECT owner_id, day, period_start_ms, pack_no, n_packs, 'Период: ' || day || CASE WHEN n_packs > 1 THEN ', часть ' || (pack_no + 1) || ' из ' || n_packs ELSE '' END || '.' || chr(10) || '{summaries.MAP_HEAD}' || chr(10) || lines || chr(10) || chr(10) || '{summaries.FIELDS}' AS prompt FROM pp)"""
+
+
+@query(f"WITH {_PACKS} SELECT * FROM mp")
 def map_prompts(spark: SparkSession, sf: str) -> DataFrame:
     return summaries.map_prompts(_packs(spark, sf), ["owner_id", "day", "period_start_ms"], F.col("day"))
 
 
-@query()
+_SPACED = "list_filter(regexp_split_to_array({}, '\\s+'), lambda x: x <> '')"
+#: What models.first_words_llm makes of a prompt.
+_SAID = f"""'Вот ответ: {{"summary": ' || CAST(to_json(array_to_string(list_slice({_SPACED.format("prompt")}, 1, 6), ' ')) AS VARCHAR) || ', "events": [' || CAST(to_json(left(list_extract(string_split(prompt, chr(10)), -1), 20)) AS VARCHAR)
+  || '], "agreements": [], "tasks": ["слов ' || len({_SPACED.format("prompt")}) || '"], "ideas": [], "mood": "{len(summaries.SYSTEM)} {summaries.HOUR_TOKENS} 0.0"}} конец'"""
+
+
+@query(f"WITH {_PACKS} SELECT *, {_SAID} AS raw FROM mp")
 def complete(spark: SparkSession, sf: str) -> DataFrame:
     return summaries.complete(map_prompts(spark, sf), models.first_words_llm)
 
@@ -315,11 +329,10 @@ def quantize(spark: SparkSession, sf: str) -> DataFrame:
     return packed.select("vec_id", F.round(F.col("p.scale").cast("double"), 6).alias("scale"), joined(F.transform("p.q", lambda x: x.cast("string"))).alias("q"))
 
 
-@query("SELECT vec_id AS vec_id, true AS near FROM embeddings")
+@query(f"WITH {_QUANT} SELECT vec_id, array_to_string(list_transform(q, lambda x: CAST(round(CAST(CAST(x * scale AS FLOAT) AS DOUBLE) * 100000) AS BIGINT)), '|') AS v FROM qq")
 def dequantize(spark: SparkSession, sf: str) -> DataFrame:
-    rows = fixtures.read(spark, sf, "embeddings").select("vec_id", "embedding", vectors.quantize(F.col("embedding")).alias("p"))
-    error = F.array_max(F.zip_with("embedding", vectors.dequantize(F.col("p")), lambda a, b: F.abs(a - b)))
-    return rows.select("vec_id", (error < F.col("p.scale")).alias("near"))
+    rows = fixtures.read(spark, sf, "embeddings").select("vec_id", vectors.dequantize(vectors.quantize(F.col("embedding"))).alias("v"))
+    return rows.select("vec_id", joined(F.transform("v", lambda x: F.round(x.cast("double") * 100_000).cast("long").cast("string"))).alias("v"))
 
 
 @query("SELECT count(*) AS chunks, count(*) AS embedded, count(DISTINCT label * 3 + vec_id % 3) AS days FROM embeddings")
@@ -384,7 +397,7 @@ def rank_by_stems(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _V = f"""{_QUANT}, v AS (SELECT a.vec_id AS qid, b.vec_id AS chunk_id, round(list_sum(list_transform(list_zip(a.embedding, b.q), lambda x: CAST(x[1] AS DOUBLE) * x[2])) * CAST(b.scale AS DOUBLE), 6) AS score
-  FROM embeddings a, qq b WHERE a.vec_id < 20 AND b.vec_id % 17 <> 0), vr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM v QUALIFY rank <= 30)"""
+  FROM embeddings a, qq b WHERE a.vec_id % 50 = 0 AND b.vec_id % 17 <> 0), vr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM v QUALIFY rank <= 30)"""
 
 
 @query(f"WITH {_V} SELECT qid, chunk_id, score, CAST(rank AS INT) AS rank FROM vr")
@@ -392,7 +405,7 @@ def vector_search(spark: SparkSession, sf: str) -> DataFrame:
     return search.vector_search(fixtures.question_vectors(spark, sf), fixtures.chunk_vectors(spark, sf), "m1")
 
 
-@query("""WITH l AS (SELECT user_id AS qid, event_id % 3 AS list_no, event_id AS pos, CAST(floor(value) AS BIGINT) % 50 AS id FROM events WHERE user_id < 200),
+@query("""WITH l AS (SELECT user_id AS qid, event_id % 3 AS list_no, event_id AS pos, CAST(floor(value) AS BIGINT) % 50 AS id FROM events),
 f AS (SELECT qid, list_no, id, min(pos) AS pos FROM l GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY qid, list_no ORDER BY pos, id) AS r FROM f),
 s AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score, min(struct_pack(list_no := list_no, r := r)) AS seen FROM r GROUP BY qid, id)
 SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen, id) AS INT) AS rank FROM s""")
@@ -550,10 +563,18 @@ def segment_speech(spark: SparkSession, sf: str) -> DataFrame:
     return _segments(spark, sf)
 
 
-@query()
+@query(f"""WITH {FRAMES_SQL}, g AS (SELECT *, coalesce(frame_start_ms - lag(frame_start_ms) OVER w > 60000, true) AS opens FROM f WINDOW w AS (PARTITION BY owner_id ORDER BY frame_start_ms)),
+h AS (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY owner_id ORDER BY frame_start_ms) AS session FROM g)
+SELECT owner_id, frame_no, round(max((dbfs + 96) / 96) OVER (PARTITION BY owner_id, session ORDER BY frame_start_ms), 9) AS prob FROM h""")
 def score_frames(spark: SparkSession, sf: str) -> DataFrame:
-    scored = segmentation.score_frames(fixtures.frames(spark, sf), lambda frame: frame["dbfs"].add(96).div(96).ewm(alpha=0.5).mean())
-    return scored.groupBy("owner_id").agg(F.count("*").alias("frames"), F.round(F.avg("prob"), 6).alias("avg_prob"))
+    """A stand-in with a state: the loudest level of the session so far."""
+
+    def loudest(part: pd.DataFrame, state: float | None) -> tuple[pd.Series, float]:
+        level = part["dbfs"].add(96).div(96)
+        prob = level.cummax() if state is None else level.cummax().clip(lower=state)
+        return prob, float(prob.iloc[-1])
+
+    return segmentation.score_frames(fixtures.frames(spark, sf), loudest).select("owner_id", "frame_no", F.round("prob", 9).alias("prob"))
 
 
 @query(f"""WITH {_SEG}, au AS (SELECT owner_id, (frame_start_ms + 10800000) // 3600000 * 3600000 - 10800000 AS hour_ms, CAST(sum(n_samples) AS BIGINT) * 1000 // 16000 AS audio_ms FROM f GROUP BY ALL),
@@ -611,7 +632,7 @@ def seal_and_open_segments(spark: SparkSession, sf: str) -> DataFrame:
 # ---- transcription, calls, logs
 
 
-@query(f"WITH {T} SELECT owner_id, id, trim(left(text, 40), E' \\n') AS text, CAST(length(text) AS BIGINT) AS took_ms FROM t")
+@query(f"WITH {T} SELECT owner_id, id, trim(text, E' \\n') AS text, CAST(length(text) AS BIGINT) AS took_ms FROM t")
 def transcribe(spark: SparkSession, sf: str) -> DataFrame:
     def hear(payload: pd.Series) -> pd.DataFrame:
         return pd.DataFrame({"text": payload, "lang": "", "took_ms": payload.str.len()})
@@ -620,7 +641,7 @@ def transcribe(spark: SparkSession, sf: str) -> DataFrame:
     return transcription.transcribe(rows, hear).select("owner_id", "id", "text", "took_ms")
 
 
-@query(f"WITH {T} SELECT owner_id, start_ms, strftime(make_timestamp((start_ms + 10800000) * 1000), '%Y-%m-%d') AS day, trim(left(text, 30), E' \\n') AS text, {NOW_MS} AS created_ms FROM t WHERE id % 5 <> 0")
+@query(f"WITH {T} SELECT owner_id, start_ms, strftime(make_timestamp((start_ms + 10800000) * 1000), '%Y-%m-%d') AS day, trim(text, E' \\n') AS text, {NOW_MS} AS created_ms FROM t WHERE id % 5 <> 0")
 def to_transcripts(spark: SparkSession, sf: str) -> DataFrame:
     results = _files(spark, sf).select("owner_id", "start_ms", "end_ms", F.when(F.col("id") % 5 == 0, "   ").otherwise(F.col("text")).alias("text"), F.lit("").alias("lang"))
     return transcription.to_transcripts(results, MSK, "asr", NOW_MS).select("owner_id", "start_ms", "day", "text", "created_ms")
@@ -704,16 +725,42 @@ def write_and_read_day(spark: SparkSession, sf: str) -> DataFrame:
     return diary.read_table(spark, path, "transcripts").select("owner_id", "id", "day", "text")
 
 
-def _streamed(df: DataFrame, made: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """The last state of a stream over the rows of df, in several batches."""
+def _streamed(df: DataFrame, made: Callable[[DataFrame], DataFrame], mode: str, then: DataFrame | None = None) -> DataFrame:
+    """What a stream over the rows of df gives, in several batches, the rows of `then` in a file of their own after them: all batches' rows, or the last state of a complete result."""
     spark = df.sparkSession
     source, sink, log = (shared_path(spark, x) for x in ("stream-in", "stream-out", "stream-log"))
     df.repartition(4).write.parquet(source)
+    if then is not None:
+        then.coalesce(1).write.mode("append").parquet(source)
     stream = made(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(source))
-    # each batch of a complete result replaces the one before
-    query = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(sink)).option("checkpointLocation", log).trigger(availableNow=True).start()
+
+    def put(batch: DataFrame, k: int) -> None:
+        # a batch that is run again replaces what it wrote; each complete result replaces the one before
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={k if mode == 'append' else 0}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", log).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(sink)
+    return spark.read.parquet(sink).drop("batch")
+
+
+@query(f"WITH {_SEG} SELECT * FROM sg")
+def segment_speech_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The files come in any order, so the watermark waits for all of them; a later frame of another size, which is skipped, moves it past every owner's last one."""
+    rows = cut(fixtures.frames(spark, sf).select("owner_id", "frame_start_ms", "prob", "n_samples"))
+    later = rows.groupBy().agg(F.max("frame_start_ms").alias("ms")).select(F.lit("clock").alias("owner_id"), (F.col("ms") + 400 * DAY_MS).alias("frame_start_ms"), F.lit(0.0).alias("prob"), F.lit(0).alias("n_samples"))
+    return _streamed(rows, lambda stream: jobs.segment_speech_stream(stream, delay="100 days"), "append", later)
+
+
+@query(f"WITH {T} SELECT owner_id, start_ms, CAST((end_ms - start_ms) // 10 AS INT) AS num_samples, 'ok' AS status, CAST((end_ms - start_ms) // 10 AS BIGINT) * 2 + 50 AS size, CAST((end_ms - start_ms) // 10 AS BIGINT) * 1000 // 16000 AS duration_ms FROM t")
+def scan_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Each turn sealed and written to a file of its own in its owner's folder; then the folders scanned."""
+    n = F.floor((F.col("end_ms") - F.col("start_ms")) / 10).cast("int")
+    turns = fixtures.transcripts(spark, sf).select("owner_id", "id", "start_ms", F.lit(16_000).alias("sample_rate"), n.alias("num_samples"))
+    pcm = segments.samples_to_pcm(F.transform(F.sequence(F.lit(1), F.col("num_samples")), lambda k: (k * 31 % 2000 - 1000).cast("smallint")))
+    folder = shared_path(spark, "segments")
+    name = F.concat("owner_id", F.lit("/"), F.col("id").cast("string"), F.lit(".bseg"))
+    segments.write_segments(segments.seal_segments(turns.withColumn("pcm_bytes", pcm), bytes(range(16))).select(name.alias("name"), "blob"), folder)
+    return segments.scan_segments(spark, folder).select(F.element_at(F.split("path", "/"), -2).alias("owner_id"), "start_ms", "num_samples", "status", "size", "duration_ms")
 
 
 @query(f"WITH {T} SELECT owner_id, day, count(*) AS count, max(created_ms) AS max_created_ms FROM t GROUP BY owner_id, day")

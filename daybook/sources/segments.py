@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +37,23 @@ def scan_segments(spark: SparkSession, path: str) -> DataFrame:
     return header_columns(files.select("path", F.col("length").alias("size"), "content")).orderBy("start_ms", "path")
 
 
+def write_segments(files: DataFrame, folder: str) -> int:
+    """Writes files (name, blob) below the folder, which all executors reach, and gives their number. A name is taken only when its file is
+    whole: bytes go to a name with .tmp first. A task that is run again replaces its files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        for batch in batches:
+            for name, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(f"{base}/{name}.tmp") as out:
+                    out.write(blob)
+                store.move(f"{base}/{name}.tmp", f"{base}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return files.select("name", "blob").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def open_segments(segments: DataFrame, key: bytes, content: str = "content") -> DataFrame:
     """segments with pcm_bytes; null where the payload was tampered with, belongs to another key or has the wrong number of samples."""
     c = F.col(content)
