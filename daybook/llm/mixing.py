@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,13 +102,13 @@ def _rate(steps: list[list[float]]) -> Column:
 
 
 def soft_mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total: float | str = "same", fit_rows: int = FIT_ROWS, steps: int = STEPS, tolerance: float = TOLERANCE, evidence: float | None = None) -> DataFrame:
-    """One row per doc_id: doc_id, n_tokens, domain (of the largest posterior), p (map of posteriors), rate.
+    """One row per doc_id: doc_id, n_tokens, domain (of the largest posterior), p (map of posteriors), rate, miss.
 
     Rates are nonnegative and minimise the squared misses of the expected domain tokens sum(rate * n_tokens * p) from
     weight * total, each weighed by the inverse of the domain's present tokens. total is a token count, "same" for the tokens of docs, or "cover" for the least total at which no
     domain has to shrink. Projected gradient: a step is one aggregation over the posteriors, and only one sum per domain
-    reaches the driver. It ends when every target is met to `tolerance`, or when ten steps lower the squared misses by less than GAIN of them:
-    then the targets are out of reach. If neither has come about after `steps` steps, that is an error. Domains of the labelled table without a weight get weight 0, and weights are scaled to sum to 1;
+    reaches the driver. It ends when every target is met to `tolerance`, when ten steps lower the squared misses by less than GAIN of them, as where targets
+    are out of reach, or after `steps` steps; in the latter two cases it warns. miss tells how far the worst target is missed, relative to it. Domains of the labelled table without a weight get weight 0, and weights are scaled to sum to 1;
     a weight of a domain that the table lacks is ignored.
 
     A null text counts as empty (posterior = prior, rate as any other). Rows that repeat a doc_id count as one text joined. Of equal largest
@@ -138,15 +139,15 @@ def soft_mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], to
     losses: list[float] = []
     while True:
         miss = [(a - t) / u for a, t, u in zip(now, targets, unit, strict=True)]
+        worst = max((abs(a - t) / (t or goal or 1.0) for a, t in zip(now, targets, strict=True)), default=0.0)
         losses.append(sum(x * x for x in miss))
-        if max((abs(a - t) / (t or goal or 1.0) for a, t in zip(now, targets, strict=True)), default=0.0) <= tolerance:
+        stuck = len(losses) > 10 and losses[-11] - losses[-1] <= GAIN * losses[-11]
+        if worst <= tolerance or stuck or len(taken) == steps:
             break
-        if len(losses) > 10 and losses[-11] - losses[-1] <= GAIN * losses[-11]:
-            break
-        if len(taken) == steps:
-            raise ArithmeticError(f"the targets aren't met, and {steps} steps weren't enough to come as near as can be")
         taken.append([r / u / bound for r, u in zip(miss, unit, strict=True)])
         now = [x or 0.0 for x in found.agg(*mass(_rate(taken))).first()]
+    if worst > tolerance:
+        warnings.warn(f"after {len(taken)} steps a target is missed by {worst:.2%}: {'no rates come nearer' if stuck else 'more steps may come nearer'}", stacklevel=2)
     names = F.array(*[F.lit(d) for d in domains])
     return found.withColumn("rate", _rate(taken)).select(
         "doc_id",
@@ -154,6 +155,7 @@ def soft_mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], to
         F.element_at(names, F.array_position("p", F.array_max("p")).cast("int")).alias("domain"),
         F.map_from_arrays(names, "p").alias("p"),
         "rate",
+        F.lit(worst).alias("miss"),
     )
 
 

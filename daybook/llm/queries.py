@@ -28,7 +28,7 @@ def op1_soft_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     mixed = soft_mix(docs, labelled_domains(spark, sf_dir), MIX_WEIGHTS)
-    return mixed.select("doc_id", "n_tokens", "domain", *[F.col("p")[d].alias(f"p_{d}") for d in MIX_WEIGHTS], "rate")
+    return mixed.select("doc_id", "n_tokens", "domain", *[F.col("p")[d].alias(f"p_{d}") for d in MIX_WEIGHTS], "rate", "miss")
 
 
 def op2_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
