@@ -41,7 +41,7 @@ def labels(spark):
 
 
 OPERATORS = {
-    "op1": (lambda d, labels: mixing.soft_mix(d, labels, {"en": 0.5, "fr": 0.5}, total="cover", evidence=3), IDS),
+    "op1": (lambda d, labels: mixing.soft_mix(d, labels, {"en": 0.5, "fr": 0.5}, total="cover", evidence=3, steps=12), IDS),
     "op2": (lambda d, labels: fingerprint.fingerprint(d), KNOWN),
     "op3": (lambda d, labels: token_counts.count_edited(d, F.array(F.struct(F.lit(2).cast("long").alias("start"), F.lit(3).cast("long").alias("length"), F.lit("new").alias("replacement")))), N),
     "op4": (lambda d, labels: toxicity.toxicity(d, labels), KNOWN),
