@@ -94,6 +94,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from daybook.llm.ranked_search import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from daybook.llm.vector_codes import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from daybook.llm.top_products import top_products
+
+    return top_products(table(spark, sf_dir, "embeddings"))
+
+
 OP5_SQL = """
 WITH lines AS (
   SELECT doc_id, source, pos - 1 AS pos, line FROM (
@@ -144,9 +162,48 @@ SELECT d.doc_id AS doc_id, len(w) AS n_words, coalesce(b.n, 0) AS n_base, lo AS
 FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
 
 
+OP11_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark WHERE item_id IS NOT NULL),
+a AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS places FROM d WHERE len(w) > 0),
+p AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY ALL),
+f AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS weight FROM (SELECT t, count(*) AS df FROM p GROUP BY t), a),
+s AS (SELECT item_id, r, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // places)))) AS BIGINT) AS score FROM i JOIN f USING (t) JOIN p USING (t), a GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER w AS INT) AS rank, doc_id, score FROM s WHERE score > 0 WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 50
+"""
+
+
+def _op12_sql() -> str:
+    """Six rounds, each by comparing every part with every entry."""
+    rounds = 6
+    near = lambda k: f"""a{k} AS MATERIALIZED (SELECT r, part, x, min(struct_pack(d := CAST(list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), e := e)) AS b FROM p JOIN c{k} USING (part) GROUP BY r, part, x)"""
+    moved = lambda k: f"""c{k + 1} AS MATERIALIZED (SELECT c.part AS part, c.e AS e, coalesce(m.y, c.y) AS y FROM c{k} c LEFT JOIN (
+  SELECT part, e, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS y FROM (SELECT part, b.e AS e, i, sum(v) AS s, count(*) AS n FROM (SELECT part, b, unnest(x) AS v, unnest(range(0, len(x))) AS i FROM a{k}) GROUP BY ALL) GROUP BY part, e) m ON m.part = c.part AND m.e = c.e)"""
+    steps = ",\n".join(f"{near(k)},\n{moved(k)}" for k in range(rounds))
+    return f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS MATERIALIZED (SELECT r, CAST(j AS INT) AS part, list_slice(v, j * len(v) // 8 + 1, (j + 1) * len(v) // 8) AS x FROM k, range(0, 8) g(j)),
+c0 AS MATERIALIZED (SELECT part, r AS e, x AS y FROM p WHERE r < 16),
+{steps},
+{near(rounds)},
+z AS (SELECT r, string_agg(lpad(lower(to_hex(b.e)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(b.d) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, e)) AS s FROM c{rounds})
+SELECT k.vec_id AS vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h.s AS codebooks_sha256 FROM k JOIN z USING (r), h"""
+
+
+OP13_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.x, v.x), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM v q JOIN v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_soft_mix, op2_improbable_features, op3_edit_aware_counts, op4_toxicity_cnn, op5_line_dedup, op6_gumbel_segmentations, op7_grace_dedup, op8_license_scan, op9_attention_lm, op10_simhash)} | {"pipeline": corpus_pipeline.run}
+    operators = (op1_soft_mix, op2_improbable_features, op3_edit_aware_counts, op4_toxicity_cnn, op5_line_dedup, op6_gumbel_segmentations, op7_grace_dedup, op8_license_scan, op9_attention_lm, op10_simhash, op11_ranked_search, op12_vector_codes, op13_top_products)
+    return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL, "op7_grace_dedup": OP7_SQL, "op8_license_scan": _op8_sql()}
+    return {"op5_line_dedup": OP5_SQL, "op7_grace_dedup": OP7_SQL, "op8_license_scan": _op8_sql(), "op11_ranked_search": OP11_SQL, "op12_vector_codes": _op12_sql(), "op13_top_products": OP13_SQL}
