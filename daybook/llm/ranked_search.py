@@ -167,9 +167,13 @@ def _visit(bundles: DataFrame, owned: DataFrame, owner: int, terms: object, top:
     documents of the slice have already: gains are never negative, so no document of the result is lost.
     """
     last = owner == OWNERS - 1
+    ints, shorts, longs = (np.zeros(0, k) for k in (np.int32, np.int16, np.int64))
+    none = pa.Table.from_batches([_row([0, 0], [longs, longs, ints, ints, shorts, longs], _BUNDLE)]).slice(0, 0)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         _, of, most = terms.value
+        if not left.num_rows:  # a slice for a bundle that no item fell into
+            return pa.schema([(n, pa.int64()) for n in ("item_id", "doc_id", "score")]).empty_table() if last else none
         doc_ids, items, wanted, who, at, scores = _lists(left, 0, "doc_ids", "items", "terms", "who", "at", "scores")
         names, item = np.unique(items, return_inverse=True)
         sums = np.zeros((len(names), len(doc_ids)), np.int64)
