@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-#: Fixed values of the format: magic, version, bytes of the header.
-MAGIC, VERSION, HEADER = b"BSEG", 1, 21
+from daybook.sources import segment_files
+from daybook.sources.segment_files import HEADER, MAGIC, VERSION
+from daybook.sources.shared import cut
 
 
 def _int(data: Column, at: int, size: int) -> Column:
@@ -31,31 +33,70 @@ def header_columns(df: DataFrame, content: str = "content") -> DataFrame:
     return df.withColumn("duration_ms", duration.cast("long")).withColumn("end_ms", F.col("start_ms") + F.col("duration_ms"))
 
 
-def scan_segments(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, start_ms, sample_rate, num_samples, duration_ms, end_ms, status, content) of *.bseg files, by start; leftovers (.tmp) aren't listed."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bseg").option("recursiveFileLookup", "true").load(path)
-    return header_columns(files.select("path", F.col("length").alias("size"), "content")).orderBy("start_ms", "path")
+def scan_segments(spark: SparkSession, path: str, leftovers: bool = False, share: int = segment_files.SHARE) -> DataFrame:
+    """(path, size, start_ms, sample_rate, num_samples, duration_ms, end_ms, status) of *.bseg files below path, in no order.
 
+    Of each file the header is read and nothing else; open_segments fetches payloads by path. Leftovers of writes (.tmp) are listed only if
+    asked for, with that status. Whoever wants the oldest first sorts the rows, which are a few numbers each.
+    """
+    spark.dataSource.register(segment_files.SegmentSource)
+    rows = spark.read.format("segments").option("share", share).load(path).drop("modified_ms")
+    return rows if leftovers else rows.filter("status <> 'leftover'")
 
-def write_segments(files: DataFrame, folder: str) -> int:
-    """Writes files (name, blob) below the folder, which all executors reach, and gives their number. A name is taken only when its file is
-    whole: bytes go to a name with .tmp first. A task that is run again replaces its files."""
+
+def sweep_segments(spark: SparkSession, path: str, before_ms: int | None = None) -> DataFrame:
+    """Removes leftovers of writes and files whose header can't be read, of those last changed before `before_ms` if that is given; (path, status) of what went."""
+    spark.dataSource.register(segment_files.SegmentSource)
+    bad = spark.read.format("segments").load(path).filter("status <> 'ok'")
+    if before_ms is not None:
+        bad = bad.filter(F.col("modified_ms") < before_ms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
         for batch in batches:
-            for name, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                store.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
-                with store.open_output_stream(f"{base}/{name}.tmp") as out:
-                    out.write(blob)
-                store.move(f"{base}/{name}.tmp", f"{base}/{name}")
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+            for name in batch.column(0).to_pylist():
+                store, file, _ = segment_files.store_of(name)
+                if store.get_file_info(file).type == fs.FileType.File:  # a task that is run again finds it gone
+                    store.delete_file(file)
+            yield batch
+
+    return cut(bad.select("path", "status").mapInArrow(run, "path string, status string"))
+
 
-    return files.select("name", "blob").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+def write_segments(files: DataFrame, folder: str) -> None:
+    """Writes files (name, blob) below the folder, which all executors reach: all of them are there in the end, or none."""
+    files.sparkSession.dataSource.register(segment_files.SegmentSource)
+    files.select("name", "blob").write.format("segments").mode("append").save(folder)
+
+
+def with_payload(segments: DataFrame, content: str = "content", portion: int = 16 << 20) -> DataFrame:
+    """segments (path, ..) with the bytes of their files, null where there is none any more; a task holds about `portion` bytes of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, held, size = 0, [], 0
+            for k, name in enumerate(batch.column("path").to_pylist()):
+                store, file, _ = segment_files.store_of(name)
+                try:
+                    with store.open_input_file(file) as opened:
+                        held.append(opened.read())
+                except FileNotFoundError:
+                    held.append(None)
+                size += len(held[-1] or b"")
+                if size >= portion or k == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(at, len(held)).columns, pa.array(held, pa.binary())], [*batch.schema.names, content])
+                    at, held, size = k + 1, [], 0
+
+    return segments.mapInArrow(run, StructType([*segments.schema.fields, StructField(content, BinaryType())]))
 
 
 def open_segments(segments: DataFrame, key: bytes, content: str = "content") -> DataFrame:
-    """segments with pcm_bytes; null where the payload was tampered with, belongs to another key or has the wrong number of samples."""
+    """segments with pcm_bytes; null where the payload was tampered with, belongs to another key or has the wrong number of samples.
+
+    Without a column of contents, those of readable files are fetched by path; the others stay, with null.
+    """
+    if content not in segments.columns:
+        readable = with_payload(segments.filter("status = 'ok'"), content)
+        return open_segments(readable, key, content).drop(content).unionByName(segments.filter("status <> 'ok'").withColumn("pcm_bytes", F.lit(None).cast("binary")))
     c = F.col(content)
     iv_len = _int(c, HEADER, 1).cast("int")
     sealed = F.substring(c, F.lit(HEADER + 2), F.octet_length(c))
