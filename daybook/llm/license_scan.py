@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from daybook.llm.common import whole_text
+from daybook.llm.common import UPPER, whole_text
 
 #: Phrases whose every place counts, and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -26,11 +26,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
-    """Words of the text: letters a-z, digits and whatever is beyond ASCII, lower case.
-
-    lower() changes letters beyond A-Z too; that moves no word boundary, and no such letter turns into one of a template.
-    """
-    return F.array_remove(F.split(F.lower(text), SEPARATORS), "")
+    """Words of the text: letters a-z, digits and whatever is beyond ASCII; A-Z alone turn into lower case, so no other letter turns into one of a template."""
+    return F.array_remove(F.split(F.translate(text, UPPER, UPPER.lower()), SEPARATORS), "")
 
 
 def _pair(first: Column, second: Column) -> Column:

@@ -79,6 +79,16 @@ def test_rows_that_share_an_id_are_told_apart(docs):
     assert got == {f"text 0\n{line}", *(f"text {k}" for k in range(1, 6)), "other", line}
 
 
+def test_no_letter_beyond_a_to_z_turns_into_one_of_a_template(spark):
+    notice = "this work is licensed under the gnu general public license version 3"
+    rows = [(1, notice), (2, notice.upper()), (3, "\u0130".join(notice.split("i", 1))), (4, "the M\u0130T license \u212a cc by"), (5, " ".join(w.replace("k", "\u212a") for w in ["mark", "by", "mit", "license"]))]
+    got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), notices={**license_scan.NOTICES, "book marks by mike": "k"}).collect()}
+    assert got[1].labels == got[2].labels == "gpl,gpl-3.0" and got[4].base_labels == "cc-by" and got[5].base_labels == "mit"
+    kelvin = spark.createDataFrame([(1, "boo\u212a mar\u212as by mi\u212ae"), (2, "Book MARKS by Mike")], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in license_scan.license_scan(kelvin, notices={"book marks by mike": "k"}).collect()}
+    assert got == {1: "", 2: "k"}
+
+
 def test_a_document_of_very_many_boilerplate_lines_takes_seconds(spark):
     lines = "\n".join(f"boilerplate line number {k} of many" for k in range(40_000))
     df = spark.createDataFrame([(k, lines, f"s{k}") for k in range(6)], "doc_id long, text string, source string")
