@@ -725,11 +725,21 @@ def write_and_read_day(spark: SparkSession, sf: str) -> DataFrame:
     return diary.read_table(spark, path, "transcripts").select("owner_id", "id", "day", "text")
 
 
-def _streamed(df: DataFrame, made: Callable[[DataFrame], DataFrame], mode: str, then: DataFrame | None = None) -> DataFrame:
-    """What a stream over the rows of df gives, in several batches, the rows of `then` in a file of their own after them: all batches' rows, or the last state of a complete result."""
+def _streamed(df: DataFrame, made: Callable[[DataFrame], DataFrame], mode: str, then: DataFrame | None = None, along: str | None = None) -> DataFrame:
+    """What a stream over the rows of df gives, in several batches, the rows of `then` in a file of their own after them: all batches' rows, or the last state of a complete result.
+
+    With `along`, files come in the order of that column, each with the rows of a stretch of it.
+    """
     spark = df.sparkSession
     source, sink, log = (shared_path(spark, x) for x in ("stream-in", "stream-out", "stream-log"))
-    df.repartition(4).write.parquet(source)
+    if along is None:
+        df.repartition(4).write.parquet(source)
+    else:
+        df = cut(df)
+        cuts = df.approxQuantile(along, [k / 6 for k in range(1, 6)], 0.01)
+        for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
+            stretch = df if lo is None else df.filter(F.col(along) >= lo)
+            (stretch if hi is None else stretch.filter(F.col(along) < hi)).coalesce(1).write.mode("append").parquet(source)
     if then is not None:
         then.coalesce(1).write.mode("append").parquet(source)
     stream = made(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(source))
@@ -745,10 +755,11 @@ def _streamed(df: DataFrame, made: Callable[[DataFrame], DataFrame], mode: str,
 
 @query(f"WITH {_SEG} SELECT * FROM sg")
 def segment_speech_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The files come in any order, so the watermark waits for all of them; a later frame of another size, which is skipped, moves it past every owner's last one."""
-    rows = cut(fixtures.frames(spark, sf).select("owner_id", "frame_start_ms", "prob", "n_samples"))
-    later = rows.groupBy().agg(F.max("frame_start_ms").alias("ms")).select(F.lit("clock").alias("owner_id"), (F.col("ms") + 400 * DAY_MS).alias("frame_start_ms"), F.lit(0.0).alias("prob"), F.lit(0).alias("n_samples"))
-    return _streamed(rows, lambda stream: jobs.segment_speech_stream(stream, delay="100 days"), "append", later)
+    """The files come in the order of time, as a live source's do, so the watermark is ten seconds behind; a frame of another size in the end, which is skipped, moves it past every owner's last one."""
+    jobs.rocksdb_state(spark)
+    rows = fixtures.frames(spark, sf).select("owner_id", "frame_start_ms", "prob", "n_samples")
+    later = rows.groupBy().agg(F.max("frame_start_ms").alias("ms")).select(F.lit("clock").alias("owner_id"), (F.col("ms") + DAY_MS).alias("frame_start_ms"), F.lit(0.0).alias("prob"), F.lit(0).alias("n_samples"))
+    return _streamed(rows, jobs.segment_speech_stream, "append", later, "frame_start_ms")
 
 
 @query(f"WITH {T} SELECT owner_id, start_ms, CAST((end_ms - start_ms) // 10 AS INT) AS num_samples, 'ok' AS status, CAST((end_ms - start_ms) // 10 AS BIGINT) * 2 + 50 AS size, CAST((end_ms - start_ms) // 10 AS BIGINT) * 1000 // 16000 AS duration_ms FROM t")

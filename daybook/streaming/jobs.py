@@ -5,16 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from daybook.operators.segmentation import SEGMENTS, Machine, SegmenterConfig
 from daybook.operators.telemetry import capture_windows
 from daybook.sources.diary import append_transcripts
 
-_STATE = "inside boolean, before array<long>, begin long, size long, speech long, quiet long, last_ms long, waiting array<struct<ms: long, prob: double>>"
+_PROGRESS = "inside boolean, before array<long>, begin long, size long, speech long, quiet long, last_ms long, newest_ms long, due_ms long"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Frames wait in rows of a second each; others than of this size are skipped.
+SECOND_MS, FRAME_SAMPLES = 1000, 512
 
 
 def capture_windows_stream(frames: DataFrame, window: str = "60 seconds", delay: str = "10 minutes") -> DataFrame:
@@ -23,52 +26,93 @@ def capture_windows_stream(frames: DataFrame, window: str = "60 seconds", delay:
     return capture_windows(timed, window)
 
 
-def segment_speech_stream(frames: DataFrame, cfg: SegmenterConfig | None = None, delay: str = "10 seconds", idle_ms: int = 60_000) -> DataFrame:
-    """Segments of a stream of frames, equal to segment_speech of the same frames.
+def rocksdb_state(spark: SparkSession) -> None:
+    """Keeps the state of this session's streams in RocksDB, as segment_speech_stream needs it: state beyond the memory lies on disk, and checkpoints get the changes alone."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
+class Segmenter(StatefulProcessor):
+    """An owner's frames wait in a map by second; a timer goes off when the watermark has passed the first of them, and they are stepped through in order.
 
-    Frames of an owner wait until the watermark has passed them, then they are stepped through in order; a gap is no silence. When
-    an owner's frames end for `idle_ms` of event time, what is open is flushed. Frames behind the watermark never reach the state.
+    One batch touches the seconds that it has frames of, however many wait. The machine's own state is one small value.
     """
-    cfg = cfg or SegmenterConfig()
-
-    def step(machine: Machine, ms: int, prob: float) -> list[tuple]:
-        kind = 2 if prob >= cfg.start else 0 if prob < cfg.stop else 1
-        return list(machine.feed(kind, ms, 1))
-
-    def run(key: tuple, frames_in: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        machine, last, waiting = Machine(cfg), None, []
-        if state.exists:
-            inside, before, begin, size, speech, quiet, last, held = state.get
-            machine = Machine(cfg, inside, list(before), begin, size, speech, quiet)
-            waiting = [(h[0], h[1]) if not isinstance(h, dict) else (h["ms"], h["prob"]) for h in held]
+
+    def __init__(self, cfg: SegmenterConfig, idle_ms: int) -> None:
+        self.cfg, self.idle_ms = cfg, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "second long", "ms array<long>, prob array<double>")
+        self.progress = handle.getValueState("progress", _PROGRESS)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        parts = [f.loc[f["n_samples"] == FRAME_SAMPLES, ["frame_start_ms", "prob"]] for f in rows]
+        new = pd.concat(parts)
+        if new.empty:
+            return
+        machine, last, newest, due = self._progress()
+        for second, part in new.groupby(new["frame_start_ms"] // SECOND_MS):
+            held = self.waiting.getValue((int(second),)) if self.waiting.containsKey((int(second),)) else ([], [])
+            self.waiting.updateValue((int(second),), ([*held[0], *part["frame_start_ms"].tolist()], [*held[1], *part["prob"].tolist()]))
+        newest = max(int(new["frame_start_ms"].max()), newest or 0)
+        first = (int(new["frame_start_ms"].min()) // SECOND_MS + 1) * SECOND_MS
+        # one timer an owner: that of the first second that waits, or of the pause after the last frame
+        if due is None or first < due:
+            due = self._timer(due, first)
+        self._keep(machine, last, newest, due)
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        machine, last, newest, _ = self._progress()
         out: list[tuple] = []
-        mark = state.getCurrentWatermarkMs()
-        if state.hasTimedOut:
-            for ms, prob in sorted(waiting):
-                out += step(machine, ms, prob)
+        seconds = sorted(k[0] for k in self.waiting.keys())
+        passed = [s for s in seconds if (s + 1) * SECOND_MS <= mark]
+        for second in passed:
+            for ms, prob in sorted(zip(*self.waiting.getValue((second,)), strict=True)):
+                out += machine.feed(2 if prob >= self.cfg.start else 0 if prob < self.cfg.stop else 1, ms, 1)
                 last = ms
-            if last is not None:
-                out += machine.flush(last)
-            state.remove()
+            self.waiting.removeKey((second,))
+        if len(passed) < len(seconds):
+            self._keep(machine, last, newest, self._timer(None, (seconds[len(passed)] + 1) * SECOND_MS))
+        elif mark >= newest + self.idle_ms:
+            out += machine.flush(last)
+            self.progress.clear()
         else:
-            for frame in frames_in:
-                frame = frame[frame["n_samples"] == 512]
-                waiting += list(zip(frame["frame_start_ms"].tolist(), frame["prob"].tolist(), strict=True))
-            waiting.sort()
-            due = [w for w in waiting if w[0] < mark]
-            waiting = waiting[len(due) :]
-            for ms, prob in due:
-                out += step(machine, ms, prob)
-                last = ms
-            state.update((machine.inside, machine.before, machine.begin, machine.size, machine.speech, machine.quiet, last, waiting))
-            newest = max([w[0] for w in waiting] + [last or 0])
-            state.setTimeoutTimestamp(max(newest + idle_ms, mark + 1))
-        rows = pd.DataFrame(out, columns=["start_ms", "n_frames", "speech_ms", "split_by_max", "close_ms", "dropped"])
-        rows.insert(0, "owner_id", key[0])
-        yield rows
+            self._keep(machine, last, newest, self._timer(None, newest + self.idle_ms))
+        if out:
+            frame = pd.DataFrame(out, columns=["start_ms", "n_frames", "speech_ms", "split_by_max", "close_ms", "dropped"])
+            frame.insert(0, "owner_id", key[0])
+            yield frame
+
+    def close(self) -> None:
+        pass
+
+    def _progress(self) -> tuple[Machine, int | None, int | None, int | None]:
+        if not self.progress.exists():
+            return Machine(self.cfg), None, None, None
+        inside, before, begin, size, speech, quiet, last, newest, due = self.progress.get()
+        return Machine(self.cfg, inside, list(before), begin, size, speech, quiet), last, newest, due
 
+    def _keep(self, machine: Machine, last: int | None, newest: int, due: int) -> None:
+        self.progress.update((machine.inside, machine.before, machine.begin, machine.size, machine.speech, machine.quiet, last, newest, due))
+
+    def _timer(self, old: int | None, new: int) -> int:
+        if old is not None:
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(new)
+        return new
+
+
+def segment_speech_stream(frames: DataFrame, cfg: SegmenterConfig | None = None, delay: str = "10 seconds", idle_ms: int = 60_000) -> DataFrame:
+    """Segments of a stream of frames, equal to segment_speech of the same frames.
+
+    Frames of an owner wait until the watermark has passed their second, then they are stepped through in order; a gap is no silence. When
+    an owner's frames end for `idle_ms` of event time, what is open is flushed. Frames behind the watermark never reach the state. The session
+    needs rocksdb_state().
+    """
     timed = frames.select("owner_id", "frame_start_ms", "prob", "n_samples", F.timestamp_millis("frame_start_ms").alias("ts")).withWatermark("ts", delay)
-    return timed.groupBy("owner_id").applyInPandasWithState(run, SEGMENTS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return timed.groupBy("owner_id").transformWithStateInPandas(Segmenter(cfg or SegmenterConfig(), idle_ms), SEGMENTS, "append", "EventTime")
 
 
 def append_stream(transcripts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -97,8 +97,9 @@ def test_islands_equal_the_whole(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    from daybook.streaming.jobs import segment_speech_stream
+    from daybook.streaming.jobs import rocksdb_state, segment_speech_stream
 
+    rocksdb_state(spark)
     df = probs(spark, [(20, 0.1), (40, 0.9), (60, 0.1), (30, 0.9), (40, 0.1)], "a", 1_000_000).unionByName(probs(spark, [(900, 0.9), (60, 0.1)], "b", 1_000_000))
     tail = spark.createDataFrame([("z", 10_000_000 + 32 * k, 0.1, 512) for k in range(3)], df.schema)
     source = str(tmp_path / "in")
