@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.functions.textops import stems
+from daybook.operators import vector_index
 from daybook.operators.chunks import newest_first
 from daybook.schemas import DAY
-from daybook.sources.shared import cut
 
 KEYWORD_HITS, RANKED, LIMIT, RRF_K, DIGEST_DAYS, NARROW = 200, 30, 12, 60, 14, 3
-#: Bytes of question vectors that one pass over the chunks takes to every task.
-BLOCK_BYTES = 32 << 20
+#: Milliseconds of a block of a stem's places: a day.
+BLOCK_MS = 86_400_000
 OPEN_FROM, OPEN_TO = "0000-00-00", "9999-99-99"
 
 
@@ -37,18 +33,34 @@ def keyword_search(questions: DataFrame, postings: DataFrame, limit: int = KEYWO
 
     A stem is matched by equality with the beginning of the same length of every word, for the lengths that stems have, on
     the distinct words of an owner: the prefix search is an equi-join. matched counts the distinct stems in the chunk.
+
+    A chunk among the newest of a question is among the newest of each of its stems, so a stem's places are cut to the newest `limit` in range
+    before they meet the question. Counts by stem and day of time tell which days hold those; places of other days are never joined.
     """
     asked = _ranges(questions).select("qid", "owner_id", "lo", "hi", F.explode("stems").alias("stem"))
+    asks = asked.select("owner_id", "stem", "lo", "hi").distinct()
     stem_keys = asked.select("owner_id", "stem").distinct()
     lengths = stem_keys.select("owner_id", F.char_length("stem").alias("n")).distinct()
     vocabulary = postings.select("owner_id", "word").distinct()
     beginnings = vocabulary.join(lengths, "owner_id").filter(F.char_length("word") >= F.col("n")).select("owner_id", "word", F.substring("word", F.lit(1), F.col("n")).alias("stem"))
     matching = beginnings.join(stem_keys, ["owner_id", "stem"]).select("owner_id", "word", "stem")
-    places = postings.join(matching, ["owner_id", "word"]).select("owner_id", "stem", "chunk_id", "day", "start_ms").distinct()
-    hits = asked.join(places, ["owner_id", "stem"]).filter("day BETWEEN lo AND hi").groupBy("qid", "chunk_id", "start_ms").agg(F.count_distinct("stem").alias("matched"))
+    places = postings.join(matching, ["owner_id", "word"]).select("owner_id", "stem", "chunk_id", "day", "start_ms").distinct().withColumn("block", F.floor(F.col("start_ms") / BLOCK_MS))
+    newest = newest_blocks(asks, places, limit)
+    lists = newest.join(places, ["owner_id", "stem", "block"]).filter("day BETWEEN lo AND hi")
+    order = Window.partitionBy("owner_id", "stem", "lo", "hi").orderBy(F.desc("start_ms"), "chunk_id")
+    lists = lists.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit).drop("n", "block")
+    hits = asked.join(lists, ["owner_id", "stem", "lo", "hi"]).groupBy("qid", "chunk_id", "start_ms").agg(F.count_distinct("stem").alias("matched"))
     return hits.withColumn("n", F.row_number().over(newest_first("qid"))).filter(F.col("n") <= limit).drop("n")
 
 
+def newest_blocks(asks: DataFrame, places: DataFrame, limit: int) -> DataFrame:
+    """(owner_id, stem, lo, hi, block): for each ask the newest blocks of time that together hold `limit` of its stem's places in range, or all there are."""
+    counts = places.groupBy("owner_id", "stem", "block", "day").agg(F.count("*").alias("n"))
+    per = asks.join(counts, ["owner_id", "stem"]).filter("day BETWEEN lo AND hi").groupBy("owner_id", "stem", "lo", "hi", "block").agg(F.sum("n").alias("n"))
+    newer = Window.partitionBy("owner_id", "stem", "lo", "hi").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    return per.withColumn("before", F.coalesce(F.sum("n").over(newer), F.lit(0))).filter(F.col("before") < limit).drop("n", "before")
+
+
 def rank_by_stems(hits: DataFrame, top: int = RANKED) -> DataFrame:
     """(qid, chunk_id, rank): most distinct stems first, then the newest."""
     order = Window.partitionBy("qid").orderBy(F.desc("matched"), F.desc("start_ms"), "chunk_id")
@@ -58,44 +70,12 @@ def rank_by_stems(hits: DataFrame, top: int = RANKED) -> DataFrame:
 def vector_search(questions: DataFrame, chunks: DataFrame, model: str, top: int = RANKED) -> DataFrame:
     """(qid, chunk_id, score, rank) of the chunks nearest to vec, within the question's owner and range.
 
-    Question vectors go to the tasks in blocks of BLOCK_BYTES; a task multiplies a batch of chunks with them and keeps the
-    best of each question, so few rows are shuffled. Scores are rounded to six digits, ties keep the lower id.
+    The chunks are clustered, and a question opens a cluster only while it may hold one of its nearest: see vector_index. Scores are
+    rounded to six digits, ties keep the lower id.
     """
-    spark = questions.sparkSession
     asked = _ranges(questions.filter("vec IS NOT NULL")).select("qid", "owner_id", "lo", "hi", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
     rows = chunks.filter(F.col("vector").isNotNull() & (F.col("model") == model)).select("owner_id", F.col("id").alias("chunk_id"), "day", F.col("vector.scale").alias("scale"), F.col("vector.q").alias("q"))
-    size = asked.agg(F.coalesce(F.sum(F.size("vec") * 8), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    if blocks > 1:
-        asked = cut(asked)  # each pass reads its block
-    found = None
-    for block in range(blocks):
-        mine = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).toPandas()
-        shared = spark.sparkContext.broadcast({k: (g["qid"].to_numpy(), g["lo"].to_numpy(), g["hi"].to_numpy(), list(g["vec"])) for k, g in mine.groupby("owner_id")})
-        part = rows.mapInPandas(lambda frames, s=shared: _nearest(frames, s.value, top), "qid long, chunk_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-
-
-def _nearest(frames: Iterator[pd.DataFrame], asked: dict, top: int) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for owner, own in frame.groupby("owner_id"):
-            if owner not in asked:
-                continue
-            qids, lo, hi, vecs = asked[owner]
-            for dim, same in own.groupby(own["q"].map(len)):
-                fits = [k for k, v in enumerate(vecs) if len(v) == dim]
-                if not fits:
-                    continue
-                matrix = np.stack(same["q"].to_list()).astype(np.float64)
-                ids, days = same["chunk_id"].to_numpy(), same["day"].to_numpy()
-                scores = np.round(np.stack([vecs[k] for k in fits]) @ matrix.T * same["scale"].to_numpy(np.float64), 6)
-                for row, k in zip(scores, fits, strict=True):
-                    inside = np.flatnonzero((days >= lo[k]) & (days <= hi[k]))
-                    best = inside[np.lexsort((ids[inside], -row[inside]))[:top]]
-                    if len(best):
-                        yield pd.DataFrame({"qid": qids[k], "chunk_id": ids[best], "score": row[best]})
+    return vector_index.search(vector_index.VectorIndex(rows), asked, top)
 
 
 def fuse_rrf(rankings: DataFrame, k: int = RRF_K) -> DataFrame:

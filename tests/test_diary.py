@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from daybook import registry
 from daybook.functions import models, textops, timeutil, vectors
-from daybook.operators import buffer, chunks, context, dates, digests, logs, search, segmentation, summaries, telemetry, transcription
+from daybook.operators import buffer, chunks, context, dates, digests, logs, search, segmentation, summaries, telemetry, transcription, vector_index
 from daybook.plans import summarize
 from daybook.sources import diary, segments
 
@@ -313,7 +313,7 @@ def test_all_rows_of_one_owner(spark):
 
 
 def test_vector_search_asks_every_fiftieth_row(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(search, "BLOCK_BYTES", 2048)  # so that the questions go in several blocks
+    monkeypatch.setattr(vector_index, "QUESTIONS", 4)  # so that the questions go in several blocks
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
     ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float32)
     scale = (np.abs(v).max(1).astype(np.float64) / 127).astype(np.float32)[:, None]
