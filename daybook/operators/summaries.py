@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,29 +83,34 @@ def _pieces(line: str, budget: int, count: Callable[[list[str]], list[int]]) ->
 
 
 def pack_lines(df: DataFrame, keys: list[str], order: list[str], text: str, budget: int, count: Callable[[list[str]], list[int]] = count_words) -> DataFrame:
-    """(keys, pack_no, line_no, text): each key's lines in order, packed greedily to the budget; a line costs its tokens and one more."""
+    """(keys, pack_no, line_no, text): each key's lines in order, packed greedily to the budget; a line costs its tokens and one more.
+
+    Keys are dealt over tasks; a task goes through its sorted lines batch by batch and remembers how full the pack is, so a key may have any number of lines.
+    """
     if budget <= 0:
         raise ValueError("the budget must be positive")
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        lines = [p for line in frame[text] for p in _pieces(line or "", budget, count)]
-        packs, used = [], 0
-        for line, cost in zip(lines, count(lines) if lines else [], strict=True):
-            if not packs or used + cost + 1 > budget:
-                packs.append([])
-                used = 0
-            packs[-1].append(line)
-            used += cost + 1
-        rows = [(k, n, line) for k, p in enumerate(packs) for n, line in enumerate(p)]
-        out = pd.DataFrame(rows, columns=["pack_no", "line_no", "text"])
-        for key in reversed(keys):
-            out.insert(0, key, frame[key].iloc[0])
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, pack, line_no, used = None, 0, 0, 0
+        for batch in batches:
+            of = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            pieces = [(row, p) for row, line in enumerate(batch.column(text).to_pylist()) for p in _pieces(line or "", budget, count)]
+            packs, places = [], []
+            for (row, _), cost in zip(pieces, count([p for _, p in pieces]) if pieces else [], strict=True):
+                if here is None or of[row] != here:
+                    here, pack, line_no, used = of[row], 0, 0, 0
+                elif used + cost + 1 > budget:
+                    pack, line_no, used = pack + 1, 0, 0
+                packs.append(pack)
+                places.append(line_no)
+                line_no, used = line_no + 1, used + cost + 1
+            own = batch.select(keys).take(pa.array([row for row, _ in pieces], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(packs, pa.int64()), pa.array(places, pa.int64()), pa.array([p for _, p in pieces], pa.string())], [*keys, "pack_no", "line_no", "text"])
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", pack_no long, line_no long, text string"
-    return df.select(*dict.fromkeys([*keys, *order, text])).groupBy(*keys).applyInPandas(pack, schema)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", pack_no long, line_no long, text string"
+    rows = df.select(*dict.fromkeys([*keys, *order, text]))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 #: What the model is told before every prompt, and the texts around the lines and digests of a prompt.

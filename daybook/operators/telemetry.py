@@ -52,20 +52,31 @@ def state_changes(df: DataFrame, columns: tuple[str, ...] = ("screen_on", "silen
     return rows.filter(F.col("previous").isNotNull() & changed).drop("previous")
 
 
+def is_silent() -> Column:
+    """What the system silenced, or what is at the floor."""
+    return F.coalesce(F.col("silenced") | (F.col("dbfs") <= SILENCE_DB), F.lit(False))
+
+
+def frame_end() -> Column:
+    return F.col("frame_start_ms") + F.floor(F.col("n_samples") * 1000 / RATE)
+
+
 def silence_runs(df: DataFrame, min_ms: int = 10_000) -> DataFrame:
     """(owner_id, start_ms, end_ms, n_frames, alarm): runs of frames that the system silenced or that are at the floor; one alarm a run.
 
-    Runs are found hour by hour, the loud ones too; then equal neighbours are joined, one row a run and hour.
+    Runs are found hour by hour, the loud ones too. Those within an hour are whole; of each hour the first and the last one are joined with their neighbours.
     """
-    silent = F.coalesce(F.col("silenced") | (F.col("dbfs") <= SILENCE_DB), F.lit(False))
-    end = F.col("frame_start_ms") + F.floor(F.col("n_samples") * 1000 / RATE)
-    rows = df.select("owner_id", "frame_no", "frame_start_ms", end.alias("end_ms"), silent.alias("silent"), F.floor(F.col("frame_start_ms") / HOUR_MS).alias("hour"))
+    rows = df.select("owner_id", "frame_no", "frame_start_ms", frame_end().alias("end_ms"), is_silent().alias("silent"), F.floor(F.col("frame_start_ms") / HOUR_MS).alias("hour"))
     w = Window.partitionBy("owner_id", "hour").orderBy("frame_start_ms", "frame_no")
     marked = rows.withColumn("new", (~F.col("silent").eqNullSafe(F.lag("silent").over(w))).cast("int")).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     runs = marked.groupBy("owner_id", "hour", "run").agg(F.first("silent").alias("silent"), F.min("frame_start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_frames"))
+    of_hour = Window.partitionBy("owner_id", "hour")
+    runs = runs.withColumn("edge", (F.col("run") == 1) | (F.col("run") == F.max("run").over(of_hour)))
     along = Window.partitionBy("owner_id").orderBy("hour", "run")
-    joined = runs.withColumn("new", (~F.col("silent").eqNullSafe(F.lag("silent").over(along))).cast("int")).withColumn("island", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0))).filter("silent")
-    found = joined.groupBy("owner_id", "island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.sum("n_frames").alias("n_frames"))
+    goes_on = F.col("silent").eqNullSafe(F.lag("silent").over(along)) & (F.col("hour") != F.lag("hour").over(along))
+    edges = runs.filter("edge").withColumn("new", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("island", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0))).filter("silent")
+    joined = edges.groupBy("owner_id", "island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.sum("n_frames").alias("n_frames"))
+    found = joined.drop("island").unionByName(runs.filter("silent AND NOT edge").select("owner_id", "start_ms", "end_ms", "n_frames"))
     return found.select("owner_id", "start_ms", "end_ms", "n_frames", (F.col("end_ms") - F.col("start_ms") > min_ms).alias("alarm"))
 
 

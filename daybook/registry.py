@@ -535,6 +535,15 @@ def silence_runs(spark: SparkSession, sf: str) -> DataFrame:
     return telemetry.silence_runs(fixtures.frames(spark, sf), 1000)
 
 
+@query(f"""WITH {FRAMES_SQL}, g AS (SELECT *, silenced OR dbfs <= -96 AS q FROM f), h AS (SELECT *, frame_no - row_number() OVER (PARTITION BY owner_id, q ORDER BY frame_no) AS k FROM g)
+SELECT owner_id, min(frame_start_ms) AS start_ms, max(frame_start_ms) + 32 AS end_ms, count(*) AS n_frames, max(frame_start_ms) + 32 - min(frame_start_ms) > 1000 AS alarm FROM h WHERE q GROUP BY owner_id, k""")
+def silence_runs_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Files in the order of time; a silent frame of another owner a day later closes every run, and is still open itself."""
+    rows = fixtures.frames(spark, sf)
+    later = rows.groupBy().agg(F.max("frame_start_ms").alias("ms")).select(F.lit("clock").alias("owner_id"), F.lit(0).cast("long").alias("frame_no"), (F.col("ms") + DAY_MS).alias("frame_start_ms"), F.lit(0.0).alias("prob"), F.lit(-96.0).alias("dbfs"), F.lit(True).alias("screen_on"), F.lit(False).alias("silenced"), F.lit(True).alias("all_zero"), F.lit(512).alias("n_samples"))
+    return _streamed(rows, lambda stream: jobs.silence_runs_stream(stream, 1000), "append", later, "frame_start_ms")
+
+
 _SEG = f"""RECURSIVE {FRAMES_SQL},
 n AS MATERIALIZED (SELECT owner_id, frame_start_ms AS ms, prob >= 0.5 AS hi, prob < 0.35 AS lo, row_number() OVER (PARTITION BY owner_id ORDER BY frame_start_ms) AS i FROM f),
 st AS (
@@ -715,6 +724,20 @@ def append_transcripts(spark: SparkSession, sf: str) -> DataFrame:
     return diary.new_transcripts(t.filter("id % 3 = 0"), t).select("owner_id", "start_ms", "id")
 
 
+@query(f"WITH {T} SELECT owner_id, start_ms, id, day, text FROM t")
+def append_transcripts_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Every transcript told twice, half an hour of diary time apart, and a third time by a second stream over the same files: the table has each once."""
+    t = fixtures.transcripts(spark, sf).drop("role")
+    source, path, logs_ = (shared_path(spark, x) for x in ("told", "diary", "log"))
+    told = t.withColumn("told_ms", F.col("created_ms")).unionByName(t.withColumn("told_ms", F.col("created_ms") + 1_800_000))
+    for part in range(3):
+        told.filter(F.pmod(F.col("id") + F.floor(F.col("told_ms") / 1_800_000), F.lit(3)) == part).drop("told_ms").coalesce(2).write.mode("append").parquet(source)
+    for run in range(2):  # the second one starts without a checkpoint: its batches are in the ledger
+        stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 2).parquet(source)
+        jobs.append_stream(stream, path, f"{logs_}-{run}", delay="100 days").awaitTermination()
+    return diary.read_table(spark, path, "transcripts").select("owner_id", "start_ms", "id", "day", "text")
+
+
 @query(f"WITH {T} SELECT owner_id, id, day, text FROM t WHERE NOT (day = '{CUT_DAY}' AND id % 2 = 0)")
 def write_and_read_day(spark: SparkSession, sf: str) -> DataFrame:
     """All days written, one written anew with fewer rows, and the table read back."""

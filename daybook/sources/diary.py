@@ -29,15 +29,51 @@ def new_transcripts(existing: DataFrame, batch: DataFrame) -> DataFrame:
     return batch.filter(~F.coalesce(F.col("text"), F.lit("")).rlike(r"^[\s\p{Z}]*$")).dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
 
 
-def append_transcripts(batch: DataFrame, path: str, batch_id: int | None = None) -> None:
-    """For foreachBatch: appends what isn't there yet to the transcripts under path."""
+class Ledger:
+    """Which batches of a stream have been appended: for each an empty file `begun`, then one `done`, in the file system that Spark reads."""
+
+    def __init__(self, spark: SparkSession, path: str, stream: str) -> None:
+        self._jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+        self.folder = f"{path}/_batches/{stream}"
+        self._fs = self._path("").getFileSystem(conf)
+
+    def _path(self, name: str) -> object:
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def has(self, batch_id: int, what: str) -> bool:
+        return self._fs.exists(self._path(f"{batch_id}.{what}"))
+
+    def tell(self, batch_id: int, what: str) -> None:
+        self._fs.create(self._path(f"{batch_id}.{what}"), True).close()
+
+
+def append_transcripts(batch: DataFrame, path: str, batch_id: int | None = None, stream: str = "transcripts") -> None:
+    """For foreachBatch: appends the batch's transcripts with a text to those under path.
+
+    A batch of a stream that the ledger has as done is skipped, and one that it doesn't know is appended without reading the table: its rows are new,
+    as append_stream sees to. Only a batch that had begun when its run was cut off is compared with what is there. Without a batch_id rows are always compared.
+    """
     spark = batch.sparkSession
-    days = [r.day for r in batch.select("day").distinct().collect()]
-    try:
-        existing = spark.read.schema(batch.schema).parquet(f"{path}/transcripts").filter(F.col("day").cast("string").isin(days))
-        batch = new_transcripts(existing, batch)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        batch = new_transcripts(batch.limit(0), batch)
-    batch.write.mode("append").partitionBy("day").parquet(f"{path}/transcripts")
+    ledger = None if batch_id is None else Ledger(spark, path, stream)
+    if ledger and ledger.has(batch_id, "done"):
+        batch.write.format("noop").mode("overwrite").save()  # a stream's state has to be kept all the same
+        return
+    again = ledger is None or ledger.has(batch_id, "begun")
+    if ledger:
+        ledger.tell(batch_id, "begun")
+    batch = batch.persist()
+    days = [r.day for r in batch.select("day").distinct().collect()] if again else []
+    table = f"{path}/transcripts"
+    if days and _exists(spark, table):
+        rows = new_transcripts(spark.read.schema(batch.schema).parquet(table).filter(F.col("day").cast("string").isin(days)), batch)
+    else:
+        rows = new_transcripts(batch.limit(0), batch)
+    rows.write.mode("append").partitionBy("day").parquet(table)
+    batch.unpersist()
+    if ledger:
+        ledger.tell(batch_id, "done")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
-from daybook.operators.segmentation import SEGMENTS, Machine, SegmenterConfig
-from daybook.operators.telemetry import capture_windows
+from daybook.operators.segmentation import FRAME_MS, SEGMENTS, Machine, SegmenterConfig
+from daybook.operators.telemetry import capture_windows, frame_end, is_silent
 from daybook.sources.diary import append_transcripts
 
 _PROGRESS = "inside boolean, before array<long>, begin long, size long, speech long, quiet long, last_ms long, newest_ms long, due_ms long"
@@ -26,6 +26,17 @@ def capture_windows_stream(frames: DataFrame, window: str = "60 seconds", delay:
     return capture_windows(timed, window)
 
 
+def silence_runs_stream(frames: DataFrame, min_ms: int = 10_000, delay: str = "10 seconds", frame_ms: int = FRAME_MS) -> DataFrame:
+    """silence_runs of a stream: a run is a session of silent frames, given when the watermark has passed its end, with one alarm at most.
+
+    A session ends where the next silent frame is more than a frame and a half away, so a loud frame ends it, and a pause in the recording too.
+    """
+    timed = frames.withColumn("end_ms", frame_end()).withColumn("ts", F.timestamp_millis("frame_start_ms")).withWatermark("ts", delay)
+    session = F.session_window("ts", f"{frame_ms * 3 // 2} milliseconds")
+    runs = timed.filter(is_silent()).groupBy("owner_id", session).agg(F.min("frame_start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_frames"))
+    return runs.select("owner_id", "start_ms", "end_ms", "n_frames", (F.col("end_ms") - F.col("start_ms") > min_ms).alias("alarm"))
+
+
 def rocksdb_state(spark: SparkSession) -> None:
     """Keeps the state of this session's streams in RocksDB, as segment_speech_stream needs it: state beyond the memory lies on disk, and checkpoints get the changes alone."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -115,9 +126,12 @@ def segment_speech_stream(frames: DataFrame, cfg: SegmenterConfig | None = None,
     return timed.groupBy("owner_id").transformWithStateInPandas(Segmenter(cfg or SegmenterConfig(), idle_ms), SEGMENTS, "append", "EventTime")
 
 
-def append_stream(transcripts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Appends transcripts as they come; a batch that is run again adds nothing."""
-    return transcripts.writeStream.foreachBatch(lambda batch, k: append_transcripts(batch, path, k)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def append_stream(transcripts: DataFrame, path: str, checkpoint: str, name: str = "transcripts", delay: str = "1 hour") -> StreamingQuery:
+    """Appends transcripts as they come, each segment and model once: what is told again within the delay (of created_ms) is dropped in the
+    stream's state, and the ledger of batches keeps a batch that runs again from adding anything. Rows created before the watermark are dropped."""
+    timed = transcripts.withColumn("ts", F.timestamp_millis("created_ms")).withWatermark("ts", delay)
+    once = timed.dropDuplicatesWithinWatermark(["owner_id", "start_ms", "model"]).drop("ts")
+    return once.writeStream.foreachBatch(lambda batch, k: append_transcripts(batch, path, k, name)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def day_stats_stream(transcripts: DataFrame) -> DataFrame:
