@@ -15,8 +15,8 @@ from daybook.llm.common import in_fold, portions, whole_text
 
 #: Hash buckets of words; embedding size; filter widths and filters of each; labelled rows used at most.
 BUCKETS, DIM, WIDTHS, FILTERS, FIT_ROWS = 1 << 21, 12, (1, 2, 3), 12, 6000
-#: Bytes of a word's beginning that has an embedding too; toxic rows of a language that weigh as much as all languages together in its threshold; bytes of a text to learn from at most.
-STEM, SHRINK, LONGEST = 4, 20, 20_000
+#: Bytes of a word's beginning that has an embedding too; toxic rows of a language that weigh as much as all languages together in its threshold.
+STEM, SHRINK = 4, 20
 #: ASCII letters and digits stay, in lower case; other ASCII is a separator; bytes beyond ASCII stay.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -77,9 +77,12 @@ def _logits(net: Network, parts: list[np.ndarray], tables: dict[tuple[int, int],
 
 
 def train(texts: list[bytes], labels: np.ndarray, langs: list[str], epochs: int = 10, seed: int = 7, rate: float = 0.1) -> Network:
-    """Fitted on four fifths of the rows; the rest sets the shift that puts the best threshold at a score of one half, and each language's threshold."""
+    return fitted([buckets_of(t) for t in texts], labels, langs, epochs, seed, rate)
+
+
+def fitted(parts: list[np.ndarray], labels: np.ndarray, langs: list[str], epochs: int = 10, seed: int = 7, rate: float = 0.1) -> Network:
+    """Fitted on four fifths of the rows, given as buckets_of() their whole texts; the rest sets the shift that puts the best threshold at a score of one half, and each language's threshold."""
     rng = np.random.default_rng(seed)
-    parts = [buckets_of(t) for t in texts]
     labels = np.asarray(labels, np.float32)
     seen = np.bincount(np.concatenate([np.unique(p) for p in parts if p.size] or [np.zeros(0, np.int64)]).astype(np.int64), minlength=BUCKETS)
     often = np.flatnonzero(seen >= 3)
@@ -174,8 +177,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fold:
     own the more toxic rows it has (0.5 for a language without any); flagged is score >= threshold, predicted is score >= 0.5.
 
     A null text counts as empty and is scored as such; a null lang is a language of its own. Null labels are ignored; a doc_id with both labels gives two rows to learn
-    from, and of rows that repeat a doc_id the smallest text is learnt from; each is scored on its own. Texts of more than LONGEST bytes aren't learnt from, so the sample's
-    bytes are bounded too; they are scored whole, some hundred bytes a word.
+    from, and of rows that repeat a doc_id the smallest text is learnt from; each is scored on its own. Texts are learnt from and scored whole, some hundred bytes a
+    word; of the sample the driver gets eight bytes a word, made by the tasks that read it.
     Without labels of both kinds every score is the same. Other columns are ignored. No rows give no rows.
     """
     spark = docs.sparkSession
@@ -183,10 +186,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fold:
     rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), whole_text().cast("binary").alias("text"), lang.alias("lang"))
     sample = labels.select(F.col("doc_id").cast("long").alias("fit_id"), F.col("toxic").cast("int").alias("toxic")).filter("fit_id IS NOT NULL AND toxic IS NOT NULL").distinct()
     sample = sample.filter(~in_fold(F.col("fit_id"), fold)).orderBy(F.xxhash64("fit_id"), "fit_id", "toxic").limit(fit_rows)
-    short = rows.filter(F.octet_length("text") <= LONGEST).join(F.broadcast(sample), rows.doc_id == F.col("fit_id"))
-    fit = short.groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("x")).select("doc_id", "toxic", "x.*").toPandas()
+    chosen = rows.join(F.broadcast(sample), rows.doc_id == F.col("fit_id")).groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("x"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [buckets_of(t.as_py()).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), batch.column(3)], ["doc_id", "toxic", "ids", "lang"])
+
+    fit = chosen.select("doc_id", "toxic", "x.*").mapInArrow(hashed, "doc_id long, toxic int, ids binary, lang string").toPandas()
     fit = fit.sort_values(["doc_id", "toxic"], kind="stable")
-    net = spark.sparkContext.broadcast(train(list(fit["text"]), fit["toxic"].to_numpy(), list(fit["lang"])))
+    parts = [np.frombuffer(ids, np.uint32).reshape(2, -1) for ids in fit["ids"]]
+    net = spark.sparkContext.broadcast(fitted(parts, fit["toxic"].to_numpy(), list(fit["lang"])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = net.value
