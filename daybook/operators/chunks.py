@@ -106,8 +106,13 @@ def day_stats(df: DataFrame) -> DataFrame:
 
 def changed_days(transcripts: DataFrame, summaries: DataFrame, index_days: DataFrame) -> DataFrame:
     """(owner_id, day, signature) of the days whose sources differ from what was indexed."""
-    t = day_stats(transcripts).select("owner_id", "day", F.col("count").alias("tc"), F.col("max_created_ms").alias("tm"))
-    s = day_stats(summaries).select("owner_id", "day", F.col("count").alias("sc"), F.col("max_created_ms").alias("sm"))
+    return changed_stats(day_stats(transcripts), day_stats(summaries), index_days)
+
+
+def changed_stats(transcript_days: DataFrame, summary_days: DataFrame, index_days: DataFrame) -> DataFrame:
+    """changed_days from the counts of both sources: rows of day_stats."""
+    t = transcript_days.select("owner_id", "day", F.col("count").alias("tc"), F.col("max_created_ms").alias("tm"))
+    s = summary_days.select("owner_id", "day", F.col("count").alias("sc"), F.col("max_created_ms").alias("sm"))
     part = lambda c, m: F.concat(F.coalesce(c, F.lit(0)).cast("string"), F.lit(":"), F.coalesce(m, F.lit(0)).cast("string"))
     now = t.join(s, ["owner_id", "day"], "full_outer").select("owner_id", "day", F.concat(F.lit("t"), part(F.col("tc"), F.col("tm")), F.lit("|s"), part(F.col("sc"), F.col("sm"))).alias("signature"))
     before = index_days.select("owner_id", "day", F.col("signature").alias("old"))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from daybook.functions import models, timeutil, vectors
 from daybook.operators import buffer, chunks, context, dates, digests, logs, search, segmentation, summaries, telemetry, timeline, transcription
-from daybook.plans import summarize
-from daybook.sources import diary, fixtures, loglines, segments
+from daybook.plans import index, summarize
+from daybook.sources import chunk_store, day_counts, diary, fixtures, loglines, segments
 from daybook.sources.fixtures import D0, DAY_MS, FRAMES_SQL, LONG_SQL, NOW_MS, SUMMARIES_SQL, TRANSCRIPTS_SQL
 from daybook.sources.shared import cut, shared_path
 from daybook.streaming import jobs
@@ -283,6 +283,18 @@ def changed_days(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.changed_days(fixtures.transcripts(spark, sf), fixtures.summaries(spark, sf), _index_days(spark, sf))
 
 
+@query(SQL["changed_days"])
+def days_to_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Both sources grow by streams of several batches, which keep the counts; the changed days are found from those."""
+    counts = shared_path(spark, "counts")
+    for source, rows in (("transcripts", fixtures.transcripts(spark, sf).drop("role")), ("summaries", fixtures.summaries(spark, sf))):
+        told, table, log = (shared_path(spark, f"{source}-{x}") for x in ("in", "table", "log"))
+        rows.repartition(4).write.parquet(told)
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(told)
+        jobs.counted_stream(stream, table, counts, source, log).awaitTermination()
+    return day_counts.days_to_index(spark, counts, _index_days(spark, sf))
+
+
 @query(f"""WITH {_CHUNKS}, dn AS (SELECT owner_id, day, CAST(right(day, 2) AS INT) AS d, hash, kind FROM c)
 SELECT owner_id, day, count(*) FILTER (kind = 'HOUR') AS added, count(*) FILTER (kind = 'TRANSCRIPT') AS removed FROM dn WHERE (d % 5 = 0 OR d % 4 = 0) AND kind <> 'DAY' GROUP BY owner_id, day""")
 def sync_chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -294,6 +306,20 @@ def sync_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return report
 
 
+@query(f"""WITH {_CHUNKS}, dn AS (SELECT owner_id, day, CAST(right(day, 2) AS INT) AS d, hash, kind FROM c)
+SELECT owner_id, day, kind, hash FROM dn WHERE CASE WHEN d % 5 = 0 OR d % 4 = 0 THEN kind <> 'TRANSCRIPT' ELSE kind <> 'HOUR' END""")
+def sync_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The table after a sync, read from disk. Before: the chunks without hours. After: the changed days have hours, and no transcripts any more."""
+    every = cut(turn_chunks(spark, sf))
+    old = every.filter("kind <> 'HOUR'").select("*", F.lit(None).cast("struct<scale: float, q: array<tinyint>>").alias("vector"), F.lit("").alias("model"))
+    store = chunk_store.ChunkStore(spark, shared_path(spark, "index"))
+    marked = _index_days(spark, sf).select("owner_id", "day", "signature", F.lit(0).cast("long").alias("indexed_ms"), F.lit(0).cast("long").alias("chunks"))
+    store.commit(old, marked, [r.day for r in every.select("day").distinct().collect()])
+    changed = chunks.changed_days(fixtures.transcripts(spark, sf), fixtures.summaries(spark, sf), store.index_days())
+    index.sync_index(store, every.filter("kind <> 'TRANSCRIPT'"), changed, fixtures.transcripts(spark, sf), NOW_MS)
+    return store.chunks().select("owner_id", "day", "kind", "hash")
+
+
 @query("SELECT vec_id AS id, strftime(DATE '2024-01-01' + CAST(label * 3 + vec_id % 3 AS INT), '%Y-%m-%d') AS day FROM embeddings WHERE vec_id % 17 = 0")
 def pending_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     rows = fixtures.chunk_vectors(spark, sf).withColumn("start_ms", F.lit(0))

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValu
 
 from daybook.operators.segmentation import FRAME_MS, SEGMENTS, Machine, SegmenterConfig
 from daybook.operators.telemetry import capture_windows, frame_end, is_silent
+from daybook.sources.day_counts import refresh_day_counts
 from daybook.sources.diary import append_transcripts
 
 _PROGRESS = "inside boolean, before array<long>, begin long, size long, speech long, quiet long, last_ms long, newest_ms long, due_ms long"
@@ -134,6 +135,19 @@ def append_stream(transcripts: DataFrame, path: str, checkpoint: str, name: str
     return once.writeStream.foreachBatch(lambda batch, k: append_transcripts(batch, path, k, name)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def counted_stream(rows: DataFrame, table: str, counts: str, source: str, checkpoint: str) -> StreamingQuery:
+    """Appends rows with a day to a table, each batch to a folder of its own, and keeps the counts of the days that the batch touches."""
+
+    def put(batch: DataFrame, k: int) -> None:
+        spark = batch.sparkSession
+        # a batch that is run again replaces what it wrote
+        batch.withColumn("batch_id", F.lit(k)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id").parquet(table)
+        now = spark.read.schema(batch.schema).parquet(table)
+        refresh_day_counts(now, batch, counts, source)
+
+    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def day_stats_stream(transcripts: DataFrame) -> DataFrame:
     """Counts and newest created_ms per day, kept up to date. Late rows count: they reopen a day, so there is no watermark."""
     return transcripts.groupBy("owner_id", "day").agg(F.count("*").alias("count"), F.max("created_ms").alias("max_created_ms"))
