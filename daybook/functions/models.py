@@ -32,6 +32,11 @@ def hash_embedder(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+def length_embedder(texts: pd.Series) -> pd.Series:
+    """16 numbers: how many words have a length of k, k + 16, ..: SQL can make them too."""
+    return texts.map(lambda text: np.bincount([len(w) % 16 for w in text.split()], minlength=16).astype(float).tolist())
+
+
 def citing_llm(requests: pd.DataFrame) -> pd.Series:
     """Answers that cite the first source, if there is one, and name what was asked for."""
     asked = requests["system"].map(len).astype(str) + " " + requests["max_tokens"].astype(str) + " " + requests["temperature"].map("{:.1f}".format)

@@ -151,7 +151,7 @@ HOUR_TOKENS, DAY_TOKENS = 700, 1400
 def complete(prompts: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], partitions: int | None = None, system: str = SYSTEM, max_tokens: Column | int = HOUR_TOKENS, temperature: float = 0.0) -> DataFrame:
     """prompts with raw: fn takes frames of requests (system, prompt, max_tokens, temperature) and gives the model's texts.
 
-    Prompts are dealt out by count, as calls take seconds each.
+    With `partitions`, prompts are dealt out evenly, as calls take seconds each.
     """
     rows = prompts.repartition(partitions) if partitions else prompts
     limit = F.lit(max_tokens) if isinstance(max_tokens, int) else max_tokens

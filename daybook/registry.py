@@ -87,9 +87,9 @@ def day_stats(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.day_stats(fixtures.summaries(spark, sf))
 
 
-@query("SELECT event_id AS event_id, CASE WHEN s >= 3600 THEN (s // 3600) || ' ч ' || lpad(CAST(s // 60 % 60 AS VARCHAR), 2, '0') || ' мин' WHEN s >= 60 THEN (s // 60) || ' мин ' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') || ' с' ELSE s || ' с' END AS spoken FROM (SELECT event_id, event_id * 7919 % 20000000 // 1000 AS s FROM events)")
+@query("SELECT event_id AS event_id, CASE WHEN s >= 3600 THEN (s // 3600) || ' ч ' || lpad(CAST(s // 60 % 60 AS VARCHAR), 2, '0') || ' мин' WHEN s >= 60 THEN (s // 60) || ' мин ' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') || ' с' ELSE s || ' с' END AS spoken FROM (SELECT event_id, epoch_us(ts) // 1000 % 20000000 // 1000 AS s FROM events)")
 def format_duration(spark: SparkSession, sf: str) -> DataFrame:
-    return fixtures.read(spark, sf, "events").select("event_id", timeutil.format_duration(F.col("event_id") * 7919 % 20_000_000).alias("spoken"))
+    return fixtures.read(spark, sf, "events").select("event_id", timeutil.format_duration(F.unix_millis(F.col("ts").cast("timestamp")) % 20_000_000).alias("spoken"))
 
 
 # ---- digests
@@ -332,11 +332,14 @@ def embedding_text(spark: SparkSession, sf: str) -> DataFrame:
     return fixtures.read(spark, sf, "documents").select("doc_id", chunks.embedding_text(stamped).alias("text"))
 
 
-@query()
+@query(f"""WITH {_CHUNKS}, e AS (SELECT owner_id, day, hash, list_transform(range(0, 16), lambda i: len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '' AND length(w) % 16 = i))) AS v FROM c),
+u AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: CAST(x AS DOUBLE) * x))) AS n FROM e), w AS (SELECT *, list_transform(v, lambda x: CAST(x / CASE WHEN n = 0 THEN 1 ELSE n END AS FLOAT)) AS f FROM u),
+z AS (SELECT *, CAST(CASE WHEN list_max(f) = 0 THEN 1 ELSE CAST(list_max(f) AS DOUBLE) / 127 END AS FLOAT) AS scale FROM w)
+SELECT owner_id, day, hash, 'lengths16' AS model, round(CAST(scale AS DOUBLE), 6) AS scale, array_to_string(list_transform(f, lambda x: greatest(-127, least(127, CAST(floor(CAST(x AS DOUBLE) / CAST(scale AS DOUBLE) + 0.5) AS INT)))), '|') AS q FROM z""")
 def embed_chunks(spark: SparkSession, sf: str) -> DataFrame:
     rows = turn_chunks(spark, sf).select("*", F.lit(None).cast("struct<scale: float, q: array<tinyint>>").alias("vector"), F.lit("").alias("model"))
-    done = chunks.embed_chunks(rows, models.hash_embedder, "hash64")
-    return done.select("owner_id", "id", "day", "model", F.col("vector.scale").alias("scale"), joined(F.transform("vector.q", lambda x: x.cast("string"))).alias("q"))
+    done = chunks.embed_chunks(rows, models.length_embedder, "lengths16")
+    return done.select("owner_id", "day", "hash", "model", F.round(F.col("vector.scale").cast("double"), 6).alias("scale"), joined(F.transform("vector.q", lambda x: x.cast("string"))).alias("q"))
 
 
 @query("SELECT vec_id AS vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3)) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x * 9))), 4) AS total FROM embeddings")
@@ -385,7 +388,7 @@ def resolve_date_hints(spark: SparkSession, sf: str) -> DataFrame:
 
 _STOP = ", ".join(f"'{w}'" for w in "a the of to in on and or is was an what when who did i my".split())
 _Q = f"""w AS (SELECT item_id + 1000 AS qid, 'o' || ((item_id + 1000) % 7) AS owner_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS i FROM (
-  SELECT item_id, regexp_extract_all(replace(lower(array_to_string(list_slice(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), 1, 6), ' ')), 'ё', 'е'), '[\\p{{L}}\\d]+') AS ws FROM benchmark)),
+  SELECT item_id, regexp_extract_all(replace(lower(text), 'ё', 'е'), '[\\p{{L}}\\d]+') AS ws FROM benchmark)),
 st AS (SELECT qid, owner_id, min(i) AS i, CASE WHEN regexp_matches(w, '\\d') THEN w WHEN length(w) >= 6 THEN left(w, -2) WHEN length(w) >= 4 THEN left(w, -1) ELSE w END AS stem
        FROM w WHERE w NOT IN ({_STOP}) AND (length(w) >= 3 OR regexp_matches(w, '\\d')) GROUP BY ALL)"""
 
@@ -509,30 +512,45 @@ def answer_questions(spark: SparkSession, sf: str) -> DataFrame:
     return context.cited_sources(answered).select("qid", "answer", joined(F.transform("cited", lambda s: s["label"])).alias("cited"))
 
 
-@query("SELECT event_id AS event_id, CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN CAST(event_id % 97 AS VARCHAR) ELSE event_id % 97 || '|' || (event_id % 97 + 1) END AS cited FROM events")
+_TURN = "conv_id * 100 + turn AS id"
+
+
+@query(f"SELECT {_TURN}, CASE length(text) % 3 WHEN 0 THEN '' WHEN 1 THEN CAST(length(text) % 97 AS VARCHAR) ELSE length(text) % 97 || '|' || (length(text) % 97 + 1) END AS cited FROM conversations")
 def extract_citations(spark: SparkSession, sf: str) -> DataFrame:
-    i, n = F.col("event_id"), (F.col("event_id") % 97).cast("string")
-    answer = F.when(i % 3 == 0, "ничего [x] [123]").when(i % 3 == 1, F.concat(F.lit("да ["), n, F.lit("] и ["), n, F.lit("]"))).otherwise(F.concat(F.lit("["), n, F.lit(" ; "), (i % 97 + 1).cast("string"), F.lit("]")))
-    return fixtures.read(spark, sf, "events").select("event_id", joined(F.transform(context.extract_citations(answer), lambda x: x.cast("string"))).alias("cited"))
+    """Whole turns as answers, with citations behind their text."""
+    size, text = F.char_length("text"), F.col("text")
+    n = (size % 97).cast("string")
+    answer = F.when(size % 3 == 0, F.concat(text, F.lit(" [x] [123]"))).when(size % 3 == 1, F.concat(F.lit("["), n, F.lit("] "), text, F.lit(" ["), n, F.lit("]"))).otherwise(F.concat(text, F.lit("["), n, F.lit(" ; "), (size % 97 + 1).cast("string"), F.lit("]")))
+    return fixtures.read(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), joined(F.transform(context.extract_citations(answer), lambda x: x.cast("string"))).alias("cited"))
 
 
-@query("SELECT event_id AS event_id, CASE event_id % 2 WHEN 0 THEN '2' ELSE '1|2|3' END AS cited FROM events")
+@query(f"SELECT {_TURN}, CASE length(text) % 2 WHEN 0 THEN '2' ELSE '1|2|3' END AS cited FROM conversations")
 def cited_sources(spark: SparkSession, sf: str) -> DataFrame:
-    answers = fixtures.read(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, "вот [2]").otherwise("вот [9]").alias("answer"), F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.struct(n.alias("n"))).alias("sources"))
-    return context.cited_sources(answers).select("event_id", joined(F.transform("cited", lambda s: s["n"].cast("string"))).alias("cited"))
+    answer = F.concat("text", F.when(F.char_length("text") % 2 == 0, " [2]").otherwise(" [9]"))
+    answers = fixtures.read(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), answer.alias("answer"), F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.struct(n.alias("n"))).alias("sources"))
+    return context.cited_sources(answers).select("id", joined(F.transform("cited", lambda s: s["n"].cast("string"))).alias("cited"))
 
 
 # ---- telemetry and segments
 
 
-_PCM = "list_transform(range(0, 64), lambda k: (event_id * 31 + k * 7) % 2000 - CASE WHEN event_id % 9 = 0 THEN (event_id * 31 + k * 7) % 2000 ELSE 1000 END)"
+#: The bytes of a turn's text as samples of two bytes.
+_PCM = "list_transform(list_transform(range(0, strlen(text) // 2), lambda k: CAST('0x' || substr(hex(encode(text)), 4 * k + 1, 2) AS INT) + 256 * CAST('0x' || substr(hex(encode(text)), 4 * k + 3, 2) AS INT)), lambda v: CASE WHEN v >= 32768 THEN v - 65536 ELSE v END)"
 
 
-@query(f"SELECT event_id AS event_id, round(CASE WHEN rms > 0 THEN greatest(-96.0, least(0.0, 20 * log10(rms / 32767))) ELSE -96.0 END, 6) AS dbfs, rms = 0 AS all_zero FROM (SELECT event_id, sqrt(list_sum(list_transform({_PCM}, lambda x: CAST(x AS DOUBLE) * x)) / 64) AS rms FROM events)")
+def _samples(spark: SparkSession, sf: str) -> DataFrame:
+    return fixtures.read(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), segments.pcm_to_samples(F.col("text").cast("binary")).alias("pcm"))
+
+
+@query(f"SELECT id, round(CASE WHEN rms > 0 THEN greatest(-96.0, least(0.0, 20 * log10(rms / 32767))) ELSE -96.0 END, 6) AS dbfs, coalesce(rms, 0) = 0 AS all_zero FROM (SELECT {_TURN}, sqrt(list_sum(list_transform({_PCM}, lambda x: CAST(x AS DOUBLE) * x)) / nullif(strlen(text) // 2, 0)) AS rms FROM conversations)")
 def frame_level(spark: SparkSession, sf: str) -> DataFrame:
-    i = F.col("event_id")
-    pcm = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: ((i * 31 + k * 7) % 2000 - F.when(i % 9 == 0, (i * 31 + k * 7) % 2000).otherwise(1000)).cast("smallint"))
-    return telemetry.frame_level(fixtures.read(spark, sf, "events").select("event_id", pcm.alias("pcm"))).select("event_id", F.round("dbfs", 6).alias("dbfs"), "all_zero")
+    return telemetry.frame_level(_samples(spark, sf)).select("id", F.round("dbfs", 6).alias("dbfs"), "all_zero")
+
+
+@query(f"SELECT id, CAST(len(s) AS INT) AS n_samples, CAST(list_sum(s) AS BIGINT) AS total, list_min(s) AS least, list_max(s) AS most FROM (SELECT {_TURN}, {_PCM} AS s FROM conversations)")
+def pcm_to_samples(spark: SparkSession, sf: str) -> DataFrame:
+    total = F.aggregate("pcm", F.lit(0).cast("long"), lambda a, x: a + x)
+    return _samples(spark, sf).select("id", F.size("pcm").alias("n_samples"), F.when(F.size("pcm") > 0, total).alias("total"), F.array_min("pcm").cast("int").alias("least"), F.array_max("pcm").cast("int").alias("most"))
 
 
 _W = f"""{FRAMES_SQL}, w AS (SELECT owner_id, frame_start_ms // 60000 * 60000 AS window_ms, count(*) AS frames, CAST(sum(n_samples) AS BIGINT) * 1000 // 16000 AS audio_ms,
@@ -646,19 +664,21 @@ def retain_by_size(spark: SparkSession, sf: str) -> DataFrame:
     return buffer.retain_by_size(_files(spark, sf), ["owner_id"], [F.desc("start_ms"), "id"], "size", 20_000_000)[0].select("owner_id", "id")
 
 
-@query("SELECT class, count(*) AS files FROM (SELECT CASE event_id % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'stray' WHEN 2 THEN 'stray' WHEN 5 THEN 'stray' END AS class FROM events) WHERE class IS NOT NULL GROUP BY class")
+_PATHS = {"view": "/data/segments/{}.bseg", "signup": "/data/{}.WAV", "click": "/data/segments/{}.bseg.tmp", "error": "/data/models/{}.wav", "purchase": "/cache/{}.bseg"}
+
+
+@query("SELECT class, count(*) AS files FROM (SELECT CASE event_type WHEN 'view' THEN 'pending' WHEN 'error' THEN NULL ELSE 'stray' END AS class FROM events) WHERE class IS NOT NULL GROUP BY class")
 def leftover_audio(spark: SparkSession, sf: str) -> DataFrame:
-    i = F.col("event_id")
-    name = F.element_at(F.array(*map(F.lit, ["/data/segments/{}.bseg", "/data/{}.WAV", "/data/segments/{}.bseg.tmp", "/data/models/{}.wav", "/data/{}.json", "/cache/{}.bseg"])), (i % 6 + 1).cast("int"))
-    return buffer.leftover_audio(fixtures.read(spark, sf, "events").select(F.replace(name, F.lit("{}"), i.cast("string")).alias("path")))
+    name = F.create_map(*[F.lit(x) for pair in _PATHS.items() for x in pair])[F.col("event_type")]
+    return buffer.leftover_audio(fixtures.read(spark, sf, "events").select(F.replace(name, F.lit("{}"), F.col("user_id").cast("string")).alias("path")))
 
 
-@query("SELECT conv_id * 100 + turn AS id, 1704067200000 + turn AS start_ms, length(text) % 100 * 2 AS bytes_back, 'ok' AS status FROM conversations")
+@query(f"SELECT {_TURN}, 1704067200000 + turn AS start_ms, CAST(strlen(text) // 2 * 2 AS BIGINT) AS bytes_back, 'ok' AS status FROM conversations")
 def seal_and_open_segments(spark: SparkSession, sf: str) -> DataFrame:
-    """Sealed, the header read in the clear, opened again."""
+    """The bytes of whole turns sealed as samples, the header read in the clear, opened again."""
     key = bytes(range(32))
-    rows = fixtures.read(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), (F.lit(D0) + F.col("turn")).alias("start_ms"), F.lit(16_000).alias("sample_rate"), (F.char_length("text") % 100).alias("num_samples"))
-    rows = rows.withColumn("pcm_bytes", segments.samples_to_pcm(F.transform(F.slice(F.sequence(F.lit(0), F.lit(99)), 1, F.col("num_samples")), lambda k: (k * 31 % 2000 - 1000).cast("smallint"))))
+    rows = fixtures.read(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), (F.lit(D0) + F.col("turn")).alias("start_ms"), F.lit(16_000).alias("sample_rate"), segments.pcm_to_samples(F.col("text").cast("binary")).alias("pcm"))
+    rows = rows.select("id", "start_ms", "sample_rate", F.size("pcm").alias("num_samples"), segments.samples_to_pcm("pcm").alias("pcm_bytes"))
     sealed = segments.seal_segments(rows, key).select("id", F.col("blob").alias("content"))
     opened = segments.open_segments(segments.header_columns(sealed), key)
     return opened.select("id", "start_ms", F.octet_length("pcm_bytes").cast("long").alias("bytes_back"), "status")
@@ -774,6 +794,19 @@ def write_and_read_day(spark: SparkSession, sf: str) -> DataFrame:
     return diary.read_table(spark, path, "transcripts").select("owner_id", "id", "day", "text")
 
 
+@query(f"""WITH {_CHUNKS}, td AS (SELECT owner_id, day FROM t UNION SELECT owner_id, day FROM s)
+SELECT 'transcripts' AS name, owner_id, day, count(*) AS n FROM t GROUP BY ALL UNION ALL SELECT 'summaries', owner_id, day, count(*) FROM s GROUP BY ALL UNION ALL SELECT 'chunks', owner_id, day, count(*) FROM c GROUP BY ALL
+UNION ALL SELECT 'index_days', owner_id, day, 1 FROM td WHERE CAST(right(day, 2) AS INT) % 5 <> 0""")
+def read_diary(spark: SparkSession, sf: str) -> DataFrame:
+    """The four tables written by days and read again: rows of each day."""
+    path = shared_path(spark, "diary")
+    tables = {"transcripts": fixtures.transcripts(spark, sf), "summaries": fixtures.summaries(spark, sf), "chunks": turn_chunks(spark, sf), "index_days": _index_days(spark, sf)}
+    for name, rows in tables.items():
+        diary.write_day(rows, path, name)
+    counted = [rows.groupBy("owner_id", "day").agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "owner_id", "day", "n") for name, rows in diary.read_diary(spark, path).items()]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2]).unionByName(counted[3])
+
+
 def _streamed(df: DataFrame, made: Callable[[DataFrame], DataFrame], mode: str, then: DataFrame | None = None, along: str | None = None) -> DataFrame:
     """What a stream over the rows of df gives, in several batches, the rows of `then` in a file of their own after them: all batches' rows, or the last state of a complete result.
 
