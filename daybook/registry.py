@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from daybook.functions import models, timeutil, vectors
 from daybook.operators import buffer, chunks, context, dates, digests, logs, search, segmentation, summaries, telemetry, timeline, transcription
-from daybook.plans import index, summarize
+from daybook.plans import diary_path, index, summarize
 from daybook.sources import chunk_store, day_counts, diary, fixtures, loglines, segments
 from daybook.sources.fixtures import D0, DAY_MS, FRAMES_SQL, LONG_SQL, NOW_MS, SUMMARIES_SQL, TRANSCRIPTS_SQL
 from daybook.sources.shared import cut, shared_path
@@ -684,6 +684,31 @@ def seal_and_open_segments(spark: SparkSession, sf: str) -> DataFrame:
     return opened.select("id", "start_ms", F.octet_length("pcm_bytes").cast("long").alias("bytes_back"), "status")
 
 
+@query()
+def whole_path(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames to segments, sealed files, transcripts, digests, the index, and cited answers to every benchmark passage. A segment's audio are the bytes of a whole turn, and the stand-in recognizer reads them."""
+    key, folder, path = bytes(range(32)), shared_path(spark, "buffer"), shared_path(spark, "diary")
+    turns = fixtures.read(spark, sf, "conversations").filter("turn = 0").groupBy("conv_id").agg(F.min("text").alias("text"))
+    n = turns.agg(F.max("conv_id") + 1).first()[0]
+
+    def audio(found: DataFrame) -> DataFrame:
+        said = turns.select("conv_id", F.when(F.octet_length("text") % 2 == 1, F.concat("text", F.lit(" "))).otherwise(F.col("text")).cast("binary").alias("pcm_bytes"))
+        return found.withColumn("conv_id", F.pmod(F.xxhash64("owner_id", "start_ms"), F.lit(n))).join(said, "conv_id").drop("conv_id")
+
+    def hear(payload: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"text": payload.map(lambda b: bytes(b).decode()), "lang": "", "took_ms": payload.map(len)})
+
+    diary_path.buffer_speech(fixtures.frames(spark, sf), audio, folder, key)
+    diary_path.transcribe_buffer(spark, folder, key, path, hear, ZONE, "asr", NOW_MS)
+    diary_path.summarize_diary(spark, path, models.first_words_llm, ZONE, NOW_MS, 4000)
+    store = chunk_store.ChunkStore(spark, shared_path(spark, "index"))
+    diary_path.index_diary(spark, path, store, models.hash_embedder, "hash64", ZONE, NOW_MS)
+    owners = [r.owner_id for r in store.chunks().select("owner_id").distinct().orderBy("owner_id").limit(50).collect()]
+    asked = fixtures.questions(spark, sf).filter("qid >= 1000").withColumn("owner_id", F.element_at(F.array(*map(F.lit, owners)), (F.col("qid") % len(owners) + 1).cast("int")))
+    answers = diary_path.ask(asked, store, models.hash_embedder, "hash64", models.citing_llm, ZONE, 900)
+    return answers.select("qid", "answer", joined(F.transform("cited", lambda s: s["label"])).alias("cited"))
+
+
 # ---- transcription, calls, logs
 
 

@@ -64,7 +64,7 @@ def append_transcripts(batch: DataFrame, path: str, batch_id: int | None = None,
     batch = batch.persist()
     days = [r.day for r in batch.select("day").distinct().collect()] if again else []
     table = f"{path}/transcripts"
-    if days and _exists(spark, table):
+    if days and exists(spark, table):
         rows = new_transcripts(spark.read.schema(batch.schema).parquet(table).filter(F.col("day").cast("string").isin(days)), batch)
     else:
         rows = new_transcripts(batch.limit(0), batch)
@@ -74,6 +74,6 @@ def append_transcripts(batch: DataFrame, path: str, batch_id: int | None = None,
         ledger.tell(batch_id, "done")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
