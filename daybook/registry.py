@@ -703,8 +703,8 @@ def whole_path(spark: SparkSession, sf: str) -> DataFrame:
     diary_path.summarize_diary(spark, path, models.first_words_llm, ZONE, NOW_MS, 4000)
     store = chunk_store.ChunkStore(spark, shared_path(spark, "index"))
     diary_path.index_diary(spark, path, store, models.hash_embedder, "hash64", ZONE, NOW_MS)
-    owners = [r.owner_id for r in store.chunks().select("owner_id").distinct().orderBy("owner_id").limit(50).collect()]
-    asked = fixtures.questions(spark, sf).filter("qid >= 1000").withColumn("owner_id", F.element_at(F.array(*map(F.lit, owners)), (F.col("qid") % len(owners) + 1).cast("int")))
+    users = fixtures.read(spark, sf, "events").agg(F.max("user_id") + 1).first()[0]
+    asked = fixtures.questions(spark, sf).filter("qid >= 1000").withColumn("owner_id", F.concat(F.lit("u"), (F.col("qid") % users).cast("string")))
     answers = diary_path.ask(asked, store, models.hash_embedder, "hash64", models.citing_llm, ZONE, 900)
     return answers.select("qid", "answer", joined(F.transform("cited", lambda s: s["label"])).alias("cited"))
 

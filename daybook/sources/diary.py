@@ -47,18 +47,18 @@ class Ledger:
         self._fs.create(self._path(f"{batch_id}.{what}"), True).close()
 
 
-def append_transcripts(batch: DataFrame, path: str, batch_id: int | None = None, stream: str = "transcripts") -> None:
+def append_transcripts(batch: DataFrame, path: str, batch_id: int | None = None, stream: str = "transcripts", repeats: bool = True) -> None:
     """For foreachBatch: appends the batch's transcripts with a text to those under path.
 
-    A batch of a stream that the ledger has as done is skipped, and one that it doesn't know is appended without reading the table: its rows are new,
-    as append_stream sees to. Only a batch that had begun when its run was cut off is compared with what is there. Without a batch_id rows are always compared.
+    A batch of a stream that the ledger has as done is skipped. Rows are compared with those of their days, unless the caller has dropped `repeats` as
+    append_stream does: then a batch that the ledger doesn't know is appended without reading the table, and only one that had begun when its run was cut off is compared.
     """
     spark = batch.sparkSession
     ledger = None if batch_id is None else Ledger(spark, path, stream)
     if ledger and ledger.has(batch_id, "done"):
         batch.write.format("noop").mode("overwrite").save()  # a stream's state has to be kept all the same
         return
-    again = ledger is None or ledger.has(batch_id, "begun")
+    again = repeats or ledger is None or ledger.has(batch_id, "begun")
     if ledger:
         ledger.tell(batch_id, "begun")
     batch = batch.persist()

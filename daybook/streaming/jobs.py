@@ -132,7 +132,7 @@ def append_stream(transcripts: DataFrame, path: str, checkpoint: str, name: str
     stream's state, and the ledger of batches keeps a batch that runs again from adding anything. Rows created before the watermark are dropped."""
     timed = transcripts.withColumn("ts", F.timestamp_millis("created_ms")).withWatermark("ts", delay)
     once = timed.dropDuplicatesWithinWatermark(["owner_id", "start_ms", "model"]).drop("ts")
-    return once.writeStream.foreachBatch(lambda batch, k: append_transcripts(batch, path, k, name)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return once.writeStream.foreachBatch(lambda batch, k: append_transcripts(batch, path, k, name, repeats=False)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def counted_stream(rows: DataFrame, table: str, counts: str, source: str, checkpoint: str) -> StreamingQuery:

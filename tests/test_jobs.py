@@ -131,7 +131,7 @@ def kept(spark, path):
 
 def test_a_batch_that_was_cut_off_is_made_good(spark, tmp_path, monkeypatch):
     path = str(tmp_path)
-    diary.append_transcripts(told(spark, range(0, 10)), path, 0, "s")
+    diary.append_transcripts(told(spark, range(0, 10)), path, 0, "s", False)
     real = diary.Ledger.tell
 
     def cut_off(self, batch_id, what):
@@ -141,23 +141,24 @@ def test_a_batch_that_was_cut_off_is_made_good(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(diary.Ledger, "tell", cut_off)
     with pytest.raises(RuntimeError):
-        diary.append_transcripts(told(spark, range(10, 20)), path, 1, "s")  # the rows are there, the ledger says nothing of it
+        diary.append_transcripts(told(spark, range(10, 20)), path, 1, "s", False)  # the rows are there, the ledger says nothing of it
     monkeypatch.setattr(diary.Ledger, "tell", real)
     for _ in range(2):
-        diary.append_transcripts(told(spark, range(10, 20)), path, 1, "s")
+        diary.append_transcripts(told(spark, range(10, 20)), path, 1, "s", False)
         assert kept(spark, path) == [k for k in range(20) if k % 7]
-    diary.append_transcripts(told(spark, range(0, 10)), path, 0, "s")
-    # another stream's batches have numbers of their own, and a batch without a number is always compared
-    diary.append_transcripts(told(spark, range(20, 25)), path, 0, "other")
+    diary.append_transcripts(told(spark, range(0, 10)), path, 0, "s", False)
+    # another stream's batches have numbers of their own; without a number rows are always compared, and with one where repeats may be
+    diary.append_transcripts(told(spark, range(20, 25)), path, 0, "other", False)
     diary.append_transcripts(told(spark, range(15, 30)), path)
+    diary.append_transcripts(told(spark, range(15, 30)), path, 7, "other")
     assert kept(spark, path) == [k for k in range(30) if k % 7]
 
 
 def test_a_new_batch_is_appended_without_reading_the_table(spark, tmp_path, monkeypatch):
     path = str(tmp_path)
     monkeypatch.setattr(diary, "exists", lambda *a: pytest.fail("the table was looked for"))
-    diary.append_transcripts(told(spark, range(5)), path, 0)
-    diary.append_transcripts(told(spark, range(5, 9)), path, 1)
+    diary.append_transcripts(told(spark, range(5)), path, 0, repeats=False)
+    diary.append_transcripts(told(spark, range(5, 9)), path, 1, repeats=False)
     assert len(kept(spark, path)) == 7
 
 
