@@ -661,7 +661,7 @@ def buffer_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {T}, z AS (SELECT owner_id, id, sum((end_ms - start_ms) * 32 + 50) OVER w AS total, row_number() OVER w AS n FROM t WINDOW w AS (PARTITION BY owner_id ORDER BY start_ms DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT owner_id, id FROM z WHERE total <= 20000000 OR n = 1")
 def retain_by_size(spark: SparkSession, sf: str) -> DataFrame:
-    return buffer.retain_by_size(_files(spark, sf), ["owner_id"], [F.desc("start_ms"), "id"], "size", 20_000_000)[0].select("owner_id", "id")
+    return buffer.retain_by_size(_files(spark, sf), ["owner_id"], [F.desc("start_ms"), "id"], "size", 20_000_000, F.floor(F.col("start_ms") / DAY_MS))[0].select("owner_id", "id")
 
 
 _PATHS = {"view": "/data/segments/{}.bseg", "signup": "/data/{}.WAV", "click": "/data/segments/{}.bseg.tmp", "error": "/data/models/{}.wav", "purchase": "/cache/{}.bseg"}

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from daybook.functions import models
-from daybook.operators import digests, summaries, telemetry
+from daybook.operators import buffer, digests, summaries, telemetry
 from daybook.plans import summarize
 from daybook.sources import diary
 from daybook.streaming import jobs
@@ -173,6 +173,28 @@ def test_a_stream_drops_what_is_told_again(spark, tmp_path):
     assert kept(spark, path) == [k for k in range(60) if k % 7]
 
 
+# ---- retention
+
+
+@pytest.mark.parametrize("most", [0, 50, 4000, 10**9])
+def test_rows_are_kept_alike_with_and_without_blocks(spark, most):
+    rng = random.Random(most)
+    rows = [(o, n, rng.randint(0, 40), rng.randint(1, 100)) for o, many in (("a", 300), ("b", 1), ("c", 60)) for n in range(many)]
+    df = spark.createDataFrame(rows, "owner_id string, id long, at long, size long")
+    order = [F.desc("at"), "id"]
+    expected = set()
+    for o in "abc":
+        total = 0
+        for k, r in enumerate(sorted((r for r in rows if r[0] == o), key=lambda r: (-r[2], r[1]))):
+            total += r[3]
+            if total <= most or k == 0:
+                expected.add(r)
+    for block in (None, F.floor(F.col("at") / 7), F.col("at")):
+        kept, dropped = buffer.retain_by_size(df, ["owner_id"], order, "size", most, block)
+        assert kept.columns == df.columns and {tuple(r) for r in kept.collect()} == expected
+        assert {tuple(r) for r in dropped.collect()} == set(rows) - expected
+
+
 # ---- silence
 
 FRAMES = "owner_id string, frame_no long, frame_start_ms long, dbfs double, silenced boolean, n_samples int"
