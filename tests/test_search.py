@@ -124,3 +124,105 @@ def test_places_of_days_that_cannot_count_are_not_joined(spark):
     per_day = places.groupBy("block").count().agg(F.max("count")).first()[0]
     assert 10 <= of_all.count() < 10 + per_day < places.count()
     assert {r.block for r in kept.filter("lo > '0'").collect()} <= {1_704_067_200_000 // search.BLOCK_MS + d for d in (4, 5)}
+
+
+# ---- hybrid search and contexts
+
+DIM = 8
+
+
+def mixed_diary(spark):
+    """Transcripts with vectors of two models, and a digest for two days of three."""
+    rng = np.random.default_rng(9)
+    t = diary(spark).select("owner_id", "id", "day", "kind", "start_ms", F.col("start_ms").alias("end_ms"), "text")
+    days = t.select("owner_id", "day").distinct().filter(F.dayofmonth(F.to_date("day")) % 3 != 0)
+    digest = days.select("owner_id", (F.lit(100_000) + F.crc32(F.concat("owner_id", "day").cast("binary"))).alias("id"), "day", F.lit("DAY").alias("kind"), F.unix_millis(F.to_timestamp("day")).alias("start_ms"), F.unix_millis(F.to_timestamp("day")).alias("end_ms"), F.concat(F.lit("Итог дня: общее "), "day").alias("text"))
+    rows = t.unionByName(digest).orderBy("id").collect()
+    vecs = spark.createDataFrame([(r.id, [float(x) for x in rng.normal(0, 1, DIM)], "m" if r.id % 5 else "old") for r in rows], "id long, v array<float>, model string")
+    return t.unionByName(digest).join(vecs, "id").withColumn("vector", vectors.quantize(F.col("v")))
+
+
+def hybrid_plain(every, questions, limit=12):
+    rows = [(r, set(r.w), np.array(r.vector.q, np.float64), float(np.float32(r.vector.scale))) for r in every.withColumn("w", textops.words(F.col("text"))).collect()]
+    out = []
+    for q in questions.collect():
+        mine = [x for x in rows if x[0].owner_id == q.owner_id]
+
+        def lists(lo, hi, q=q, mine=mine):
+            inside = [x for x in mine if lo <= x[0].day <= hi]
+            hits = [(r, len({s for s in q.stems if any(w.startswith(s) for w in ws)})) for r, ws, _, _ in inside]
+            hits = sorted((h for h in hits if h[1]), key=lambda h: (-h[0].start_ms, h[0].id))[:200]
+            text = [r.id for r, _ in sorted(hits, key=lambda h: (-h[1], -h[0].start_ms, h[0].id))][:30]
+            near = []
+            if q.vec is not None:
+                v = np.array(q.vec, np.float64)
+                near = [i for _, i in sorted((-round(float(v @ x) * s, 6), r.id) for r, _, x, s in inside if r.model == "m")][:30]
+            seen = {}
+            for k, ids in enumerate((text, near)):
+                for rank, i in enumerate(ids, 1):
+                    seen.setdefault(i, []).append((k, rank))
+            fused = sorted(((-round(sum(1 / (60 + r) for _, r in at), 9), min(at), i) for i, at in seen.items()))[:limit]
+            return [(i, -s, any(k == 0 for k, _ in seen[i]), any(k == 1 for k, _ in seen[i])) for s, _, i in fused]
+
+        if q.f is None:
+            found = lists("0", "9")
+        else:
+            found = lists(q.f, q.t)
+            if len(found) < 3:
+                found = (found + [x for x in lists("0", "9") if x[0] not in {y[0] for y in found}])[:limit]
+            last = min(q.t, str(np.datetime64(q.f) + 13))
+            front = sorted((r.day, r.id) for r, *_ in mine if r.kind == "DAY" and q.f <= r.day <= last)
+            found = [(i, 1.0, False, False) for _, i in front if i not in {x[0] for x in found}] + found
+        out += [(q.qid, n, *x) for n, x in enumerate(found, 1)]
+    return sorted(out)
+
+
+def with_vectors(spark):
+    rng = np.random.default_rng(4)
+    q = asked(spark)
+    vecs = spark.createDataFrame([(r.qid, [float(x) for x in rng.normal(0, 1, DIM)] if r.qid != 5 else None) for r in q.select("qid").orderBy("qid").collect()], "qid long, vec array<float>")
+    return q.join(vecs, "qid")
+
+
+def test_hybrid_search_equals_the_plain_one(spark):
+    every, q = mixed_diary(spark).cache(), with_vectors(spark).cache()
+    got = search.hybrid_search(q, every, chunks.build_postings(every), "m")
+    rows = sorted((r.qid, r["rank"], r.chunk_id, round(r.score, 9), r.via_text, r.via_vector) for r in got.collect())
+    expected = [(a, b, c, round(d, 9), e, f) for a, b, c, d, e, f in hybrid_plain(every, q)]
+    assert rows == expected
+    by = {}
+    for r in rows:
+        by.setdefault(r[0], []).append(r)
+    assert max(map(len, by.values())) > 12 and any(r[4] and r[5] for r in rows) and not any(r[5] for r in by[5])
+    # nothing in March: filled up with hits of any day
+    assert [r[3] < 1 for r in by[10]] == [True] * 12
+
+
+def test_contexts_equal_the_plain_fold(spark):
+    from daybook.operators import context
+
+    every, q = mixed_diary(spark).cache(), with_vectors(spark).withColumn("today", F.lit("2024-02-12").cast("date")).cache()
+    long = every.withColumn("text", F.expr("array_join(transform(sequence(1, 1 + id % 60), k -> concat(text, ' ', k)), ' ')"))
+    hits = search.hybrid_search(q, every, chunks.build_postings(every), "m").join(long.withColumnRenamed("id", "chunk_id"), "chunk_id").withColumnRenamed("chunk_id", "id").cache()
+    labels = {r.id: r.label for r in context.source_labels(long, "UTC").collect()}
+    for budget in (60, 200, 900):
+        got = {r.qid: r for r in context.build_contexts(q, hits, budget, "UTC").collect()}
+        for r in q.collect():
+            user = got[r.qid].user_prompt
+            header, footer = user[: user.index("Фрагменты дневника:\n") + 20], user[user.index("\n\nВопрос: ") :]
+            room, picked = budget - len(header.split()) - len(footer.split()), []
+            for h in sorted((h for h in hits.collect() if h.qid == r.qid), key=lambda h: h["rank"]):
+                cost = len(h.text.split()) + context.HIT_COST
+                if room <= context.STOP_AT:
+                    break
+                if cost <= room:
+                    picked.append((h.day, h.start_ms, h.kind != "DAY", h["rank"], h.id, h.text))
+                    room -= cost
+                elif room >= cost // 3:
+                    cut = h.text[: max(1, int(len(h.text) * (room - context.HIT_COST) / (cost - context.HIT_COST)))]
+                    picked.append((h.day, h.start_ms, h.kind != "DAY", h["rank"], h.id, (cut[: cut.rindex(" ")] if " " in cut else cut) + " …"))
+                    room = 0
+            picked.sort()
+            assert [(s.n, s.chunk_id, s.label) for s in got[r.qid].sources] == [(k, p[4], labels[p[4]]) for k, p in enumerate(picked, 1)], (budget, r.qid)
+            body = "".join(f"[{k}] ({labels[p[4]]})\n{p[5]}\n\n" for k, p in enumerate(picked, 1)) or context.NOTHING
+            assert user == header + body + footer
