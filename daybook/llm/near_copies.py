@@ -19,6 +19,8 @@ SHINGLE, SEED, DISTANCE = 5, 42, 4
 SIMILAR, OF = 4, 5
 #: Counters of how common shingles are; bytes of texts that one numpy pass takes, about.
 COUNTERS, PASS_BYTES = 1 << 16, 1 << 20
+#: A token with more than one row of so many is hot.
+HOT_SHARE = 1000
 #: Ids that a join broadcasts at most; more are shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -172,6 +174,20 @@ def _placed(tokens: DataFrame, placed: DataFrame | None) -> tuple[DataFrame, Dat
     return rows, mixed.select("token", "one", "other")
 
 
+def _met(rows: DataFrame) -> DataFrame:
+    """Rows with `leader`, another row of their token, every two of a token once. A token of more than one row in HOT_SHARE is dealt out: its rows meet in
+    parts, and only where the sizes of their sets may go together. There are fewer than HOT_SHARE such tokens, so those are broadcast."""
+    total = rows.count()
+    hot = rows.groupBy("token").agg(F.count("*").alias("many")).filter(F.col("many") * HOT_SHARE > total).select("token", F.ceil(F.col("many") * HOT_SHARE / max(1, total)).cast("int").alias("parts"))
+    # sets whose sizes are within OF / SIMILAR of each other are at most one step apart
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(OF / SIMILAR + 0.01))).cast("int")
+    marked = rows.join(F.broadcast(hot), "token", "left").withColumn("step", F.when(F.col("parts").isNull(), 0).otherwise(step)).withColumn("parts", F.coalesce("parts", F.lit(1)))
+    others = marked.select("token", "step", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.struct("node", "n", "place", "root").alias("leader"))
+    steps = F.when(F.col("parts") > 1, F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).otherwise(F.array("step"))
+    dealt = marked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("step", F.explode(steps)).drop("parts")
+    return dealt.join(others, ["token", "step", "part"]).filter(F.col("node") < F.col("leader.node"))
+
+
 def _near(met: DataFrame) -> DataFrame:
     """(a, b) of rows that meet another in `leader`: those of different roots whose sets can be similar enough."""
     near = met.filter(F.col("root") != F.col("leader.root")).filter(_enough(F.col("n"), F.col("place"), F.col("leader.n"), F.col("leader.place")))
@@ -195,8 +211,7 @@ def near_components(nodes: DataFrame, docs: DataFrame, repeats: bool, distance:
     placed = written(components(links))
     rows, mixed = _placed(tokens, placed)
     mine = written(rows.join(mixed.select("token"), "token", "left_semi"))
-    met = mine.join(mine.select("token", F.struct("node", "n", "place", "root").alias("leader")), "token").filter(F.col("node") < F.col("leader.node"))
-    more = _verified(_near(met), nodes, docs, repeats)
+    more = _verified(_near(_met(mine)), nodes, docs, repeats)
     discard(tokens, mine)
     if more.isEmpty():
         return placed
