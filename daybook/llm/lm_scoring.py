@@ -27,8 +27,8 @@ WINDOW, CONTEXT = 32, 8
 SCORED = WINDOW - CONTEXT
 #: Size of a vector, of the layer after attention; classes of ids; ids with a vector of their own.
 DIM, HIDDEN, CLASSES, OWN = 16, 32, 64, 4096
-#: Words of a stretch of training text, each of which gives one window to fit on; passes over these windows; windows of one shard.
-STRETCH, ROUNDS, SHARD = 1024, 3, 4096
+#: Ids of one row of training text; rounds after which the shards' weights are averaged, each on its share of all windows; windows of one shard.
+STRETCH, ROUNDS, SHARD = 40 * SCORED, 3, 16384
 #: Words this share of all tokens or more are looked up in memory: 1 / share of them at most, a word of more than LONG bytes only with so much larger a share.
 HOT_SHARE, LONG = 1e-6, 64
 #: Words whose ids a worker remembers.
@@ -89,40 +89,61 @@ def subword_counts(counts: DataFrame, vocabulary: str) -> np.ndarray:
 # ---- windows
 
 
-def training_windows(train: DataFrame, vocabulary: str, stretch: int) -> DataFrame:
-    """(key, inputs, targets): of every training row one window at a hashed place of each stretch of words it has begun, so all rows are covered
-    and the windows grow with the text."""
+def stretches(encoded: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """(key, lead, ids) from (doc_id, ids): each text, with END before it, cut every `stretch` ids; `lead` ids before a cut come along as context.
+    Every id is in one stretch, so the windows of all stretches have each id of each text as a target once."""
 
-    def window(encoding: tiktoken.Encoding, words: list[bytes], at: int) -> tuple[list[int], list[int]]:
-        before = [k for w in words[max(0, at - CONTEXT - 1) : at] for k in word_ids(encoding, w)]
-        if at <= CONTEXT + 1:
-            before = [END, *before]
-        targets = [k for w in [*words[at : at + SCORED], b""][:SCORED] for k in word_ids(encoding, w)][:SCORED]
-        inputs = [*before, *targets[:-1]][-(CONTEXT + len(targets)) :]
-        short = CONTEXT + len(targets) - len(inputs)
-        return [-1] * short + inputs + [-1] * (SCORED - len(targets)), targets + [-1] * (SCORED - len(targets))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in portions(batch, 1, 4_000_000):
+                keys, leads, pieces = [], [], []
+                for doc_id, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    ids = np.append(np.uint16(END), np.frombuffer(raw, np.uint16))
+                    for start in range(0, len(ids) - 1, stretch):
+                        lead = min(CONTEXT, start)
+                        keys.append(xxhash.xxh64_intdigest(f"{doc_id}:{start}".encode()) >> 1)
+                        leads.append(lead)
+                        pieces.append(ids[start - lead : start + stretch + 1].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(leads, pa.int32()), pa.array(pieces, pa.binary())], ["key", "lead", "ids"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "key long, lead int, ids binary")
+
+
+def training_windows(train: DataFrame, vocabulary: str, stretch: int = STRETCH) -> DataFrame:
+    """The stretches of all rows (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = encoder(vocabulary)
+        known = Words(vocabulary, [], np.zeros(0))
         for batch in batches:
-            keys, inputs, targets = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = words_of(text.as_py())
-                for start in range(0, len(words) + 1, stretch):
-                    key = xxhash.xxh64_intdigest(f"{doc_id}:{start}".encode())
-                    a, b = window(encoding, words, start + key % min(stretch, len(words) + 1 - start))
-                    keys.append(key >> 1)
-                    inputs.append(a)
-                    targets.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(inputs, pa.list_(pa.int32())), pa.array(targets, pa.list_(pa.int32()))], ["key", "inputs", "targets"])
+            for part in portions(batch, 1, 400_000):
+                texts = [[*words_of(t.as_py()), b""] for t in part.column(1)]
+                ids, word_ends = known.ids_of(known.numbers([w for words in texts for w in words]))
+                ends = word_ends[np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))) - 1]
+                yield pa.RecordBatch.from_arrays([part.column(0), _packed_ids(ids, ends)], ["doc_id", "ids"])
+
+    return stretches(train.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary"), stretch)
+
 
-    return train.select("doc_id", "text").mapInArrow(run, "key long, inputs array<int>, targets array<int>")
+def _packed_ids(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The ids of texts laid end to end as one string of 16-bit numbers a text."""
+    packed = ids.astype(np.uint16)
+    return pa.array([packed[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], pa.binary())
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+def windows_of(leads: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of stretches: inputs and targets, -1 where there is none."""
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 2
+    stops = np.cumsum(sizes)
+    flat = np.frombuffer(b"".join(pieces), np.uint16)
+    each = -(-(sizes - leads - 1) // SCORED)
+    of = np.repeat(np.arange(len(pieces)), each)
+    place = np.arange(len(of)) - (np.cumsum(each) - each)[of]
+    at = ((stops - sizes + leads)[of] + place * SCORED)[:, None] + np.arange(-CONTEXT, SCORED + 1)
+    inside = (at >= (stops - sizes)[of, None]) & (at < stops[of, None])
+    found = np.where(inside, flat[np.where(inside, at, 0)].astype(np.int32), -1)
+    inputs, targets = found[:, :-1].copy(), found[:, CONTEXT + 1 :]
+    inputs[:, CONTEXT:][targets < 0] = -1
+    return inputs, targets
 
 
 #: Numbers of one row of summed arrays.
@@ -207,52 +228,80 @@ _CAUSAL = np.where(np.arange(WINDOW) <= np.arange(SCORED)[:, None] + CONTEXT, 0,
 
 def gradients(w: dict[str, np.ndarray], rows: np.ndarray, outside: np.ndarray, goal: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean negative log probability of the goals (classes; -1: none) of windows: rows of vectors, and which inputs are none."""
-    scale = np.float32(DIM**-0.5)
-    x = w["E"][rows] + w["P"]
-    xq = x[:, CONTEXT:]
-    q, k, v = xq @ w["Q"], x @ w["K"], x @ w["V"]
-    s = q @ k.transpose(0, 2, 1) * scale + _CAUSAL + np.where(outside, -1e4, 0).astype(np.float32)[:, None]
-    a = np.exp(s - s.max(2, keepdims=True))
-    a /= a.sum(2, keepdims=True)
-    h = xq + a @ v
-    z = h @ w["W1"] + w["b1"]
-    u = np.maximum(z, 0)
-    logits = u @ w["W2"] + w["b2"]
-    p = np.exp(logits - logits.max(2, keepdims=True))
-    p /= p.sum(2, keepdims=True)
-    ok = goal >= 0
-    b, t = np.nonzero(ok)
-    p[b, t, goal[ok]] -= 1
-    p[~ok] = 0
-    p /= max(1, len(b))
-    du = p @ w["W2"].T * (z > 0)
+    n, scale = len(rows), np.float32(DIM**-0.5)
+    cut = lambda m: m.reshape(n, -1, m.shape[-1])
+    x = w["E"][rows]
+    x += w["P"]
+    xq, x = x[:, CONTEXT:].reshape(-1, DIM), x.reshape(-1, DIM)
+    to_q = w["Q"] * scale
+    q, k, v = cut(xq @ to_q), cut(x @ w["K"]), cut(x @ w["V"])
+    a = q @ k.transpose(0, 2, 1)
+    np.clip(a, -60, 60, out=a)
+    a += _CAUSAL
+    some = outside.any(1)
+    a[some] += np.where(outside[some], np.float32(-1e4), np.float32(0))[:, None]
+    np.exp(a, out=a)
+    a *= (1 / (a @ np.ones(WINDOW, np.float32)))[:, :, None]
+    seen = (a @ v).reshape(-1, DIM)
+    h = xq + seen
+    u = h @ w["W1"]
+    u += w["b1"]
+    np.maximum(u, 0, out=u)
+    p = u @ w["W2"]
+    p += w["b2"]
+    np.minimum(p, 80, out=p)
+    np.exp(p, out=p)
+    goal = goal.ravel()
+    ok = np.flatnonzero(goal >= 0)
+    share = np.zeros(len(goal), np.float32)
+    share[ok] = 1 / max(1, len(ok))
+    p *= (share / (p @ np.ones(CLASSES, np.float32)))[:, None]
+    p[ok, goal[ok]] -= share[ok]
+    du = p @ w["W2"].T
+    du *= u > 0
     dh = du @ w["W1"].T
-    da = dh @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(2, keepdims=True)) * scale
-    dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh
-    dx = dk @ w["K"].T + dv @ w["V"].T
-    dx[:, CONTEXT:] += dh + dq @ w["Q"].T
-    flat = lambda m: m.reshape(-1, m.shape[-1])
-    order = np.argsort(rows, axis=None, kind="stable")
-    touched, first = np.unique(rows.ravel()[order], return_index=True)
-    g = {"P": dx.sum(0), "Q": flat(xq).T @ flat(dq), "K": flat(x).T @ flat(dk), "V": flat(x).T @ flat(dv), "W1": flat(h).T @ flat(du), "b1": flat(du).sum(0), "W2": flat(u).T @ flat(p), "b2": flat(p).sum(0)}
-    g["E"] = np.zeros_like(w["E"])
-    g["E"][touched] = np.add.reduceat(flat(dx)[order], first, axis=0)
-    return g
-
-
-def descend(model: Model, inputs: np.ndarray, targets: np.ndarray, rate: float, seed: int, batch: int = 32) -> dict[str, np.ndarray]:
+    ds = cut(dh) @ v.transpose(0, 2, 1)
+    # what the weights of a query add up to: the sum of a * (dh @ v)
+    ds -= ((dh * seen) @ np.ones(DIM, np.float32)).reshape(n, -1, 1)
+    ds *= a
+    dq, dk, dv = (m.reshape(-1, DIM) for m in (ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ cut(dh)))
+    dx = dk @ w["K"].T
+    dx += dv @ w["V"].T
+    cut(dx)[:, CONTEXT:] += cut(dh + dq @ to_q.T)
+    # 16 bits sort by radix; the rows of vectors are fewer
+    flat = rows.ravel().astype(np.int16)
+    order = np.argsort(flat, kind="stable")
+    ranked = flat[order]
+    first = np.flatnonzero(np.diff(ranked, prepend=-1))
+    e = np.zeros_like(w["E"])
+    e[ranked[first]] = np.add.reduceat(dx[order], first, axis=0)
+    return {"E": e, "P": cut(dx).sum(0), "Q": (xq.T @ dq) * scale, "K": x.T @ dk, "V": x.T @ dv, "W1": h.T @ du, "b1": du.sum(0), "W2": u.T @ p, "b2": p.sum(0)}
+
+
+def descend(model: Model, inputs: np.ndarray, targets: np.ndarray, rate: float, seed: int, batch: int = 64) -> dict[str, np.ndarray]:
     """The weights after one pass over the windows in steps of `batch`."""
     rng = np.random.default_rng(seed)
-    w = {k: v.copy() for k, v in model.weights.items()}
-    rows, goal = model.row_of[inputs], np.where(targets >= 0, model.class_of[targets], -1)
-    first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    for step, part in enumerate(np.array_split(rng.permutation(len(rows)), -(-len(rows) // batch)), 1):
-        now = rate * min(1.0, step / 20)
-        for name, grad in gradients(w, rows[part], inputs[part] < 0, goal[part]).items():
-            first[name] += 0.1 * (grad - first[name])
-            second[name] += 0.01 * (grad * grad - second[name])
-            w[name] -= now * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-7)
+    # all weights end to end, so that a step moves them at once
+    now = np.concatenate([v.ravel() for v in model.weights.values()])
+    w, at = {}, 0
+    for name, v in model.weights.items():
+        w[name], at = now[at : at + v.size].reshape(v.shape), at + v.size
+    first, second = np.zeros_like(now), np.zeros_like(now)
+    for step, part in enumerate(np.array_split(rng.permutation(len(inputs)), -(-len(inputs) // batch)), 1):
+        ids, goals = inputs[part], targets[part]
+        found = gradients(w, model.row_of[ids], ids < 0, np.where(goals >= 0, model.class_of[goals], -1))
+        g = np.concatenate([found[name].ravel() for name in w])
+        first += np.float32(0.1) * (g - first)
+        g *= g
+        g -= second
+        g *= np.float32(0.01)
+        second += g
+        np.sqrt(second, out=g)
+        g *= np.float32((1 - 0.99**step) ** -0.5)
+        g += np.float32(1e-7)
+        np.divide(first, g, out=g)
+        g *= np.float32(rate * min(1.0, step / 20) / (1 - 0.9**step))
+        now -= g
     return w
 
 
@@ -265,15 +314,16 @@ def neighbours(windows: DataFrame, counts: np.ndarray, kinds: int = 48) -> np.nd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, rank = np.zeros((OWN, 2 * kinds)), shared.value
         for batch in batches:
-            a, b = _matrix(batch.column(0), WINDOW)[:, CONTEXT:].ravel(), _matrix(batch.column(1), SCORED).ravel()
-            ok = (a >= 0) & (b >= 0)
-            a, b = rank[a[ok]], rank[b[ok]]
-            for one, other, offset in ((a, b, 0), (b, a, kinds)):
-                mine = one < OWN
-                sums += np.bincount(one[mine] * 2 * kinds + offset + np.minimum(other[mine], kinds - 1), minlength=sums.size).reshape(sums.shape)
+            for part in portions(batch, 1, 2_000_000):
+                inputs, targets = windows_of(part.column(0).to_numpy(), part.column(1).to_pylist())
+                ok = targets >= 0
+                a, b = rank[inputs[:, CONTEXT:][ok]], rank[targets[ok]]
+                for one, other, offset in ((a, b, 0), (b, a, kinds)):
+                    mine = one < OWN
+                    sums += np.bincount(one[mine] * 2 * kinds + offset + np.minimum(other[mine], kinds - 1), minlength=sums.size).reshape(sums.shape)
         yield _pieces(sums.ravel())
 
-    return summed(windows.select("inputs", "targets").mapInArrow(run, "piece int, part binary")).reshape(OWN, 2 * kinds)
+    return summed(windows.select("lead", "ids").mapInArrow(run, "piece int, part binary")).reshape(OWN, 2 * kinds)
 
 
 #: The weights that every window moves.
@@ -285,8 +335,8 @@ def _shard_moves(shared, rate: float) -> Callable[[pa.Table], pa.Table]:  # noqa
 
     def run(part: pa.Table) -> pa.Table:
         own = shared.value
-        part = part.sort_by("key")
-        inputs, targets = _matrix(part.column("inputs"), WINDOW), _matrix(part.column("targets"), SCORED)
+        part = part.sort_by([("key", "ascending"), ("ids", "ascending")])
+        inputs, targets = windows_of(part.column("lead").to_numpy(), part.column("ids").to_pylist())
         after = descend(own, inputs, targets, rate, int(part.column("shard")[0].as_py()))
         often = np.bincount(own.row_of[inputs].ravel(), minlength=len(own.weights["E"])).astype(np.float64)
         weight = float((targets >= 0).sum())
@@ -297,18 +347,23 @@ def _shard_moves(shared, rate: float) -> Callable[[pa.Table], pa.Table]:  # noqa
 
 
 def fit(counts: np.ndarray, windows: DataFrame, rounds: int = ROUNDS, shard: int = SHARD, rate: float = 0.02) -> Model:
-    """The model fitted on all windows. In each round every shard of about `shard` windows descends from the common weights on its own, and the
-    weights move by the mean of the shards' moves; a vector by the mean over its own occurrences."""
-    n = windows.count()
+    """The model fitted on all windows of all stretches, each once. Stretches are dealt to rounds and shards by their keys. In a round every shard of
+    about `shard` windows descends from the common weights on its own, and the weights move by the mean of the shards' moves; a vector by the mean
+    over its own occurrences."""
+    targets = F.octet_length("ids") / 2 - F.col("lead") - 1
+    n = windows.agg(F.sum(F.ceil(targets / SCORED))).first()[0]
     if not n:
         return begun(counts, classes_of(counts, None))
     model = begun(counts, classes_of(counts, neighbours(windows, counts)))
-    shards = -(-n // shard)
+    shards = -(-n // (shard * rounds)) * rounds
     dealt = windows.withColumn("shard", F.pmod("key", F.lit(shards)))
     for turn in range(rounds):
         shared = windows.sparkSession.sparkContext.broadcast(model)
         now = rate * (1 - turn / rounds)
-        sums = summed(dealt.groupBy("shard").applyInArrow(_shard_moves(shared, now), "piece int, part binary"))
+        mine = dealt.filter(F.col("shard") % rounds == turn)
+        sums = summed(mine.groupBy("shard").applyInArrow(_shard_moves(shared, now), "piece int, part binary"))
+        if not len(sums):
+            continue  # so few stretches that none was dealt to this round
         old = model.weights
         e, often = sums[: old["E"].size].reshape(old["E"].shape), sums[old["E"].size : old["E"].size + len(old["E"])]
         new, at = {"E": (old["E"] + e / np.maximum(often, 1)[:, None]).astype(np.float32)}, old["E"].size + len(old["E"])
@@ -384,16 +439,12 @@ class Words:
         self.encoding, self.hot = encoder(vocabulary), len(hot)
         self.counted = list(hot)
         self.logs = np.log10(counts + 0.5)
-        self.number: dict[bytes, int] = {}
-        self.names: list[bytes] = []
         self._reset()
 
     def _reset(self) -> None:
-        if len(self.names) != self.hot:
-            self.number, self.names = {}, []
-            self.ids, self.start = np.zeros(1 << 20, np.int32), np.zeros(1 << 19, np.int64)
-            self._add(self.counted)
-            self._base = int(self.start[self.hot])
+        self.number, self.names = {}, []
+        self.ids, self.start = np.zeros(1 << 20, np.int32), np.zeros(1 << 19, np.int64)
+        self._add(self.counted)
 
     def _add(self, words: list[bytes]) -> None:
         n = len(self.names)
@@ -424,15 +475,14 @@ class Words:
         return self.ids[np.repeat(self.start[numbers] - ends + sizes, sizes) + np.arange(int(ends[-1]))].astype(np.int64), ends
 
 
-_words: dict[str, tuple[Words, Scorer]] = {}
+_words: dict[str, Words] = {}
 
 
-def _of_worker(job: str, shared, vocabulary: str) -> tuple[Words, Scorer]:  # noqa: ANN001
+def _of_worker(job: str, shared, vocabulary: str) -> Words:  # noqa: ANN001
     """One for all tasks of a worker that belong to one job."""
     if job not in _words:
         _words.clear()
-        model, hot, counts = shared.value
-        _words[job] = Words(vocabulary, hot, counts), Scorer(model)
+        _words[job] = Words(vocabulary, *shared.value)
     return _words[job]
 
 
@@ -442,11 +492,11 @@ def lm_score(docs: DataFrame, fold: int = 1, stretch: int = STRETCH, rounds: int
     Word counts c come from all rows outside the held-out fold; base_score adds log10((c + 0.5) / (N + 0.5 (V + 1))) over the
     words and the end of a text. Words of at least `hot_share` of all tokens, 1 / hot_share at most, are looked up in each
     task's memory; the others are joined by word, so no word is hot there. The model takes classes of subword ids from attention over the window,
-    and ids within a class from the counts of the whole corpus. Its attention is fitted on windows of every training row (training_windows), by
-    all tasks side by side (fit). Each word is encoded on its own, with a space before it. score is the model's log10 probability of the words and the end.
+    and ids within a class from the counts of the whole corpus. Its attention is fitted on all windows of every training row, each id a target once
+    (stretches), by all tasks side by side (fit). Each word is encoded on its own, with a space before it. score is the model's log10 probability of the words and the end.
 
     A null text counts as empty: one token, its end. Rows that repeat a doc_id are rows of their own; rows without one are ignored. Without training rows c, N and V are 0, and the model gives every class its share. A text is worked on whole: a task holds
-    some hundred bytes for each of its words, and the windows in chunks. Other columns are ignored. No rows give no rows.
+    some hundred bytes for each of its words, and the windows in chunks. `stretch` ids make one row of training text, which changes nothing else than where windows begin. Other columns are ignored. No rows give no rows.
     """
     spark = docs.sparkSession
     rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), whole_text().cast("binary").alias("text"))
@@ -456,12 +506,11 @@ def lm_score(docs: DataFrame, fold: int = 1, stretch: int = STRETCH, rounds: int
     n = n or 0
     least = F.lit(max(1.0, hot_share * n)) * F.greatest(F.lit(1.0), F.octet_length("word") / LONG)
     hot = counts.filter(F.col("c") >= least).select(F.col("word").cast("binary").alias("word"), "c").orderBy(F.desc("c"), "word").toArrow()
-    model = fit(subword_counts(counts, vocabulary), written(training_windows(train, vocabulary, stretch)), rounds)
-    shared = spark.sparkContext.broadcast((model, hot.column("word").to_pylist(), hot.column("c").to_numpy()))
+    shared = spark.sparkContext.broadcast((hot.column("word").to_pylist(), hot.column("c").to_numpy()))
     job = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, scorer = _of_worker(job, shared, vocabulary)
+        known = _of_worker(job, shared, vocabulary)
         for batch in batches:
             for part in portions(batch, 1, 400_000):
                 texts = [[*words_of(t.as_py()), b""] for t in part.column(1)]
@@ -470,22 +519,36 @@ def lm_score(docs: DataFrame, fold: int = 1, stretch: int = STRETCH, rounds: int
                 ends = np.cumsum(tokens)
                 ids, word_ends = known.ids_of(numbers)
                 in_memory = numbers < known.hot
-                logs = np.where(in_memory, known.logs[np.minimum(numbers, known.hot - 1)] if known.hot else 0, 0)
+                logs = np.where(in_memory, known.logs[np.minimum(numbers, known.hot - 1)] if known.hot else 0.0, 0.0)
                 # the other words of each text, with how often it has them
                 text = np.repeat(np.arange(len(texts)), tokens)[~in_memory]
                 pairs, often = np.unique(text << 40 | numbers[~in_memory], return_counts=True)
                 names = pa.array([known.names[k] for k in (pairs & (1 << 40) - 1).tolist()], pa.binary()).cast(pa.string())
                 offsets = pa.array(np.searchsorted(pairs >> 40, np.arange(len(texts) + 1)), pa.int32())
                 begins = ends - tokens
-                columns = [part.column(0), pa.array(tokens), pa.array(np.add.reduceat(in_memory.astype(np.int64), begins)), pa.array(np.add.reduceat(logs, begins)), pa.array(scorer.score(ids, word_ends[ends - 1]))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.MapArray.from_arrays(offsets, names, pa.array(often.astype(np.int64)))], ["doc_id", "n_tokens", "hot_known", "hot_sum", "score", "rare"])
+                columns = [part.column(0), pa.array(tokens), pa.array(np.add.reduceat(in_memory.astype(np.int64), begins)), pa.array(np.add.reduceat(logs, begins)), _packed_ids(ids, word_ends[ends - 1])]
+                yield pa.RecordBatch.from_arrays([*columns, pa.MapArray.from_arrays(offsets, names, pa.array(often.astype(np.int64)))], ["doc_id", "n_tokens", "hot_known", "hot_sum", "ids", "rare"])
 
-    scored = rows.mapInArrow(run, "doc_id long, n_tokens long, hot_known long, hot_sum double, score double, rare map<string, long>")
-    scored = written(scored.withColumn("row", F.monotonically_increasing_id()))
-    each = scored.select("row", F.explode("rare").alias("word", "n")).join(counts, "word", "left")
+    encoded = rows.mapInArrow(run, "doc_id long, n_tokens long, hot_known long, hot_sum double, ids binary, rare map<string, long>")
+    encoded = written(encoded.withColumn("row", F.monotonically_increasing_id()))
+    model = fit(subword_counts(counts, vocabulary), written(stretches(encoded.filter(~in_fold(F.col("doc_id"), fold)), stretch)), rounds)
+    fitted = spark.sparkContext.broadcast(model)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(fitted.value)
+        for batch in batches:
+            for part in portions(batch, batch.num_columns - 1, 400_000):
+                raw = part.column(part.num_columns - 1).to_pylist()
+                ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw))) // 2
+                scores = scorer.score(np.frombuffer(b"".join(raw), np.uint16).astype(np.int64), ends)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores)], ["row", "doc_id", "n_tokens", "hot_known", "hot_sum", "score"])
+
+    scored = encoded.select("row", "doc_id", "n_tokens", "hot_known", "hot_sum", "ids").mapInArrow(score, "row long, doc_id long, n_tokens long, hot_known long, hot_sum double, score double")
+    scored = written(scored)
+    each = encoded.select("row", F.explode("rare").alias("word", "n")).join(counts, "word", "left")
     rest = each.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_sum"))
     per_token = F.log10(F.lit(n + 0.5 * (v + 1)))
-    return scored.drop("rare").join(rest, "row", "left").select(
+    return scored.join(rest, "row", "left").select(
         "doc_id",
         in_fold(F.col("doc_id"), fold).alias("held_out"),
         "n_tokens",

@@ -568,6 +568,29 @@ def test_the_fitted_model_is_a_plain_forward_pass_and_beats_counts_on_unseen_row
     assert np.allclose(share[np.bincount(model.class_of, minlength=lm_scoring.CLASSES) > 0], 1)
 
 
+def test_every_id_of_every_training_text_is_fitted_on_once(spark):
+    rng = random.Random(7)
+    said = {k: " ".join(rng.choice(WORDS) for _ in range(n)) for k, n in enumerate([0, 1, 30, 700, 2600])}
+    train = spark.createDataFrame([(k, t.encode()) for k, t in said.items()], "doc_id long, text binary")
+    encoding = lm_scoring.encoder(lm_scoring.VOCABULARY)
+    ids = {k: [i for w in [*t.encode().split(), b""] for i in lm_scoring.word_ids(encoding, w)] for k, t in said.items()}
+    for stretch in (lm_scoring.STRETCH, 50):
+        rows = lm_scoring.training_windows(train, lm_scoring.VOCABULARY, stretch).collect()
+        inputs, targets = lm_scoring.windows_of(np.array([r.lead for r in rows]), [r.ids for r in rows])
+        pairs = Counter(zip(inputs[:, lm_scoring.CONTEXT :][targets >= 0].tolist(), targets[targets >= 0].tolist(), strict=True))
+        assert pairs == Counter((a, b) for x in ids.values() for a, b in zip([lm_scoring.END, *x[:-1]], x, strict=True))
+        # each window stands as it is in its text, with its context
+        laid = {tuple(a) + tuple(b) for a, b in zip(inputs.tolist(), targets.tolist(), strict=True)}
+        whole = {tuple(a) + tuple(b) for a, b in plain_windows(ids[3])}
+        assert stretch == 50 or whole <= laid
+
+
+def test_lm_scores_without_training_rows(spark):
+    held = [k for k in range(60) if zlib.crc32(str(k).encode()) % 5 == 1]
+    rows = lm_scoring.lm_score(spark.createDataFrame([(k, "a b") for k in held], "doc_id long, text string")).collect()
+    assert {(r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in rows} == {(True, 3, 0, 0)} and all(r.score < 0 for r in rows)
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(1)
     counts = rng.integers(0, 50, lm_scoring.IDS)
