@@ -25,6 +25,8 @@ REMEMBERED, EARLY = 700_000, 48
 SPACE = "▁"
 #: Units: no piece crosses from other characters to a space mark, and none holds a line break.
 UNITS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+#: Stands between units while a text is split; a text that holds it goes through UNITS.
+_BETWEEN = "\0"
 _GOLDEN, _STRIDE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
 
@@ -38,6 +40,22 @@ def uniform(keys: np.ndarray, step: int) -> np.ndarray:
     return ((z >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
+def uniform_of(key: np.uint64, step: int) -> float:
+    """uniform() of one key."""
+    full = (1 << 64) - 1
+    z = int(key) + (step + 1) * int(_GOLDEN) & full
+    z = (z ^ (z >> 30)) * 0xBF58476D1CE4E5B9 & full
+    z = (z ^ (z >> 27)) * 0x94D049BB133111EB & full
+    return (((z ^ (z >> 31)) >> 11) + 0.5) / float(1 << 53)
+
+
+def units_of(text: str) -> list[str]:
+    """The matches of UNITS, which cover the text; where no space marks stand side by side, cutting before each finds them faster."""
+    if SPACE + SPACE in text or _BETWEEN in text:
+        return UNITS.findall(text)
+    return list(filter(None, text.replace(SPACE, _BETWEEN + SPACE).replace("\n", f"{_BETWEEN}\n{_BETWEEN}").split(_BETWEEN)))
+
+
 class Pieces:
     """The model's pieces with a log weight each. Its scores are merge ranks; weights fall with the rank as Zipf's law has it."""
 
@@ -67,14 +85,39 @@ class Pieces:
             h = np.zeros(len(found), np.uint64)
             for c in range(length):
                 h = self.fold(h, np.array([ord(x[c]) for x in found], np.uint64))
+            # entries by the top bits of the hash, with where each of these buckets begins
+            with np.errstate(over="ignore"):
+                h = h * _GOLDEN
             order = np.argsort(h)
-            self.tables.append((h[order], np.array([x[0] for x in found.values()], np.int64)[order], np.array([x[1] for x in found.values()], bool)[order]))
+            h, bits = h[order], max(4, len(h).bit_length() + 2)
+            begins = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            most = int(np.diff(begins).max())
+            h = np.append(h, [np.uint64(0)] * most)
+            self.tables.append((h, begins[:-1], np.uint64(64 - bits), most, np.array([x[0] for x in found.values()], np.int64)[order], np.array([x[1] for x in found.values()], bool)[order]))
 
     @staticmethod
     def fold(h: np.ndarray, code: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return (h ^ (code + np.uint64(1))) * np.uint64(0x100000001B3) + (h >> np.uint64(31))
 
+    @staticmethod
+    def lookup(h: np.ndarray, entries: np.ndarray, begins: np.ndarray, shift: np.uint64, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are entries of a table, and the place of each of these."""
+        with np.errstate(over="ignore"):
+            h = h * _GOLDEN
+        k = begins[h >> shift]
+        hit = entries[k] == h
+        for step in range(1, most):
+            # only those not found yet look at the bucket's next entry
+            left = np.flatnonzero(~hit & (entries[k] >> shift == h >> shift)) if step == 1 else left[~hit[left]]
+            if not len(left):
+                break
+            at = k[left] + step
+            found = entries[at] == h[left]
+            hit[left[found]] = True
+            k[left[found]] = at[found]
+        return np.flatnonzero(hit), k[hit]
+
     def as_bytes(self, c: str) -> tuple[int, float]:
         """A character that is no piece goes as its bytes; where these are several, a negative id stands for them at first."""
         raw = c.encode()
@@ -82,8 +125,7 @@ class Pieces:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of the pieces, without the space that encoding puts before it."""
-        raw = self.raw
-        return b"".join([raw[k] for k in ids.tolist()])[1:]
+        return b"".join(map(self.raw.__getitem__, ids.tolist()))[1:]
 
 
 class Lattices:
@@ -116,7 +158,8 @@ class Lattices:
             self.reset()
         firsts, codes = distinct(pa.array(units, pa.large_string()))
         each = [units[k] for k in firsts.tolist()]
-        new = sorted((u for u in each if u not in self.known), key=len)
+        known = self.known
+        new = sorted([u for u in each if u not in known], key=len)
         # some at a time: the work stays in the processor's cache
         for at in range(0, len(new), 4000):
             self._add(new[at : at + 4000])
@@ -128,15 +171,14 @@ class Lattices:
         code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
         pieces, weights = [], []
         at, h = np.arange(n), np.zeros(n, np.uint64)
-        for length, (hashes, found, longer) in enumerate(p.tables, 1):
+        for length, (*table, found, longer) in enumerate(p.tables, 1):
             fits = room[at] >= length
             at, h = at[fits], h[fits]
             if not len(at):
                 break
             h = p.fold(h, code[at + length - 1])
-            k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            begins = hashes[k] == h
-            at, h, k = at[begins], h[begins], k[begins]
+            begins, k = p.lookup(h, *table)
+            at, h = at[begins], h[begins]
             piece = found[k]
             pieces.append(np.zeros(n, np.int32))
             weights.append(np.zeros(n))
@@ -174,17 +216,18 @@ class Lattices:
                     # only ratios within a unit count
                     mass[k : k + longest] *= np.where(mass[k] < 1e-150, 1e150, 1)
             share = weight.transpose(2, 1, 0).reshape(count * size, longest)
-            row, col = np.nonzero(share)
-            heads = np.searchsorted(row, np.arange(count * size + 1))
+            row, col = np.nonzero(share > 0)
+            unit, place = np.divmod(row, size)
+            heads = np.append(0, np.cumsum(np.bincount(row, minlength=count * size)))
             length = longest - col
             self._room(self.nodes + count * size, self.edges + len(row))
             edges = slice(self.edges, self.edges + len(row))
-            cum = upto.transpose(2, 1, 0).reshape(count * size, longest)[row, col]
+            cum = upto[col, place, unit]
             cum[heads[1:] - 1] = 2
             self.cum[edges] = cum
             self.logp[edges] = np.log(share[row, col])
             self.ids[edges] = pieces[:longest, here][length - 1, row]
-            self.next[edges] = np.where(row % size + length < size, self.nodes + row + length, -1)
+            self.next[edges] = np.where(place + length < size, self.nodes + row + length, -1)
             self.first[self.nodes : self.nodes + count * size + 1] = self.edges + heads
             self.known.update(zip(units[a:b], range(self.nodes, self.nodes + count * size, size), strict=True))
             self.nodes, self.edges = self.nodes + count * size, self.edges + len(row)
@@ -285,7 +328,7 @@ class Sampler:
             value, _, mass, path, step, late, out, prefix = heapq.heappop(doc.agenda)
             value = -value
             doc.drawn += 1
-            u = uniform(np.array([doc.key]), (1 << 41) + doc.drawn)[0]
+            u = uniform_of(doc.key, (1 << 41) + doc.drawn)
             if late:
                 # one of the later steps, by its mass; the others wait one by one, below this value
                 logq = lat.logp[path.edges[step:]]
@@ -299,7 +342,7 @@ class Sampler:
                 self._push_best(doc, self._values(masses, value, uniform(keys, 1 << 40)), masses, before, path, step, -1)
                 step, prefix = step + chosen, float(before[chosen])
                 doc.drawn += 1
-                u = uniform(np.array([doc.key]), (1 << 41) + doc.drawn)[0]
+                u = uniform_of(doc.key, (1 << 41) + doc.drawn)
             taken = int(path.edges[step])
             node = int(np.searchsorted(lat.first[: lat.nodes + 1], taken, side="right")) - 1
             a, b = int(lat.first[node]), int(lat.first[node + 1])
@@ -313,19 +356,19 @@ class Sampler:
             if left > 0 and np.any(np.delete(p, k) > 0):
                 doc.drawn += 1
                 more = prefix + float(np.log(left))
-                again = float(_truncated(more, value, uniform(np.array([doc.key]), (1 << 40) + doc.drawn)[0]))
+                again = float(_truncated(more, value, uniform_of(doc.key, (1 << 40) + doc.drawn)))
                 heapq.heappush(doc.agenda, (-again, doc.drawn, more, path, step, False, tuple(out | {a + k}), prefix))
             return path, step, a + k, value, prefix + float(lat.logp[a + k])
         return None
 
     def sample(self, keys: list[int], texts: list[str]) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """Of each text up to `samples` different segmentations, best perturbed value first: ids, log probability, perturbed value, log inclusion score."""
-        split = [UNITS.findall((" " + t).replace(" ", SPACE)) if t else [] for t in texts]
+        split = [units_of((" " + t).replace(" ", SPACE)) if t else [] for t in texts]
         numbers = self.lattices.numbers([u for units in split for u in units])
         ends = np.cumsum([0, *map(len, split)])
         docs = [_Doc(numbers[a:b], np.uint64(xxhash.xxh64_intdigest(f"{self.seed}:{k}".encode())), [], []) for k, a, b in zip(keys, ends[:-1], ends[1:], strict=True)]
         # the whole set of segmentations first; then, again and again, the best set that no earlier one has used up
-        begun = [(d, None, 0, 0, float(-np.log(-np.log(uniform(np.array([d.key]), 1 << 39)[0]))), 0.0) for d in docs]
+        begun = [(d, None, 0, 0, float(-np.log(-np.log(uniform_of(d.key, 1 << 39)))), 0.0) for d in docs]
         for turn in range(self.samples):
             if turn:
                 begun = [(d, *b) for d in docs if len(d.paths) == turn and (b := self._branch(d))]

@@ -490,6 +490,25 @@ def test_scores_are_a_plain_forward_pass_and_thresholds_shrink():
     assert set(net.thresholds) == {"en", "fr", "xx"} and abs(net.thresholds["xx"] - 0.5) < 0.5 * 20 / 21
 
 
+def test_units_draws_and_pieces_are_found_as_by_the_plain_ways():
+    space = sentencepiece_sampling.SPACE
+    for text in ("", "a", " a b", "a  b", " \n x\n\ny ", "\n", "x\0y z", f"{space}q", "a b\n c d\n", "é 日本 "):
+        marked = (" " + text).replace(" ", space)
+        assert sentencepiece_sampling.units_of(marked) == sentencepiece_sampling.UNITS.findall(marked)
+    keys = np.array([0, 1, 2**63 + 5, 2**64 - 1], np.uint64)
+    for step in (0, 1 << 39, (1 << 41) + 77):
+        assert [sentencepiece_sampling.uniform_of(k, step) for k in keys] == sentencepiece_sampling.uniform(keys, step).tolist()
+    pieces = sentencepiece_sampling.Sampler().pieces
+    for hashes, begins, shift, most, found, _ in pieces.tables:
+        own = hashes[: len(found)]
+        # hashes as they are before the table spreads them
+        back = own * np.uint64(pow(int(sentencepiece_sampling._GOLDEN), -1, 1 << 64))
+        asked = np.concatenate([back, back + np.uint64(1)])
+        at, k = pieces.lookup(asked, hashes, begins, shift, most)
+        place = {h: n for n, h in enumerate(back.tolist())}
+        assert dict(zip(at.tolist(), k.tolist(), strict=True)) == {n: place[h] for n, h in enumerate(asked.tolist()) if h in place}
+
+
 # ---- language model
 
 
