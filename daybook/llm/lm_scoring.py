@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import base64
 import uuid
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.common import LOWER_AZ, distinct, in_fold, portions, whole_text, written
+from daybook.llm.common import in_fold, portions, whole_text, written
 from daybook.llm.token_counts import PATTERN, VOCABULARY
 
 #: Ids of the vocabulary with the end of a text as the last one.
@@ -37,9 +38,11 @@ REMEMBERED = 500_000
 _RARE = pa.map_(pa.string(), pa.int64())
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Runs of bytes other than 0x20 and 0x09-0x0D, after lower-casing A-Z."""
-    return text.translate(LOWER_AZ).split()
+def tokens_of(texts: pa.Array) -> pa.ListArray:
+    """Of each text its words, the runs of bytes other than 0x20 and 0x09-0x0D after lower-casing A-Z, and the empty word as its end."""
+    kept = pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+    # a space after the last word leaves an empty one behind it
+    return pc.ascii_split_whitespace(pc.if_else(pc.equal(kept, ""), "", pc.binary_join_element_wise(kept, "", " ")))
 
 
 @lru_cache(maxsize=2)
@@ -59,11 +62,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: Counter = Counter()
-            for text in batch.column(0):
-                counts.update(words_of(text.as_py()))
-            counts[b""] += batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in counts]), pa.array(counts.values(), pa.int64())], ["word", "n"])
+            parts = [tokens_of(part.column(0)).flatten().value_counts() for part in portions(batch, 0, 4_000_000)]
+            each = [pa.RecordBatch.from_arrays([p.field("values"), p.field("counts")], ["word", "n"]) for p in parts]
+            if each:
+                sums = pa.Table.from_batches(each).group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
+                yield from sums.to_batches()
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
@@ -116,9 +119,9 @@ def training_windows(train: DataFrame, vocabulary: str, stretch: int = STRETCH)
         known = Words(vocabulary, [], np.zeros(0))
         for batch in batches:
             for part in portions(batch, 1, 400_000):
-                texts = [[*words_of(t.as_py()), b""] for t in part.column(1)]
-                ids, word_ends = known.ids_of(known.numbers([w for words in texts for w in words]))
-                ends = word_ends[np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))) - 1]
+                tokens = tokens_of(part.column(1))
+                ids, word_ends = known.ids_of(known.numbers(tokens.flatten()))
+                ends = word_ends[np.cumsum(tokens.value_lengths().to_numpy().astype(np.int64)) - 1]
                 yield pa.RecordBatch.from_arrays([part.column(0), _packed_ids(ids, ends)], ["doc_id", "ids"])
 
     return stretches(train.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary"), stretch)
@@ -222,60 +225,85 @@ def begun(counts: np.ndarray, class_of: np.ndarray, seed: int = 5) -> Model:
     return Model(class_of, within, np.append(row_of, OWN + CLASSES), w)
 
 
-#: A query at scored position i sees the inputs up to its own.
-_CAUSAL = np.where(np.arange(WINDOW) <= np.arange(SCORED)[:, None] + CONTEXT, 0, -1e4).astype(np.float32)
+#: A query at scored position i sees the inputs up to its own: 1 there, else 0.
+_CAUSAL = (np.arange(WINDOW) <= np.arange(SCORED)[:, None] + CONTEXT).astype(np.float32)
 
 
-def gradients(w: dict[str, np.ndarray], rows: np.ndarray, outside: np.ndarray, goal: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean negative log probability of the goals (classes; -1: none) of windows: rows of vectors, and which inputs are none."""
+def _with_ones(m: np.ndarray, bias: np.ndarray, column: bool = False) -> np.ndarray:
+    """The matrix with the bias as its last row, for inputs that end in a 1; with `column`, the outputs end in that 1 too."""
+    out = np.zeros((len(m) + 1, m.shape[1] + column), m.dtype)
+    out[:-1, : m.shape[1]], out[-1, : m.shape[1]] = m, bias
+    if column:
+        out[-1, -1] = 1
+    return out
+
+
+_WINDOW_ONES, _CLASS_ONES, _DIM_ONES = np.ones(WINDOW, np.float32), np.ones(CLASSES, np.float32), np.ones(DIM, np.float32)
+
+
+def gradients(w: dict[str, np.ndarray], rows: np.ndarray, outside: np.ndarray, goal: np.ndarray, out: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """Of the mean negative log probability of the goals (classes; -1: none) of windows: rows of vectors, and which inputs are none. `out`: arrays to fill."""
     n, scale = len(rows), np.float32(DIM**-0.5)
+    out = out if out is not None else {name: np.empty_like(v) for name, v in w.items()}
     cut = lambda m: m.reshape(n, -1, m.shape[-1])
-    x = w["E"][rows]
-    x += w["P"]
-    xq, x = x[:, CONTEXT:].reshape(-1, DIM), x.reshape(-1, DIM)
-    to_q = w["Q"] * scale
-    q, k, v = cut(xq @ to_q), cut(x @ w["K"]), cut(x @ w["V"])
+    rows = rows.ravel()
+    x = w["E"].take(rows, axis=0)
+    whole = cut(x)
+    whole += w["P"]
+    # queries, keys and values side by side
+    into = np.concatenate([w["Q"] * scale, w["K"], w["V"]], axis=1)
+    qkv = cut(x @ into)
+    q, k, v = qkv[:, CONTEXT:, :DIM], qkv[:, :, DIM : 2 * DIM], qkv[:, :, 2 * DIM :]
     a = q @ k.transpose(0, 2, 1)
-    np.clip(a, -60, 60, out=a)
-    a += _CAUSAL
-    some = outside.any(1)
-    a[some] += np.where(outside[some], np.float32(-1e4), np.float32(0))[:, None]
+    if a.max() > 60 or a.min() < -60:
+        np.clip(a, -60, 60, out=a)
     np.exp(a, out=a)
-    a *= (1 / (a @ np.ones(WINDOW, np.float32)))[:, :, None]
+    a *= _CAUSAL
+    some = np.flatnonzero(outside.any(1))
+    if len(some):
+        a[some] *= ~outside[some, None]
+    a *= (1 / (a.reshape(-1, WINDOW) @ _WINDOW_ONES)).reshape(n, SCORED, 1)
     seen = (a @ v).reshape(-1, DIM)
-    h = xq + seen
-    u = h @ w["W1"]
-    u += w["b1"]
-    np.maximum(u, 0, out=u)
-    p = u @ w["W2"]
-    p += w["b2"]
-    np.minimum(p, 80, out=p)
+    h = np.empty((n * SCORED, DIM + 1), np.float32)
+    np.add(whole[:, CONTEXT:], cut(seen), out=cut(h)[:, :, :DIM])
+    h[:, DIM] = 1
+    w1, w2 = _with_ones(w["W1"], w["b1"], column=True), _with_ones(w["W2"], w["b2"])
+    u = h @ w1
+    np.maximum(u, np.zeros_like(u), out=u)
+    p = u @ w2
+    if p.max() > 80:
+        np.minimum(p, 80, out=p)
     np.exp(p, out=p)
     goal = goal.ravel()
     ok = np.flatnonzero(goal >= 0)
     share = np.zeros(len(goal), np.float32)
     share[ok] = 1 / max(1, len(ok))
-    p *= (share / (p @ np.ones(CLASSES, np.float32)))[:, None]
-    p[ok, goal[ok]] -= share[ok]
-    du = p @ w["W2"].T
-    du *= u > 0
-    dh = du @ w["W1"].T
+    p *= (share / (p @ _CLASS_ONES))[:, None]
+    p.reshape(-1)[ok * CLASSES + goal[ok]] -= share[ok]
+    du = p @ w2.T
+    du *= (u > 0).view(np.int8)
+    dh = du @ w1[:DIM].T
     ds = cut(dh) @ v.transpose(0, 2, 1)
     # what the weights of a query add up to: the sum of a * (dh @ v)
-    ds -= ((dh * seen) @ np.ones(DIM, np.float32)).reshape(n, -1, 1)
+    ds -= ((dh * seen) @ _DIM_ONES).reshape(n, -1, 1)
     ds *= a
-    dq, dk, dv = (m.reshape(-1, DIM) for m in (ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ cut(dh)))
-    dx = dk @ w["K"].T
-    dx += dv @ w["V"].T
-    cut(dx)[:, CONTEXT:] += cut(dh + dq @ to_q.T)
-    # 16 bits sort by radix; the rows of vectors are fewer
-    flat = rows.ravel().astype(np.int16)
-    order = np.argsort(flat, kind="stable")
-    ranked = flat[order]
-    first = np.flatnonzero(np.diff(ranked, prepend=-1))
-    e = np.zeros_like(w["E"])
-    e[ranked[first]] = np.add.reduceat(dx[order], first, axis=0)
-    return {"E": e, "P": cut(dx).sum(0), "Q": (xq.T @ dq) * scale, "K": x.T @ dk, "V": x.T @ dv, "W1": h.T @ du, "b1": du.sum(0), "W2": u.T @ p, "b2": p.sum(0)}
+    back = np.empty_like(qkv)
+    back[:, :CONTEXT, :DIM] = 0
+    np.matmul(ds, k, out=back[:, CONTEXT:, :DIM])
+    np.matmul(ds.transpose(0, 2, 1), q, out=back[:, :, DIM : 2 * DIM])
+    np.matmul(a.transpose(0, 2, 1), cut(dh), out=back[:, :, 2 * DIM :])
+    back = back.reshape(-1, 3 * DIM)
+    dx = back @ into.T
+    cut(dx)[:, CONTEXT:] += cut(dh)
+    out["E"].fill(0)
+    np.add.at(out["E"].reshape(-1), (rows[:, None] * DIM + np.arange(DIM)).ravel(), dx.ravel())
+    cut(dx).sum(0, out=out["P"])
+    of_into, of_w1, of_w2 = (back.T @ x).T, (du.T @ h).T, (p.T @ u).T
+    np.multiply(of_into[:, :DIM], scale, out=out["Q"])
+    out["K"][:], out["V"][:] = of_into[:, DIM : 2 * DIM], of_into[:, 2 * DIM :]
+    out["W1"][:], out["b1"][:] = of_w1[:DIM, :HIDDEN], of_w1[DIM, :HIDDEN]
+    out["W2"][:], out["b2"][:] = of_w2[:HIDDEN], of_w2[HIDDEN]
+    return out
 
 
 def descend(model: Model, inputs: np.ndarray, targets: np.ndarray, rate: float, seed: int, batch: int = 64) -> dict[str, np.ndarray]:
@@ -283,25 +311,27 @@ def descend(model: Model, inputs: np.ndarray, targets: np.ndarray, rate: float,
     rng = np.random.default_rng(seed)
     # all weights end to end, so that a step moves them at once
     now = np.concatenate([v.ravel() for v in model.weights.values()])
-    w, at = {}, 0
+    g, spare = np.empty_like(now), np.empty_like(now)
+    w, of, at = {}, {}, 0
     for name, v in model.weights.items():
-        w[name], at = now[at : at + v.size].reshape(v.shape), at + v.size
+        w[name], of[name], at = now[at : at + v.size].reshape(v.shape), g[at : at + v.size].reshape(v.shape), at + v.size
+    # sums of gradients and of their squares, fading: 10 and 100 times their running means
     first, second = np.zeros_like(now), np.zeros_like(now)
+    outside, goals = inputs < 0, np.where(targets >= 0, model.class_of[targets], -1)
     for step, part in enumerate(np.array_split(rng.permutation(len(inputs)), -(-len(inputs) // batch)), 1):
-        ids, goals = inputs[part], targets[part]
-        found = gradients(w, model.row_of[ids], ids < 0, np.where(goals >= 0, model.class_of[goals], -1))
-        g = np.concatenate([found[name].ravel() for name in w])
-        first += np.float32(0.1) * (g - first)
+        gradients(w, model.row_of[inputs[part]], outside[part], goals[part], of)
+        first *= np.float32(0.9)
+        first += g
+        second *= np.float32(0.99)
         g *= g
-        g -= second
-        g *= np.float32(0.01)
         second += g
-        np.sqrt(second, out=g)
-        g *= np.float32((1 - 0.99**step) ** -0.5)
-        g += np.float32(1e-7)
-        np.divide(first, g, out=g)
-        g *= np.float32(rate * min(1.0, step / 20) / (1 - 0.9**step))
-        now -= g
+        # from the sums to the means, free of their start at zero
+        even = (0.01 / (1 - 0.99**step)) ** 0.5
+        np.sqrt(second, out=spare)
+        spare += np.float32(1e-7 / even)
+        np.divide(first, spare, out=spare)
+        spare *= np.float32(rate * min(1.0, step / 20) / (1 - 0.9**step) * 0.1 / even)
+        now -= spare
     return w
 
 
@@ -315,9 +345,12 @@ def neighbours(windows: DataFrame, counts: np.ndarray, kinds: int = 48) -> np.nd
         sums, rank = np.zeros((OWN, 2 * kinds)), shared.value
         for batch in batches:
             for part in portions(batch, 1, 2_000_000):
-                inputs, targets = windows_of(part.column(0).to_numpy(), part.column(1).to_pylist())
-                ok = targets >= 0
-                a, b = rank[inputs[:, CONTEXT:][ok]], rank[targets[ok]]
+                pieces = part.column(1).to_pylist()
+                sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 2
+                ranks = rank[np.frombuffer(b"".join(pieces), np.uint16)]
+                # every target, as windows_of has them, and the id before it
+                at = np.flatnonzero(np.arange(len(ranks)) > np.repeat(np.cumsum(sizes) - sizes + part.column(0).to_numpy(), sizes))
+                a, b = ranks[at - 1], ranks[at]
                 for one, other, offset in ((a, b, 0), (b, a, kinds)):
                     mine = one < OWN
                     sums += np.bincount(one[mine] * 2 * kinds + offset + np.minimum(other[mine], kinds - 1), minlength=sums.size).reshape(sums.shape)
@@ -381,36 +414,40 @@ class Scorer:
         w = model.weights
         self.model = model
         scale = np.float32(DIM**-0.5)
-        # what a window's position adds, and what each vector becomes, is worked out once
-        self.tables = [(w["E"] @ w[m] * s, w["P"] @ w[m] * s) for m, s in (("Q", scale), ("K", np.float32(1)), ("V", np.float32(1)))]
+        # what each vector becomes, and what a window's position adds, is worked out once: of scored positions the query and the vector
+        # itself, of all positions the key and the value; a value ends in a 1, so that the weights are added up along with it
+        self.own = [np.concatenate([w[m] @ w["Q"] * scale, w[m]], axis=1) for m in ("E", "P")]
+        self.all = [np.concatenate([w[m] @ w["K"], w[m] @ w["V"], np.full((len(w[m]), 1), m == "E", np.float32)], axis=1) for m in ("E", "P")]
+        self.w1, self.w2 = _with_ones(w["W1"], w["b1"], column=True), _with_ones(w["W2"], w["b2"])
 
     def _windows(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        m, w = self.model, self.model.weights
+        m = self.model
         rows = m.row_of[inputs]
-        mine = rows[:, CONTEXT:]
-        q = self.tables[0][0][mine] + self.tables[0][1][CONTEXT:]
-        k = self.tables[1][0][rows] + self.tables[1][1]
-        v = self.tables[2][0][rows] + self.tables[2][1]
-        s = q @ k.transpose(0, 2, 1)
-        np.minimum(s, 60, out=s)
-        s += _CAUSAL
-        outside = inputs[:, 0] < 0
-        s[outside] += np.where(inputs[outside] < 0, np.float32(-1e4), np.float32(0))[:, None]
+        own = self.own[0].take(rows[:, CONTEXT:], axis=0)
+        own += self.own[1][CONTEXT:]
+        kv = self.all[0].take(rows, axis=0)
+        kv += self.all[1]
+        s = own[:, :, :DIM] @ kv[:, :, :DIM].transpose(0, 2, 1)
+        if s.max() > 60:
+            np.minimum(s, 60, out=s)
         np.exp(s, out=s)
-        h = s @ v
-        h /= s.sum(2, keepdims=True)
-        h += w["E"][mine]
-        h += w["P"][CONTEXT:]
-        u = h.reshape(-1, DIM) @ w["W1"]
-        u += w["b1"]
-        np.maximum(u, 0, out=u)
-        logits = u @ w["W2"]
-        logits += w["b2"]
+        s *= _CAUSAL
+        some = np.flatnonzero(inputs[:, 0] < 0)
+        if len(some):
+            s[some] *= inputs[some, None] >= 0
+        seen = (s @ kv[:, :, DIM:]).reshape(-1, DIM + 1)
+        # the last column divided by itself is the 1 that meets the biases
+        h = seen / seen[:, DIM:]
+        h[:, :DIM] += own.reshape(-1, 2 * DIM)[:, DIM:]
+        u = h @ self.w1
+        np.maximum(u, np.zeros_like(u), out=u)
+        logits = u @ self.w2
         flat = targets.ravel()
-        own = np.take_along_axis(logits, m.class_of[flat][:, None], 1)[:, 0]
-        np.minimum(logits, 80, out=logits)
+        goals = logits.ravel().take(np.arange(len(flat)) * CLASSES + m.class_of[flat])
+        if logits.max() > 80:
+            np.minimum(logits, 80, out=logits)
         np.exp(logits, out=logits)
-        found = (own - np.log(logits.sum(1))).astype(np.float64) / np.log(10) + m.within[flat]
+        found = (goals - np.log(logits @ _CLASS_ONES)) * (1 / np.log(10)) + m.within[flat]
         return np.where(flat >= 0, found, 0).reshape(targets.shape).sum(1)
 
     def score(self, ids: np.ndarray, ends: np.ndarray, chunk: int = 192) -> np.ndarray:
@@ -460,13 +497,16 @@ class Words:
         self.names += words
         self.number.update(zip(words, range(n, n + len(words)), strict=True))
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
+    def numbers(self, words: pa.Array | list[bytes]) -> np.ndarray:
         if len(self.names) > self.hot + REMEMBERED:
             self._reset()
-        firsts, codes = distinct(pa.array(words, pa.large_binary()))
-        each = [words[k] for k in firsts.tolist()]
-        self._add([w for w in each if w not in self.number])
-        return np.fromiter(map(self.number.__getitem__, each), np.int64, len(each))[codes]
+        coded = (words if isinstance(words, pa.Array) else pa.array(words, pa.binary())).dictionary_encode()
+        each = coded.dictionary.cast(pa.binary()).to_pylist()
+        found = np.fromiter(map(self.number.get, each, repeat(-1)), np.int64, len(each))
+        fresh = np.flatnonzero(found < 0)
+        found[fresh] = len(self.names) + np.arange(len(fresh))
+        self._add([each[k] for k in fresh.tolist()])
+        return found[coded.indices.to_numpy()]
 
     def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids, end to end, and where each word's end."""
@@ -513,18 +553,18 @@ def lm_score(docs: DataFrame, fold: int = 1, stretch: int = STRETCH, rounds: int
         known = _of_worker(job, shared, vocabulary)
         for batch in batches:
             for part in portions(batch, 1, 400_000):
-                texts = [[*words_of(t.as_py()), b""] for t in part.column(1)]
-                numbers = known.numbers([w for words in texts for w in words])
-                tokens = np.fromiter(map(len, texts), np.int64, len(texts))
+                said = tokens_of(part.column(1))
+                numbers = known.numbers(said.flatten())
+                tokens = said.value_lengths().to_numpy().astype(np.int64)
                 ends = np.cumsum(tokens)
                 ids, word_ends = known.ids_of(numbers)
                 in_memory = numbers < known.hot
                 logs = np.where(in_memory, known.logs[np.minimum(numbers, known.hot - 1)] if known.hot else 0.0, 0.0)
                 # the other words of each text, with how often it has them
-                text = np.repeat(np.arange(len(texts)), tokens)[~in_memory]
+                text = np.repeat(np.arange(len(tokens)), tokens)[~in_memory]
                 pairs, often = np.unique(text << 40 | numbers[~in_memory], return_counts=True)
                 names = pa.array([known.names[k] for k in (pairs & (1 << 40) - 1).tolist()], pa.binary()).cast(pa.string())
-                offsets = pa.array(np.searchsorted(pairs >> 40, np.arange(len(texts) + 1)), pa.int32())
+                offsets = pa.array(np.searchsorted(pairs >> 40, np.arange(len(tokens) + 1)), pa.int32())
                 begins = ends - tokens
                 columns = [part.column(0), pa.array(tokens), pa.array(np.add.reduceat(in_memory.astype(np.int64), begins)), pa.array(np.add.reduceat(logs, begins)), _packed_ids(ids, word_ends[ends - 1])]
                 yield pa.RecordBatch.from_arrays([*columns, pa.MapArray.from_arrays(offsets, names, pa.array(often.astype(np.int64)))], ["doc_id", "n_tokens", "hot_known", "hot_sum", "ids", "rare"])

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -642,6 +643,55 @@ def test_words_keep_their_ids_when_the_memory_is_full(monkeypatch):
         assert ids.tolist() == [k for x in expected for k in x] and ends.tolist() == np.cumsum([len(x) for x in expected]).tolist()
 
 
+def test_tokens_are_the_words_and_the_end():
+    rng = random.Random(4)
+    pieces = [" ", "  ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\0", "A", "b", "É", "İ", "日", "Z"]
+    said = [b"", b" ", b"\n\n", *("".join(rng.choice(pieces) for _ in range(rng.randrange(14))).encode() for _ in range(5000))]
+    expected = [[*t.translate(LOWER_AZ).split(), b""] for t in said]
+    got = lm_scoring.tokens_of(pa.array(said, pa.binary()))
+    assert [[w.encode() for w in x] for x in got.to_pylist()] == expected
+    # a slice has its own words alone, as a list of bytes has, and both get the same numbers
+    some = lm_scoring.tokens_of(pa.array(said, pa.binary()).slice(90, 40)).flatten()
+    flat = [w for x in expected[90:130] for w in x]
+    words = lm_scoring.Words(lm_scoring.VOCABULARY, [b""], np.array([3]))
+    assert [words.names[k] for k in words.numbers(some)] == flat and words.numbers(flat).tolist() == words.numbers(some).tolist()
+
+
+def test_neighbours_are_those_of_every_target(spark):
+    said = {k: " ".join(WORDS[(k * 7 + i * i) % len(WORDS)] for i in range(n)) for k, n in enumerate([0, 1, 30, 900])}
+    windows = lm_scoring.training_windows(spark.createDataFrame([(k, t.encode()) for k, t in said.items()], "doc_id long, text binary"), lm_scoring.VOCABULARY, 50)
+    encoding = lm_scoring.encoder(lm_scoring.VOCABULARY)
+    ids = [[lm_scoring.END, *(i for w in [*t.encode().split(), b""] for i in lm_scoring.word_ids(encoding, w))] for t in said.values()]
+    counts = np.bincount([k for x in ids for k in x[1:]], minlength=lm_scoring.IDS)
+    rank = np.argsort(np.argsort(-counts, kind="stable"), kind="stable")
+    expected = np.zeros((lm_scoring.OWN, 12))
+    for x in ids:
+        for a, b in zip(rank[x[:-1]], rank[x[1:]], strict=True):
+            if a < lm_scoring.OWN:
+                expected[a, min(b, 5)] += 1
+            if b < lm_scoring.OWN:
+                expected[b, 6 + min(a, 5)] += 1
+    assert np.array_equal(lm_scoring.neighbours(windows, counts, kinds=6), expected)
+
+
+def test_a_descent_is_that_of_plain_steps():
+    rng = np.random.default_rng(2)
+    counts = rng.integers(1, 50, lm_scoring.IDS)
+    model = lm_scoring.begun(counts, lm_scoring.classes_of(counts, None))
+    inputs, targets = (np.array(x) for x in zip(*plain_windows(rng.integers(0, 300, 2400)), strict=True))
+    got = lm_scoring.descend(model, inputs, targets, 0.02, seed=9, batch=40)
+    w = {k: v.astype(float) for k, v in model.weights.items()}
+    first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    for step, part in enumerate(np.array_split(np.random.default_rng(9).permutation(len(inputs)), 3), 1):
+        goal = np.where(targets[part] >= 0, model.class_of[targets[part]], -1)
+        g = lm_scoring.gradients({k: v.astype(np.float32) for k, v in w.items()}, model.row_of[inputs[part]], inputs[part] < 0, goal)
+        for k in w:
+            first[k] = 0.9 * first[k] + 0.1 * g[k]
+            second[k] = 0.99 * second[k] + 0.01 * g[k].astype(float) ** 2
+            w[k] = w[k] - 0.02 * step / 20 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)
+    assert all(np.abs(got[k] - w[k]).max() < 2e-4 for k in w) and np.abs(got["W2"] - model.weights["W2"]).max() > 1e-3
+
+
 # ---- mixing
 
 
