@@ -13,7 +13,7 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValu
 from daybook.operators.segmentation import FRAME_MS, SEGMENTS, Machine, SegmenterConfig
 from daybook.operators.telemetry import capture_windows, frame_end, is_silent
 from daybook.sources.day_counts import refresh_day_counts
-from daybook.sources.diary import append_transcripts
+from daybook.sources.diary import SAME, append_transcripts
 
 _PROGRESS = "inside boolean, before array<long>, begin long, size long, speech long, quiet long, last_ms long, newest_ms long, due_ms long"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -128,10 +128,10 @@ def segment_speech_stream(frames: DataFrame, cfg: SegmenterConfig | None = None,
 
 
 def append_stream(transcripts: DataFrame, path: str, checkpoint: str, name: str = "transcripts", delay: str = "1 hour") -> StreamingQuery:
-    """Appends transcripts as they come, each segment and model once: what is told again within the delay (of created_ms) is dropped in the
+    """Appends transcripts as they come, each segment (by start and id) and model once: what is told again within the delay (of created_ms) is dropped in the
     stream's state, and the ledger of batches keeps a batch that runs again from adding anything. Rows created before the watermark are dropped."""
     timed = transcripts.withColumn("ts", F.timestamp_millis("created_ms")).withWatermark("ts", delay)
-    once = timed.dropDuplicatesWithinWatermark(["owner_id", "start_ms", "model"]).drop("ts")
+    once = timed.dropDuplicatesWithinWatermark(SAME).drop("ts")
     return once.writeStream.foreachBatch(lambda batch, k: append_transcripts(batch, path, k, name, repeats=False)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

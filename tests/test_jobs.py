@@ -188,6 +188,13 @@ def test_segments_that_begin_together_are_both_appended(spark, tmp_path):
         assert kept(spark, path) == [1, 2]
 
 
+def test_a_stream_appends_segments_that_begin_together(spark, tmp_path):
+    source, path, log = (str(tmp_path / x) for x in ("in", "diary", "log"))
+    at_one_moment(spark).coalesce(1).write.parquet(source)
+    jobs.append_stream(spark.readStream.schema(SCHEMA).parquet(source), path, log).awaitTermination()
+    assert kept(spark, path) == [1, 2]
+
+
 # ---- retention
 
 
