@@ -12,6 +12,15 @@ def _hour(at: str) -> Column:
     return F.floor(F.col(at) / HOUR_MS)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df with all rows of a key in one task, for functions over partitions.
+
+    Over a join by the same keys Spark leaves a repartition by plain columns out, as the join deals rows alike; when AQE then makes that join a
+    broadcast one, it reads the shuffle beneath in parts, and a key's rows end up in several tasks. A struct of the keys is never left out.
+    """
+    return df.repartition(F.struct(*keys))
+
+
 def with_previous(df: DataFrame, columns: list[str], order: list[str], key: str = "owner_id") -> DataFrame:
     """df with `previous`: a struct of the columns of the key's row before, in this order; null for the first. order begins with milliseconds."""
     rows = df.withColumn("_hour", _hour(order[0]))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from daybook.functions.textops import is_blank
 from daybook.functions.timeutil import day_end, hour_start
 from daybook.operators.digests import LISTS, is_empty
+from daybook.operators.ordered import dealt
 from daybook.operators.timeline import line_text
 from daybook.schemas import DAY, HOUR, HOUR_MS
 
@@ -110,7 +111,7 @@ def pack_lines(df: DataFrame, keys: list[str], order: list[str], text: str, budg
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", pack_no long, line_no long, text string"
     rows = df.select(*dict.fromkeys([*keys, *order, text]))
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return dealt(rows, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 #: What the model is told before every prompt, and the texts around the lines and digests of a prompt.

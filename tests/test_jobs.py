@@ -116,6 +116,27 @@ def test_days_equal_the_plain_reduction(spark):
     assert got == expected
 
 
+@pytest.fixture()
+def several_tasks(spark):
+    """Small shuffles are read by several tasks too."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def joined_lines(spark):
+    """Lines of four keys from a join by the key whose other side turns out to be small only when it runs."""
+    todo = spark.range(2_000_000).filter("id < 4").groupBy(F.col("id").alias("k")).count().select("k")
+    lines = spark.range(0, 4_000_000, 1, 4).filter("id % 40000 < 4").select((F.col("id") % 4).alias("k"), F.col("id").alias("n"), F.concat(F.lit("l"), F.col("id").cast("string")).alias("line"))
+    return lines.join(todo, "k", "left_semi")
+
+
+def test_lines_of_a_key_meet_in_one_task_after_a_join(spark, several_tasks):
+    got = summaries.pack_lines(joined_lines(spark), ["k"], ["n"], "line", 150).collect()
+    expected = [(k, *row) for k in range(4) for row in packed_plain([f"l{n}" for n in range(k, 4_000_000, 40_000)], 150)]
+    assert sorted(tuple(r) for r in got) == expected
+
+
 # ---- appending
 
 SCHEMA = "owner_id string, id long, start_ms long, end_ms long, day string, text string, model string, lang string, created_ms long"
