@@ -27,13 +27,18 @@ def l2_normalize(v: Column) -> Column:
     return _let(v, scaled)
 
 
-def quantize(v: Column) -> Column:
-    """Scale and signed bytes. Halves round up, as floor(x + 0.5) does; the scale of a zero vector is 1."""
+def quantize(v: Column, single: bool = True) -> Column:
+    """Scale and signed bytes. Halves round up, as floor(x + 0.5) does; the scale of a zero vector is 1.
+
+    Quotients are floats, as the vectors are; without `single` they stay doubles, of which some fall to the other side of a half.
+    """
 
     def packed(v: Column) -> Column:
         top = F.coalesce(F.greatest(F.array_max(v), -F.array_min(v)), F.lit(0.0))
         scale = F.when(top == 0, 1.0).otherwise(top.cast("double") / 127).cast("float")
-        byte = lambda x, s: F.greatest(F.lit(-127), F.least(F.lit(127), F.floor((x / s).cast("double") + 0.5))).cast("tinyint")
+        # Spark divides floats as doubles
+        quotient = lambda x, s: (x / s).cast("float").cast("double") if single else x / s
+        byte = lambda x, s: F.greatest(F.lit(-127), F.least(F.lit(127), F.floor(quotient(x, s) + 0.5))).cast("tinyint")
         return _let(scale, lambda s: F.struct(s.alias("scale"), F.transform(v, lambda x: byte(x, s)).alias("q")))
 
     return _let(v, packed)

@@ -162,7 +162,7 @@ def embed_chunks(chunks: DataFrame, fn: Callable[[pd.Series], pd.Series], model:
     todo = F.col("vector").isNull() | ~F.col("model").eqNullSafe(F.lit(model))
     embed = F.pandas_udf(fn, "array<float>")
     pending = chunks.filter(todo)
-    vector = quantize(l2_normalize(F.col("_v")))
+    vector = quantize(l2_normalize(F.col("_v")), single=False)
     done = pending.withColumn("_v", embed(embedding_text(F.col("text")))).withColumn("vector", vector).withColumn("model", F.lit(model)).drop("_v")
     return chunks.filter(~todo).unionByName(done)
 

@@ -195,6 +195,17 @@ def test_vectors(spark):
         assert max(abs(a - b) for a, b in zip(r.v, r.back)) < top / 127 and (r.id == 99 or abs(r.d - 1) < 0.01)
 
 
+def halves(spark):
+    """3/6 of 127 is 63.5 in floats, and a little less in doubles."""
+    return spark.createDataFrame([(1, [0.03, 0.06])], "id long, v array<float>")
+
+
+def test_quotients_are_floats(spark):
+    assert halves(spark).select(vectors.quantize(F.col("v")).alias("p")).first().p.q == [64, 127]
+    # the embeddings of chunks keep doubles, as their SQL has them
+    assert halves(spark).select(vectors.quantize(F.col("v"), single=False).alias("p")).first().p.q == [63, 127]
+
+
 def test_rrf_ties(spark):
     lists = spark.createDataFrame([(1, 0, 1, 1), (1, 0, 2, 2), (1, 0, 3, 3), (1, 1, 1, 3), (1, 1, 2, 4), (1, 1, 3, 1)], "qid long, list_no int, pos int, id long")
     rows = search.fuse_rrf(lists).orderBy("rank").collect()
