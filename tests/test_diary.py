@@ -206,6 +206,11 @@ def test_quotients_are_floats(spark):
     assert halves(spark).select(vectors.quantize(F.col("v"), single=False).alias("p")).first().p.q == [63, 127]
 
 
+def test_a_vector_comes_back_from_its_rounded_floats(spark):
+    back = halves(spark).select(vectors.dequantize(vectors.quantize(F.col("v"))).alias("v")).first().v
+    assert back[0] == pytest.approx(64 * 0.06 / 127, rel=1e-6)
+
+
 def test_rrf_ties(spark):
     lists = spark.createDataFrame([(1, 0, 1, 1), (1, 0, 2, 2), (1, 0, 3, 3), (1, 1, 1, 3), (1, 1, 2, 4), (1, 1, 3, 1)], "qid long, list_no int, pos int, id long")
     rows = search.fuse_rrf(lists).orderBy("rank").collect()
