@@ -52,6 +52,13 @@ def test_vector_search_equals_all_products(spark, monkeypatch, setting):
     assert got == plain(df, q, 20)
 
 
+def test_scores_are_those_of_rounded_floats(spark):
+    # 3/6 of 127 is 63.5 in floats, and a little less in doubles
+    df = spark.createDataFrame([("a", 1, "2024-01-05", "m", [0.03, 0.06])], CHUNKS).withColumn("vector", vectors.quantize(F.col("v")))
+    q = spark.createDataFrame([(1, "a", "", [1.0, 0.0], None, None)], QUESTIONS)
+    assert search.vector_search(q, df, "m").first().score == round(64 * 0.06 / 127, 6)
+
+
 def test_vector_search_without_rows(spark):
     df, q = corpus(spark)
     assert search.vector_search(q.limit(0), df, "m").count() == 0
