@@ -137,6 +137,14 @@ def test_lines_of_a_key_meet_in_one_task_after_a_join(spark, several_tasks):
     assert sorted(tuple(r) for r in got) == expected
 
 
+def test_prompts_of_a_key_after_a_join(spark, several_tasks):
+    packs = summaries.pack_lines(joined_lines(spark), ["k"], ["n"], "line", 150)
+    got = summaries.map_prompts(packs, ["k"], F.lit("day")).collect()
+    assert sorted((r.k, r.pack_no, r.n_packs) for r in got) == [(k, n, 2) for k in range(4) for n in range(2)]
+    first = next(r.prompt for r in got if (r.k, r.pack_no) == (1, 0))
+    assert first.startswith("Период: day, часть 1 из 2.") and [x for x in first.split("\n") if x.startswith("l")] == [f"l{n}" for n in range(1, 75 * 40_000, 40_000)]
+
+
 # ---- appending
 
 SCHEMA = "owner_id string, id long, start_ms long, end_ms long, day string, text string, model string, lang string, created_ms long"
