@@ -145,6 +145,12 @@ def test_prompts_of_a_key_after_a_join(spark, several_tasks):
     assert first.startswith("Период: day, часть 1 из 2.") and [x for x in first.split("\n") if x.startswith("l")] == [f"l{n}" for n in range(1, 75 * 40_000, 40_000)]
 
 
+def test_each_pack_is_one_request_after_a_join(spark, several_tasks):
+    packs = summaries.pack_lines(joined_lines(spark), ["k"], ["n"], "line", 150)
+    raw = summaries.complete(summaries.map_prompts(packs, ["k"], F.lit("day")), lambda r: r["prompt"].map(lambda p: str(sum(x.startswith("l") for x in p.split("\n")))))
+    assert sorted((r.k, r.raw) for r in raw.collect()) == [(k, n) for k in range(4) for n in ("25", "75")]
+
+
 # ---- appending
 
 SCHEMA = "owner_id string, id long, start_ms long, end_ms long, day string, text string, model string, lang string, created_ms long"
