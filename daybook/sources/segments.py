@@ -54,7 +54,7 @@ def sweep_segments(spark: SparkSession, path: str, before_ms: int | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                store, file, _ = segment_files.store_of(name)
+                store, file = segment_files.file_of(name)
                 if store.get_file_info(file).type == fs.FileType.File:  # a task that is run again finds it gone
                     store.delete_file(file)
             yield batch
@@ -75,7 +75,7 @@ def with_payload(segments: DataFrame, content: str = "content", portion: int = 1
         for batch in batches:
             at, held, size = 0, [], 0
             for k, name in enumerate(batch.column("path").to_pylist()):
-                store, file, _ = segment_files.store_of(name)
+                store, file = segment_files.file_of(name)
                 try:
                     with store.open_input_file(file) as opened:
                         held.append(opened.read())

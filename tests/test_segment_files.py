@@ -56,6 +56,39 @@ def test_a_scan_reads_headers_alone(spark, tmp_path):
     assert segments.scan_segments(spark, str(tmp_path / "nowhere")).count() == 0
 
 
+def test_small_folders_share_tasks(spark, tmp_path):
+    for k in range(40):
+        os.makedirs(tmp_path / f"o{k}")
+        for n in range(3 if k % 2 else 1):
+            (tmp_path / f"o{k}/{n}.bseg").write_bytes(header(100 * k + n))
+    for k in range(25):
+        (tmp_path / f"o0/x{k}.bseg").write_bytes(header(k))
+    scan = segments.scan_segments(spark, str(tmp_path), share=20)
+    # 79 files by no more than 20 in five tasks, and two for the folder of 26
+    assert scan.rdd.getNumPartitions() <= 7 and segments.scan_segments(spark, str(tmp_path)).rdd.getNumPartitions() == 1
+    rows = scan.collect()
+    assert sorted(os.path.relpath(r.path, tmp_path) for r in rows) == files_below(tmp_path) and len(rows) == 105 and all(r.status == "ok" for r in rows)
+
+
+def test_a_commit_holds_few_names_at_once(tmp_path):
+    import pickle
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, writer = 20_000, segment_files.SegmentWriter(str(tmp_path))
+    batch = pa.RecordBatch.from_pydict({"name": [f"o{k % 3}/{k}.bseg" for k in range(n)], "blob": [b"x"] * n}, pa.schema([("name", pa.string()), ("blob", pa.binary())]))
+    told = [pickle.dumps(writer.write(iter([batch.slice(at, 1000)]))) for at in range(0, n, 1000)]
+    assert sum(map(len, told)) < 10 * n  # what the driver gets of each file
+    tracemalloc.start()
+    try:
+        writer.commit([pickle.loads(t) for t in told])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 200 * n and len(files_below(tmp_path)) == n
+
+
 def test_payloads_are_fetched_by_path(spark, tmp_path):
     segments.write_segments(sealed(spark, range(100, 140)).repartition(4), str(tmp_path))
     (tmp_path / "o1/bad.bseg").write_bytes(b"BS")
