@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -15,10 +17,11 @@ from daybook.operators.telemetry import capture_windows, frame_end, is_silent
 from daybook.sources.day_counts import refresh_day_counts
 from daybook.sources.diary import SAME, append_transcripts
 
-_PROGRESS = "inside boolean, before array<long>, begin long, size long, speech long, quiet long, last_ms long, newest_ms long, due_ms long"
+_PROGRESS = "inside boolean, before array<long>, begin long, size long, speech long, quiet long, last_ms long, newest_ms long, due_ms long, firsts array<long>"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Frames wait in rows of a second each; others than of this size are skipped.
-SECOND_MS, FRAME_SAMPLES = 1000, 512
+#: Frames wait for the watermark by second, in blocks of a minute; others than of this size are skipped.
+SECOND_MS, BLOCK_MS, FRAME_SAMPLES = 1000, 60_000, 512
+_PACKED = "owner_id string, last_ms long, ms binary, kinds binary"
 
 
 def capture_windows_stream(frames: DataFrame, window: str = "60 seconds", delay: str = "10 minutes") -> DataFrame:
@@ -43,10 +46,36 @@ def rocksdb_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def _packed(frames: DataFrame, cfg: SegmenterConfig) -> DataFrame:
+    """Rows (owner_id, last_ms, ms, kinds): the frames of an owner's second that lie in one Arrow batch, as bytes. Those of another size are left out, but count for last_ms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column("frame_start_ms").is_valid())
+            owners = batch.column("owner_id").dictionary_encode("encode")
+            codes, ms = owners.indices.to_numpy(), batch.column("frame_start_ms").to_numpy()
+            prob, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("prob", "n_samples"))
+            order = np.lexsort((ms, codes))
+            codes, ms, prob, right = codes[order], ms[order], prob[order].astype(np.float64), n[order] == FRAME_SAMPLES
+            kinds = np.where(prob >= cfg.start, 2, np.where(prob < cfg.stop, 0, 1)).astype(np.int8)
+            new = np.ones(len(ms), bool)
+            new[1:] = (np.diff(codes) != 0) | (np.diff(ms // SECOND_MS) != 0)
+            starts = np.flatnonzero(new)
+            ends = np.append(starts[1:], len(ms)).astype(np.int64)[: len(starts)]
+            kept = np.append(0, np.cumsum(right))
+            offsets = np.append(kept[starts], kept[-1])
+            binary = lambda values, size: pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((offsets * size).astype(np.int32)), pa.py_buffer(values.tobytes())])
+            owner = owners.dictionary.take(pa.array(codes[starts]))
+            yield pa.RecordBatch.from_arrays([owner, pa.array(ms[ends - 1], pa.int64()), binary(ms[right], 8), binary(kinds[right], 1)], [x.split()[0] for x in _PACKED.split(", ")])
+
+    return frames.select("owner_id", "frame_start_ms", "prob", "n_samples").mapInArrow(run, _PACKED)
+
+
 class Segmenter(StatefulProcessor):
-    """An owner's frames wait in a map by second; a timer goes off when the watermark has passed the first of them, and they are stepped through in order.
+    """An owner's frames, rows of _packed(), wait in a map of blocks of a minute, as the bytes of their starts and kinds; a timer goes off when the watermark has passed
+    the second of the first of them, and the frames that it has passed are stepped through in order, as runs of one kind.
 
-    One batch touches the seconds that it has frames of, however many wait. The machine's own state is one small value.
+    One batch touches the blocks that it has frames of, however many wait. The machine's own state is one small value, with the first frame of each block.
     """
 
     def __init__(self, cfg: SegmenterConfig, idle_ms: int) -> None:
@@ -54,44 +83,66 @@ class Segmenter(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "second long", "ms array<long>, prob array<double>")
+        self.waiting = handle.getMapState("waiting", "block long", "ms binary, kinds binary")
         self.progress = handle.getValueState("progress", _PROGRESS)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        parts = [f.loc[f["n_samples"] == FRAME_SAMPLES, ["frame_start_ms", "prob"]] for f in rows]
-        new = pd.concat(parts)
-        if new.empty:
+        parts = [(b"".join(f["ms"]), b"".join(f["kinds"])) for f in rows]
+        ms, kinds = (np.frombuffer(b"".join(c), t) for c, t in zip(zip(*parts, strict=True), (np.int64, np.int8), strict=True))
+        if not len(ms):
             return
-        machine, last, newest, due = self._progress()
-        for second, part in new.groupby(new["frame_start_ms"] // SECOND_MS):
-            held = self.waiting.getValue((int(second),)) if self.waiting.containsKey((int(second),)) else ([], [])
-            self.waiting.updateValue((int(second),), ([*held[0], *part["frame_start_ms"].tolist()], [*held[1], *part["prob"].tolist()]))
-        newest = max(int(new["frame_start_ms"].max()), newest or 0)
-        first = (int(new["frame_start_ms"].min()) // SECOND_MS + 1) * SECOND_MS
+        order = np.argsort(ms, kind="stable")
+        ms, kinds = ms[order], kinds[order]
+        machine, last, newest, due, firsts = self._progress()
+        held = {first // BLOCK_MS: first for first in firsts}
+        blocks = ms // BLOCK_MS
+        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(ms)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            block, first, more = int(blocks[a]), int(ms[a]), (ms[a:b].tobytes(), kinds[a:b].tobytes())
+            if block in held:
+                old = self.waiting.getValue((block,))
+                more, first = (bytes(old[0]) + more[0], bytes(old[1]) + more[1]), min(first, held[block])
+            held[block] = first
+            self.waiting.updateValue((block,), more)
+        newest = max(int(ms[-1]), newest or 0)
+        first = (int(ms[0]) // SECOND_MS + 1) * SECOND_MS
         # one timer an owner: that of the first second that waits, or of the pause after the last frame
         if due is None or first < due:
             due = self._timer(due, first)
-        self._keep(machine, last, newest, due)
+        self._keep(machine, last, newest, due, sorted(held.values()))
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        machine, last, newest, _ = self._progress()
+        passed = mark // SECOND_MS * SECOND_MS
+        machine, last, newest, _, firsts = self._progress()
         out: list[tuple] = []
-        seconds = sorted(k[0] for k in self.waiting.keys())
-        passed = [s for s in seconds if (s + 1) * SECOND_MS <= mark]
-        for second in passed:
-            for ms, prob in sorted(zip(*self.waiting.getValue((second,)), strict=True)):
-                out += machine.feed(2 if prob >= self.cfg.start else 0 if prob < self.cfg.stop else 1, ms, 1)
-                last = ms
-            self.waiting.removeKey((second,))
-        if len(passed) < len(seconds):
-            self._keep(machine, last, newest, self._timer(None, (seconds[len(passed)] + 1) * SECOND_MS))
+        left: list[int] = []
+        for first in firsts:
+            if first >= passed:
+                left.append(first)
+                continue
+            block = first // BLOCK_MS
+            ms, kinds = (np.frombuffer(bytes(x), t) for x, t in zip(self.waiting.getValue((block,)), (np.int64, np.int8), strict=True))
+            order = np.lexsort((kinds, ms))
+            ms, kinds = ms[order], kinds[order]
+            n = int(np.searchsorted(ms, passed))
+            if n < len(ms):
+                left.append(int(ms[n]))
+                self.waiting.updateValue((block,), (ms[n:].tobytes(), kinds[n:].tobytes()))
+            else:
+                self.waiting.removeKey((block,))
+            cuts = [0, *(np.flatnonzero((np.diff(ms[:n]) != FRAME_MS) | (np.diff(kinds[:n]) != 0)) + 1).tolist(), n]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                out += machine.feed(int(kinds[a]), int(ms[a]), b - a)
+            last = int(ms[n - 1])
+        if left:
+            self._keep(machine, last, newest, self._timer(None, (left[0] // SECOND_MS + 1) * SECOND_MS), left)
         elif mark >= newest + self.idle_ms:
             out += machine.flush(last)
             self.progress.clear()
         else:
-            self._keep(machine, last, newest, self._timer(None, newest + self.idle_ms))
+            self._keep(machine, last, newest, self._timer(None, newest + self.idle_ms), left)
         if out:
             frame = pd.DataFrame(out, columns=["start_ms", "n_frames", "speech_ms", "split_by_max", "close_ms", "dropped"])
             frame.insert(0, "owner_id", key[0])
@@ -100,14 +151,15 @@ class Segmenter(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _progress(self) -> tuple[Machine, int | None, int | None, int | None]:
-        if not self.progress.exists():
-            return Machine(self.cfg), None, None, None
-        inside, before, begin, size, speech, quiet, last, newest, due = self.progress.get()
-        return Machine(self.cfg, inside, list(before), begin, size, speech, quiet), last, newest, due
+    def _progress(self) -> tuple[Machine, int | None, int | None, int | None, list[int]]:
+        kept = self.progress.get()
+        if kept is None:
+            return Machine(self.cfg), None, None, None, []
+        inside, before, begin, size, speech, quiet, last, newest, due, firsts = kept
+        return Machine(self.cfg, inside, list(before), begin, size, speech, quiet), last, newest, due, list(firsts)
 
-    def _keep(self, machine: Machine, last: int | None, newest: int, due: int) -> None:
-        self.progress.update((machine.inside, machine.before, machine.begin, machine.size, machine.speech, machine.quiet, last, newest, due))
+    def _keep(self, machine: Machine, last: int | None, newest: int, due: int, firsts: list[int]) -> None:
+        self.progress.update((machine.inside, machine.before, machine.begin, machine.size, machine.speech, machine.quiet, last, newest, due, firsts))
 
     def _timer(self, old: int | None, new: int) -> int:
         if old is not None:
@@ -120,11 +172,12 @@ def segment_speech_stream(frames: DataFrame, cfg: SegmenterConfig | None = None,
     """Segments of a stream of frames, equal to segment_speech of the same frames.
 
     Frames of an owner wait until the watermark has passed their second, then they are stepped through in order; a gap is no silence. When
-    an owner's frames end for `idle_ms` of event time, what is open is flushed. Frames behind the watermark never reach the state. The session
-    needs rocksdb_state().
+    an owner's frames end for `idle_ms` of event time, what is open is flushed. Frames whose second is behind the watermark never reach the state,
+    for which they are packed by second. The session needs rocksdb_state().
     """
-    timed = frames.select("owner_id", "frame_start_ms", "prob", "n_samples", F.timestamp_millis("frame_start_ms").alias("ts")).withWatermark("ts", delay)
-    return timed.groupBy("owner_id").transformWithStateInPandas(Segmenter(cfg or SegmenterConfig(), idle_ms), SEGMENTS, "append", "EventTime")
+    cfg = cfg or SegmenterConfig()
+    timed = _packed(frames, cfg).select("owner_id", "ms", "kinds", F.timestamp_millis("last_ms").alias("ts")).withWatermark("ts", delay)
+    return timed.groupBy("owner_id").transformWithStateInPandas(Segmenter(cfg, idle_ms), SEGMENTS, "append", "EventTime")
 
 
 def append_stream(transcripts: DataFrame, path: str, checkpoint: str, name: str = "transcripts", delay: str = "1 hour") -> StreamingQuery:

@@ -92,3 +92,24 @@ def test_state_is_kept_by_second(spark, places):
     clock(spark, source, 1_000_000 + 32_000 + 75_000)
     run(spark, source, sink, log)
     assert [(r.start_ms, r.n_frames, r.split_by_max) for r in spark.read.parquet(sink).orderBy("start_ms").collect()] == [(1_000_000, 875, True), (1_028_000, 125, False)]
+
+
+def test_frames_reach_the_state_packed_by_second(spark, places):
+    source, sink, log = places
+    rng = random.Random(3)
+    wrong = [(o, 2_000_000 + 700 * k, 0.9, 160) for o in ("a", None) for k in range(40)]
+    right = [(o, 2_000_000 + 32 * k, rng.choice([0.1, 0.4, 0.9, None]), 512) for o in ("a", "b", None) for k in range(9000)]
+    told = spark.createDataFrame(rng.sample(right + wrong, len(right + wrong)), SCHEMA).coalesce(1)
+    packed = jobs._packed(told, segmentation.SegmenterConfig()).collect()
+    assert len(packed) < 5 * 3 * 288  # an owner's second is a row of an Arrow batch, of which there are three
+    seen = []
+    for r in packed:
+        ms = [int.from_bytes(r.ms[k : k + 8], "little") for k in range(0, len(r.ms), 8)]
+        assert len({x // 1000 for x in [*ms, r.last_ms]}) == 1 and max([*ms, r.last_ms]) == r.last_ms
+        seen += [(r.owner_id, x, k) for x, k in zip(ms, r.kinds, strict=True)]
+    kind = lambda p: 1 if p is None else 2 if p >= 0.5 else 0 if p < 0.35 else 1
+    assert sorted(seen, key=str) == sorted(((o, ms, kind(p)) for o, ms, p, _ in right), key=str)
+    # five minutes of three owners wait in the state as a few blocks
+    told.filter("owner_id IS NOT NULL").write.parquet(source)
+    query = run(spark, source, sink, log)
+    assert max(op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]) <= 30
